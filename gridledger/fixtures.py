@@ -69,8 +69,8 @@ SELECT wb_id, sheet_idx, row_no, col_no, CAST(ref_key % 10 AS INT) AS ref_sheet,
 SELECT o_custkey AS sheet_key, o_orderkey AS seq, CAST(o_orderkey % 40 + 1 AS INT) AS lo, CAST(o_orderkey % 40 + 1 + o_orderkey % 6 AS INT) AS hi,
   CAST(o_orderkey % 9 AS DOUBLE) * 4 AS width, o_orderstatus = 'F' AS hidden, CAST(o_orderkey % 3 AS INT) AS outline_level FROM orders""",
     "names": """
-SELECT CAST(p_partkey % 50 AS INT) AS wb_id, 'N' || CAST(p_partkey AS VARCHAR(10)) AS name,
-  CASE WHEN p_size % 10 = 0 THEN '#REF!' ELSE 'N' || CAST((p_partkey + 50 * (p_size % 4)) % 2000 AS VARCHAR(10)) END AS definition,
+SELECT CAST(p_partkey % 50 AS INT) AS wb_id, 'N_' || CAST(p_partkey AS VARCHAR(10)) AS name,
+  CASE WHEN p_size % 10 = 0 THEN '#REF!' ELSE 'N_' || CAST((p_partkey + 50 * (p_size % 4)) % 2000 AS VARCHAR(10)) END AS definition,
   p_size % 7 = 0 AS hidden FROM part""",
     "edges": """
 SELECT DISTINCT src, dst FROM (SELECT CAST(l_partkey AS BIGINT) AS src,
@@ -128,8 +128,8 @@ def with_views(names: str, sql: str) -> str:
         return sql
     ctes = ",\n".join(f"{n} AS ({FIXTURES[n].strip()})" for n in ordered)
     body = sql.strip()
-    if body[:5].upper() == "WITH ":
-        rest = body[5:].lstrip()
+    if re.match(r"(?i)with\s", body):
+        rest = body[4:].lstrip()
         if rest[:10].upper() == "RECURSIVE ":
             return f"WITH RECURSIVE {ctes},\n{rest[10:]}"
         return f"WITH {ctes},\n{rest}"
