@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 MAX_ROW = 1_048_576
 MAX_COL = 16_384
 
-_PART = r"^\$?([A-Za-z]{1,3})?\$?([0-9]{1,7})?$"
+_RANGE = r"^\$?([A-Za-z]{1,3})?\$?([0-9]{1,7})?(?::\$?([A-Za-z]{1,3})?\$?([0-9]{1,7})?)?$"
 _PLAIN_SHEET = r"^[A-Za-z_][A-Za-z0-9_.]*$"
 _CELL_LIKE = r"^\$?[A-Za-z]{1,3}\$?[0-9]+$"
 
@@ -42,15 +42,14 @@ def column_letters(number: Column) -> Column:
 def parse_a1(ref: Column) -> Column:
     """A struct r1,c1,r2,c2 for 'A1', '$A$1:C5', 'A:C' or '3:7'; null when it is none of these."""
     text = F.trim(ref)
-    a = F.split(text, ":", 2).getItem(0)
-    b = F.when(F.contains(text, F.lit(":")), F.get(F.split(text, ":", 2), F.lit(1))).otherwise(a)
 
-    def part(x: Column, group: int) -> Column:
-        return F.nullif(F.regexp_extract(x, _PART, group), F.lit(""))
+    def part(group: int) -> Column:
+        return F.nullif(F.regexp_extract(text, _RANGE, group), F.lit(""))
 
-    ca, ra, cb, rb = part(a, 1), part(a, 2), part(b, 1), part(b, 2)
-    valid = (a.rlike(_PART) & b.rlike(_PART) & (ca.isNotNull() | ra.isNotNull())
-             & (ca.isNull() == cb.isNull()) & (ra.isNull() == rb.isNull()))
+    pair = F.contains(text, F.lit(":"))
+    ca, ra = part(1), part(2)
+    cb, rb = F.when(pair, part(3)).otherwise(ca), F.when(pair, part(4)).otherwise(ra)
+    valid = text.rlike(_RANGE) & (ca.isNotNull() | ra.isNotNull()) & (ca.isNull() == cb.isNull()) & (ra.isNull() == rb.isNull())
     c1, c2 = F.coalesce(column_number(ca), F.lit(1)), F.coalesce(column_number(cb), F.lit(MAX_COL))
     r1, r2 = F.coalesce(ra.try_cast("int"), F.lit(1)), F.coalesce(rb.try_cast("int"), F.lit(MAX_ROW))
     return F.when(valid, F.struct(F.least(r1, r2).alias("r1"), F.least(c1, c2).alias("c1"),

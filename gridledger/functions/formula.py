@@ -58,12 +58,12 @@ def references(df: DataFrame, text: str, own_sheet: Column) -> DataFrame:
     bang = F.instr(ref, "!")
     sheet = F.regexp_replace(F.regexp_replace(F.substring_index(ref, "!", 1), r"^'|'$", ""), "''", "'")
     body = F.when(bang > 0, F.substring_index(ref, "!", -1)).otherwise(ref)
-    return (df.withColumn("ref", F.explode(reference_texts(F.col(text))))
-            .withColumn("ref_sheet", F.when(bang > 0, sheet).otherwise(own_sheet))
-            .withColumn("external", F.contains(F.col("ref_sheet"), F.lit("[")))
-            .withColumn("_b", parse_a1(body))
-            .filter(F.col("_b").isNotNull())
-            .select(*df.columns, "ref", "ref_sheet", "external", "_b.*"))
+    exploded = df.withColumn("ref", F.explode(reference_texts(F.col(text)))).withColumn("_own", own_sheet)
+    # the generator holds the parsed bounds, so that later predicates do not parse again
+    bounds = F.filter(F.array(parse_a1(body)), lambda b: b.isNotNull())
+    return (exploded.select(*df.columns, "_own", "ref", F.inline(bounds))
+            .withColumn("ref_sheet", F.when(F.instr("ref", "!") > 0, sheet).otherwise(F.col("_own")))
+            .select(*df.columns, "ref", "ref_sheet", F.contains(F.col("ref_sheet"), F.lit("[")).alias("external"), "r1", "c1", "r2", "c2"))
 
 
 def has_whole_ref(text: Column) -> Column:

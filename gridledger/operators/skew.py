@@ -13,6 +13,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are computed one time per row.
+
+    A predicate on a plain derived column is pushed below the projection and repeats the
+    expression there. Regular-expression ladders are too dear for that; a one-element generator
+    keeps them where they are.
+    """
+    row = F.struct(*[c.alias(n) for n, c in columns.items()])
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(F.array(row)))
+
+
 def first_n(df: DataFrame, keys: list[str], order: list, n: int, rank: str = "rank_no") -> DataFrame:
     """The first ``n`` rows of each key.
 
