@@ -78,7 +78,7 @@ yel AS (SELECT * FROM (SELECT wb_id, sheet_idx, row_no, col_no, CASE WHEN style_
    LAG(col_no) OVER w AS lc, LEAD(col_no) OVER w AS rc FROM grid WHERE style_id IN (1, 5) WINDOW w AS (PARTITION BY wb_id, sheet_idx, row_no ORDER BY col_no)) q)"""
 C47 = f"""WITH {LEGEND}, bad AS (SELECT y.*, CASE WHEN v_text = 'TBD' THEN 'placeholder under yellow' ELSE 'bright yellow without a legend' END AS why
  FROM yel y LEFT JOIN leg l ON l.wb_id = y.wb_id
- WHERE NOT (COALESCE(lc <> col_no - 1, TRUE) AND COALESCE(rc <> col_no + 1, TRUE) AND v_text = 'Yellow sample' AND v_text IS NOT NULL)
+ WHERE NOT (COALESCE(lc <> col_no - 1, TRUE) AND COALESCE(rc <> col_no + 1, TRUE) AND COALESCE(v_text = 'Yellow sample' OR EXISTS (SELECT 1 FROM yel z WHERE z.wb_id = y.wb_id AND z.sheet_idx = y.sheet_idx AND z.row_no = y.row_no AND z.v_text = 'Yellow sample' AND z.col_no - y.col_no IN (1, 2)), FALSE))
    AND (v_text = 'TBD' OR NOT (COALESCE(defines, 0) > 0 AND COALESCE(wip, 0) = 0)))
 {cell_rows('bad', 'why')}"""
 
