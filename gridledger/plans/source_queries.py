@@ -1 +1,239 @@
+"""S1-S16: each round trip writes what the tables hold to a new folder and reads it back."""
 
+import io
+import zipfile
+
+import pandas as pd
+from pyspark.sql import functions as F
+
+from ..session import fresh_folder
+from ..sources import logs as L
+from ..sources import sinks as K
+from ..sources import workbooks as W
+from . import query
+
+TIME = "strftime(start_time, '%Y-%m-%d %H:%M:%S')"
+
+
+def attempt_files(v, duplicate=False):
+    """The attempts as JSON lines, one folder per cohort."""
+    folder = fresh_folder(v.spark, "attempts")
+    a = v.attempts.withColumn("start_time", F.col("start_time").cast("timestamp"))
+    if duplicate:
+        again = a.filter("cost > 4.5").withColumn("agent_model_name", F.lit("copied"))
+        nameless = a.filter("cost < 0.02").withColumn("id", F.lit(None).cast("long"))
+        a = a.unionByName(again).unionByName(nameless)
+    K.append_rows(a.withColumn("label", F.col("agent_model_name")), a.withColumn("label", F.lit("")), folder, "label")
+    return folder
+
+
+@query("s1_read_attempts", "attempts", f"SELECT id, task_id, agent_model_name, prompt_version, {TIME} AS start_time, cost, agent_failed, deprecated FROM attempts")
+def _(v):
+    d = L.read_attempts(v.spark, attempt_files(v))
+    return d.select("id", "task_id", "agent_model_name", "prompt_version", F.date_format("start_time", "yyyy-MM-dd HH:mm:ss").alias("start_time"), "cost", "agent_failed", "deprecated")
+
+
+@query("s1_read_attempts_lenient", "attempts", "SELECT id, task_id FROM attempts WHERE NOT agent_failed")
+def _(v):
+    folder = fresh_folder(v.spark, "mixed")
+    line = F.to_json(F.struct("id", "task_id", "agent_failed"))
+    torn = F.when(F.col("agent_failed"), F.substring(line, 1, 12)).otherwise(line)
+    v.attempts.select(torn.alias("value")).write.text(folder)
+    return L.read_attempts(v.spark, folder, strict=False).select("id", "task_id")
+
+
+@query("s2_assert_unique_ids", "attempts", """
+SELECT id, COUNT(*) AS n, CASE WHEN id IS NULL THEN 'no id' ELSE 'repeated id' END AS problem FROM (
+ SELECT id FROM attempts UNION ALL SELECT id FROM attempts WHERE cost > 4.5 UNION ALL SELECT NULL FROM attempts WHERE cost < 0.02) a GROUP BY id HAVING id IS NULL OR COUNT(*) > 1""")
+def _(v):
+    return L.duplicate_ids(L.read_attempts(v.spark, attempt_files(v, True))).select("id", "n", "problem")
+
+
+@query("s3_read_tasks", "tasks", "SELECT task_id, task_name, model_type FROM tasks ORDER BY task_id")
+def _(v):
+    folder = fresh_folder(v.spark, "tasks")
+    v.tasks.withColumn("dir", F.col("task_id")).repartition("dir").withColumnRenamed("task_id", "id").withColumnRenamed("dir", "task_id").write.partitionBy("task_id").json(folder)
+    return L.read_tasks(v.spark, folder).select("task_id", "task_name", "model_type")
+
+
+def raw_files():
+    k, p = F.col("id") % 5, F.concat(F.lit("out/"), F.col("id").cast("string"))
+    return (F.when(k == 0, F.concat(p, F.lit("/notes.txt"))).when(k == 1, F.concat(F.lit('["'), p, F.lit('/a.pdf", "'), p, F.lit('/model.xlsx"]')))
+            .when(k == 2, F.concat(F.lit('[{"name": "Book.XLSM", "path": "'), p, F.lit('/blob1"}, {"path": "'), p, F.lit('/b.csv"}]')))
+            .when(k == 3, F.concat(F.lit('{"m.xls": "'), p, F.lit('/m"}'))))
+
+
+@query("s4_file_refs", "attempts", """
+SELECT id, CASE id % 5 WHEN 0 THEN 'notes.txt' WHEN 1 THEN 'a.pdf' WHEN 2 THEN 'Book.XLSM' ELSE 'm.xls' END AS name,
+ 'out/' || CAST(id AS VARCHAR) || CASE id % 5 WHEN 0 THEN '/notes.txt' WHEN 1 THEN '/a.pdf' WHEN 2 THEN '/blob1' ELSE '/m' END AS path FROM attempts WHERE id % 5 < 4
+UNION ALL SELECT id, CASE id % 5 WHEN 1 THEN 'model.xlsx' ELSE 'b.csv' END, 'out/' || CAST(id AS VARCHAR) || CASE id % 5 WHEN 1 THEN '/model.xlsx' ELSE '/b.csv' END FROM attempts WHERE id % 5 IN (1, 2)""")
+def _(v):
+    return v.attempts.select("id", F.inline(L.file_refs(raw_files())))
+
+
+@query("s5_workbook_path", "attempts", """
+SELECT id, 'out/' || CAST(id AS VARCHAR) || CASE id % 5 WHEN 1 THEN '/model.xlsx' WHEN 2 THEN '/blob1' WHEN 3 THEN '/m' END AS workbook FROM attempts""")
+def _(v):
+    return v.attempts.select("id", L.workbook_path(L.file_refs(raw_files())).alias("workbook"))
+
+
+# a weights document per region: nations are its categories, suppliers its checks
+@query("s6_read_weights", "", """
+SELECT r_name AS region, n_name AS category, s_name AS name, s_acctbal AS weight, CAST(n_nationkey % 7 AS DOUBLE) / 10 AS category_weight
+FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
+def _(v):
+    n = v.nation.join(v.region, F.col("n_regionkey") == F.col("r_regionkey"))
+    checks = (v.supplier.join(n, F.col("s_nationkey") == F.col("n_nationkey")).groupBy("r_name", "n_name", (F.col("n_nationkey") % 7 / 10.0).alias("cw"))
+              .agg(F.collect_list(F.struct(F.col("s_name").alias("name"), F.col("s_acctbal").alias("weight"))).alias("items")))
+    docs = checks.groupBy("r_name").agg(
+        F.concat(F.lit('{"CategoryWeights": ['), F.to_json(F.map_from_entries(F.collect_list(F.struct("n_name", "cw")))), F.lit("], "),
+                 F.substring(F.to_json(F.map_from_entries(F.collect_list(F.struct("n_name", "items")))), 2, 1 << 30)).alias("doc"))
+    return L.read_weights(docs.withColumnRenamed("r_name", "region"), "doc", ["region"])
+
+
+@query("s7_read_alternates", "answers", "SELECT DISTINCT attempt_id AS task_id, qid, label, golden, alternate FROM answers")
+def _(v):
+    folder = fresh_folder(v.spark, "alternates")
+    q = v.answers.select("attempt_id", "qid", "label", "golden", "alternate").distinct()
+    (q.groupBy(F.col("attempt_id").alias("task_id")).agg(F.collect_list(F.struct("qid", "label", "golden", "alternate")).alias("questions"))
+     .write.json(folder))
+    return L.read_alternates(v.spark, folder)
+
+
+@query("s8_read_trajectory", "calls", "SELECT attempt_id, step, model, prompt_tokens, completion_tokens FROM calls WHERE type IN ('assistant', 'tool')")
+def _(v):
+    folder = fresh_folder(v.spark, "trajectory")
+    kind = F.when(F.col("type").isin("assistant", "tool"), "call").when(F.col("type") == "result", "end").otherwise("event")
+    rows = v.calls.select(kind.alias("type"), F.col("ts").cast("timestamp").alias("ts"), "step", "attempt_id", "model",
+                          F.when(kind == "call", F.struct("prompt_tokens", "completion_tokens")).alias("usage"), F.when(kind == "event", F.col("props")).alias("payload"))
+    rows.write.option("compression", "gzip").json(folder)
+    return L.read_trajectory(v.spark, folder, "call").select("attempt_id", "step", "model", "usage.prompt_tokens", "usage.completion_tokens")
+
+
+_MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+
+
+def _zip_books(folder):
+    def run(batches):
+        for batch in batches:
+            for wb, names, sheets, strings in zip(batch.wb_id, batch.names, batch.sheets, batch.strings):
+                buffer = io.BytesIO()
+                with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
+                    z.writestr("xl/workbook.xml", f'<workbook xmlns="{_MAIN}"><sheets>' + "".join(f'<sheet name="S{n}" sheetId="{n + 1}"/>' for n in names) + "</sheets></workbook>")
+                    z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{_MAIN}">{strings}</sst>')
+                    for n, body in zip(names, sheets):
+                        z.writestr(f"xl/worksheets/sheet{n}.xml", body)
+                yield pd.DataFrame({"path": [f"wb{wb}.xlsx"], "content": [buffer.getvalue()]})
+    return run
+
+
+def workbook_files(v):
+    """The grid as .xlsx files in a new folder: numbers, errors, shared strings, formulas, merges and rules.
+
+    Only the tests' input is made here; its sheets are small by construction.
+    """
+    x = F.lit
+    g = v.grid.join(v.formulas.select("wb_id", "sheet_idx", "row_no", "col_no", "text"), ["wb_id", "sheet_idx", "row_no", "col_no"])
+    ref = F.concat(F.char(F.col("col_no") + 64), F.col("row_no").cast("string"))
+    f = F.concat(x("<f>"), F.regexp_replace(F.regexp_replace("text", "&", "&amp;"), "<", "&lt;"), x("</f>"))
+    head = F.concat(x('<c r="'), ref, x('" s="'), F.col("style_id").cast("string"), x('"'))
+    cell = (F.when(F.col("v_err").isNotNull(), F.concat(head, x(' t="e">'), f, x("<v>"), F.col("v_err"), x("</v></c>")))
+            .when(F.col("v_num") == 0, F.concat(head, x(' t="s"><v>'), (F.col("style_id") % 3).cast("string"), x("</v></c>")))
+            .when(F.col("v_num") < 0, F.concat(head, x(">"), f, x("<v>"), F.col("v_num").cast("string"), x("</v></c>")))
+            .otherwise(F.concat(head, x("><v>"), F.col("v_num").cast("string"), x("</v></c>"))))
+    join = lambda key, item: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, item))), lambda s: s[item]), "")
+    rows = g.withColumn("cell", cell).groupBy("wb_id", "sheet_idx", "row_no").agg(join("col_no", "cell").alias("cs"), F.max("ref_key").alias("h"))
+    rows = rows.withColumn("row", F.concat(x('<row r="'), F.col("row_no").cast("string"), x('" ht="'), (F.col("h") % 90 + 5).cast("string"), x('" customHeight="1">'), "cs", x("</row>")))
+    sheets = rows.groupBy("wb_id", "sheet_idx").agg(join("row_no", "row").alias("rows"), F.max("row_no").alias("last"))
+    last = F.col("last").cast("string")
+    body = F.concat(x(f'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="{_MAIN}"><sheetViews><sheetView workbookViewId="0"/></sheetViews><sheetData>'), "rows",
+                    x('</sheetData><mergeCells count="2"><mergeCell ref="A1:B2"/><mergeCell ref="C'), last, x(':D'), last,
+                    x('"/></mergeCells><conditionalFormatting sqref="A1:A9 C3"><cfRule type="cellIs" priority="1" operator="lessThan"><formula>0</formula></cfRule></conditionalFormatting>'
+                      '<dataValidations count="1"><dataValidation type="whole" showErrorMessage="1" sqref="B2"><formula1>1</formula1></dataValidation></dataValidations></worksheet>'))
+    books = (sheets.withColumn("body", body).groupBy("wb_id").agg(F.array_sort(F.collect_list(F.struct("sheet_idx", "body"))).alias("b"))
+             .select("wb_id", F.transform("b", lambda b: b["sheet_idx"]).alias("names"), F.transform("b", lambda b: b["body"]).alias("sheets"),
+                     F.lit("<si><t>alpha</t></si><si><r><t>be</t></r><r><t>ta</t></r></si><si><t>a &amp; b</t></si>").alias("strings")))
+    return books.mapInPandas(_zip_books(None), "path STRING, content BINARY")
+
+
+def parts(v):
+    """Members of the corpus's workbooks, through the same unzip step the file reader uses."""
+    return workbook_files(v).mapInPandas(W._unzip(1 << 14), W.PARTS)
+
+
+@query("s9_workbook_parts", "sheets", """
+SELECT 'wb' || CAST(wb_id AS VARCHAR) || '.xlsx' AS wb_id, COUNT(*) + 2 AS n_parts FROM sheets GROUP BY wb_id""")
+def _(v):
+    return parts(v).groupBy("wb_id").agg(F.count_distinct("part").alias("n_parts"))
+
+
+BOOK = "'wb' || CAST(wb_id AS VARCHAR) || '.xlsx' AS wb_id, 'xl/worksheets/sheet' || CAST(sheet_idx AS VARCHAR) || '.xml' AS part"
+
+
+@query("s10_cells_from_parts", "grid formulas", f"""
+SELECT {BOOK.replace('CAST(wb_id', 'CAST(g.wb_id').replace('CAST(sheet_idx', 'CAST(g.sheet_idx')}, g.row_no, g.col_no, CASE WHEN v_err IS NOT NULL THEN 'error' WHEN v_num = 0 THEN 'text' ELSE 'number' END AS kind,
+ CASE WHEN v_err IS NULL AND v_num <> 0 THEN v_num END AS v_num, CASE WHEN v_err IS NULL AND v_num = 0 THEN CASE style_id % 3 WHEN 0 THEN 'alpha' WHEN 1 THEN 'beta' ELSE 'a & b' END END AS v_text, v_err, style_id,
+ CASE WHEN v_err IS NOT NULL OR v_num < 0 THEN f.text END AS formula
+FROM grid g JOIN formulas f ON f.wb_id = g.wb_id AND f.sheet_idx = g.sheet_idx AND f.row_no = g.row_no AND f.col_no = g.col_no""")
+def _(v):
+    return W.cells_from_parts(parts(v)).select("wb_id", "part", "row_no", "col_no", "kind", "v_num", "v_text", "v_err", "style_id", "formula")
+
+
+@query("s10_rows_meta", "grid", f"SELECT {BOOK}, row_no, CAST(MAX(ref_key) % 90 + 5 AS DOUBLE) AS height, TRUE AS custom FROM grid GROUP BY wb_id, sheet_idx, row_no")
+def _(v):
+    return W.rows_meta(parts(v)).select("wb_id", "part", "row_no", "height", "custom")
+
+
+@query("s11_sheet_tail", "sheets", f"""
+SELECT {BOOK}, 'merge' AS what, 1 AS r1, 1 AS c1, 2 AS r2, 2 AS c2 FROM sheets UNION ALL SELECT {BOOK}, 'merge', max_row, 3, max_row, 4 FROM sheets
+UNION ALL SELECT {BOOK}, 'cellIs', 1, 1, 9, 1 FROM sheets UNION ALL SELECT {BOOK}, 'cellIs', 3, 3, 3, 3 FROM sheets UNION ALL SELECT {BOOK}, 'whole', 2, 2, 2, 2 FROM sheets""")
+def _(v):
+    t = W.sheet_tail(parts(v))
+    cols = ["r1", "c1", "r2", "c2"]
+    return (t["merges"].select("wb_id", "part", F.lit("merge").alias("what"), *cols)
+            .unionByName(t["cf_rules"].select("wb_id", "part", F.col("rule_type").alias("what"), *cols))
+            .unionByName(t["validations"].select("wb_id", "part", F.col("type").alias("what"), *cols)))
+
+
+@query("s12_file_inventory")
+def _(v):
+    return W.file_inventory(v.spark, v.sf_dir, "*.parquet").drop("modificationTime")
+
+
+@query("s13_append_attempts", "attempts", "SELECT id, agent_model_name AS label, cost FROM attempts UNION ALL SELECT id, 'late', NULL FROM attempts WHERE agent_failed")
+def _(v):
+    folder = fresh_folder(v.spark, "append")
+    table = v.attempts.select("id", F.col("agent_model_name").alias("label"), "cost")
+    K.append_rows(table, table, folder, "label")
+    K.append_rows(v.attempts.filter("agent_failed").select("id", F.lit("late").alias("label")), table, folder, "label")
+    return v.spark.read.schema("id BIGINT, cost DOUBLE, label STRING").json(folder)
+
+
+@query("s14_append_gradings", "gradings", "SELECT attempt_id, grader_model, COUNT(*) AS n_rows, 1 AS n_ids FROM gradings GROUP BY 1, 2")
+def _(v):
+    folder = fresh_folder(v.spark, "gradings")
+    g = K.with_grading_id(v.gradings, "run-1")
+    K.append_rows(g, g, folder, "grader_model")
+    back = v.spark.read.schema("id BIGINT, attempt_id BIGINT, failed BOOLEAN, deprecated BOOLEAN, grader_model STRING").json(folder)
+    return back.groupBy("attempt_id", "grader_model").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("id").alias("n_ids"))
+
+
+@query("s15_export_sheet_grid", "grid", """
+WITH c AS (SELECT wb_id, sheet_idx, row_no, k.col, (SELECT MAX(col_no) FROM grid x WHERE x.wb_id = g.wb_id AND x.sheet_idx = g.sheet_idx AND x.row_no = g.row_no) AS n
+  FROM (SELECT DISTINCT wb_id, sheet_idx, row_no FROM grid) g, (SELECT UNNEST(range(1, 8)) AS col) k)
+SELECT c.wb_id, c.sheet_idx, c.row_no, string_agg(COALESCE(CASE WHEN v_err IS NOT NULL THEN v_err || '|=A1' ELSE printf('%.2f', v_num) END, ''), ',' ORDER BY c.col) AS line
+FROM c LEFT JOIN grid g ON g.wb_id = c.wb_id AND g.sheet_idx = c.sheet_idx AND g.row_no = c.row_no AND g.col_no = c.col WHERE c.col <= n GROUP BY 1, 2, 3""")
+def _(v):
+    shown = F.coalesce("v_err", F.format_string("%.2f", F.col("v_num")))
+    cells = v.grid.select("wb_id", "sheet_idx", "row_no", "col_no", shown.alias("shown"), F.when(F.col("v_err").isNotNull(), "A1").alias("formula"))
+    return K.sheet_lines(cells, ["wb_id", "sheet_idx"])
+
+
+@query("s16_verify_manifest", "", """
+SELECT url || '#' || CAST(page_id AS VARCHAR) AS path, CASE WHEN page_id % 7 = 0 THEN 'MISSING' ELSE 'DIFFERS' END AS problem FROM pages WHERE page_id % 7 = 0 OR length(html) % 5 = 0""")
+def _(v):
+    p = v.pages.select(F.concat("url", F.lit("#"), F.col("page_id").cast("string")).alias("path"), F.encode("html", "UTF-8").alias("content"), "page_id", F.length("html").alias("n"))
+    wrong = F.col("n") % 5 == 0
+    manifest = p.select("path", F.octet_length("content").alias("size"), F.when(wrong, F.sha2(F.lit("other"), 256)).otherwise(F.sha2("content", 256)).alias("sha256"))
+    moved = p.withColumn("path", F.when(F.col("page_id") % 7 == 0, F.concat("path", F.lit(".moved"))).otherwise(F.col("path")))
+    return W.verify_manifest(manifest, moved)

@@ -39,7 +39,7 @@ def duplicate_ids(attempts: DataFrame) -> DataFrame:
 def read_tasks(spark: SparkSession, root: str) -> DataFrame:
     """Task rows from ``task_id=N/`` folders, the folder's number being the id."""
     body = ", ".join(c for c in TASKS.split(", ") if not c.startswith("task_id"))
-    return spark.read.schema(body + ", task_id INT").option("basePath", root).option("multiLine", False).json(f"{root}/task_id=*").orderBy("task_id")
+    return spark.read.schema(body + ", task_id INT").json(root).orderBy("task_id")
 
 
 def file_refs(column: Column) -> Column:
