@@ -77,9 +77,8 @@ def has_whole_ref(text: Column) -> Column:
 
 def is_external(text: Column) -> Column:
     """Reads another workbook: [1]Sheet!A1, [Book.xlsx]Sheet!A1, or a path before '!'."""
-    masked = mask_strings(text)
-    may = F.contains(masked, F.lit("[")) | F.contains(masked, F.lit("!"))
-    return may & masked.rlike(_EXTERNAL)
+    may = F.contains(text, F.lit("[")) | F.contains(text, F.lit("!"))
+    return may & mask_strings(text).rlike(_EXTERNAL)
 
 
 def formula_class(text: Column, own_sheet: Column) -> Column:
@@ -92,7 +91,9 @@ def formula_class(text: Column, own_sheet: Column) -> Column:
         return F.contains(ref, F.lit("!")) & (F.lower(sheet) != own)
 
     cross = F.exists(reference_texts(text), elsewhere)
-    return (F.when(is_external(text), "EXTERNAL")
+    # most formulas stay on their sheet, and two cheap searches show it
+    home = ~F.contains(text, F.lit("!")) & ~F.contains(text, F.lit("["))
+    return (F.when(home, "OWN").when(is_external(text), "EXTERNAL")
             .when(cross & masked.rlike(_POINTER), "POINTER")
             .when(cross, "CROSS").otherwise("OWN"))
 

@@ -132,12 +132,16 @@ def compare_answers(df: DataFrame) -> DataFrame:
     (digits of a ROUND around either side), pct_format, percent_directive.
     """
     c = F.col
-    d = once(df, e=A.parse_scalar(c("golden")), g=A.parse_scalar(c("got")), outflow=A.is_outflow(c("label")),
+    # questions repeat over attempts: their wording is read once per distinct label and joined back
+    labels = df.select("label").distinct()
+    labels = labels.select(c("label").alias("_label"), A.is_outflow(c("label")).alias("outflow"), A.names_percent(c("label")).alias("pct_words"))
+    worded = df.join(labels, c("label").eqNullSafe(c("_label")), "left").drop("_label")
+    d = once(worded, e=A.parse_scalar(c("golden")), g=A.parse_scalar(c("got")),
              gs=F.coalesce(A.is_sentinel(c("got")), F.lit(False)), es=F.coalesce(A.is_sentinel(c("golden")), F.lit(False)),
              dec=F.coalesce(c("golden_dp"), c("dp") + F.when(c("pct_format"), 2).otherwise(0)))
     a, b = c("e.num"), c("g.num")
     scaled = b * F.pow(F.lit(10.0), "dec")
-    d = once(d, pct=A.is_percent_context(c("label"), c("unit"), c("pct_format"), c("percent_directive"), c("g.pct")),
+    d = once(d, pct=F.coalesce(c("pct_words"), F.lit(False)) | c("g.pct") | c("pct_format") | c("percent_directive") | A.percent_unit(c("unit")),
              tol=_tolerance(a, b), tol_up=_tolerance(a, b * 100), tol_down=_tolerance(a, b * 0.01),
              is_round=(F.abs(scaled - F.round(scaled)) <= F.greatest(F.lit(1e-9), F.abs(scaled) * 1e-12)) | F.coalesce(c("got_dp") <= c("dec"), F.lit(False)))
 
@@ -146,10 +150,10 @@ def compare_answers(df: DataFrame) -> DataFrame:
 
     numbers = (F.when(a == b, "exact").when(near(a, b, "tol"), "tolerance")
                .when(c("pct") & near(a, b * 100, "tol_up"), "percent_form")
-               .when(c("pct") & c("outflow") & near(F.abs(a), F.abs(b * 100), "tol_up"), "sign_outflow+percent_form")
+               .when(c("pct") & F.coalesce(c("outflow"), F.lit(False)) & near(F.abs(a), F.abs(b * 100), "tol_up"), "sign_outflow+percent_form")
                .when(c("pct") & near(a, b * 0.01, "tol_down"), "percent_form")
-               .when(c("pct") & c("outflow") & near(F.abs(a), F.abs(b * 0.01), "tol_down"), "sign_outflow+percent_form")
-               .when(c("outflow") & near(F.abs(a), F.abs(b), "tol"), "sign_outflow"))
+               .when(c("pct") & F.coalesce(c("outflow"), F.lit(False)) & near(F.abs(a), F.abs(b * 0.01), "tol_down"), "sign_outflow+percent_form")
+               .when(F.coalesce(c("outflow"), F.lit(False)) & near(F.abs(a), F.abs(b), "tol"), "sign_outflow"))
     e_day = F.when(c("e.kind") == "date", c("e.day")).when(c("e.kind") == "number", A.serial_to_date(a))
     g_day = F.when(c("g.kind") == "date", c("g.day")).when(c("g.kind") == "number", A.serial_to_date(b))
     e_yes = F.when(c("e.kind") == "bool", c("e.yes")).when(c("e.kind") == "text", A.text_yes(c("golden")))

@@ -442,7 +442,8 @@ def precedent_ranges(formulas: DataFrame) -> DataFrame:
 def volatile_cells(formulas: DataFrame) -> DataFrame:
     """Calls of volatile functions. A lone TODAY() or NOW() that nothing reads is a date stamp and passes."""
     called = F.array_intersect(X.functions_called(F.col("text")), F.array(*[F.lit(x) for x in VOLATILE]))
-    d = (once(formulas, called=called).filter(F.size("called") > 0)
+    may = formulas.filter(F.col("text").rlike("(?i)" + "|".join(VOLATILE)))
+    d = (once(may, called=called).filter(F.size("called") > 0)
          .withColumn("stamp", X.date_stamp(F.col("text"))).withColumn("sheet_key", F.lower(sheet_name())))
     stamps = d.filter("stamp")
     read = stab_join(stamps.select(*CELL, "sheet_key"), precedent_ranges(formulas), ["wb_id", "sheet_key"], "row_no", "r1", "r2")
