@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import cut_groups, let
+
 MAX_ROW = 1_048_576
 MAX_COL = 16_384
 
@@ -43,17 +45,18 @@ def parse_a1(ref: Column) -> Column:
     """A struct r1,c1,r2,c2 for 'A1', '$A$1:C5', 'A:C' or '3:7'; null when it is none of these."""
     text = F.trim(ref)
 
-    def part(group: int) -> Column:
-        return F.nullif(F.regexp_extract(text, _RANGE, group), F.lit(""))
-
-    pair = F.contains(text, F.lit(":"))
-    ca, ra = part(1), part(2)
-    cb, rb = F.when(pair, part(3)).otherwise(ca), F.when(pair, part(4)).otherwise(ra)
-    valid = text.rlike(_RANGE) & (ca.isNotNull() | ra.isNotNull()) & (ca.isNull() == cb.isNull()) & (ra.isNull() == rb.isNull())
-    c1, c2 = F.coalesce(column_number(ca), F.lit(1)), F.coalesce(column_number(cb), F.lit(MAX_COL))
-    r1, r2 = F.coalesce(ra.try_cast("int"), F.lit(1)), F.coalesce(rb.try_cast("int"), F.lit(MAX_ROW))
-    return F.when(valid, F.struct(F.least(r1, r2).alias("r1"), F.least(c1, c2).alias("c1"),
-                                  F.greatest(r1, r2).alias("r2"), F.greatest(c1, c2).alias("c2")))
+    def read(p: Column) -> Column:
+        pair = F.contains(text, F.lit(":"))
+        ca, ra = p[1], p[2]
+        cb, rb = F.when(pair, p[3]).otherwise(ca), F.when(pair, p[4]).otherwise(ra)
+        valid = (F.size(p) == 5) & ((ca != "") | (ra != "")) & ((ca == "") == (cb == "")) & ((ra == "") == (rb == ""))
+        c1, c2 = F.coalesce(column_number(ca), F.lit(1)), F.coalesce(column_number(cb), F.lit(MAX_COL))
+        # a cast that fails is caught as an exception, row by row, so an empty text is never cast
+        r1, r2 = F.when(ra != "", ra.cast("int")).otherwise(1), F.when(rb != "", rb.cast("int")).otherwise(MAX_ROW)
+        return F.when(F.coalesce(valid, F.lit(False)), F.struct(F.least(r1, r2).alias("r1"), F.least(c1, c2).alias("c1"),
+                                                                F.greatest(r1, r2).alias("r2"), F.greatest(c1, c2).alias("c2")))
+
+    return let(cut_groups(text, _RANGE, ["$1", "$2", "$3", "$4"]), read)
 
 
 def to_a1(r1: Column, c1: Column, r2: Column | None = None, c2: Column | None = None) -> Column:

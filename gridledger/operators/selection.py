@@ -53,7 +53,7 @@ def pending_attempts(attempts: DataFrame, gradings: DataFrame, grader: str) -> D
 def same_version(a: Column, b: Column) -> Column:
     """Equality across whole numbers and numeric texts; null equals only null."""
     x, y = a.cast("string"), b.cast("string")
-    numeric = x.try_cast("bigint").isNotNull() & y.try_cast("bigint").isNotNull()
+    numeric = x.rlike(r"^\s*-?[0-9]{1,18}\s*$") & y.rlike(r"^\s*-?[0-9]{1,18}\s*$")
     return F.when(numeric, x.try_cast("bigint") == y.try_cast("bigint")).otherwise(x.eqNullSafe(y))
 
 
