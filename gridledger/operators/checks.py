@@ -17,6 +17,7 @@ from ..functions import colour as K
 from ..functions import formula as X
 from ..functions import numfmt as N
 from ..functions import text as T
+from ..session import checkpointed
 from . import graph
 from .grid import SHEET, dyadic_blocks, group_cells, range_members, stab_join
 from .skew import first_n, once
@@ -446,7 +447,9 @@ def volatile_cells(formulas: DataFrame) -> DataFrame:
     d = (once(may, called=called).filter(F.size("called") > 0)
          .withColumn("stamp", X.date_stamp(F.col("text"))).withColumn("sheet_key", F.lower(sheet_name())))
     stamps = d.filter("stamp")
-    read = stab_join(stamps.select(*CELL, "sheet_key"), precedent_ranges(formulas), ["wb_id", "sheet_key"], "row_no", "r1", "r2")
+    # parsed once and written: the join reads the rectangles twice, for their sizes and for the pairs
+    precedents = checkpointed(precedent_ranges(formulas))
+    read = stab_join(stamps.select(*CELL, "sheet_key"), precedents, ["wb_id", "sheet_key"], "row_no", "r1", "r2")
     read = read.filter(F.col("col_no").between(F.col("c1"), F.col("c2"))).select(*CELL).distinct()
     bad = d.filter(~F.col("stamp")).select(*CELL, "called").unionByName(stamps.join(read, CELL, "left_semi").select(*CELL, "called"))
     bad = bad.withColumn("why", F.concat(F.lit("calls "), F.array_join("called", ", ")))
