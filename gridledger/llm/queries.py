@@ -81,3 +81,15 @@ URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.
 def _url_rules(spark, sf_dir):
     from .url_rules import judge_urls, rule_table
     return judge_urls(table(spark, sf_dir, "pages"), rule_table(spark, URL_RULES))
+
+
+@query("op1_ngram_join", f"""
+    WITH RECURSIVE d AS (SELECT doc_id, {SHINGLES.format('w')} AS s FROM (SELECT doc_id, {WORDS.format('text')} AS w FROM documents)),
+    n AS (SELECT doc_id, len(s) AS n FROM d), g AS (SELECT doc_id, unnest(s) AS g FROM d),
+    e AS (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM g x JOIN g y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL)
+          JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 80 * (na.n + nb.n - c)),
+    r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
+    SELECT n.doc_id, n.n::BIGINT AS n_shingles, min(r.b) AS component_id FROM n JOIN r ON r.a = n.doc_id GROUP BY ALL""")
+def _ngram_join(spark, sf_dir):
+    from .jaccard import jaccard_join
+    return jaccard_join(table(spark, sf_dir, "documents")).drop("set_id")
