@@ -93,3 +93,19 @@ def _url_rules(spark, sf_dir):
 def _ngram_join(spark, sf_dir):
     from .jaccard import jaccard_join
     return jaccard_join(table(spark, sf_dir, "documents")).drop("set_id")
+
+
+@query("op9_substring_dedup", """
+    WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+    p AS (SELECT doc_id, unnest(range(1, len(w) - 33)) AS i, w FROM d WHERE len(w) >= 35),
+    h AS (SELECT doc_id, i, md5(array_to_string(w[i:i+34], ' ')) AS h FROM p),
+    r AS (SELECT doc_id, list(i) AS s FROM (SELECT *, count(*) OVER (PARTITION BY h) AS n FROM h) WHERE n > 1 GROUP BY doc_id),
+    c AS (SELECT doc_id, list_distinct(flatten(list_transform(s, lambda i: range(i, i + 35)))) AS gone FROM r),
+    k AS (SELECT d.doc_id, len(w) AS n, coalesce(len(gone), 0) AS g, w, coalesce(gone, []) AS gone FROM d LEFT JOIN c ON c.doc_id = d.doc_id),
+    u AS (SELECT k.doc_id, i, w[i] AS x FROM k, unnest(range(1, n + 1)) AS t(i) WHERE NOT list_contains(gone, i)),
+    t AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS kept FROM u GROUP BY doc_id)
+    SELECT k.doc_id, n::BIGINT AS n_words, g::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM k LEFT JOIN t ON t.doc_id = k.doc_id""")
+def _substring_dedup(spark, sf_dir):
+    from .substrings import remove_repeats
+    out = remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
