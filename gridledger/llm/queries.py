@@ -109,3 +109,9 @@ def _substring_dedup(spark, sf_dir):
     from .substrings import remove_repeats
     out = remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op4_language_id")
+def _language_id(spark, sf_dir):
+    from .language import identify_language
+    return identify_language(table(spark, sf_dir, "documents"))
