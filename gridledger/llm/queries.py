@@ -115,3 +115,9 @@ def _substring_dedup(spark, sf_dir):
 def _language_id(spark, sf_dir):
     from .language import identify_language
     return identify_language(table(spark, sf_dir, "documents"))
+
+
+@query("op10_chat_format")
+def _chat_format(spark, sf_dir):
+    from .chat import format_conversations
+    return format_conversations(table(spark, sf_dir, "conversations"))

@@ -16,7 +16,7 @@ import re
 import numpy as np
 
 END = 1
-_CACHE_WORDS = 500_000
+_CACHE_WORDS = 1_000_000
 _MARKS = ".,!?;:"
 _LOADED: dict[str, Encoder] = {}
 
