@@ -1,13 +1,81 @@
-"""A corpus pipeline over `documents`; each stage's rows are written and read again as the next one's."""
+"""A corpus pipeline over `documents`: each stage's rows are written and read again as the next one's.
+
+Stages take (spark, docs, sf_dir). All but the last return the columns of `documents`; the last one
+returns the packed pieces.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from gridledger.llm.decontamination import find_contained
+from gridledger.llm.jaccard import jaccard_join
+from gridledger.llm.language import UNKNOWN, identify_language
+from gridledger.llm.packing import pack_documents
+from gridledger.llm.substrings import remove_repeats
+from gridledger.session import checkpointed
+
+LEAST_SCORE = 0.25  # of a language that is accepted; two languages that are equally likely have more
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows whose doc_id is not in ``gone``; a table of few ids is sent to all tasks, others meet by shuffle."""
+    return docs.join(checkpointed(gone.select("doc_id").distinct()), "doc_id", "left_anti").select(*docs.columns)
+
+
+def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops texts without a letter and texts that no language fits; a missing label is filled in."""
+    found = identify_language(docs, carry=docs.columns).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest doc_id of each group of linked documents; of a repeated row, one."""
+    groups = checkpointed(jaccard_join(docs))
+    left = _without(docs, groups.filter("component_id < doc_id"))
+    again = groups.filter("component_id = doc_id AND n_shingles > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
+    again = checkpointed(again)
+    if again.isEmpty():
+        return left
+    one = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("text")
+    repeated = left.join(again, "doc_id", "left_semi").withColumn("_turn", F.row_number().over(one)).filter("_turn = 1").select(*docs.columns)
+    return left.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(repeated)
+
+
+def strike_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes words out that lie in repeated passages; texts that lose nothing stay as they are."""
+    others = [c for c in docs.columns if c not in ("text", "n_chars")]
+    left = remove_repeats(docs, carry=others, keep_layout=True)
+    return left.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("kept").cast("long")).select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark item."""
+    return _without(docs, find_contained(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs what is left into sequences of 2048 tokens."""
+    return pack_documents(docs)
+
 
-STAGES: list = []
+STAGES = [
+    ("language_id", identify),
+    ("ngram_join", drop_near_copies),
+    ("substring_dedup", strike_repeats),
+    ("decontamination", decontaminate),
+    ("packing", pack),
+]
+#: the last stage counts tokens of a byte-pair vocabulary, which SQL cannot
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order over the documents of ``sf_dir``."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES, 1):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES):
+            docs = checkpointed(docs)
+    return docs

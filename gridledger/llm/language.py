@@ -191,11 +191,13 @@ def identify_language(docs: DataFrame, model: Model | None = None, key: str = "d
             names, score = shared.value.predict(features(batch.column(0)))
             ok = batch.column(1).to_numpy(zero_copy_only=False)
             names = [n if k else UNKNOWN for n, k in zip(names, ok, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(names, pa.string()), pa.array(np.where(ok, score, 0.0)), batch.column(3)],
-                                             ["held_out", "lang_pred", "score", "carried"])
+            out = [batch.column(2), pa.array(names, pa.string()), pa.array(np.where(ok, score, 0.0)), batch.column(3)]
+            yield pa.RecordBatch.from_arrays(out + [batch.column(0)] * with_text, ["held_out", "lang_pred", "score", "carried"] + ["text"] * with_text)
 
+    carry = carry or [key]
+    with_text = text in carry
     rows = docs.select(F.col(text).cast("string").alias("text"), F.coalesce(F.col(text).cast("string").rlike(r"\p{L}"), F.lit(False)).alias("has_letter"),
-                       held_out(F.col(key)).alias("held_out"), F.struct(*[F.col(c) for c in carry or [key]]).alias("carried"))
+                       held_out(F.col(key)).alias("held_out"), F.struct(*[F.col(c) for c in carry if c != text] or [F.lit(0).alias("_")]).alias("carried"))
     kind = rows.schema["carried"].dataType.simpleString()
-    out = rows.mapInArrow(predict, f"held_out boolean, lang_pred string, score double, carried {kind}")
-    return out.select("carried.*", "held_out", "lang_pred", "score")
+    out = rows.mapInArrow(predict, f"held_out boolean, lang_pred string, score double, carried {kind}" + ", text string" * with_text)
+    return out.select(*[F.col("text").alias(c) if c == text else F.col(f"carried.`{c}`") for c in carry], "held_out", "lang_pred", "score")

@@ -121,3 +121,9 @@ def _language_id(spark, sf_dir):
 def _chat_format(spark, sf_dir):
     from .chat import format_conversations
     return format_conversations(table(spark, sf_dir, "conversations"))
+
+
+@query("op2_html_text")
+def _html_text(spark, sf_dir):
+    from .wrappers import extract_articles
+    return extract_articles(table(spark, sf_dir, "pages"))

@@ -204,7 +204,7 @@ def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", wind
             .groupBy("row_id", "row_hash").agg(F.collect_set(F.struct("start", "repeated")).alias("runs")))
 
 
-def _strike(window: int):
+def _strike(window: int, keep_layout: bool):
     def strike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             texts, marks = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -213,7 +213,7 @@ def _strike(window: int):
                 words = (t or "").encode().split()
                 total.append(len(words))
                 if not runs_:
-                    kept.append(b" ".join(words))
+                    kept.append((t or "").encode() if keep_layout else b" ".join(words))
                     gone.append(0)
                     continue
                 start = np.array([r["start"] for r in runs_], np.int64)
@@ -233,13 +233,15 @@ def _strike(window: int):
     return strike
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, carry: list[str] | None = None, **options) -> DataFrame:
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, carry: list[str] | None = None,
+                   keep_layout: bool = False, **options) -> DataFrame:
     """(kept, n_words, n_removed) beside the columns in ``carry`` (default: the key), for every row.
 
     Words are ``[^\\x20\\x09-\\x0D]+``, unchanged. A word goes if a repeated window covers it; ``kept`` are
     the others, joined by one space. Both places of a repeat lose it, in one document or in two; so do
     repeated rows. A null or empty text, and one of fewer words than ``window``, loses nothing. A null
     key stays null. An empty table gives no rows. ``carry`` names columns to keep, whatever they hold.
+    With ``keep_layout``, a text that loses nothing comes back with its own white space.
     """
     carry = carry or [key]
     found = repeated_runs(docs, key, text, window, **options)
@@ -247,5 +249,5 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
                        F.xxhash64(F.col(text).cast("string")).alias("row_hash"), F.col(text).cast("string").alias("text"), F.struct(*[F.col(c) for c in carry]).alias("carried"))
     both = rows.join(found, ["row_id", "row_hash"], "left").select("text", "runs", "carried")
     kind = both.schema["carried"].dataType.simpleString()
-    out = both.mapInArrow(_strike(window), f"kept string, n_words long, n_removed long, carried {kind}")
+    out = both.mapInArrow(_strike(window, keep_layout), f"kept string, n_words long, n_removed long, carried {kind}")
     return out.select("carried.*", "kept", "n_words", "n_removed")
