@@ -9,30 +9,18 @@ from .a1 import parse_a1
 
 _LITERAL = r'\G((?:[^"\']|\'(?:[^\']|\'\')*\')*)"(?:[^"]|"")*"'
 _QUOTED = r"'(?:[^']|'')*'"
-_CALL = r"(?<![A-Za-z0-9_.])([A-Za-z_][A-Za-z0-9_.]*)\("
+_CALL = r"(?<![\p{L}\p{N}_.])([\p{L}_][\p{L}\p{N}_.]*)\("
 _STORAGE_PREFIX = r"^(?:_XLFN\.|_XLWS\.)+"
-_SHEET = r"(?:'(?:[^']|'')+'|[A-Za-z0-9_.\[\]:]+)!"
+_SHEET = r"(?:'(?:[^']|'')+'|[\p{L}\p{N}_.\[\]:]+)!"
 _CELLS = r"\$?[A-Za-z]{1,3}\$?[0-9]{1,7}(?::\$?[A-Za-z]{1,3}\$?[0-9]{1,7})?"
 _WHOLE = r"\$?[A-Za-z]{1,3}:\$?[A-Za-z]{1,3}|\$?[0-9]{1,7}:\$?[0-9]{1,7}"
-_REFERENCE = rf"(?<![A-Za-z0-9_.$!'\]:])(?:{_SHEET})?(?:{_CELLS}|{_WHOLE})(?![A-Za-z0-9_.(!:])"
-_EXTERNAL = r"\[[^\]]+\][^!\[\]]*!|\[[^\]]+\][^']*'!|\\|://|\.(?:xl[a-z]{1,2}|csv)'?!"
+_REFERENCE = rf"(?<![\p{{L}}\p{{N}}_.$!'\]:])(?:{_SHEET})?(?:{_CELLS}|{_WHOLE})(?![\p{{L}}\p{{N}}_.(!:])"
+# a book stands in brackets at the head of a sheet qualifier; a column of a table follows the table's name
+_EXTERNAL = r"'[^']*\[[^\]']+\][^']*'!|(?<![\p{L}\p{N}_.\]\[])\[[^\[\]]+\][\p{L}\p{N}_.:]*!|\\|://|\.(?:xl[a-z]{1,2}|csv)'?!"
 _POINTER = rf"^\s*=?\s*[+\-@(\s]*{_SHEET}(?:{_CELLS}|{_WHOLE})#?[)\s]*$"
 _ADDRESS_ONLY = r"(?i)(?<![A-Z0-9_.])(?:ROWS?|COLUMNS?)\([^()]*\)"
 _NAVIGATION = r'(?i)^\s*=?\s*(?:(?:IFERROR|IFNA|IF)\s*\(\s*)*HYPERLINK\s*\('
-_TOKEN = r"(?<![A-Za-z0-9_.$!'\]:#])[A-Za-z_\\][A-Za-z0-9_.\\]*(?![A-Za-z0-9_.\\(!])"
-
-# Functions a workbook may call without remark.
-KNOWN_FUNCTIONS = (
-    "ABS ADDRESS AND AREAS AVERAGE AVERAGEIF AVERAGEIFS CEILING CHAR CHOOSE CLEAN CODE COLUMN COLUMNS CONCAT "
-    "CONCATENATE COUNT COUNTA COUNTBLANK COUNTIF COUNTIFS CUMIPMT CUMPRINC DATE DATEDIF DAY DAYS DAYS360 DB DDB "
-    "EDATE EFFECT EOMONTH EXACT EXP FACT FALSE FILTER FIND FLOOR FV GCD GETPIVOTDATA HLOOKUP HOUR HYPERLINK IF "
-    "IFERROR IFNA IFS INDEX INDIRECT INT IPMT IRR ISBLANK ISERROR ISNA ISNUMBER ISTEXT LARGE LCM LEFT LEN LET LN "
-    "LOG LOG10 LOOKUP LOWER MATCH MAX MAXIFS MEDIAN MID MIN MINIFS MINUTE MIRR MOD MODE MONTH NA NETWORKDAYS "
-    "NOMINAL NOT NOW NPER NPV OFFSET OR PERCENTILE PI PMT POWER PPMT PRICE PRODUCT PROPER PV QUOTIENT RAND "
-    "RANDBETWEEN RANK RATE REPLACE REPT RIGHT ROUND ROUNDDOWN ROUNDUP ROW ROWS SEARCH SECOND SEQUENCE SIGN SLN "
-    "SMALL SORT SQRT STDEV SUBSTITUTE SUBTOTAL SUM SUMIF SUMIFS SUMPRODUCT SWITCH SYD TEXT TEXTJOIN TIME TODAY "
-    "TRANSPOSE TRIM TRUE TRUNC UNIQUE UPPER VALUE VAR VDB VLOOKUP WEEKDAY WEEKNUM WORKDAY XIRR XLOOKUP XMATCH "
-    "XNPV XOR YEAR YIELD").split()
+_TOKEN = r"(?<![\p{L}\p{N}_.$!'\]:#])[\p{L}_\\][\p{L}\p{N}_.\\]*(?![\p{L}\p{N}_.\\(!])"
 
 
 def mask_strings(text: Column) -> Column:
@@ -75,6 +63,11 @@ def has_whole_ref(text: Column) -> Column:
     return F.contains(text, F.lit(":")) & F.exists(reference_texts(text), lambda r: F.coalesce(whole(r), F.lit(False)))
 
 
+def has_whole_form(text: Column) -> Column:
+    """A reference written as A:A or 1:1; a bounded range that happens to span the sheet is not one."""
+    return F.contains(text, F.lit(":")) & F.exists(reference_texts(text), lambda r: F.substring_index(r, "!", -1).rlike(rf"^(?:{_WHOLE})$"))
+
+
 def is_external(text: Column) -> Column:
     """Reads another workbook: [1]Sheet!A1, [Book.xlsx]Sheet!A1, or a path before '!'."""
     may = F.contains(text, F.lit("[")) | F.contains(text, F.lit("!"))
@@ -117,8 +110,9 @@ def paren_balance(text: Column) -> Column:
     return opened - closed
 
 
-def unknown_functions(text: Column, known: list[str] | None = None) -> Column:
-    return F.array_except(functions_called(text), F.array(*[F.lit(k) for k in known or KNOWN_FUNCTIONS]))
+def unknown_functions(text: Column, known: list[str]) -> Column:
+    """Functions called that are not in the caller's list (upper case)."""
+    return F.array_except(functions_called(text), F.array(*[F.lit(k) for k in known]))
 
 
 def without_address_calls(text: Column) -> Column:

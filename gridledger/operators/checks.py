@@ -48,8 +48,12 @@ def rect_ref() -> Column:
 # ---------------------------------------------------------------- verdicts
 
 
-def make_verdict(workbooks: DataFrame, found: DataFrame, check_no: int, cap: int = 25, undecided: DataFrame | None = None) -> DataFrame:
-    """One verdict per workbook: fail on any mistake, undecided where the check says so, else pass."""
+def make_verdict(workbooks: DataFrame, found: DataFrame, check_no: int, cap: int | None = None, undecided: DataFrame | None = None) -> DataFrame:
+    """One verdict per workbook: fail on any mistake, undecided where the check says so, else pass.
+
+    ``cap`` says how many mistakes a report lists; without it, all.
+    """
+    listed = F.col("n") if cap is None else F.least(F.col("n"), F.lit(cap))
     counted = found.groupBy("wb_id").agg(F.count(F.lit(1)).alias("n"))
     v = workbooks.select("wb_id").distinct().join(counted, "wb_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     if undecided is not None:
@@ -58,12 +62,12 @@ def make_verdict(workbooks: DataFrame, found: DataFrame, check_no: int, cap: int
         v = v.withColumn("open", F.lit(None).cast("boolean"))
     decision = F.when(F.col("n") > 0, "fail").when(F.col("open"), "undecided").otherwise("pass")
     return v.select("wb_id", F.lit(check_no).alias("check_no"), decision.alias("decision"), F.col("n").alias("n_mistakes"),
-                    F.least(F.col("n"), F.lit(cap)).alias("n_listed"), (F.col("n") > cap).alias("truncated"),
+                    listed.alias("n_listed"), (F.col("n") > listed).alias("truncated"),
                     F.when(decision == "undecided", "left to the judge").alias("llm_note"))
 
 
-def listed_mistakes(found: DataFrame, cap: int = 25) -> DataFrame:
-    """The first mistakes of each workbook by location; at most ``cap`` rows per key leave a task."""
+def listed_mistakes(found: DataFrame, cap: int | None = None) -> DataFrame:
+    """All mistakes, or the first ``cap`` of each workbook by location, ranked."""
     return first_n(found, ["wb_id"], ["sheet", "location", "description"], cap)
 
 
@@ -76,12 +80,10 @@ def broken_contracts(verdicts: DataFrame) -> DataFrame:
     return verdicts.filter(~F.coalesce(ok, F.lit(False)))
 
 
-def defaults_used(notes: DataFrame, n: int = 10) -> DataFrame:
-    """Rule defaults applied: count and first examples per kind (columns kind, example)."""
+def defaults_used(notes: DataFrame, n: int | None = None) -> DataFrame:
+    """Rule defaults applied (columns kind, example), each beside the count of its kind; with ``n``, the first of a kind."""
     count = notes.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
-    few = (first_n(notes, ["kind"], ["example"], n).groupBy("kind")
-           .agg(F.array_join(F.array_sort(F.collect_list("example")), "; ").alias("examples")))
-    return count.join(few, "kind")
+    return first_n(notes.select("kind", "example"), ["kind"], ["example"], n).join(count, "kind")
 
 
 class Registry:
@@ -121,16 +123,28 @@ def formula_errors(cells: DataFrame, gaps: DataFrame) -> tuple[DataFrame, DataFr
     return found, only_gaps
 
 
-def clean_names(names: DataFrame) -> DataFrame:
-    """Visible names that are broken or unused; use passes on through used names, hidden names are users."""
+def used_names(names: DataFrame, uses: DataFrame | None = None) -> DataFrame:
+    """(wb_id, name) of the names that a formula or a hidden name uses, directly or through other names.
+
+    ``uses`` (wb_id, text) are the formulas of cells, conditional formats and validations.
+    """
     tokens = names.select("wb_id", "name", F.explode(X.name_tokens(F.col("definition"))).alias("token"))
     target = names.select("wb_id", F.lower("name").alias("token"), F.col("name").alias("used"))
     key = lambda n: F.concat_ws("!", F.col("wb_id").cast("string"), n)
     edges = tokens.join(target, ["wb_id", "token"]).select(key(F.col("name")).alias("src"), key(F.col("used")).alias("dst"))
     users = names.filter("hidden").select(key(F.col("name")).alias("node"))
+    if uses is not None:
+        said = uses.select("wb_id", "text").distinct().select("wb_id", F.explode(X.name_tokens(F.col("text"))).alias("token")).distinct()
+        users = users.union(said.join(target, ["wb_id", "token"]).select(key(F.col("used")))).distinct()
     used = graph.reachable(users, edges)
-    judged = (names.filter(~F.col("hidden")).withColumn("node", key(F.col("name")))
-              .join(used.withColumn("is_used", F.lit(True)), "node", "left"))
+    return names.select("wb_id", "name", key(F.col("name")).alias("node")).join(used, "node", "left_semi").select("wb_id", "name").distinct()
+
+
+def clean_names(names: DataFrame, uses: DataFrame | None = None) -> DataFrame:
+    """Visible names that are broken, or used neither by a formula in ``uses`` nor by a hidden or used name."""
+    used = used_names(names, uses)
+    judged = (names.filter(~F.col("hidden"))
+              .join(used.withColumn("is_used", F.lit(True)), ["wb_id", "name"], "left"))
     broken = (F.trim("definition") == "") | F.contains(X.mask_strings(F.col("definition")), F.lit("#REF!"))
     bad = judged.withColumn("why", F.when(broken, "broken").when(F.col("is_used").isNull(), "unused")).filter("why is not null")
     return bad.select("wb_id", F.lit("Name Manager").alias("sheet"), F.concat(F.lit("Name Manager: "), "name").alias("location"),
@@ -467,8 +481,12 @@ def formula_sites(cells: DataFrame, names: DataFrame | None = None, rules: DataF
     return out
 
 
-def whole_column_sites(sites: DataFrame) -> DataFrame:
-    d = sites.filter(X.has_whole_ref(F.col("text")))
+def whole_column_sites(sites: DataFrame, used: DataFrame | None = None) -> DataFrame:
+    """Sites that write A:A or 1:1. With ``used`` (wb_id, name), names that nothing uses are not charged."""
+    d = sites.filter(X.has_whole_form(F.col("text")))
+    if used is not None:
+        named = used.select("wb_id", F.col("name").alias("ref"), F.lit("name").alias("site")).distinct()
+        d = d.filter("site <> 'name'").unionByName(d.filter("site = 'name'").join(named, ["wb_id", "ref", "site"], "left_semi").select(*d.columns))
     return mistakes(d, F.col("ref"), F.concat("site", F.lit(" reads a whole column or row")), "minor")
 
 

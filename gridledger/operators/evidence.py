@@ -108,8 +108,8 @@ def date_literal_formulas(formulas: DataFrame) -> DataFrame:
     return formulas.filter(F.contains("text", F.lit('"')) & F.col("text").rlike(_DATE_LITERAL))
 
 
-def rounding_claims(texts: DataFrame, formulas: DataFrame, shown: int = 6) -> DataFrame:
-    """Per sheet the typed statements that figures are rounded, beside the formulas and those that round."""
+def rounding_claims(texts: DataFrame, formulas: DataFrame, shown: int | None = None) -> DataFrame:
+    """Per sheet the typed statements that figures are rounded (all, or the first ``shown``), beside the formulas and those that round."""
     said = texts.filter(F.col("v_text").rlike(r"(?i)\bround(?:ed|s|ing)?\s+to\b")).select(*SHEET, "row_no", "col_no")
     counts = said.groupBy(*SHEET).agg(F.count(F.lit(1)).alias("statements"))
     ref = a1.to_a1(F.col("row_no"), F.col("col_no"))
@@ -139,8 +139,8 @@ def implicit_intersection(operands: DataFrame) -> DataFrame:
     return operands.filter(~meets)
 
 
-def dependents(flagged: DataFrame, operands: DataFrame, cap: int = 8) -> DataFrame:
-    """Formulas that read a flagged cell by a single-cell operand, the first ``cap`` listed beside the count."""
+def dependents(flagged: DataFrame, operands: DataFrame, cap: int | None = None) -> DataFrame:
+    """Formulas that read a flagged cell by a single-cell operand, all or the first ``cap``, beside the count."""
     single = operands.filter("r1 = r2 and c1 = c2").select("wb_id", F.col("ref_sheet").alias("sheet_idx"), F.col("r1").alias("row_no"), F.col("c1").alias("col_no"),
                                                           F.col("sheet_idx").alias("by_sheet"), F.col("row_no").alias("by_row"), F.col("col_no").alias("by_col"))
     hit = flagged.select(*SHEET, "row_no", "col_no").distinct().join(single, [*SHEET, "row_no", "col_no"])
@@ -225,10 +225,10 @@ def _task_kind(t: Column) -> Column:
                                    F.when(t.rlike(r"^[0-9]+\s*[.)]\s+"), "numbered"), F.when(t.rlike(r"^[-*]\s+"), "bullet")))
 
 
-def task_like_lines(texts: DataFrame, cap: int = 500) -> DataFrame:
+def task_like_lines(texts: DataFrame, cap: int | None = None) -> DataFrame:
     """Cells, and rows of several cells read as one line, that look like tasks; repeats of a column dropped.
 
-    The first ``cap`` lines of a sheet are listed beside the count of all.
+    All lines of a sheet, or the first ``cap``, are listed beside their count.
     """
     t = texts.withColumn("t", F.trim(F.regexp_replace("v_text", r"^\s+|\s+$", ""))).filter("t <> ''")
     alone = t.select(*SHEET, "row_no", "col_no", "t", F.lit(False).alias("joined"))
@@ -266,8 +266,8 @@ def _tokens(text: Column) -> Column:
     return F.concat(words, singular)
 
 
-def sheet_keywords(titles: DataFrame, headers: DataFrame, texts: DataFrame, top: int = 60) -> DataFrame:
-    """The heaviest words of each sheet: a title word weighs 3, a header word 2, a text word 1."""
+def sheet_keywords(titles: DataFrame, headers: DataFrame, texts: DataFrame, top: int | None = None) -> DataFrame:
+    """The words of each sheet by weight, all or the ``top`` heaviest: a title word weighs 3, a header word 2, a text word 1."""
     parts = None
     for df, column, weight in ((titles, "sheet", 3), (headers, "label", 2), (texts, "v_text", 1)):
         one = df.select(*SHEET, F.explode(_tokens(F.col(column))).alias("word"), F.lit(weight).alias("w"))

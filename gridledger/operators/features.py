@@ -29,7 +29,7 @@ def name_uses(texts: DataFrame, names: DataFrame, text: str, keep: list[str]) ->
             .select(*keep, "used_name", "used_scope"))
 
 
-def validate_formulas(formulas: DataFrame, known: list[str] | None = None) -> DataFrame:
+def validate_formulas(formulas: DataFrame, known: list[str]) -> DataFrame:
     """Each formula with its unknown functions and parenthesis balance, and whether it passes."""
     t = F.col("text")
     return (formulas.withColumn("unknown", F.array_sort(X.unknown_functions(t, known)))
@@ -37,7 +37,7 @@ def validate_formulas(formulas: DataFrame, known: list[str] | None = None) -> Da
             .withColumn("valid", (F.size("unknown") == 0) & (F.col("balance") == 0)))
 
 
-def batch_validate(formulas: DataFrame, known: list[str] | None = None) -> DataFrame:
+def batch_validate(formulas: DataFrame, known: list[str]) -> DataFrame:
     v = validate_formulas(formulas, known)
     return v.groupBy("wb_id").agg(F.count(F.lit(1)).alias("total"), F.count_if("valid").alias("valid"), F.count_if(~F.col("valid")).alias("invalid"))
 

@@ -184,16 +184,22 @@ def next_filled(cells: DataFrame) -> DataFrame:
 def shared_children(masters: DataFrame, children: DataFrame) -> DataFrame:
     """Children of a shared formula read the master's rectangle moved by their offset.
 
-    ``masters`` carries row_no, col_no, r1..c2 and row_abs/col_abs; absolute parts stay. A
-    rectangle pushed off the grid becomes null (#REF!).
+    ``masters`` carries row_no, col_no, r1..c2 and one flag for each corner and axis (r1_abs, c1_abs,
+    r2_abs, c2_abs); absolute parts stay, and corners that cross change places. A rectangle pushed
+    off the grid becomes null (#REF!).
     """
     m = masters.select(*SHEET, "si", F.col("row_no").alias("m_row"), F.col("col_no").alias("m_col"),
-                       "r1", "c1", "r2", "c2", "row_abs", "col_abs")
-    dr = F.when(F.col("row_abs"), 0).otherwise(F.col("row_no") - F.col("m_row"))
-    dc = F.when(F.col("col_abs"), 0).otherwise(F.col("col_no") - F.col("m_col"))
+                       "r1", "c1", "r2", "c2", "r1_abs", "c1_abs", "r2_abs", "c2_abs")
+
+    def moved_to(corner: str, own: str, master: str) -> Column:
+        return F.when(F.col(f"{corner}_abs"), F.col(corner)).otherwise(F.col(corner) + F.col(own) - F.col(master))
+
+    def between(axis: str, own: str, master: str) -> list[Column]:
+        a, b = moved_to(f"{axis}1", own, master), moved_to(f"{axis}2", own, master)
+        return [F.least(a, b).alias(f"{axis}1"), F.greatest(a, b).alias(f"{axis}2")]
+
     moved = (children.select(*SHEET, "si", "row_no", "col_no").join(m, [*SHEET, "si"])
-             .select(*SHEET, "row_no", "col_no", (F.col("r1") + dr).alias("r1"), (F.col("c1") + dc).alias("c1"),
-                     (F.col("r2") + dr).alias("r2"), (F.col("c2") + dc).alias("c2")))
+             .select(*SHEET, "row_no", "col_no", *between("r", "row_no", "m_row"), *between("c", "col_no", "m_col")))
     on_grid = (F.col("r1") >= 1) & (F.col("c1") >= 1) & (F.col("r2") <= 1_048_576) & (F.col("c2") <= 16_384)
     return moved.select(*SHEET, "row_no", "col_no", *[F.when(on_grid, F.col(c)).alias(c) for c in ("r1", "c1", "r2", "c2")],
                         (~on_grid).alias("off_grid"))

@@ -69,21 +69,21 @@ def pending_tasks(tasks: DataFrame, attempts: DataFrame, labels: list[str], vers
     return todo.join(attempted_tasks(attempts, version), ["agent_model_name", "task_id"], "left_anti")
 
 
-def search_cells(cells: DataFrame, text: str, mode: str = "substring", case: bool = False, limit: int = 200) -> DataFrame:
-    """The first matches in reading order."""
+def search_cells(cells: DataFrame, text: str, mode: str = "substring", case: bool = False, limit: int | None = None) -> DataFrame:
+    """All matches, or the first ``limit`` of each sheet in reading order."""
     v = F.col("v_text")
     if mode == "regex":
         hit = v.rlike(text if case else f"(?i){text}")
     else:
         hay, needle = (v, text) if case else (F.lower(v), text.lower())
         hit = hay == needle if mode == "equals" else F.contains(hay, F.lit(needle))
-    return cells.filter(hit).orderBy("wb_id", "sheet_idx", "row_no", "col_no").limit(limit)
+    return first_n(cells.filter(hit), ["wb_id", "sheet_idx"], ["row_no", "col_no"], limit)
 
 
-def cell_range(cells: DataFrame, r1: int, c1: int, r2: int, c2: int, cap: int = 5000) -> DataFrame:
-    """The cells of one rectangle on every sheet; a rectangle above the cap is refused, not cut."""
+def cell_range(cells: DataFrame, r1: int, c1: int, r2: int, c2: int, cap: int | None = None) -> DataFrame:
+    """The cells of one rectangle on every sheet. With ``cap``, a larger rectangle is refused, not cut."""
     area = (r2 - r1 + 1) * (c2 - c1 + 1)
-    if area > cap:
+    if cap is not None and area > cap:
         raise ValueError(f"{area} cells asked for, {cap} allowed")
     return cells.filter(F.col("row_no").between(r1, r2) & F.col("col_no").between(c1, c2)).withColumn(
         "cell", a1.to_a1(F.col("row_no"), F.col("col_no")))
@@ -120,10 +120,10 @@ def graded_sheet_name(sheet: Column) -> Column:
             .otherwise(F.concat(F.lit("_nograde_"), sheet)))
 
 
-def cap_list(df: DataFrame, keys: list[str], order: list[str], n: int = 25) -> DataFrame:
-    """The first ``n`` rows per key beside the count of all and a truncated flag."""
+def cap_list(df: DataFrame, keys: list[str], order: list[str], n: int | None = None) -> DataFrame:
+    """All rows, or the first ``n`` per key with their rank, beside the count of all and a truncated flag."""
     totals = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"))
-    return first_n(df, keys, order, n).join(totals, keys).withColumn("truncated", F.col("total") > n)
+    return first_n(df, keys, order, n).join(totals, keys).withColumn("truncated", F.lit(False) if n is None else F.col("total") > n)
 
 
 def task_by_name(wanted: DataFrame, tasks: DataFrame) -> DataFrame:

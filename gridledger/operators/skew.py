@@ -25,12 +25,14 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*kept, F.inline(F.array(row)))
 
 
-def first_n(df: DataFrame, keys: list[str], order: list, n: int, rank: str = "rank_no") -> DataFrame:
-    """The first ``n`` rows of each key.
+def first_n(df: DataFrame, keys: list[str], order: list, n: int | None, rank: str = "rank_no") -> DataFrame:
+    """The first ``n`` rows of each key with their rank; without ``n``, all rows as they are.
 
     The filter on ``row_number`` lets Spark keep at most ``n`` rows per key and input
     partition before the shuffle, so a hot key never reaches one task whole.
     """
+    if n is None:
+        return df
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= n)
 

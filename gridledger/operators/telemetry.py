@@ -30,26 +30,29 @@ def cumulative_totals(transcript: DataFrame, usage: list[str]) -> DataFrame:
     return last.select("attempt_id", "n_turns", *[F.col(f"t.{u}").alias(u) for u in usage])
 
 
-def candidate_slugs(model: Column) -> Column:
-    """The names a model may be listed under, best first: as written, without the relay prefix, dotted version, with vendor."""
-    bare = F.regexp_replace(model, "^tensorblock/", "")
+def candidate_slugs(model: Column, prefixes: list[str], vendors: list[tuple[str, str]]) -> Column:
+    """The names a model may be listed under, best first: as written, without a relay's prefix, dotted version, with vendor.
+
+    ``vendors`` are (pattern of a bare name, vendor) pairs, the first that fits names the vendor.
+    """
+    bare = F.regexp_replace(model, "^(?:" + "|".join(prefixes) + ")", "") if prefixes else model
     dotted = F.regexp_replace(bare, r"-([0-9]+)-([0-9]+)$", "-$1.$2")
 
     def vendor(name: Column) -> Column:
-        return (F.when(F.contains(name, F.lit("/")), F.lit(None)).when(name.rlike("^claude"), F.concat(F.lit("anthropic/"), name))
-                .when(name.rlike("^(gpt|o1|o3|o4|chatgpt)"), F.concat(F.lit("openai/"), name))
-                .when(name.rlike("^grok"), F.concat(F.lit("x-ai/"), name))
-                .when(name.rlike("(?i)^kimi"), F.concat(F.lit("moonshotai/"), F.lower(name))))
+        out = F.when(F.contains(name, F.lit("/")), F.lit(None).cast("string"))
+        for pattern, owner in vendors:
+            out = out.when(name.rlike(pattern), F.concat(F.lit(f"{owner}/"), F.lower(name)))
+        return out
 
     return F.array_distinct(F.array_compact(F.array(model, bare, dotted, vendor(bare), vendor(dotted))))
 
 
-def resolve_price(calls: DataFrame, sources: list[DataFrame]) -> DataFrame:
+def resolve_price(calls: DataFrame, sources: list[DataFrame], prefixes: list[str] | None = None, vendors: list[tuple[str, str]] | None = None) -> DataFrame:
     """Each distinct model with the price of the first source, and there the first name, that lists it.
 
     Work is done on distinct models; sources hold (model, input_price, output_price).
     """
-    names = calls.select("model").distinct().select("model", F.posexplode(candidate_slugs(F.col("model"))).alias("pos", "slug"))
+    names = calls.select("model").distinct().select("model", F.posexplode(candidate_slugs(F.col("model"), prefixes or [], vendors or [])).alias("pos", "slug"))
     found = None
     for rank, source in enumerate(sources):
         hit = names.join(source.withColumnRenamed("model", "slug"), "slug").select(

@@ -60,14 +60,15 @@ def _(v):
 
 # ---- 29
 C29 = """WITH RECURSIVE e AS (SELECT a.wb_id, a.name AS src, b.name AS dst FROM names a JOIN names b ON b.wb_id = a.wb_id AND b.name = a.definition),
-reach AS (SELECT wb_id, name FROM names WHERE hidden UNION SELECT e.wb_id, e.dst FROM reach r JOIN e ON e.wb_id = r.wb_id AND e.src = r.name)
+reach AS (SELECT wb_id, name FROM names WHERE hidden OR length(definition) % 3 = 0 UNION SELECT e.wb_id, e.dst FROM reach r JOIN e ON e.wb_id = r.wb_id AND e.src = r.name)
 SELECT wb_id, 'Name Manager' AS sheet, 'Name Manager: ' || name AS location, CASE WHEN definition LIKE '%#REF!%' THEN 'broken' ELSE 'unused' END AS description, 'major' AS severity
 FROM names n WHERE NOT hidden AND (definition LIKE '%#REF!%' OR NOT EXISTS (SELECT 1 FROM reach r WHERE r.wb_id = n.wb_id AND r.name = n.name))"""
 
 
 @query("c29_clean_names", "names", C29)
 def _(v):
-    return C.clean_names(v.names)
+    uses = v.names.filter("length(definition) % 3 = 0").select("wb_id", F.concat(F.lit("1+SUM("), F.upper("name"), F.lit(")")).alias("text"))
+    return C.clean_names(v.names, uses)
 
 
 # ---- 47: legends differ by workbook: definition, work in progress, denial
@@ -444,7 +445,7 @@ REGISTRY.add(94, lambda v: C.make_verdict(v.sheets, c94(v), 94))
 
 def verdict_sql(number, found, open_sql=None):
     und = f"WHEN wb_id IN ({open_sql}) THEN 'undecided'" if open_sql else ""
-    return f"""SELECT wb_id, {number} AS check_no, CASE WHEN n > 0 THEN 'fail' {und} ELSE 'pass' END AS decision, n AS n_mistakes, LEAST(n, 25) AS n_listed, n > 25 AS truncated,
+    return f"""SELECT wb_id, {number} AS check_no, CASE WHEN n > 0 THEN 'fail' {und} ELSE 'pass' END AS decision, n AS n_mistakes, n AS n_listed, FALSE AS truncated,
  CASE WHEN n > 0 THEN NULL {und.replace("'undecided'", "'left to the judge'")} END AS llm_note
  FROM (SELECT b.wb_id, COUNT(m.wb_id) AS n FROM (SELECT DISTINCT wb_id FROM sheets) b LEFT JOIN ({found}) m ON m.wb_id = b.wb_id GROUP BY b.wb_id) q"""
 
@@ -468,8 +469,7 @@ def _(v):
     return REGISTRY.run(v, [22])
 
 
-@query("cr2_listed_mistakes", "grid formulas", f"""SELECT wb_id, sheet, location, description, severity, rank_no FROM (
- SELECT *, ROW_NUMBER() OVER (PARTITION BY wb_id ORDER BY sheet, location, description) AS rank_no FROM ({C22}) m) q WHERE rank_no <= 25""")
+@query("cr2_listed_mistakes", "grid formulas", f"SELECT wb_id, sheet, location, description, severity FROM ({C22}) m")
 def _(v):
     return C.listed_mistakes(c22(v)[0])
 
@@ -477,8 +477,7 @@ def _(v):
 @query("cr3_defaults_used", "grid formats", """
 WITH n AS (SELECT CASE WHEN fmt_code = 'yyyy-mm-dd' THEN 'date_not_judged' WHEN fmt_code = 'General' THEN 'general_format' END AS kind,
   'S' || CAST(sheet_idx AS VARCHAR(9)) || '!' || chr(CAST(64 + col_no AS INT)) || CAST(row_no AS VARCHAR(9)) || '@' || CAST(wb_id AS VARCHAR(9)) AS example FROM grid JOIN formats USING (style_id))
-SELECT kind, n, examples FROM (SELECT kind, COUNT(*) AS n FROM n WHERE kind IS NOT NULL GROUP BY kind) a JOIN
- (SELECT kind, string_agg(example, '; ' ORDER BY example) AS examples FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY kind ORDER BY example) AS k FROM n WHERE kind IS NOT NULL) q WHERE k <= 10 GROUP BY kind) b USING (kind)""")
+SELECT kind, example, COUNT(*) OVER (PARTITION BY kind) AS n FROM n WHERE kind IS NOT NULL""")
 def _(v):
     c = F.col("fmt_code")
     kind = F.when(N.is_date(c), "date_not_judged").when(N.is_general(c), "general_format")

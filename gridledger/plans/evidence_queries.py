@@ -103,7 +103,7 @@ def _(v):
 
 @query("p8_rounding_claims", "text_cells formulas", """
 WITH s AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY wb_id, sheet_idx ORDER BY row_no, col_no) AS k FROM text_cells WHERE regexp_matches(v_text, '(?i)\\bround(ed|s|ing)?\\s+to\\b')),
-c AS (SELECT wb_id, sheet_idx, COUNT(*) AS statements, string_agg(CASE WHEN k <= 6 THEN chr(CAST(64 + col_no AS INT)) || CAST(row_no AS VARCHAR) END, ';' ORDER BY row_no, col_no) AS examples FROM s GROUP BY 1, 2),
+c AS (SELECT wb_id, sheet_idx, COUNT(*) AS statements, string_agg(chr(CAST(64 + col_no AS INT)) || CAST(row_no AS VARCHAR), ';' ORDER BY row_no, col_no) AS examples FROM s GROUP BY 1, 2),
 f AS (SELECT wb_id, sheet_idx, COUNT(*) AS n_formulas, COUNT(CASE WHEN text LIKE '%ROUND(%' THEN 1 END) AS n_round FROM formulas GROUP BY 1, 2)
 SELECT * FROM c JOIN f USING (wb_id, sheet_idx)""")
 def _(v):
@@ -175,8 +175,7 @@ def _(v):
 @query("p17_dependents", "refs", """
 WITH f AS (SELECT DISTINCT wb_id, sheet_idx, row_no, col_no FROM refs WHERE r2 > r1 AND NOT row_no BETWEEN r1 AND r2),
 h AS (SELECT f.*, x.sheet_idx AS by_sheet, x.row_no AS by_row, x.col_no AS by_col FROM f JOIN refs x ON x.wb_id = f.wb_id AND x.ref_sheet = f.sheet_idx AND x.r1 = f.row_no AND x.r2 = f.row_no AND x.c1 = f.col_no AND x.c2 = f.col_no)
-SELECT wb_id, sheet_idx, row_no, col_no, by_sheet, by_row, by_col, rank_no, total, total > 8 AS truncated FROM (SELECT *, ROW_NUMBER() OVER w AS rank_no, COUNT(*) OVER (PARTITION BY wb_id, sheet_idx, row_no, col_no) AS total
- FROM h WINDOW w AS (PARTITION BY wb_id, sheet_idx, row_no, col_no ORDER BY by_sheet, by_row, by_col)) q WHERE rank_no <= 8""")
+SELECT wb_id, sheet_idx, row_no, col_no, by_sheet, by_row, by_col, COUNT(*) OVER (PARTITION BY wb_id, sheet_idx, row_no, col_no) AS total, FALSE AS truncated FROM h""")
 def _(v):
     return P.dependents(P.implicit_intersection(v.refs), v.refs)
 
@@ -198,12 +197,12 @@ LINES = "lt AS (SELECT wb_id, sheet_idx, row_no, col_no, CASE WHEN v_text LIKE '
 
 
 @query("p19_task_like_lines", "text_cells", f"""WITH {LINES}, {TASKS}
-SELECT wb_id, sheet_idx, row_no, col_no, kind, joined, t, rank_no, total, total > 20 AS truncated FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY wb_id, sheet_idx ORDER BY row_no, col_no, kind, joined, t) AS rank_no, COUNT(*) OVER (PARTITION BY wb_id, sheet_idx) AS total FROM u) q WHERE rank_no <= 20""")
+SELECT wb_id, sheet_idx, row_no, col_no, kind, joined, t, COUNT(*) OVER (PARTITION BY wb_id, sheet_idx) AS total, FALSE AS truncated FROM u""")
 def _(v):
     t = F.col("v_text")
     text = (F.when(F.startswith(t, F.lit("TBD")), F.concat(F.lit("Task: "), t)).when(F.startswith(t, F.lit("What")), F.concat(F.lit("Q"), F.col("row_no").cast("string"), F.lit(" "), t))
             .when(t == "END", " 3) finish").when(F.startswith(t, F.lit("rounded")), F.concat(F.lit("* "), t)).otherwise(t))
-    return P.task_like_lines(v.text_cells.withColumn("v_text", text), 20)
+    return P.task_like_lines(v.text_cells.withColumn("v_text", text))
 
 
 # one more sheet with a long name in every workbook, mentioned by some texts
@@ -225,7 +224,7 @@ def _(v):
 src AS (SELECT wb_id, sheet_idx, sheet AS t, 3 AS w FROM sh UNION ALL SELECT wb_id, sheet_idx, v_text, 2 FROM text_cells WHERE col_no = 2 UNION ALL SELECT wb_id, sheet_idx, v_text, 1 FROM text_cells),
 tk AS (SELECT wb_id, sheet_idx, w, UNNEST(regexp_split_to_array(lower(t), '[^a-z0-9]+')) AS word FROM src), al AS (SELECT * FROM tk WHERE length(word) >= 2 UNION ALL SELECT wb_id, sheet_idx, w, left(word, length(word) - 1) FROM tk WHERE length(word) > 3 AND word LIKE '%s'),
 sm AS (SELECT wb_id, sheet_idx, word, SUM(w) AS weight FROM al GROUP BY 1, 2, 3)
-SELECT wb_id, sheet_idx, word, CAST(weight AS BIGINT) AS weight, rank_no FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY wb_id, sheet_idx ORDER BY weight DESC, word) AS rank_no FROM sm) q WHERE rank_no <= 60""")
+SELECT wb_id, sheet_idx, word, CAST(weight AS BIGINT) AS weight FROM sm""")
 def _(v):
     headers = v.text_cells.filter("col_no = 2").withColumnRenamed("v_text", "label")
     return P.sheet_keywords(corpus_sheets(v), headers, v.text_cells)

@@ -132,9 +132,10 @@ def _(v):
 
 @query("e11_shared_children", "refs", """
 WITH m AS (SELECT * FROM (SELECT refs.*, ROW_NUMBER() OVER (PARTITION BY wb_id, sheet_idx, col_no ORDER BY row_no DESC) AS k FROM refs) q WHERE k = 1),
-x AS (SELECT c.wb_id, c.sheet_idx, c.row_no, c.col_no, m.r1 + d AS r1, m.c1, m.r2 + d AS r2, m.c2
- FROM (SELECT c.*, CASE WHEN m.ref_sheet % 2 = 0 THEN 0 ELSE c.row_no - m.row_no END AS d FROM refs c JOIN m ON m.wb_id = c.wb_id AND m.sheet_idx = c.sheet_idx AND m.col_no = c.col_no) c
- JOIN m ON m.wb_id = c.wb_id AND m.sheet_idx = c.sheet_idx AND m.col_no = c.col_no)
+y AS (SELECT c.wb_id, c.sheet_idx, c.row_no, c.col_no, m.c1, m.c2, m.r1 + CASE WHEN m.ref_sheet % 2 = 0 THEN 0 ELSE c.row_no - m.row_no END AS a,
+  m.r2 + CASE WHEN m.ref_sheet % 3 = 0 THEN 0 ELSE c.row_no - m.row_no END AS b
+ FROM refs c JOIN m ON m.wb_id = c.wb_id AND m.sheet_idx = c.sheet_idx AND m.col_no = c.col_no),
+x AS (SELECT wb_id, sheet_idx, row_no, col_no, LEAST(a, b) AS r1, c1, GREATEST(a, b) AS r2, c2 FROM y)
 SELECT wb_id, sheet_idx, row_no, col_no, CASE WHEN r1 >= 1 THEN r1 END AS r1, CASE WHEN r1 >= 1 THEN c1 END AS c1,
   CASE WHEN r1 >= 1 THEN r2 END AS r2, CASE WHEN r1 >= 1 THEN c2 END AS c2, r1 < 1 AS off_grid FROM x""")
 def _(v):
@@ -142,7 +143,8 @@ def _(v):
     everything = F.struct(*[c for c in cells.columns if c not in ("wb_id", "sheet_idx", "si")])
     masters = (cells.groupBy("wb_id", "sheet_idx", "si").agg(F.max_by(everything, "row_no").alias("m"))
                .select("wb_id", "sheet_idx", "si", "m.*")
-               .withColumn("row_abs", F.col("ref_sheet") % 2 == 0).withColumn("col_abs", F.lit(False)))
+               .withColumn("r1_abs", F.col("ref_sheet") % 2 == 0).withColumn("r2_abs", F.col("ref_sheet") % 3 == 0)
+               .withColumn("c1_abs", F.lit(False)).withColumn("c2_abs", F.lit(True)))
     return G.shared_children(masters, cells)
 
 

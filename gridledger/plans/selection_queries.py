@@ -59,15 +59,13 @@ def _(v):
 
 
 @query("f8_search_cells", "text_cells", """
-SELECT wb_id, sheet_idx, row_no, col_no, v_text FROM text_cells WHERE lower(v_text) LIKE '%cost of%'
-ORDER BY wb_id, sheet_idx, row_no, col_no LIMIT 200""")
+SELECT wb_id, sheet_idx, row_no, col_no, v_text FROM text_cells WHERE lower(v_text) LIKE '%cost of%'""")
 def _(v):
     return L.search_cells(v.text_cells, "Cost of").select("wb_id", "sheet_idx", "row_no", "col_no", "v_text")
 
 
 @query("f8_search_regex", "text_cells", r"""
-SELECT wb_id, sheet_idx, row_no, col_no FROM text_cells WHERE regexp_matches(v_text, '(?i)^tbd [a-z]+ (ring|widget)')
-ORDER BY wb_id, sheet_idx, row_no, col_no LIMIT 200""")
+SELECT wb_id, sheet_idx, row_no, col_no FROM text_cells WHERE regexp_matches(v_text, '(?i)^tbd [a-z]+ (ring|widget)')""")
 def _(v):
     return L.search_cells(v.text_cells, "^tbd [a-z]+ (ring|widget)", "regex").select("wb_id", "sheet_idx", "row_no", "col_no")
 
@@ -114,7 +112,7 @@ SELECT wb_id, sheet_idx, row_no, col_no, rank_no, total, total > 25 AS truncated
   FROM grid WHERE v_err IS NOT NULL) q WHERE rank_no <= 25""")
 def _(v):
     errs = v.grid.filter("v_err is not null").select("wb_id", "sheet_idx", "row_no", "col_no")
-    return L.cap_list(errs, ["wb_id"], ["sheet_idx", "row_no", "col_no"])
+    return L.cap_list(errs, ["wb_id"], ["sheet_idx", "row_no", "col_no"], 25)
 
 
 TASK_NAMES = """named AS (SELECT task_id, CASE WHEN task_id % 2 = 0 THEN replace(task_name, '#', ' ') ELSE task_name END AS task_name FROM tasks),

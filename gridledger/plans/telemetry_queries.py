@@ -34,19 +34,19 @@ def _(v):
 
 # models of the relay, of vendors, and unlisted ones; three price lists
 @query("t3_resolve_price", "calls prices", """
-WITH m AS (SELECT DISTINCT CASE model WHEN '0' THEN 'tensorblock/claude-m-4-8' WHEN '1' THEN 'gpt-m1' WHEN '2' THEN 'Kimi-M2' WHEN '3' THEN 'own-m3' ELSE 'unlisted' END AS model FROM calls)
-SELECT model, CASE model WHEN 'tensorblock/claude-m-4-8' THEN 1 WHEN 'gpt-m1' THEN 0 WHEN 'Kimi-M2' THEN 2 END AS source,
- CASE model WHEN 'tensorblock/claude-m-4-8' THEN 'anthropic/claude-m-4.8' WHEN 'gpt-m1' THEN 'gpt-m1' WHEN 'Kimi-M2' THEN 'moonshotai/kimi-m2' END AS listed_as,
- CASE model WHEN 'tensorblock/claude-m-4-8' THEN 5.0 WHEN 'gpt-m1' THEN 3.0 WHEN 'Kimi-M2' THEN 1.0 END AS input_price,
- CASE model WHEN 'tensorblock/claude-m-4-8' THEN 30.0 WHEN 'gpt-m1' THEN 15.0 WHEN 'Kimi-M2' THEN 5.0 END AS output_price FROM m""")
+WITH m AS (SELECT DISTINCT CASE model WHEN '0' THEN 'relay/alpha-m-4-8' WHEN '1' THEN 'beta-m1' WHEN '2' THEN 'Gamma-M2' WHEN '3' THEN 'own-m3' ELSE 'unlisted' END AS model FROM calls)
+SELECT model, CASE model WHEN 'relay/alpha-m-4-8' THEN 1 WHEN 'beta-m1' THEN 0 WHEN 'Gamma-M2' THEN 2 END AS source,
+ CASE model WHEN 'relay/alpha-m-4-8' THEN 'north/alpha-m-4.8' WHEN 'beta-m1' THEN 'beta-m1' WHEN 'Gamma-M2' THEN 'south/gamma-m2' END AS listed_as,
+ CASE model WHEN 'relay/alpha-m-4-8' THEN 5.0 WHEN 'beta-m1' THEN 3.0 WHEN 'Gamma-M2' THEN 1.0 END AS input_price,
+ CASE model WHEN 'relay/alpha-m-4-8' THEN 30.0 WHEN 'beta-m1' THEN 15.0 WHEN 'Gamma-M2' THEN 5.0 END AS output_price FROM m""")
 def _(v):
     name = F.col("model")
-    calls = v.calls.select(F.when(name == "0", "tensorblock/claude-m-4-8").when(name == "1", "gpt-m1").when(name == "2", "Kimi-M2").when(name == "3", "own-m3").otherwise("unlisted").alias("model"))
+    calls = v.calls.select(F.when(name == "0", "relay/alpha-m-4-8").when(name == "1", "beta-m1").when(name == "2", "Gamma-M2").when(name == "3", "own-m3").otherwise("unlisted").alias("model"))
     listed = lambda key, slug: v.prices.filter(F.col("model") == key).select(F.lit(slug).alias("model"), "input_price", "output_price")
-    direct = listed("1", "gpt-m1")
-    live = listed("0", "anthropic/claude-m-4.8").unionByName(listed("2", "openai/gpt-m1"))
-    static = listed("2", "moonshotai/kimi-m2").unionByName(listed("2", "anthropic/claude-m-4.8"))
-    return T.resolve_price(calls, [direct, live, static])
+    direct = listed("1", "beta-m1")
+    live = listed("0", "north/alpha-m-4.8").unionByName(listed("2", "east/beta-m1"))
+    static = listed("2", "south/gamma-m2").unionByName(listed("2", "north/alpha-m-4.8"))
+    return T.resolve_price(calls, [direct, live, static], ["relay/"], [("^alpha", "north"), ("^beta", "east"), ("(?i)^gamma", "south")])
 
 
 @query("t4_call_cost", "calls prices", """

@@ -1,4 +1,4 @@
-"""Session helpers: configuration, the shared checkpoint folder, size-checked small sides."""
+"""Session helpers: configuration and the shared checkpoint folder."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def build_session(app: str = "gridledger", cores: str = "*", **conf: str) -> SparkSession:
@@ -62,18 +61,3 @@ def checkpointed(df: DataFrame) -> DataFrame:
     path = fresh_folder(df.sparkSession, "round")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def small_rows(df: DataFrame, limit: int, what: str) -> list:
-    """Rows of a configuration table, refused when there are more than ``limit``."""
-    rows = df.limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"{what} has more than {limit} rows; it is not configuration data")
-    return rows
-
-
-def broadcast_if_small(df: DataFrame, limit: int = 200_000) -> DataFrame:
-    """Hint a broadcast only after counting at most ``limit`` + 1 rows; else join by shuffle."""
-    if df.limit(limit + 1).count() > limit:
-        return df
-    return F.broadcast(df)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import re
 import zipfile
@@ -14,7 +15,6 @@ from pyspark.sql import functions as F
 from ..functions import a1
 
 PARTS = "wb_id STRING, part STRING, piece STRING, piece_no INT, first_item INT, xml STRING"
-_CLOSE = {"row": re.compile(r"</(?:\w+:)?row\s*>"), "si": re.compile(r"</(?:\w+:)?si\s*>")}
 _ITEM_END = {"row": re.compile(r"</(?:\w+:)?row\s*>|<(?:\w+:)?row\b[^>]*/>"), "si": re.compile(r"</(?:\w+:)?si\s*>|<(?:\w+:)?si\s*/>")}
 
 
@@ -50,7 +50,7 @@ def _unzip(size: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
-                wb = path.rsplit("/", 1)[-1]
+                wb = f"{path}#{hashlib.sha256(content).hexdigest()[:16]}"
                 try:
                     archive = zipfile.ZipFile(io.BytesIO(content))
                 except zipfile.BadZipFile:
@@ -68,12 +68,12 @@ def _unzip(size: int):
 
 
 def workbook_parts(spark: SparkSession, path: str, piece_chars: int = 1 << 20) -> DataFrame:
-    """Every XML member of every workbook below ``path``.
+    """Every XML member of every workbook below ``path``; ``wb_id`` is the path and a digest of the content.
 
     Sheets and shared strings come in pieces of about a megabyte cut between rows, so one
     huge sheet becomes many rows that later stages read in parallel. Only unzipping is Python.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.xls[xm]").load(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[xX][lL][sS][xXmM]").load(path)
     return files.select("path", "content").mapInPandas(_unzip(piece_chars), PARTS)
 
 
