@@ -57,8 +57,8 @@ def token_pieces(docs: DataFrame, spec: str, capacity: int, key: str = "doc_id",
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = tokens.encoder(shared.value)
-        for batch in slices(batches, "text"):
-            ids, begin = enc.encode_many(batch.column(1).to_pylist())
+        for batch in slices(batches, "text", 8 << 20):
+            ids, begin = enc.encode_many(batch.column(1))
             raw, total = memoryview(ids.astype("<u4")).cast("B"), np.diff(begin)
             n = -(-total // capacity)
             row = np.repeat(np.arange(len(total)), n)

@@ -153,8 +153,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
             keys.clear(), parts.clear(), counts.clear()
             return pa.RecordBatch.from_arrays([pa.array([body], pa.binary())], ["body"])
 
-        for batch in slices(batches, "text"):
-            ids, begin = enc.encode_many(batch.column(1).to_pylist())
+        for batch in slices(batches, "text", 8 << 20):
+            ids, begin = enc.encode_many(batch.column(1))
             keys.append(batch.column(0).to_numpy(zero_copy_only=False))
             parts.append(ids.astype(f"u{width}"))
             counts.append(np.diff(begin))

@@ -11,13 +11,15 @@ from __future__ import annotations
 
 import hashlib
 import os
-import re
+import string
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 END = 1
 _CACHE_WORDS = 1_000_000
-_MARKS = ".,!?;:"
+_MARKS = string.punctuation
 _LOADED: dict[str, Encoder] = {}
 
 
@@ -30,13 +32,6 @@ def tokenizer_json(path: str | None = None) -> str:
         return f.read()
 
 
-def _words(text: str) -> list[str]:
-    """Split at white space; the four separators that Python counts as space stay in their words."""
-    if any(c in text for c in "\x1c\x1d\x1e\x1f"):
-        return [w for w in re.split(r"[ \t\n\r\x0b\x0c]+", text) if w]
-    return text.split()
-
-
 class Encoder:
     """Encodes texts to uint32 ids. One per worker process and tokenizer."""
 
@@ -67,7 +62,6 @@ class Encoder:
 
     def _reset(self) -> None:
         self.words: dict[str, int] = {}
-        self.cores: dict[str, int] = {}
         self.ids = np.empty(1 << 16, np.uint32)
         self.begin = np.zeros(1 << 14, np.int64)
         self.n = 0
@@ -84,7 +78,7 @@ class Encoder:
         self.n += len(counts)
         return first
 
-    def _learn_cores(self, cores: list[str]) -> None:
+    def _learn_plain(self, cores: list[str]) -> None:
         """Many words in one call; each is one unit of letters, so it ends at its first word-end id."""
         for a in range(0, len(cores), 512):
             part = cores[a:a + 512]
@@ -94,60 +88,59 @@ class Encoder:
                 each = [self._library(w) for w in part]
                 ids, cuts = np.array(sum(each, []), np.uint32), np.cumsum([len(x) for x in each])
             k = self._add(ids, np.diff(cuts, prepend=0))
-            self.cores.update(zip(part, range(k, k + len(part)), strict=True))
+            self.words.update(zip(part, range(k, k + len(part)), strict=True))
 
     def _learn(self, words: list[str]) -> None:
-        plain, tails, rest = [], [], []
+        known = self.words
+        whole, cores, tails, rest = [], [], [], []
         for w in words:
             core = w.rstrip(_MARKS)
             if core.isalpha() and (core.isascii() or max(core) < "İ"):
-                plain.append((w, core.lower(), w[len(core):]))
+                whole.append(w)
+                cores.append(core.lower())
+                tails.append(w[len(core):])
             else:
                 rest.append(w)
-        known = self.cores
-        self._learn_cores([c for c in dict.fromkeys(c for _, c, _ in plain) if c not in known])
-        for t in dict.fromkeys(t for _, _, t in plain if t and t not in known):
-            ids = self._library(t)
-            known[t] = self._add(ids, [len(ids)])
-        for w, c, t in plain:
-            if t:
-                tails.append((w, known[c], known[t]))
-            else:
-                self.words[w] = known[c]
-        if tails:
-            ids, counts = self._gather(np.array([x[1:] for x in tails]).ravel())
-            k = self._add(ids, counts.reshape(-1, 2).sum(axis=1))
-            self.words.update(zip((x[0] for x in tails), range(k, k + len(tails)), strict=True))
-        for w in rest:
+        self._learn_plain([c for c in dict.fromkeys(cores) if c not in known])
+        for w in (*(t for t in dict.fromkeys(tails) if t and t not in known), *(w for w in rest if w not in known)):
             ids = self._library(w)
-            self.words[w] = self._add(ids, [len(ids)])
+            known[w] = self._add(ids, [len(ids)])
+        if "" not in known:
+            known[""] = self._add([], [0])
+        pairs = np.array([list(map(known.__getitem__, cores)), list(map(known.__getitem__, tails))], np.int64)
+        new = np.array([w not in known for w in whole], bool)
+        if new.any():
+            ids, counts = self._gather(pairs[:, new].T.ravel())
+            k = self._add(ids, counts.reshape(-1, 2).sum(axis=1))
+            known.update(zip((w for w, n in zip(whole, new.tolist(), strict=True) if n), range(k, k + int(new.sum())), strict=True))
 
     def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         counts = self.begin[at + 1] - self.begin[at]
         to = np.concatenate(([0], np.cumsum(counts)))
         return self.ids[np.arange(to[-1]) + np.repeat(self.begin[at] - to[:-1], counts)], counts
 
-    def encode_many(self, texts: list[str | None], end: int | None = END) -> tuple[np.ndarray, np.ndarray]:
+    def encode_many(self, texts: pa.Array | list[str | None], end: int | None = END) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by the end id, and where each begins (one more than texts).
 
         Null is the empty text.
         """
         tail = [] if end is None else [end]
+        column = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())).fill_null("")
         if not self.by_word:
-            each = [self._library(t or "") + tail for t in texts]
+            each = [self._library(t) + tail for t in column.to_pylist()]
             return np.array(sum(each, []), np.uint32), np.concatenate(([0], np.cumsum([len(x) for x in each]))).astype(np.int64)
         if len(self.words) > _CACHE_WORDS:
             self._reset()
-        parts = [_words(t or "") for t in texts]
-        flat = [w for p in parts for w in p]
-        at = list(map(self.words.get, flat))
-        new = [w for w, k in zip(flat, at, strict=True) if k is None] if None in at else []
-        if new:
-            self._learn(list(dict.fromkeys(new)))
-            at = list(map(self.words.__getitem__, flat))
-        ids, counts = self._gather(np.array(at, np.int64))
-        words = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int64)
-        begin = np.concatenate(([0], np.cumsum(counts)))[words]
+        parts = pc.ascii_split_whitespace(column)
+        coded = parts.flatten().dictionary_encode()
+        unique = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        at = list(map(self.words.get, unique))
+        if None in at:
+            self._learn([w for w, k in zip(unique, at, strict=True) if k is None])
+            at = list(map(self.words.__getitem__, unique))
+        ids, counts = self._gather(np.array(at, np.int64)[coded.indices.to_numpy()])
+        words = parts.offsets.to_numpy()
+        begin = np.concatenate(([0], np.cumsum(counts)))[words - words[0]]
         if end is not None:
             ids = np.insert(ids, begin[1:], end).astype(np.uint32)
             begin = begin + np.arange(len(begin))
