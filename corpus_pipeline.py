@@ -19,6 +19,12 @@ from gridledger.session import checkpointed
 LEAST_SCORE = 0.25  # of a language that is accepted; two languages that are equally likely have more
 
 
+def _free(docs: DataFrame, *names: str) -> tuple[str, ...]:
+    """The names, made longer until no column of ``docs`` has them."""
+    taken = "_" * max((len(c) for c in docs.columns), default=0)
+    return tuple(n + taken for n in names)
+
+
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """The rows whose doc_id is not in ``gone``; a table of few ids is sent to all tasks, others meet by shuffle."""
     return docs.join(checkpointed(gone.select("doc_id").distinct()), "doc_id", "left_anti").select(*docs.columns)
@@ -26,8 +32,9 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without a letter and texts that no language fits; a missing label is filled in."""
-    found = identify_language(docs, carry=docs.columns).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    held_out, lang, score = _free(docs, "held_out", "lang_pred", "score")
+    found = identify_language(docs, carry=docs.columns, names=(held_out, lang, score)).filter((F.col(lang) != UNKNOWN) & (F.col(score) >= LEAST_SCORE))
+    return found.withColumn("lang", F.coalesce("lang", lang)).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,16 +45,18 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     again = checkpointed(again)
     if again.isEmpty():
         return left
+    (turn,) = _free(docs, "turn")
     one = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("text")
-    repeated = left.join(again, "doc_id", "left_semi").withColumn("_turn", F.row_number().over(one)).filter("_turn = 1").select(*docs.columns)
+    repeated = left.join(again, "doc_id", "left_semi").withColumn(turn, F.row_number().over(one)).filter(F.col(turn) == 1).select(*docs.columns)
     return left.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(repeated)
 
 
 def strike_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes words out that lie in repeated passages; texts that lose nothing stay as they are."""
     others = [c for c in docs.columns if c not in ("text", "n_chars")]
-    left = remove_repeats(docs, carry=others, keep_layout=True)
-    return left.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("kept").cast("long")).select(*docs.columns)
+    kept, *rest = _free(docs, "kept", "n_words", "n_removed")
+    left = remove_repeats(docs, carry=others, keep_layout=True, names=(kept, *rest))
+    return left.withColumn("text", F.col(kept)).withColumn("n_chars", F.length(kept).cast("long")).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -175,13 +175,15 @@ def fit(docs: DataFrame, label: str = "lang", key: str = "doc_id", text: str = "
     return Model(x, got["label"].tolist())
 
 
-def identify_language(docs: DataFrame, model: Model | None = None, key: str = "doc_id", text: str = "text", carry: list[str] | None = None, **fitting) -> DataFrame:
+def identify_language(docs: DataFrame, model: Model | None = None, key: str = "doc_id", text: str = "text", carry: list[str] | None = None,
+                      names: tuple[str, str, str] = ("held_out", "lang_pred", "score"), **fitting) -> DataFrame:
     """(held_out, lang_pred, score) beside the columns in ``carry`` (default: the key), for every row.
 
     ``lang_pred`` is a learned label, or ``und`` with score 0 when the text is null or has no letter,
     or nothing was learned. ``score`` is the product of the least pairwise probabilities of the
     family and of the language in it. Repeated rows are predicted each; a null key is not held
-    out. An empty table gives no rows. ``carry`` names columns to keep, whatever they hold.
+    out. An empty table gives no rows. ``carry`` names columns to keep, whatever they hold;
+    ``names`` renames the operator's own, should they clash.
     """
     model = model or fit(docs, key=key, text=text, **fitting)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -200,4 +202,4 @@ def identify_language(docs: DataFrame, model: Model | None = None, key: str = "d
                        held_out(F.col(key)).alias("held_out"), F.struct(*[F.col(c) for c in carry if c != text] or [F.lit(0).alias("_")]).alias("carried"))
     kind = rows.schema["carried"].dataType.simpleString()
     out = rows.mapInArrow(predict, f"held_out boolean, lang_pred string, score double, carried {kind}" + ", text string" * with_text)
-    return out.select(*[F.col("text").alias(c) if c == text else F.col(f"carried.`{c}`") for c in carry], "held_out", "lang_pred", "score")
+    return out.select(*[F.col("text").alias(c) if c == text else F.col(f"carried.`{c}`") for c in carry], *[F.col(c).alias(n) for c, n in zip(("held_out", "lang_pred", "score"), names, strict=True)])

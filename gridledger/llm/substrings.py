@@ -234,13 +234,14 @@ def _strike(window: int, keep_layout: bool):
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, carry: list[str] | None = None,
-                   keep_layout: bool = False, **options) -> DataFrame:
+                   keep_layout: bool = False, names: tuple[str, str, str] = ("kept", "n_words", "n_removed"), **options) -> DataFrame:
     """(kept, n_words, n_removed) beside the columns in ``carry`` (default: the key), for every row.
 
     Words are ``[^\\x20\\x09-\\x0D]+``, unchanged. A word goes if a repeated window covers it; ``kept`` are
     the others, joined by one space. Both places of a repeat lose it, in one document or in two; so do
     repeated rows. A null or empty text, and one of fewer words than ``window``, loses nothing. A null
-    key stays null. An empty table gives no rows. ``carry`` names columns to keep, whatever they hold.
+    key stays null. An empty table gives no rows. ``carry`` names columns to keep, whatever they hold;
+    ``names`` renames the operator's own, should they clash.
     With ``keep_layout``, a text that loses nothing comes back with its own white space.
     """
     carry = carry or [key]
@@ -250,4 +251,4 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     both = rows.join(found, ["row_id", "row_hash"], "left").select("text", "runs", "carried")
     kind = both.schema["carried"].dataType.simpleString()
     out = both.mapInArrow(_strike(window, keep_layout), f"kept string, n_words long, n_removed long, carried {kind}")
-    return out.select("carried.*", "kept", "n_words", "n_removed")
+    return out.select("carried.*", *[F.col(c).alias(n) for c, n in zip(("kept", "n_words", "n_removed"), names, strict=True)])

@@ -257,19 +257,19 @@ def article_paths(wrapper: Wrapper, constant_pages: int = 10) -> list[str]:
     """The slots of a host's wrapper that make up the article, as joined paths.
 
     What stands apart by its labels goes. If the host marks articles, slots outside go; else the
-    main element; else the element that holds most of the text that is not links. In it, a text that
-    is there once, and the same on all of at least ``constant_pages`` pages whose other texts differ, is a notice.
+    main element; else the element that holds most of the text that is not links. In it, a slot
+    whose text is the same on all of at least ``constant_pages`` pages that otherwise differ is a notice.
     """
-    found: list[tuple[tuple[str, ...], list, bool]] = []
+    found: list[tuple[tuple[str, ...], list]] = []
 
-    def walk(node: Wrapper, path: tuple[str, ...], again: bool) -> None:
+    def walk(node: Wrapper, path: tuple[str, ...]) -> None:
         for label, kid in node.kids.items():
             if label == SLOT:
-                found.append((path, kid.slot, again or SLOT in node.repeated))
+                found.append((path, kid.slot))
             else:
-                walk(kid, (*path, label), again or label in node.repeated)
+                walk(kid, (*path, label))
 
-    walk(wrapper, (), False)
+    walk(wrapper, ())
     rest = [x for x in found if not _apart(x[0])]
     for names in (("article",), ("main",)):
         marked = [x for x in rest if any(label.split(".")[0] in names or any(w in names for w in label.split(".")[1:]) for label in x[0])]
@@ -278,18 +278,18 @@ def article_paths(wrapper: Wrapper, constant_pages: int = 10) -> list[str]:
             break
     else:
         root: tuple[str, ...] = ()
-        weight = lambda top: sum(s[1] - 2 * s[2] for p, s, _ in rest if p[:len(top)] == top)
+        weight = lambda top: sum(s[1] - 2 * s[2] for p, s in rest if p[:len(top)] == top)
         while True:  # down to the smallest element with nearly all of the text
-            below = {p[:len(root) + 1] for p, _, _ in rest if p[:len(root)] == root and len(p) > len(root)}
+            below = {p[:len(root) + 1] for p, _ in rest if p[:len(root)] == root and len(p) > len(root)}
             best = max(sorted(below), key=weight, default=None)
             if best is None or weight(best) < 0.7 * weight(root) or best[-1].split(".")[0] in ("p", "li", "pre", "td", "h1"):
                 break
             root = best
-        rest = [(p, s, a) for p, s, a in rest if p[:len(root)] == root and 2 * s[2] <= s[1]]
-    total = sum(s[1] for _, s, _ in rest)
-    varied = sum(s[1] for _, s, _ in rest if s[3] == -1)
-    return ["\n".join(p) for p, s, again in rest
-            if not (s[3] != -1 and not again and s[0] == wrapper.pages >= constant_pages and varied > 0.5 * total)]
+        rest = [(p, s) for p, s in rest if p[:len(root)] == root and 2 * s[2] <= s[1]]
+    total = sum(s[1] for _, s in rest)
+    varied = sum(s[1] for _, s in rest if s[3] == -1)
+    return ["\n".join(p) for p, s in rest
+            if not (s[3] != -1 and s[0] == wrapper.pages >= constant_pages and varied > 0.5 * total)]
 
 
 def infer_wrappers(pages: DataFrame) -> DataFrame:

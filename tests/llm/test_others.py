@@ -82,7 +82,7 @@ def test_html_extraction(spark):
 
 
 def test_wrappers_without_an_article_element_take_the_densest(spark):
-    page = "<body><div class=menu><a>one</a><a>two</a></div><div><ul><li><a>link {0}</a><li><a>link</a></ul></div><div id=c><h2>Head {0}</h2><p>Much text of the page {0}.</p><p>And more of it {0}</p><div>This site is best</div></div><div>{0}</div></body>"
+    page = "<body><div class=menu><a>one</a><a>two</a></div><div><ul><li><a>link {0}</a><li><a>link</a></ul></div><div id=c><h2>Head {0}</h2><p>Much text of the page {0}.</p><p>And more of it {0}</p><div>This site is best</div></div></body>"
     df = spark.createDataFrame([(i, "http://q/", page.format(i)) for i in range(12)], "page_id long, url string, html string")
     texts = {r["page_id"]: r["text"] for r in wrappers.extract_articles(df).collect()}
     assert texts[5] == "Head 5 Much text of the page 5. And more of it 5"
