@@ -221,8 +221,11 @@ def colour_mistakes(formulas: DataFrame, cf_colours: DataFrame | None = None) ->
     ``cf_colours`` holds rule rectangles with cf_rgb; a rule that paints an accepted family
     excuses the cell, whether it fires or not.
     """
-    f = K.with_hsv(formulas.filter(~X.is_navigation(F.col("text"))), "font_rgb")
-    f = once(f, **{"family": K.family(F.col("hue"), F.col("sat"), F.col("val")), "class": X.formula_class(F.col("text"), sheet_name())})
+    # a corpus has few colours: each is judged once, the cells look theirs up
+    colours = K.with_hsv(formulas.select("font_rgb").distinct(), "font_rgb")
+    colours = once(colours, family=K.family(F.col("hue"), F.col("sat"), F.col("val"))).select(F.col("font_rgb").alias("_rgb"), "family")
+    f = formulas.filter(~X.is_navigation(F.col("text"))).join(colours, F.col("font_rgb").eqNullSafe(F.col("_rgb"))).drop("_rgb")
+    f = once(f, **{"class": X.formula_class(F.col("text"), sheet_name())})
     wanted = F.when(F.col("class") == "OWN", "black").when(F.col("class") == "EXTERNAL", "red").otherwise("green")
     wrong = (f.withColumn("wanted", wanted).filter("family <> wanted")
              .withColumn("check_no", F.when(F.col("wanted") == "black", 49).when(F.col("wanted") == "green", 50).otherwise(51)))
@@ -297,10 +300,16 @@ def hidden_segments(segments: DataFrame, key: str = "sheet_key") -> DataFrame:
 # ---------------------------------------------------------------- number display
 
 
+def _by_code(cells: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns of the format code, computed on the distinct codes: a corpus has few."""
+    codes = once(cells.select("fmt_code").distinct(), **columns).withColumnRenamed("fmt_code", "_code")
+    return cells.join(codes, F.col("fmt_code").eqNullSafe(F.col("_code"))).drop("_code")
+
+
 def shown_negatives(cells: DataFrame) -> DataFrame:
     """Negatives not in parentheses. ``cells`` carries v_num and fmt_code; what displays as zero is not judged."""
     v, code = F.col("v_num"), F.col("fmt_code")
-    d = (cells.filter((v <= -1e-6) & F.col("v_err").isNull()).withColumn("kind", N.negative_class(code))
+    d = (_by_code(cells.filter((v <= -1e-6) & F.col("v_err").isNull()), kind=N.negative_class(code))
          .filter(F.col("kind").isin("minus", "unsigned", "mixed") & ~N.rounds_to_zero(v, code)))
     return mistakes(group_cells(d, [*SHEET, "kind"]), rect_ref(), F.concat(F.lit("negative shown "), F.col("kind")))
 
@@ -312,7 +321,7 @@ def shown_zeros(cells: DataFrame) -> DataFrame:
     """
     code = F.col("fmt_code")
     hidden = ~F.col("show_zeros") & (F.size(N.numeric_sections(code)) < 3)
-    d = (cells.filter((F.col("v_num") == 0) & F.col("v_err").isNull()).withColumn("kind", N.zero_class(code))
+    d = (_by_code(cells.filter((F.col("v_num") == 0) & F.col("v_err").isNull()), kind=N.zero_class(code))
          .filter(F.col("kind").isin("digit", "text") & ~hidden))
     return mistakes(group_cells(d, [*SHEET, "kind"]), rect_ref(), F.concat(F.lit("zero shown as "), F.col("kind")))
 
@@ -461,8 +470,9 @@ def volatile_cells(formulas: DataFrame) -> DataFrame:
     d = (once(may, called=called).filter(F.size("called") > 0)
          .withColumn("stamp", X.date_stamp(F.col("text"))).withColumn("sheet_key", F.lower(sheet_name())))
     stamps = d.filter("stamp")
-    # parsed once and written: the join reads the rectangles twice, for their sizes and for the pairs
-    precedents = checkpointed(precedent_ranges(formulas))
+    # only workbooks with a stamp are parsed; written, as the join reads the rectangles for their sizes and for the pairs
+    stamped = formulas.join(stamps.select("wb_id").distinct(), "wb_id", "left_semi")
+    precedents = checkpointed(precedent_ranges(stamped))
     read = stab_join(stamps.select(*CELL, "sheet_key"), precedents, ["wb_id", "sheet_key"], "row_no", "r1", "r2")
     read = read.filter(F.col("col_no").between(F.col("c1"), F.col("c2"))).select(*CELL).distinct()
     bad = d.filter(~F.col("stamp")).select(*CELL, "called").unionByName(stamps.join(read, CELL, "left_semi").select(*CELL, "called"))

@@ -100,11 +100,15 @@ def category_scores(counts: DataFrame, weights: DataFrame, max_mistakes: int = 1
 
 def total_scores(counts: DataFrame, weights: DataFrame, max_mistakes: int = 1) -> DataFrame:
     """The attempt's total: category scores weighted by category; categories without judgement add zero."""
-    scored = category_scores(counts, weights, max_mistakes).groupBy("attempt_id").agg(
-        F.sum(F.col("category_score") * F.col("category_weight")).alias("t"), F.sum("n_scored").alias("n"))
-    return (counts.select("attempt_id").distinct().join(scored, "attempt_id", "left")
-            .select("attempt_id", F.round(F.coalesce("t", F.lit(0.0)), 6).alias("total_score"),
-                    F.coalesce("n", F.lit(0)).alias("n_scored")))
+    score = F.greatest(F.lit(0), F.lit(max_mistakes) - F.col("mistakes")) / F.lit(float(max_mistakes))
+    cats = weights.groupBy("category").agg(F.sum("weight").alias("total_weight"), F.max("category_weight").alias("category_weight"))
+    rubric = weights.select(*CHECK, "weight").join(cats, "category")
+    # unweighted judgements stay as rows that add nothing, so an attempt with nothing else still gets its zero
+    per = (counts.join(rubric, CHECK, "left").groupBy("attempt_id", "category")
+           .agg(F.sum(score * F.col("weight")).alias("s"), F.count("weight").alias("n"), F.max("total_weight").alias("w"), F.max("category_weight").alias("cw")))
+    part = F.when(F.col("w") > 0, F.col("s") / F.col("w") * 100).otherwise(0.0) * F.col("cw")
+    return (per.groupBy("attempt_id").agg(F.sum(part).alias("t"), F.sum("n").alias("n"))
+            .select("attempt_id", F.round(F.coalesce("t", F.lit(0.0)), 6).alias("total_score"), F.col("n").alias("n_scored")))
 
 
 def one_per_check(judgements: DataFrame) -> DataFrame:

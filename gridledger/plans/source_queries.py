@@ -196,9 +196,15 @@ def _(v):
             .unionByName(t["validations"].select("wb_id", "part", F.col("type").alias("what"), *cols)))
 
 
-@query("s12_file_inventory")
-def _(v):
-    return W.file_inventory(v.spark, v.sf_dir, "*.parquet").drop("modificationTime")
+@query("s12_file_inventory", "", """
+SELECT CAST(page_id % 16 AS VARCHAR) AS folder, 'txt' AS extension, COUNT(DISTINCT page_id % 16) AS n_files, CAST(SUM(octet_length(encode(url)) + length(CAST(page_id AS VARCHAR)) + 2) AS BIGINT) AS size FROM pages GROUP BY 1""")
+def _(v):
+    """Files written from the pages, a folder and one file for each sixteenth of the keys."""
+    folder = fresh_folder(v.spark, "inventory")
+    lines = v.pages.select((F.col("page_id") % 16).alias("folder"), F.concat_ws(" ", F.col("page_id").cast("string"), "url").alias("value"))
+    lines.repartition("folder").write.partitionBy("folder").text(folder)
+    return (W.file_inventory(v.spark, folder, "*.txt").groupBy("folder", "extension")
+            .agg(F.count(F.lit(1)).alias("n_files"), F.sum("size").alias("size")))
 
 
 @query("s13_append_attempts", "attempts", "SELECT id, agent_model_name AS label, cost FROM attempts UNION ALL SELECT id, 'late', NULL FROM attempts WHERE agent_failed")

@@ -156,10 +156,11 @@ def sheet_tail(parts: DataFrame) -> dict[str, DataFrame]:
 
 
 def file_inventory(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """Name, extension, size and time of every file; contents are not read."""
+    """Name, folder, extension, size and time of every file; contents are not read. Folders named ``key=value`` give the value."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
     name = F.element_at(F.split("path", "/"), -1)
-    return files.select(name.alias("file_name"), F.lower(F.regexp_extract(name, r"\.([A-Za-z0-9]+)$", 1)).alias("extension"), F.col("length").alias("size"), "modificationTime")
+    folder = F.regexp_replace(F.element_at(F.split("path", "/"), -2), "^[^=]*=", "")
+    return files.select(name.alias("file_name"), folder.alias("folder"), F.lower(F.regexp_extract(name, r"\.([A-Za-z0-9]+)$", 1)).alias("extension"), F.col("length").alias("size"), "modificationTime")
 
 
 def verify_manifest(manifest: DataFrame, files: DataFrame) -> DataFrame:
