@@ -7,7 +7,7 @@ skewed join key, which adaptive execution splits.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
@@ -20,7 +20,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     pairs = (edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
              .filter(F.col("a").isNotNull() & F.col("b").isNotNull()).distinct())
-    pairs, before = checkpointed(pairs), None
+    before = None
     loops = pairs.filter("u = v")
     state = pairs.filter("u <> v")
     while True:
@@ -29,11 +29,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        state = checkpointed(small.union(least).distinct())
-        after = tuple(state.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
-        if after == before:
+        seen = Observation()
+        state = checkpointed(small.union(least).distinct().observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("sum")))
+        if seen.get == before:
             break
-        before = after
+        before = seen.get
     members = state.select(F.col("u").alias("node"), F.col("v").alias("label"))
     roots = state.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("label"))
     return members.union(roots).union(loops.select(F.col("u").alias("node"), F.col("u").alias("label"))).groupBy("node").agg(F.min("label").alias("label"))

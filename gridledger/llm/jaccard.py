@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
@@ -43,7 +43,7 @@ OVERLAP_FRAGMENTS = 8
 _BITS = np.uint64(16)
 _BLOBS = "part long, chunk long, entries binary, ids binary, sizes binary, common binary, common_counts binary"
 _ANSWERS = "chunk long, entries binary, counts binary, common binary, common_counts binary, ids binary, sizes binary, own binary"
-_SETS = "set_id long, n long, prefix array<long>, segments array<array<long>>"
+_SETS = "set_id long, n long, unshared long, prefix array<long>, segments array<array<long>>"
 
 
 def needed(n, percent: int = PERCENT):
@@ -213,7 +213,7 @@ def _join_chunk(percent: int):
         piece = np.searchsorted(kept, who) * OVERLAP_FRAGMENTS + (gram * OVERLAP_FRAGMENTS >> 48)
         inner = pa.ListArray.from_arrays(pa.array(np.searchsorted(piece, np.arange(len(kept) * OVERLAP_FRAGMENTS + 1)), pa.int32()), pa.array(gram))
         return pa.table({
-            "set_id": ids[kept], "n": sizes[kept],
+            "set_id": ids[kept], "n": sizes[kept], "unshared": (sizes - shared)[kept],
             "prefix": pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(length))), pa.int32()), pa.array(prefix)),
             "segments": pa.ListArray.from_arrays(pa.array(np.arange(len(kept) + 1) * OVERLAP_FRAGMENTS, pa.int32()), inner)})
 
@@ -227,11 +227,17 @@ def linkable_sets(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, fra
                .groupBy("part").applyInArrow(_answer, _ANSWERS))
     sets = answers.groupBy("chunk").applyInArrow(_join_chunk(percent), _SETS)
     # a set that several chunks hold came back to each, with the same content
-    return sets.groupBy("set_id").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("segments").alias("segments"))
+    return sets.groupBy("set_id").agg(F.first("n").alias("n"), F.first("unshared").alias("unshared"), F.first("prefix").alias("prefix"), F.first("segments").alias("segments"))
 
 
-def _compatible(n: Column, m: Column, percent: int) -> Column:
-    return F.least(n, m) * 100 >= F.greatest(n, m) * percent
+def _can_reach(percent: int) -> Column:
+    """Could the sets have the overlap they need if their first shared n-gram is this one?
+
+    At most as many n-grams as stand from here on are shared. A pair passes at its first one, or it
+    is not linked; for sets of like size only the rarest ninth of each counts.
+    """
+    needs = (F.col("n") + F.col("n_b")) * percent
+    return ((F.col("n") - F.col("at")) * (100 + percent) >= needs) & ((F.col("n_b") - F.col("at_b")) * (100 + percent) >= needs)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -245,13 +251,15 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .filter(F.col("shared") * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent).select("a", "b"))
 
 
-def set_components(sets: DataFrame, percent: int = PERCENT, rounds: int = 6) -> DataFrame:
+def set_components(sets: DataFrame, percent: int = PERCENT, rounds: int = 1, pivots: int = 3) -> DataFrame:
     """(node, label) of the sets of a written ``sets`` table that have a link.
 
-    Star rounds go on while more pairs of different components share a prefix n-gram than there are
-    prefix entries, ``rounds`` times at most; then every such pair is verified.
+    Star rounds, each with ``pivots`` members of every prefix group (the one with the fewest unshared
+    n-grams, and random ones), go on while more pairs of
+    different components share a prefix n-gram than there are prefix entries, ``rounds`` times at
+    most; then every such pair is verified.
     """
-    entries = sets.select("set_id", "n", F.explode("prefix").alias("gram"))
+    entries = sets.select("set_id", "n", "unshared", F.posexplode("prefix").alias("at", "gram")).withColumn("at", F.col("at") + F.col("unshared"))
     links, labels = None, None
     for turn in range(rounds + 1):
         if labels is None:
@@ -259,24 +267,27 @@ def set_components(sets: DataFrame, percent: int = PERCENT, rounds: int = 6) ->
         else:
             marked = (entries.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left")
                       .withColumn("label", F.coalesce("label", "set_id")))
-        groups = (marked.groupBy("gram", "label").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(F.xxhash64("set_id", F.lit(turn)), "set_id", "n")).alias("low"))
-                  .groupBy("gram").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("inside"), F.count(F.lit(1)).alias("labels"), F.min("low").alias("low"))
-                  .filter("labels > 1").select("gram", "m", "inside", F.col("low.set_id").alias("pivot"), F.col("low.n").alias("pivot_n")))
-        groups = checkpointed(groups)
-        left, work = groups.agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("inside")) / 2), F.lit(0))).first()
+        # near copies change a text in places of their own: who shares most is nearest to all of them
+        draws = {f"p{k}": F.struct((F.lit(0) if k else F.col("unshared")).alias("u"), F.xxhash64("set_id", F.lit(turn * pivots + k)).alias("h"), F.col("set_id").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"), F.col("label").alias("label_b"))
+                 for k in range(pivots)}
+        groups = (marked.groupBy("gram", "label").agg(F.count(F.lit(1)).alias("c"), *[F.min(d).alias(p) for p, d in draws.items()])
+                  .groupBy("gram").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("inside"), F.count(F.lit(1)).alias("labels"), *[F.min(p).alias(p) for p in draws])
+                  .filter("labels > 1").select("gram", "m", "inside", F.array(*draws).alias("pivots")))
+        seen = Observation()
+        groups = checkpointed(groups.observe(seen, F.coalesce(F.sum("m"), F.lit(0)).alias("left"), F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("inside")) / 2), F.lit(0)).alias("work")))
+        left, work = seen.get["left"], seen.get["work"]
         if not left:
             break
         last = turn == rounds or work <= 2 * left
-        own = marked.join(groups.select("gram", "pivot", "pivot_n"), "gram")
+        own = marked.join(groups.select("gram", "pivots"), "gram").withColumnRenamed("set_id", "a")
         if last:
-            other = own.select("gram", F.col("set_id").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"))
-            pairs = (own.select("gram", F.col("set_id").alias("a"), "n", "label").join(other, "gram")
-                     .filter((F.col("label") < F.col("label_b")) & _compatible(F.col("n"), F.col("n_b"), percent)))
+            pairs = own.join(own.select("gram", F.col("a").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"), F.col("label").alias("label_b")), "gram").filter("label < label_b")
         else:
-            pairs = own.filter((F.col("set_id") != F.col("pivot")) & _compatible(F.col("n"), F.col("pivot_n"), percent)).select(F.col("set_id").alias("a"), F.col("pivot").alias("b"))
-        found = checkpointed(verified(pairs.select("a", "b").distinct(), sets, percent))
+            pairs = own.select("a", "n", "at", "label", F.inline("pivots")).filter("label <> label_b")
+        pairs = pairs.filter(_can_reach(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        found = checkpointed(verified(pairs, sets, percent))
         links = found if links is None else links.unionByName(found)
-        labels = checkpointed(connected_components(links))
+        labels = connected_components(links)
         if last:
             break
     if labels is None:
