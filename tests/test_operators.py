@@ -153,12 +153,46 @@ def test_similar_labels_misses_nothing(spark):
 def test_verdict_contract(spark):
     books = spark.createDataFrame([(1,), (2,), (3,)], "wb_id int")
     found = spark.createDataFrame([(1, "S", f"S!A{i}", "d", "major") for i in range(30)], "wb_id int, sheet string, location string, description string, severity string")
-    v = checks.make_verdict(books, found, 22, undecided=spark.createDataFrame([(2,), (1,)], "wb_id int"))
+    opened = spark.createDataFrame([(2,), (1,)], "wb_id int")
+    whole = checks.make_verdict(books, found, 22, undecided=opened)
+    assert {r.wb_id: (r.n_listed, r.truncated) for r in whole.collect()} == {1: (30, False), 2: (0, False), 3: (0, False)}
+    assert checks.broken_contracts(whole).count() == 0 and checks.listed_mistakes(found).count() == 30
+    v = checks.make_verdict(books, found, 22, cap=25, undecided=opened)
     rows = {r.wb_id: (r.decision, r.n_mistakes, r.n_listed, r.truncated) for r in v.collect()}
     assert rows == {1: ("fail", 30, 25, True), 2: ("undecided", 0, 0, False), 3: ("pass", 0, 0, False)}
     assert checks.broken_contracts(v).count() == 0
     assert checks.broken_contracts(v.withColumn("decision", F.lit("pass"))).count() == 2
-    assert checks.listed_mistakes(found).count() == 25
+    assert checks.listed_mistakes(found, 25).count() == 25
+
+
+def test_formula_text_of_any_script(spark):
+    texts = ["SUM(Sales[Net])+S1!A1", "Bilané!A1", "Größe+1", "[1]S!A1", "'[Book.xlsx]S 1'!A1", "SUM(A1:A1048576)", "SUM(A:A)"]
+    assert values(spark, X.is_external, texts) == [False, False, False, True, True, False, False]
+    assert values(spark, lambda t: X.formula_class(t, F.lit("Übersicht")), texts[:3]) == ["CROSS", "POINTER", "OWN"]
+    assert values(spark, X.name_tokens, ["Größe+1"]) == [["größe"]]
+    assert values(spark, X.has_whole_form, texts[5:]) == [False, True]
+
+
+def test_shared_children_move_each_corner_by_its_own_flags(spark):
+    m = spark.createDataFrame([(1, 0, 7, 5, 3, 1, 2, 5, 2, True, False, False, True)], "wb_id int, sheet_idx int, si int, row_no int, col_no int, r1 int, c1 int, r2 int, c2 int, r1_abs boolean, c1_abs boolean, r2_abs boolean, c2_abs boolean")
+    c = spark.createDataFrame([(1, 0, 7, 9, 4)], "wb_id int, sheet_idx int, si int, row_no int, col_no int")
+    assert [tuple(r)[4:8] for r in grid.shared_children(m, c).collect()] == [(1, 2, 9, 3)]
+
+
+def test_names_used_by_formulas_are_not_unused(spark):
+    names = spark.createDataFrame([(1, "Rate", "S!A1", False), (1, "Base", "Rate*2", False), (1, "Idle", "S!A2", False), (1, "Größe", "S!A3", False)], "wb_id int, name string, definition string, hidden boolean")
+    uses = spark.createDataFrame([(1, "base+größe")], "wb_id int, text string")
+    assert {r.location for r in checks.clean_names(names, uses).collect()} == {"Name Manager: Idle"}
+
+
+def test_workbooks_of_one_name_stay_apart(spark, tmp_path):
+    for folder, n in (("a", 1), ("b", 2)):
+        (tmp_path / folder).mkdir()
+        with zipfile.ZipFile(tmp_path / folder / "MODEL.XLSX", "w") as z:
+            z.writestr("xl/worksheets/sheet1.xml", f'<worksheet><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c></row></sheetData></worksheet>')
+            z.writestr("xl/sharedStrings.xml", f"<sst><si><t>text {n}</t></si></sst>")
+    cells = workbooks.cells_from_parts(workbooks.workbook_parts(spark, str(tmp_path)))
+    assert sorted(r.v_text for r in cells.collect()) == ["text 1", "text 2"] and cells.select("wb_id").distinct().count() == 2
 
 
 def test_scores_stay_in_bounds(spark):
