@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
 from .words import mix, slices, text_bytes
 
 DIM, SAMPLE_ROWS = 2048, 4000
@@ -169,7 +170,8 @@ def fit(docs: DataFrame, label: str = "lang", key: str = "doc_id", text: str = "
     order = Window.partitionBy("label").orderBy(F.xxhash64("key"), "key")
     least = (rows.select("label", "key").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= sample_rows // labels)
              .select("label", "key").distinct())
-    sample = rows.join(least, ["label", "key"]).filter(F.col("text").rlike(r"\p{L}")).select("label", "text").limit(sample_rows)
+    # a written table of at most sample_rows keys: Spark sends it to the texts, which stay where they are
+    sample = rows.join(checkpointed(least), ["label", "key"]).filter(F.col("text").rlike(r"\p{L}")).select("label", "text").limit(sample_rows)
     got = sample.mapInArrow(_features_of, "label string, x binary").orderBy("label", "x").toPandas()
     x = np.frombuffer(b"".join(got["x"]), np.float32).reshape(-1, DIM)
     return Model(x, got["label"].tolist())
