@@ -235,3 +235,10 @@ def test_read_a_real_workbook(spark, tmp_path):
 def test_round_digits(spark):
     got = values(spark, A.round_digits, ["ROUND(A1,2)", "IFNA(ROUND(MAX(A1,B2), 3),0)", "ROUNDUP(A1,2)", 'LET(x,"ROUND(1,9)",ROUND(x,1))', "ROUND(A1,n)", "A1"])
     assert got == [2, 3, None, 1, None, None]
+
+
+def test_legend_texts(spark):
+    says = {"Yellow = key inputs": "DEFINES", "Cells shaded yellow are outputs": "DEFINES", "No yellow is used here": "NEGATED", "Yellow: not yet confirmed": "WIP",
+            "Yellow - TBD": "WIP", "Light yellow = notes": None, "Updated monthly, yellow when pending": "MENTION", "the yellow one": "MENTION", "blue = x": None,
+            "blue = inputs; #FFFF00 = checks": "DEFINES", None: None}
+    assert values(spark, checks.legend_class, list(says)) == list(says.values())
