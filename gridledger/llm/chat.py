@@ -126,7 +126,7 @@ def turn_rows(conversations: DataFrame, key: str = "conv_id", turn: str = "turn"
 
 
 def fit(rows: DataFrame, trust: float = TRUST) -> Hmm:
-    """Counts over all turns with a known role. What reaches the driver is one table of 69 counts."""
+    """Counts over all turns with a known role. What reaches the driver is one table of 114 counts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts, follows, goes_on, shapes = np.zeros(3), np.zeros((3, 3)), np.zeros((3, 2)), np.zeros((6, _SHAPES))

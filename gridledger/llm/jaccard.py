@@ -37,7 +37,7 @@ from .components import connected_components
 from .words import hash_words, mix, shingles, slices, text_bytes
 
 SIZE, PERCENT = 5, 80
-CHUNK_NGRAMS, CHUNK_SETS = 3 << 20, 1 << 16
+CHUNK_NGRAMS, CHUNK_SETS = 3 << 19, 1 << 16
 COMMON = 1 / 64  # of a chunk's sets: an n-gram that is in more of them is counted, not listed
 OVERLAP_FRAGMENTS = 8
 _BITS = np.uint64(16)

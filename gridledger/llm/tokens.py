@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 END = 1
-_CACHE_WORDS = 700_000
+_CACHE_WORDS = 300_000
 _MARKS = string.punctuation
 _LOADED: dict[str, Encoder] = {}
 
