@@ -3,9 +3,12 @@
 A short item inside a long document has a tiny Jaccard similarity with it, so MinHash finds
 nothing there. Items are partitioned by size: class U holds those with U/2 to U shingles. Documents
 are cut into blocks of 16 shingles; for class U every run of 2U/16 blocks is a window, so whatever
-lies within U shingles lies whole in one window. An item contained to 0.8 has a Jaccard similarity
-of at least 0.19 with that window, mostly 0.36, and ``PERMUTATIONS`` single-value bands miss it with odds of
-0.81**32 = 0.1 % at worst. Window minima double up from block minima, so all classes cost one pass.
+lies within U shingles lies whole in one window. An item of over ``BRIEF`` shingles contained to 0.8 has a
+Jaccard similarity of at least 0.19 with that window, mostly 0.36, and ``PERMUTATIONS`` single-value bands miss
+it with odds of 0.81**32 = 0.1 % at worst. Window minima double up from block minima, so all classes cost one pass.
+
+Items of up to ``BRIEF`` shingles are too small for any window of 32 and are sought without MinHash: who
+holds k of n shingles holds one of any n - k + 1 of them, so the item's rarest ones are looked up. That loses nothing.
 
 Candidates are verified against the whole document's shingle set. Items are read in blocks of
 bounded size; each block is one pass over the documents, which are never shuffled.
@@ -13,6 +16,7 @@ bounded size; each block is one pass over the documents, which are never shuffle
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -24,6 +28,7 @@ from pyspark.sql import functions as F
 from .words import hash_words, mix, runs, shingles, slices, text_bytes
 
 PERMUTATIONS, BLOCK = 32, 16
+BRIEF = 8  # shingles of an item that is sought exactly
 BLOCK_SHINGLES = 500_000  # of benchmark items in memory at once
 _OUT = "doc_id long, item_id long, n_shared long, n_item long"
 _MULTIPLIERS = np.random.default_rng(1234).integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -35,9 +40,12 @@ def permuted(h: np.ndarray, i: int) -> np.ndarray:
 
 
 class ItemIndex:
-    """Signatures of a block of items: per size class and permutation, sorted minima and their items."""
+    """Signatures of a block of items: per size class and permutation, sorted minima and their items.
+
+    ``brief`` has, per words in a shingle, the sorted shingles of which a match of a brief item holds one.
+    """
 
-    def __init__(self, items: list[tuple[int, str]], size: int):
+    def __init__(self, items: list[tuple[int, str]], size: int, threshold: float):
         raw, offsets = text_bytes(pa.array([t for _, t in items], pa.string()))
         words, first = hash_words(raw, offsets)
         shingle, begin = shingles(words, first, size)
@@ -45,23 +53,38 @@ class ItemIndex:
         self.ids = np.array([i for i, _ in items], np.int64)
         self.sets = [np.unique(shingle[a:b]) for a, b in zip(begin, begin[1:], strict=False)]
         self.width = np.minimum(counts, size)  # words in one of its shingles
+        exact = [len(s) <= BRIEF or w < size for s, w in zip(self.sets, self.width.tolist(), strict=True)]
         levels = [max(0, -(-len(s) // BLOCK) - 1).bit_length() for s in self.sets]
         self.tables: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
-        for level in sorted({x for x, s in zip(levels, self.sets, strict=True) if len(s)}):
-            own = [k for k, s in enumerate(self.sets) if len(s) and levels[k] == level and self.width[k] == size]
+        for level in sorted(set(levels)):
+            own = [k for k, x in enumerate(levels) if x == level and not exact[k]]
             if own:
                 self.tables[level] = [self._table(own, i) for i in range(PERMUTATIONS)]
-        self.short: dict[int, list[int]] = {}
+        brief: dict[int, list[int]] = {}
         for k, w in enumerate(self.width.tolist()):
-            if 0 < w < size:
-                self.short.setdefault(w, []).append(k)
+            if len(self.sets[k]) and exact[k]:
+                brief.setdefault(w, []).append(k)
+        self.brief = {w: self._rarest(own, threshold) for w, own in brief.items()}
+
+    def _rarest(self, own: list[int], threshold: float):
+        known, times = np.unique(np.concatenate([self.sets[k] for k in own]), return_counts=True)
+        keys, of = [], []
+        for k in own:
+            s = self.sets[k]
+            n = len(s) - max(1, math.ceil(threshold * len(s))) + 1
+            keys.append(s[np.argsort(times[np.searchsorted(known, s)], kind="stable")[:n]])
+            of.append(np.full(len(keys[-1]), k))
+        return _sorted_table(np.concatenate(keys), np.concatenate(of))
 
     def _table(self, own: list[int], i: int):
-        low = np.array([permuted(self.sets[k], i).min() for k in own])
-        order = np.argsort(low, kind="stable")
-        marks = np.zeros(1 << 16, bool)
-        marks[(low >> np.uint64(48)).astype(np.int64)] = True
-        return low[order], np.array(own)[order], marks
+        return _sorted_table(np.array([permuted(self.sets[k], i).min() for k in own]), np.array(own))
+
+
+def _sorted_table(low: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = np.argsort(low, kind="stable")
+    marks = np.zeros(1 << 16, bool)
+    marks[(low >> np.uint64(48)).astype(np.int64)] = True
+    return low[order], own[order], marks
 
 
 def _matches(values: np.ndarray, table) -> Iterator[tuple[int, np.ndarray]]:
@@ -120,20 +143,21 @@ def find_contained(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
 
 def _search(items: list[tuple[int, str]], size: int, threshold: float):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = ItemIndex(items, size)
+        index = ItemIndex(items, size, threshold)
         for batch in slices(batches, "text"):
             raw, offsets = text_bytes(batch.column(1))
             words, first = hash_words(raw, offsets)
             shingle, begin = runs(words, first, size)
             found = candidates(index, shingle, begin)
-            brief = {w: runs(words, first, w) for w in index.short}
-            for w, own in index.short.items():
-                s, at = brief[w]
-                for k in own:
-                    found.update((int(x), k) for x in np.unique(np.searchsorted(at, np.flatnonzero(s == index.sets[k][0]), "right") - 1))
+            cut = {w: (shingle, begin) if w == size else runs(words, first, w) for w in {size, *index.brief}}
+            for w, table in index.brief.items():
+                s, at = cut[w]
+                for x, own in _matches(s, table):
+                    row = int(np.searchsorted(at, x, "right")) - 1
+                    found.update((row, int(k)) for k in own)
             best: dict[tuple[int, int], tuple[int, int]] = {}
             for x, k in sorted(found):
-                s, at = (shingle, begin) if index.width[k] == size else brief[int(index.width[k])]
+                s, at = cut[int(index.width[k])]
                 n_item = len(index.sets[k])
                 shared = int(np.isin(index.sets[k], s[at[x]:at[x + 1]]).sum())
                 if shared >= threshold * n_item:

@@ -102,6 +102,24 @@ def test_decontamination_recall(spark):
     assert {(r["doc_id"], r["item_id"]) for r in find_contained(docs, items).collect()} == want and want
 
 
+def test_decontamination_finds_brief_items_at_any_place(spark):
+    """Items of 5 to 12 words, whole or with a changed end, at every offset of a block in long documents."""
+    import random
+    rng = random.Random(5)
+    rows, items = [], []
+    for n in range(5, 13):
+        for place in range(0, 320, 21):
+            k = len(items)
+            item = [f"i{k}w{j}" for j in range(n)]
+            filler = [f"f{rng.randrange(3000)}" for _ in range(400)]
+            rows.append((k, " ".join(filler[:place] + item[:n - (place % 2 and n > 8)] + filler[place:])))
+            items.append((k, " ".join(item)))
+    items += [(9000, "i0w0 i0w1"), (9001, "i1w3 i1w4"), (9002, "i0w1 i0w0")]
+    got = find_contained(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    found = [(r["doc_id"], r["item_id"]) for r in got]
+    assert len(found) == len(set(found)) and set(found) == brute.contained(rows, items)
+
+
 def _ids(rows):
     lib = tokens.encoder(tokens.tokenizer_json()).lib
     return [(k, [*lib.encode(t or "", add_special_tokens=False).ids, tokens.END]) for k, t in rows]
