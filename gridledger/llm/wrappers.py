@@ -1,18 +1,20 @@
-"""HTML extraction: one wrapper per host, a union-free regular expression inferred by alignment.
+"""HTML extraction: a wrapper per template of a host, a union-free regular expression inferred by alignment.
 
-A page is read as a stream of block tags and text slots. The wrapper of a host starts as its first
-page and is aligned with the next ones, level by level. What one side lacks becomes optional; a label
+A page is read as a stream of block tags and text slots. Pages of a host are one template if all mark an
+article, or a main element and no article, or if the same containers hold their text. The wrapper of a
+template starts as its first page and is aligned with the next ones, level by level. What one side lacks becomes optional; a label
 that returns among its siblings turns the span between into a repeated group; texts that differ
 become slots, texts that never differ stay constants. Every level of a wrapper thus holds a label
-once, and a host's wrapper stays small however many pages it has.
+once, and a template's wrapper stays small however many pages it has.
 
-Tasks align the pages they read; the partial wrappers of a host are aligned in two rounds, so the
+Tasks align the pages they read; the partial wrappers of a template are aligned in two rounds, so the
 pages of one host never meet. A wrapper's slots know their text, link and page counts over all pages;
-from these and the labels it is decided once per host which slots are the article.
+from these and the labels it is decided once per template which slots are the article.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
@@ -47,6 +49,8 @@ APART_WORDS = frozenset((
     "breadcrumbs footer contentinfo masthead notice notices cookie cookies consent gdpr popup modal overlay dialog newsletter subscribe signup login search "
     "comment comments reply replies discussion disqus respond related recommended recommendations share sharing social widget widgets toolbar pagination pager hidden").split())
 MAIN_WORDS = frozenset("article main".split())
+#: where the text of a container begins; the elements above make the template
+_CONTENT = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl li dt dd pre blockquote figure address hr details summary hgroup".split())
 
 
 def _label(tag: str, attributes: str) -> str:
@@ -253,10 +257,26 @@ def _apart(path: tuple[str, ...]) -> bool:
     return False
 
 
+def _marks(path: tuple[str, ...], name: str) -> bool:
+    """Is a slot inside an element whose tag or telling word is ``name``?"""
+    return any(name in label.split(".") for label in path)
+
+
+def template(blocks: list[tuple[tuple[str, ...], str, int, tuple[int, ...]]]) -> str:
+    """The page's template: ``article`` or ``main`` if it marks one, else a hash of the containers that hold its text."""
+    paths = {b[0] for b in blocks}
+    rest = [p for p in paths if not _apart(p)]
+    for name in ("article", "main"):
+        if any(_marks(p, name) for p in rest):
+            return name
+    held = {p[:next((k for k, label in enumerate(p) if label.split(".")[0] in _CONTENT), len(p))] for p in rest}
+    return hashlib.md5("\n\n".join(sorted("\n".join(p) for p in held)).encode("utf-8", "surrogatepass")).hexdigest()[:16]
+
+
 def article_paths(wrapper: Wrapper, constant_pages: int = 10) -> list[str]:
-    """The slots of a host's wrapper that make up the article, as joined paths.
+    """The slots of a template's wrapper that make up the article, as joined paths.
 
-    What stands apart by its labels goes. If the host marks articles, slots outside go; else the
+    What stands apart by its labels goes. If the template marks articles, slots outside go; else the
     main element; else the element that holds most of the text that is not links. In it, a slot
     whose text is the same on all of at least ``constant_pages`` pages that otherwise differ is a notice.
     """
@@ -271,8 +291,8 @@ def article_paths(wrapper: Wrapper, constant_pages: int = 10) -> list[str]:
 
     walk(wrapper, ())
     rest = [x for x in found if not _apart(x[0])]
-    for names in (("article",), ("main",)):
-        marked = [x for x in rest if any(label.split(".")[0] in names or any(w in names for w in label.split(".")[1:]) for label in x[0])]
+    for name in ("article", "main"):
+        marked = [x for x in rest if _marks(x[0], name)]
         if marked:
             rest = marked
             break
@@ -293,22 +313,23 @@ def article_paths(wrapper: Wrapper, constant_pages: int = 10) -> list[str]:
 
 
 def infer_wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper) for each host of ``pages`` (host, html): the wrapper packed as JSON."""
+    """(host, template, wrapper) for each template of each host of ``pages`` (host, html): the wrapper packed as JSON."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, Wrapper] = {}
+        held: dict[tuple[str, str], Wrapper] = {}
 
         def out() -> pa.RecordBatch:
-            rows = {"host": list(held), "wrapper": [json.dumps(w.pack()) for w in held.values()]}
+            rows = [[h for h, _ in held], [t for _, t in held], [json.dumps(w.pack()) for w in held.values()]]
             held.clear()
-            return pa.RecordBatch.from_pydict(rows, schema=pa.schema([("host", pa.string()), ("wrapper", pa.string())]))
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in rows], ["host", "template", "wrapper"])
 
         for batch in slices(batches, "html"):
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = Wrapper.of(list(segments(page)))
-                held[host] = held[host].align(own) if host in held else own
-            if len(held) > _HOSTS_HELD:
-                yield out()
+                blocks = list(segments(page))
+                at, own = (host, template(blocks)), Wrapper.of(blocks)
+                held[at] = held[at].align(own) if at in held else own
+                if len(held) > _HOSTS_HELD:
+                    yield out()
         if held:
             yield out()
 
@@ -317,43 +338,58 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
         for text in sorted(rows["wrapper"]):
             one = Wrapper.unpack(json.loads(text))
             out = one if out is None else out.align(one)
-        return pd.DataFrame({"host": rows["host"].iloc[:1], "wrapper": [json.dumps(out.pack())]})
+        return pd.DataFrame({"host": rows["host"].iloc[:1], "template": rows["template"].iloc[:1], "wrapper": [json.dumps(out.pack())]})
 
-    parts = pages.select("host", "html").mapInArrow(read, "host string, wrapper string")
-    parts = parts.groupBy("host", F.pmod(F.xxhash64("wrapper"), F.lit(64)).alias("_part")).applyInPandas(merge, "host string, wrapper string")
-    return parts.groupBy("host").applyInPandas(merge, "host string, wrapper string")
+    kind = "host string, template string, wrapper string"
+    parts = pages.select("host", "html").mapInArrow(read, kind)
+    parts = parts.groupBy("host", "template", F.pmod(F.xxhash64("wrapper"), F.lit(64)).alias("_part")).applyInPandas(merge, kind)
+    return parts.groupBy("host", "template").applyInPandas(merge, kind)
 
 
 def extract_articles(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
-    """(page_id, url, text, n_chars) for every row: the main text by the wrapper of its host.
+    """(page_id, url, text, n_chars) for every row: the main text by the wrapper of its host and template.
 
     Character references are decoded, white space inside a block becomes one space, blocks are
     trimmed and joined by one space in page order. A null or empty page, and one without an article,
-    gives an empty text. Pages whose url is null or has no ``://`` share the wrapper of the empty host.
+    gives an empty text. A page of which the template's wrapper keeps nothing, though it marks no article,
+    is judged alone; so are pages whose url is null or names no host, which share no site.
     Repeated rows come back each; a null key stays null. An empty table gives no rows. Other columns
     are not read.
     """
     rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(page).cast("string").alias("html"))
-    rows = rows.withColumn("host", url_host(F.col("url")))
-    wrappers = checkpointed(infer_wrappers(rows).select("host", _chosen("wrapper").alias("paths")))
+    rows = rows.withColumn("host", F.nullif(url_host(F.col("url")), F.lit("")))
+    wrappers = checkpointed(infer_wrappers(rows.filter("host IS NOT NULL")).select("host", "template", _chosen("wrapper").alias("paths")))
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "html"):
+            named = [None if h is None else template(list(segments(t))) for h, t in zip(batch.column(3).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(named, pa.string())], [*batch.schema.names, "template"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chosen: dict[str, frozenset[str]] = {}
+
+        def kept(blocks, keep) -> str:
+            return " ".join(t for p, t, *_ in blocks if "\n".join(p) in keep)
+
         for batch in slices(batches, "html"):
             texts = []
-            for text, paths in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if paths not in chosen:
+            for page, name, paths in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
+                blocks = list(segments(page))
+                if paths is not None and paths not in chosen:
                     if len(chosen) > _HOSTS_HELD:
                         chosen.clear()
-                    chosen[paths] = frozenset(json.loads(paths or "[]"))
-                keep = chosen[paths]
-                texts.append(" ".join(t for p, t, *_ in segments(text) if "\n".join(p) in keep))
+                    chosen[paths] = frozenset(json.loads(paths))
+                text = kept(blocks, chosen[paths]) if paths is not None else ""
+                if not text and blocks and name not in MAIN_WORDS:
+                    text = kept(blocks, frozenset(article_paths(Wrapper.of(blocks))))
+                texts.append(text)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                                              ["page_id", "url", "text", "n_chars"])
 
-    # a table of one row per host: Spark sends it to all tasks while its files are small, else joins by
-    # shuffle, and adaptive execution splits a host with many pages
-    return rows.join(wrappers, "host", "left").select("page_id", "url", "html", "paths").mapInArrow(read, "page_id long, url string, text string, n_chars long")
+    # a table of one row per template: Spark sends it to all tasks while its files are small, else joins by
+    # shuffle, and adaptive execution splits a template with many pages
+    rows = rows.mapInArrow(assign, "page_id long, url string, html string, host string, template string")
+    return rows.join(wrappers, ["host", "template"], "left").select("page_id", "url", "html", "template", "paths").mapInArrow(read, "page_id long, url string, text string, n_chars long")
 
 
 @F.pandas_udf(StringType())

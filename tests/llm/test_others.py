@@ -88,6 +88,20 @@ def test_wrappers_without_an_article_element_take_the_densest(spark):
     assert texts[5] == "Head 5 Much text of the page 5. And more of it 5"
 
 
+def test_templates_of_one_host_keep_their_text(spark):
+    long = "Plain text of a page without an article, number {0}, and it goes on and on."
+    pages = ["<body><nav>menu</nav><article><p>Article {0}</p></article></body>", f"<body><nav>menu</nav><main><p>Main {long}</p></main></body>",
+             f"<body><div><p>{long}</p><p>More {{0}}</p></div></body>", f"<body><table><tr><td>{long}</td></tr></table></body>"]
+    rows = [(k + 10 * i, "http://blogs/", p.format(i)) for i in range(6) for k, p in enumerate(pages)]
+    rows += [(100, None, pages[0].format(1)), (101, "a/b", pages[2].format(2)), (102, "c", pages[3].format(3))]
+    texts = {r["page_id"]: r["text"] for r in wrappers.extract_articles(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = {}
+    for i in range(6):
+        own = long.format(i)
+        want |= {10 * i: f"Article {i}", 10 * i + 1: f"Main {own}", 10 * i + 2: f"{own} More {i}", 10 * i + 3: own}
+    assert texts == want | {100: "Article 1", 101: f"{long.format(2)} More 2", 102: long.format(3)}
+
+
 def test_alignment_gives_optional_and_repeated_groups():
     one, two = ("<div><h1>a</h1><p>b</p></div>", "<div><h1>c</h1><p>b</p><ul><li>x<li>y</ul><p>d</p></div>")
     w = wrappers.Wrapper.of(list(wrappers.segments(one))).align(wrappers.Wrapper.of(list(wrappers.segments(two))))
