@@ -33,14 +33,22 @@ from .words import slices
 
 SLOT = "#"
 _HOSTS_HELD = 2000
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.DOTALL)
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]+|=\s*(?:"[^"]*"|'[^']*'|[^\s>"'][^\s>]*)?)*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.DOTALL)
 _NAMED = re.compile(r"""\b(class|id|role|aria-hidden|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
-_RAW = frozenset("script style noscript template textarea title iframe svg math select option object video audio canvas".split())
+_RAW = frozenset("script style textarea title iframe".split())
+#: elements that show no text of the page; an article inside an unclosed one of the second kind counts
+_HIDDEN = frozenset("noscript template select datalist optgroup option svg".split())
+_EMBEDDED = frozenset("object video audio canvas".split())
+#: a block that starts inside one of these, without its end tag, ends it
+_NO_BLOCKS = frozenset("select datalist optgroup option svg".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rt rp s samp small span strike strong sub sup time tt u var wbr img".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rt rp s samp small span strike strong sub sup time tt u var wbr img "
+                    "math mi mn mo ms mtext mrow mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose msub msup msubsup munder mover munderover "
+                    "mmultiscripts mtable mtr mtd mspace semantics".split())
+_SOURCE = re.compile(r"[^<]*</annotation\s*>", re.IGNORECASE)  # of a formula, which is not shown
 _CLOSES_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul menu details".split())
-_SAME = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table", "tbody", "thead", "tfoot"), "td": ("tr",), "th": ("tr",), "option": ("select",)}
+_SAME = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table", "tbody", "thead", "tfoot"), "td": ("tr",), "th": ("tr",), "option": ("select", "datalist", "optgroup"), "optgroup": ("select",)}
 
 #: what an element's tag, or a word in its class, id or role, says of it
 APART_TAGS = frozenset("head nav header footer aside form menu dialog button".split())
@@ -72,7 +80,8 @@ def segments(page: str | None) -> Iterator[tuple[tuple[str, ...], str, int, tupl
     """(labels from the root, text, letters inside links, element numbers) of each block of text, in page order.
 
     Tolerant: an end tag closes the nearest open element of its name, or nothing; paragraphs and list
-    items close as a browser closes them. Markup inside a block leaves no space.
+    items close as a browser closes them. Markup inside a block leaves no space. Only scripts, styles,
+    titles, text areas and frames run to the end of the page when their end tag lacks.
     """
     page = page or ""
     stack: list[tuple[str, str, int]] = []
@@ -104,6 +113,10 @@ def segments(page: str | None) -> Iterator[tuple[tuple[str, ...], str, int, tupl
             if tag == "a":
                 links = max(0, links - 1) if closing else links + 1
             continue
+        if tag.startswith("annotation"):
+            source = None if closing else _SOURCE.match(page, at)
+            at = source.end() if source else at
+            continue
         yield from flush()
         links = 0
         if closing:
@@ -119,6 +132,12 @@ def segments(page: str | None) -> Iterator[tuple[tuple[str, ...], str, int, tupl
                 close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.IGNORECASE).search(page, at)
                 at = close.end() if close else end
             continue
+        if tag == "svg" and attributes.rstrip().endswith("/"):
+            continue
+        if tag in _CLOSES_P:
+            k = next((i for i, x in enumerate(stack) if x[0] in _NO_BLOCKS), len(stack))
+            if not any(x[0] == "foreignobject" for x in stack[k:]):
+                del stack[k:]
         if tag in _CLOSES_P and any(x[0] == "p" for x in stack):
             k = max(i for i, x in enumerate(stack) if x[0] == "p")
             if not any(x[0] in ("table", "td", "button") for x in stack[k:]):
@@ -252,7 +271,9 @@ def _apart(path: tuple[str, ...]) -> bool:
             return True
         if tag == "header" and inside and any(re.fullmatch(r"h[1-6]", x.split(".")[0]) for x in path[k + 1:]):
             continue
-        if tag in APART_TAGS:
+        if tag in APART_TAGS or tag in _HIDDEN:
+            return True
+        if tag in _EMBEDDED and not any(x.split(".")[0] in ("article", "main") for x in path[k + 1:]):
             return True
     return False
 

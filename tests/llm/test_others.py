@@ -102,6 +102,23 @@ def test_templates_of_one_host_keep_their_text(spark):
     assert texts == want | {100: "Article 1", 101: f"{long.format(2)} More 2", 102: long.format(3)}
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<body><header><input list=q><datalist id=q><option value=a><option value=b></datalist></header><article><p>All {0}</p></article>", "All {0}"),
+    ("<body><header><svg><path d='M0'></header><article><p>All {0}</p></article>", "All {0}"),
+    ("<body><svg viewBox='0 0'><path d='M0'/><article><p>All {0}</p></article>", "All {0}"),
+    ("<body><select><option>one<option>two<article><p>All {0}</p></article>", "All {0}"),
+    ("<body><div><video src=a></div><canvas><article><p>All {0}</p></article>", "All {0}"),
+    ("<body><article><p>So <math><mi>x</mi><mo>=</mo><mn>{0}</mn><annotation encoding='tex'>\\x</annotation></math> holds</p></article>", "So x={0} holds"),
+    ("<body><article><p title=it's>One {0}</p><p>isn't</p><p>three</p></article>", "One {0} isn't three"),
+    ("<body><article><p>a <a href=/x?q='>b</a> it's {0}</p><p title='>' id = \"'>\">c</p></article>", "a b it's {0} c"),
+    ("<body><article><p>a {0}</p><select><option>no<option>never</select><svg><title>t</title><text>no</text></svg><object>no</object><noscript>no</noscript><p>b</p></article>", "a {0} b")])
+def test_unclosed_and_embedded_elements_lose_no_text(spark, page, text):
+    for i in (1, 2):
+        blocks = list(wrappers.segments(page.format(i)))
+        keep = set(wrappers.article_paths(wrappers.Wrapper.of(blocks)))
+        assert " ".join(b[1] for b in blocks if "\n".join(b[0]) in keep) == text.format(i)
+
+
 def test_alignment_gives_optional_and_repeated_groups():
     one, two = ("<div><h1>a</h1><p>b</p></div>", "<div><h1>c</h1><p>b</p><ul><li>x<li>y</ul><p>d</p></div>")
     w = wrappers.Wrapper.of(list(wrappers.segments(one))).align(wrappers.Wrapper.of(list(wrappers.segments(two))))
