@@ -18,7 +18,6 @@ import hashlib
 import html
 import json
 import re
-import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -57,6 +56,7 @@ APART_WORDS = frozenset((
     "breadcrumbs footer contentinfo masthead notice notices cookie cookies consent gdpr popup modal overlay dialog newsletter subscribe signup login search "
     "comment comments reply replies discussion disqus respond related recommended recommendations share sharing social widget widgets toolbar pagination pager hidden").split())
 MAIN_WORDS = frozenset("article main".split())
+_BODY = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th caption pre blockquote figcaption summary".split())
 #: where the text of a container begins; the elements above make the template
 _CONTENT = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl li dt dd pre blockquote figure address hr details summary hgroup".split())
 
@@ -154,11 +154,18 @@ def segments(page: str | None) -> Iterator[tuple[tuple[str, ...], str, int, tupl
     yield from flush()
 
 
+def mark(text: str) -> str:
+    """A text in short, as 64 bits."""
+    return hashlib.md5(text.encode("utf-8", "surrogatepass")).hexdigest()[:16]
+
+
 class Wrapper:
     """A level of a union-free expression: labels in order, each once.
 
     ``kids`` maps a label to its level; ``optional`` and ``repeated`` are the labels that some pages
-    lack and that return. A slot knows pages, letters, letters in links and its constant text, if any.
+    lack and that return. A slot knows pages, letters, letters in links and its constants: the marks of
+    the texts, with their lengths, that stand in it on every page. Siblings of one label share a slot, so
+    this tells a constant menu or notice from the text beside it.
     """
 
     __slots__ = ("kids", "optional", "repeated", "slot", "pages")
@@ -191,11 +198,11 @@ class Wrapper:
                         node.repeated.update(names[names.index(label):])
                 node = node.kids[label]
                 seen[id(node)] = here
-            mark = zlib.crc32(text.encode())
             if node.slot is None:
-                node.slot = [1, len(text), linked, mark]
-            else:
-                node.slot = [1, node.slot[1] + len(text), node.slot[2] + linked, node.slot[3] if node.slot[3] == mark else -1]
+                node.slot = [1, 0, 0, {}]
+            node.slot[1] += len(text)
+            node.slot[2] += linked
+            node.slot[3][mark(text)] = len(text)
         return root
 
     def align(self, other: Wrapper) -> Wrapper:
@@ -229,7 +236,8 @@ class Wrapper:
         if self.slot is None:
             self.slot = other.slot
         elif other.slot is not None:
-            self.slot = [*(x + y for x, y in zip(self.slot[:3], other.slot[:3], strict=True)), self.slot[3] if self.slot[3] == other.slot[3] else -1]
+            both = {m: n for m, n in self.slot[3].items() if m in other.slot[3]}
+            self.slot = [*(x + y for x, y in zip(self.slot[:3], other.slot[:3], strict=True)), both]
         return self
 
     def pack(self) -> list:
@@ -294,12 +302,13 @@ def template(blocks: list[tuple[tuple[str, ...], str, int, tuple[int, ...]]]) ->
     return hashlib.md5("\n\n".join(sorted("\n".join(p) for p in held)).encode("utf-8", "surrogatepass")).hexdigest()[:16]
 
 
-def article_paths(wrapper: Wrapper, constant_pages: int = 10) -> list[str]:
-    """The slots of a template's wrapper that make up the article, as joined paths.
+def article_paths(wrapper: Wrapper) -> dict[str, list[str]]:
+    """The slots of a template's wrapper that make up the article, as joined paths, each with the marks of its notices.
 
     What stands apart by its labels goes. If the template marks articles, slots outside go; else the
-    main element; else the element that holds most of the text that is not links. In it, a slot
-    whose text is the same on all of at least ``constant_pages`` pages that otherwise differ is a notice.
+    main element; else the element that holds most of the text that is not links. In it, a text
+    that stands outside headings and body blocks on every page of several is a notice, unless such texts are half of all.
+    A text in a paragraph, list item or cell stays, the same on all pages or not.
     """
     found: list[tuple[tuple[str, ...], list]] = []
 
@@ -327,10 +336,14 @@ def article_paths(wrapper: Wrapper, constant_pages: int = 10) -> list[str]:
                 break
             root = best
         rest = [(p, s) for p, s in rest if p[:len(root)] == root and 2 * s[2] <= s[1]]
+    out: dict[str, list[str]] = {"\n".join(p): [] for p, _ in rest}
+    # what differs in a slot; one that some pages lack is no constant
+    fixed = {p: s[3] if s[0] == wrapper.pages else {} for p, s in rest}
     total = sum(s[1] for _, s in rest)
-    varied = sum(s[1] for _, s in rest if s[3] == -1)
-    return ["\n".join(p) for p, s in rest
-            if not (s[3] != -1 and s[0] == wrapper.pages >= constant_pages and varied > 0.5 * total)]
+    notices = [(p, s) for p, s in rest if fixed[p] and not any(x.split(".")[0] in _BODY for x in p)]
+    if wrapper.pages > 1 and sum(s[0] * sum(fixed[p].values()) for p, s in notices) < 0.5 * total:
+        out |= {"\n".join(p): sorted(fixed[p]) for p, _ in notices}
+    return out
 
 
 def infer_wrappers(pages: DataFrame) -> DataFrame:
@@ -387,10 +400,11 @@ def extract_articles(pages: DataFrame, key: str = "page_id", url: str = "url", p
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(named, pa.string())], [*batch.schema.names, "template"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chosen: dict[str, frozenset[str]] = {}
+        chosen: dict[str, dict[str, frozenset[str]]] = {}
 
         def kept(blocks, keep) -> str:
-            return " ".join(t for p, t, *_ in blocks if "\n".join(p) in keep)
+            where = ((keep.get("\n".join(p)), t) for p, t, *_ in blocks)
+            return " ".join(t for notices, t in where if notices is not None and not (notices and mark(t) in notices))
 
         for batch in slices(batches, "html"):
             texts = []
@@ -399,10 +413,10 @@ def extract_articles(pages: DataFrame, key: str = "page_id", url: str = "url", p
                 if paths is not None and paths not in chosen:
                     if len(chosen) > _HOSTS_HELD:
                         chosen.clear()
-                    chosen[paths] = frozenset(json.loads(paths))
+                    chosen[paths] = {p: frozenset(notices) for p, notices in json.loads(paths).items()}
                 text = kept(blocks, chosen[paths]) if paths is not None else ""
                 if not text and blocks and name not in MAIN_WORDS:
-                    text = kept(blocks, frozenset(article_paths(Wrapper.of(blocks))))
+                    text = kept(blocks, article_paths(Wrapper.of(blocks)))
                 texts.append(text)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                                              ["page_id", "url", "text", "n_chars"])

@@ -119,6 +119,16 @@ def test_unclosed_and_embedded_elements_lose_no_text(spark, page, text):
         assert " ".join(b[1] for b in blocks if "\n".join(b[0]) in keep) == text.format(i)
 
 
+@pytest.mark.parametrize("n", [2, 9, 10])
+def test_constants_beside_the_text(spark, n):
+    """Unlabelled menus go and constant subheadings stay, however many pages there are."""
+    menu = "<body><div>Home About Contact</div><div>The text of page {0} is told here at length.</div><div>Copyright of us</div></body>"
+    food = "<body><article><h1>Dish {0}</h1><div>Our notice</div><h2>Ingredients</h2><p>Salt</p><p>Item {0} of many</p></article></body>"
+    rows = [(i, "http://menu/", menu.format(i)) for i in range(n)] + [(100 + i, "http://food/", food.format(i)) for i in range(n)]
+    texts = {r["page_id"]: r["text"] for r in wrappers.extract_articles(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert texts == {i: f"The text of page {i} is told here at length." for i in range(n)} | {100 + i: f"Dish {i} Ingredients Salt Item {i} of many" for i in range(n)}
+
+
 def test_alignment_gives_optional_and_repeated_groups():
     one, two = ("<div><h1>a</h1><p>b</p></div>", "<div><h1>c</h1><p>b</p><ul><li>x<li>y</ul><p>d</p></div>")
     w = wrappers.Wrapper.of(list(wrappers.segments(one))).align(wrappers.Wrapper.of(list(wrappers.segments(two))))
