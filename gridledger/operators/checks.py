@@ -357,6 +357,7 @@ def concealed_cells(cells: DataFrame) -> DataFrame:
 
 _MDW = 7
 _MARGIN_PX = 5
+_DEFAULT_WIDTH = 9.14  # of a column that lists none, padding included
 
 
 def column_px(width: Column) -> Column:
@@ -389,11 +390,21 @@ def cut_off_text(texts: DataFrame, cols: DataFrame, tolerance_px: float = 2.0) -
     return mistakes(d, cell_ref(), F.lit("text cut off by its neighbour"))
 
 
+def wrapped(texts: DataFrame, cols: DataFrame) -> DataFrame:
+    """``texts`` with ``lines``, wrapped at the room of each text's own column; a column without room shows one line."""
+    own = cols.select(*SHEET, "col_no", F.col("width").alias("_width"))
+    room = (column_px(F.coalesce("_width", F.lit(_DEFAULT_WIDTH))) - _MARGIN_PX) / _MDW
+    d = texts.join(own, [*SHEET, "col_no"], "left").withColumn("_room", room)
+    return d.withColumn("lines", F.when(F.col("_room") <= 0, 1).otherwise(T.wrap_lines(F.col("v_text"), F.col("_room")))).drop("_width", "_room")
+
+
 def short_wrapped_rows(texts: DataFrame, rows: DataFrame, cols: DataFrame, font_pt: float = 11.0) -> DataFrame:
-    """Wrapped text with more lines than its row of custom height shows, by over half a line."""
+    """Wrapped text with more lines than its row of custom height shows, by over half a line.
+
+    Text wraps at the width of its column in ``cols``, or at Excel's default where the column is not listed.
+    """
     line = 1.3 * font_pt
-    d = (texts.join(rows.filter("custom").select(*SHEET, "row_no", "height"), [*SHEET, "row_no"])
-         .withColumn("lines", T.wrap_lines(F.col("v_text"), 60.0)))
+    d = wrapped(texts.join(rows.filter("custom").select(*SHEET, "row_no", "height"), [*SHEET, "row_no"]), cols)
     return mistakes(d.filter(F.col("lines") * line - F.col("height") > 0.5 * line), cell_ref(), F.lit("wrapped text taller than its row"))
 
 
@@ -428,12 +439,12 @@ def wide_columns(segments: DataFrame, need: DataFrame, key: str = "sheet_key", c
     return judged.withColumn("why", why).filter("why is not null").select(key, "first", "last", "width", "need", "why")
 
 
-def tall_rows(rows: DataFrame, texts: DataFrame, cap_pt: float = 60.0, factor: float = 2.0, font_pt: float = 11.0) -> DataFrame:
-    """Rows of custom height over the cap and more than twice the lines of their content."""
+def tall_rows(rows: DataFrame, texts: DataFrame, cols: DataFrame, cap_pt: float = 60.0, factor: float = 2.0, font_pt: float = 11.0) -> DataFrame:
+    """Rows of custom height over the cap and more than twice the lines of their content, wrapped as in ``short_wrapped_rows``."""
     line = 1.3 * font_pt
     tall = rows.filter(F.col("custom") & (F.col("height") > cap_pt))
-    lines = (texts.join(tall.select(*SHEET, "row_no"), [*SHEET, "row_no"], "left_semi")
-             .groupBy(*SHEET, "row_no").agg(F.max(T.wrap_lines(F.col("v_text"), 60.0)).alias("lines")))
+    lines = (wrapped(texts.join(tall.select(*SHEET, "row_no"), [*SHEET, "row_no"], "left_semi"), cols)
+             .groupBy(*SHEET, "row_no").agg(F.max("lines").alias("lines")))
     d = tall.join(lines, [*SHEET, "row_no"], "left").withColumn("need", F.coalesce("lines", F.lit(1)) * line)
     d = d.filter(F.col("height") > factor * F.col("need"))
     ref = F.concat(F.col("row_no").cast("string"), F.lit(":"), F.col("row_no").cast("string"))

@@ -273,6 +273,11 @@ def row_heights(v):
     return v.text_cells.filter("col_no = 1").select("wb_id", "sheet_idx", "row_no", (F.lit(15.0) * (1 + n % 9)).alias("height"), (n % 4 != 0).alias("custom"))
 
 
+def wrap_columns(v):
+    """Columns with room for the 60 digits at which the SQL wraps."""
+    return v.text_cells.select("wb_id", "sheet_idx", "col_no").distinct().withColumn("width", F.lit(60.7))
+
+
 WRAP = """p AS (SELECT wb_id, sheet_idx, row_no, col_no, UNNEST(string_split(v_text, chr(10))) AS para FROM text_cells WHERE col_no = 1),
 w AS (SELECT *, list_transform(string_split(para, ' '), lambda word: {'l': 0, 'c': CAST(list_sum(list_transform(string_split(word, ''), lambda c: CASE WHEN contains(' .,:;''|!il`', c) THEN 0.5 WHEN contains('$%()-+/\\[]{}"*^tfrjI', c) THEN 0.7 WHEN contains('@#&mwMW', c) THEN 1.3
   WHEN regexp_matches(c, '\\p{Lu}') THEN 1.1 WHEN regexp_matches(c, '\\p{Nd}') THEN 1.0 ELSE 0.9 END)) AS DOUBLE)}) AS ws FROM p),
@@ -283,14 +288,14 @@ ln AS (SELECT wb_id, sheet_idx, row_no, col_no, SUM(list_reduce(ws, lambda a, x:
 @query("c69_short_wrapped_rows", "text_cells", f"""WITH {ROWS}, {WRAP}, b AS (SELECT ln.* FROM ln JOIN hts USING (wb_id, sheet_idx, row_no) WHERE custom AND lines * 14.3 - height > 7.15)
 {cell_rows('b', "'wrapped text taller than its row'")}""")
 def _(v):
-    return C.short_wrapped_rows(v.text_cells.filter("col_no = 1"), row_heights(v), columns(v))
+    return C.short_wrapped_rows(v.text_cells.filter("col_no = 1"), row_heights(v), wrap_columns(v))
 
 
 @query("c73_row_heights", "text_cells", f"""WITH {ROWS}, {WRAP}
 SELECT h.wb_id, 'S' || CAST(h.sheet_idx AS VARCHAR(9)) AS sheet, '''S' || CAST(h.sheet_idx AS VARCHAR(9)) || '''!' || CAST(h.row_no AS VARCHAR(9)) || ':' || CAST(h.row_no AS VARCHAR(9)) AS location,
  'row taller than its content needs' AS description, 'minor' AS severity FROM hts h LEFT JOIN ln USING (wb_id, sheet_idx, row_no) WHERE custom AND height > 60 AND height > 2 * COALESCE(lines, 1) * 14.3""")
 def _(v):
-    return C.tall_rows(row_heights(v), v.text_cells.filter("col_no = 1"))
+    return C.tall_rows(row_heights(v), v.text_cells.filter("col_no = 1"), wrap_columns(v))
 
 
 WIDE_PAINT = PAINT.replace("FROM intervals)", "FROM iv)").replace("FROM intervals ", "FROM iv ").replace("WITH cuts", "WITH iv AS (SELECT sheet_key, seq, lo, hi, width * 4 AS width, hidden, outline_level FROM intervals), cuts")

@@ -242,3 +242,19 @@ def test_legend_texts(spark):
             "Yellow - TBD": "WIP", "Light yellow = notes": None, "Updated monthly, yellow when pending": "MENTION", "the yellow one": "MENTION", "blue = x": None,
             "blue = inputs; #FFFF00 = checks": "DEFINES", None: None}
     assert values(spark, checks.legend_class, list(says)) == list(says.values())
+
+
+def test_round_digits_at_any_depth(spark):
+    deep = "(" * 40 + "1" + ")" * 40
+    assert values(spark, A.round_digits, [f"ROUND({deep},3)", f"ROUND(MAX({deep},2), 4 )+ROUND(1,1)", f"ROUND({deep})", "ROUND(1,2"]) == [3, 4, None, None]
+
+
+def test_rows_wrap_at_the_width_of_their_column(spark):
+    texts = spark.createDataFrame([(1, 0, r, c, "word " * 11 + "word") for r in (1, 2) for c in (1, 2, 3)], "wb_id int, sheet_idx int, row_no int, col_no int, v_text string")
+    cols = spark.createDataFrame([(1, 0, 1, 10.7), (1, 0, 2, 80.7)], "wb_id int, sheet_idx int, col_no int, width double")
+    rows = spark.createDataFrame([(1, 0, 1, 30.0, True), (1, 0, 2, 90.0, True)], "wb_id int, sheet_idx int, row_no int, height double, custom boolean")
+    short = checks.short_wrapped_rows(texts, rows, cols).collect()
+    assert sorted(r["location"].split("!")[-1].strip("'") for r in short) == ["A1", "C1"]
+    wide = texts.filter("col_no = 2")
+    assert [r["location"].split("!")[-1] for r in checks.tall_rows(rows, wide, cols).collect()] == ["2:2"]
+    assert checks.tall_rows(rows, texts, cols).count() == 0
