@@ -26,7 +26,10 @@ def _free(docs: DataFrame, *names: str) -> tuple[str, ...]:
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The rows whose doc_id is not in ``gone``; a table of few ids is sent to all tasks, others meet by shuffle."""
+    """The rows whose doc_id is not in ``gone``; a table of few ids is sent to all tasks, others meet by shuffle.
+
+    Ids are compared, not rows: all rows of an id go, whatever their texts, and rows with a null id stay.
+    """
     return docs.join(checkpointed(gone.select("doc_id").distinct()), "doc_id", "left_anti").select(*docs.columns)
 
 
