@@ -127,3 +127,82 @@ def _chat_format(spark, sf_dir):
 def _html_text(spark, sf_dir):
     from .wrappers import extract_articles
     return extract_articles(table(spark, sf_dir, "pages"))
+
+
+def _shape(chars: str) -> str:
+    """SQL for how many characters of t a class holds."""
+    return f"length(regexp_replace(t, '[^{chars}]', '', 'g'))"
+
+
+# distance terms of shares p and q, in bits
+APART = "CASE WHEN {0} > 0 THEN {0} * log2(2 * {0} / ({0} + {1})) ELSE 0 END"
+
+
+@query("op11_quality_rules", f"""
+    WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+    g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, eight) AS n
+          FROM (SELECT doc_id, unnest(range(len(w) - 7)) AS i, unnest(list_transform(range(1, len(w) - 6), lambda i: md5(array_to_string(w[i:i+7], ' ')))) AS eight FROM d)),
+    r AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM g, range(8) AS t(j) WHERE n > 1 GROUP BY doc_id),
+    l AS (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),
+    b AS (SELECT l.*, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, {_shape('#*$%&|<>')} AS n_symbols,
+                 len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words FROM l LEFT JOIN r ON r.doc_id = l.doc_id),
+    k AS MATERIALIZED (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, length(t) AS n_all, {_shape('\\p{Lu}\\p{Lt}')} AS c1, {_shape('\\p{Ll}')} AS c2,
+                 {_shape('\\p{Lo}\\p{Lm}\\p{M}')} AS c3, {_shape('\\p{N}')} AS c4, length(t) - word_chars AS c5, n_symbols AS c6,
+                 {_shape('\\p{P}')} - {_shape('#*%&')} AS c7 FROM b),
+    c AS MATERIALIZED (SELECT doc_id, unnest([c1, c2, c3, c4, c5, c6, c7, n_all - c1 - c2 - c3 - c4 - c5 - c6 - c7]) AS n, unnest(range(8)) AS class FROM k),
+    good AS MATERIALIZED (SELECT doc_id, lang, n_words, n_all FROM k WHERE NOT base_failed AND lang IS NOT NULL),
+    n_docs AS (SELECT lang, count(*) AS n FROM good GROUP BY lang),
+    cs AS (SELECT lang, class, sum(1000000 * n // n_all)::DOUBLE AS s FROM good JOIN c USING (doc_id) GROUP BY ALL),
+    cr AS MATERIALIZED (SELECT lang, class, s / sum(s) OVER (PARTITION BY lang) AS q FROM cs),
+    wc AS MATERIALIZED (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(w) AS word FROM
+           (SELECT doc_id, list_transform(w, lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS w FROM d)) GROUP BY ALL),
+    ws AS (SELECT lang, word, sum(1000000 * n // n_words)::DOUBLE AS s FROM good JOIN wc USING (doc_id) GROUP BY ALL),
+    wr AS MATERIALIZED (SELECT lang, word, s / (1000000 * n) AS q FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY s DESC, word) AS rank FROM ws) JOIN n_docs USING (lang) WHERE rank <= 50),
+    cd AS (SELECT doc_id, lang, sqrt(sum({APART.format('p', 'q')} + {APART.format('q', 'p')}) / 2) AS c
+           FROM (SELECT doc_id, cr.lang, n / greatest(1, n_all) AS p, q FROM k JOIN c USING (doc_id) JOIN cr USING (class)) GROUP BY ALL),
+    wp AS (SELECT x.doc_id, x.lang, coalesce(wc.n, 0) / greatest(1, n_words) AS p, q
+           FROM (SELECT doc_id, n_words, wr.lang, wr.word, wr.q FROM k, wr WHERE NOT base_failed) x LEFT JOIN wc ON wc.doc_id = x.doc_id AND wc.word = x.word),
+    wd AS (SELECT doc_id, lang, sqrt((s + {APART.format('rest_p', 'rest_q')} + {APART.format('rest_q', 'rest_p')}) / 2) AS v
+           FROM (SELECT doc_id, lang, sum({APART.format('p', 'q')} + {APART.format('q', 'p')}) AS s, greatest(0, 1 - sum(p)) AS rest_p, greatest(0, 1 - sum(q)) AS rest_q FROM wp GROUP BY ALL)),
+    fit AS (SELECT DISTINCT cd.doc_id FROM k JOIN cd USING (doc_id) JOIN wd ON wd.doc_id = cd.doc_id AND wd.lang = cd.lang WHERE (c <= 0.28 OR word_chars < 250) AND (v <= 0.46 OR n_words < 60))
+    SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
+           n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND (doc_id IN (FROM fit) OR NOT EXISTS (FROM n_docs)) AS kept FROM k""")
+def _quality_rules(spark, sf_dir):
+    from .quality import judge_quality
+    return judge_quality(table(spark, sf_dir, "documents")).drop("nearest", "class_distance", "word_distance")
+
+
+@query("op12_tokenizer_alignment")
+def _tokenizer_alignment(spark, sf_dir):
+    from .alignment import align_tokenizers
+    return align_tokenizers(table(spark, sf_dir, "documents"))
+
+
+# crc32 of a decimal text, bit by bit
+CRC32 = ("xor(4294967295, list_reduce([4294967295::BIGINT] || flatten(list_transform(string_split({0}, ''), lambda x: [ascii(x)::BIGINT, 0, 0, 0, 0, 0, 0, 0])), "
+         "lambda a, b: CASE WHEN xor(a, b) % 2 = 1 THEN xor(xor(a, b) // 2, 3988292384) ELSE xor(a, b) // 2 END))")
+
+
+@query("op13_prefix_trie", f"""
+    WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i,
+                      md5(coalesce(role, '')) || md5(coalesce(text, '')) AS x, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS words
+               FROM conversations WHERE conv_id IS NOT NULL),
+    c AS (SELECT conv_id, {CRC32.format('conv_id::VARCHAR')} % 4 AS h, conv_id - conv_id % 20 AS head FROM (SELECT DISTINCT conv_id FROM t)),
+    k AS (SELECT c.conv_id, any_value(h) AS h, count(t.i) AS k FROM c LEFT JOIN t ON t.conv_id = c.head AND t.i <= c.h GROUP BY c.conv_id),
+    f AS (SELECT c.conv_id, t.i AS depth, t.x, t.words FROM c JOIN t ON t.conv_id = c.head AND t.i <= c.h
+          UNION ALL SELECT t.conv_id, k + t.i - h, t.x, t.words FROM t JOIN k ON k.conv_id = t.conv_id AND t.i > h),
+    p AS (SELECT conv_id, depth, words, md5(string_agg(x, '' ORDER BY depth) OVER (PARTITION BY conv_id ORDER BY depth)) AS node FROM f
+          UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+    n AS (SELECT node, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words FROM p GROUP BY node),
+    a AS (SELECT n.node, up.node AS above, up.depth AS above_depth FROM n JOIN p AS up ON up.conv_id = n.conv_id AND up.depth <= n.depth),
+    u AS (SELECT n.node, m.conv_id AS parent_conv_id, m.node AS parent FROM n JOIN a ON a.node = n.node AND a.above_depth = n.depth - 1 JOIN n AS m ON m.node = a.above),
+    b AS (SELECT parent AS node, count(*) AS n_children FROM u GROUP BY parent),
+    s AS (SELECT above AS node, sum((n_convs - 1) * words) AS saved_tokens, count(*) FILTER (b.node IS NULL) AS n_leaves
+          FROM a JOIN n ON n.node = a.node LEFT JOIN b ON b.node = a.node GROUP BY above),
+    e AS (SELECT node, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM (SELECT conv_id, arg_max(node, depth) AS node FROM p GROUP BY conv_id) GROUP BY node)
+    SELECT n.conv_id, n.depth::BIGINT AS depth, u.parent_conv_id, n.n_convs::BIGINT AS n_convs, coalesce(n_children, 0)::BIGINT AS n_children,
+           s.n_leaves::BIGINT AS n_leaves, s.saved_tokens::BIGINT AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+    FROM n LEFT JOIN u ON u.node = n.node LEFT JOIN b ON b.node = n.node JOIN s ON s.node = n.node LEFT JOIN e ON e.node = n.node""")
+def _prefix_trie(spark, sf_dir):
+    from .prefix_trie import build_prefix_trie
+    return build_prefix_trie(table(spark, sf_dir, "conversations"))
