@@ -146,12 +146,15 @@ class Views:
     def path(self, table: str) -> str:
         return f"{self.sf_dir}/{table}.parquet"
 
+    def derived(self, names: str, sql: str) -> DataFrame:
+        """A query over the named relations."""
+        text = _TABLE_REF.sub(r"\1 {\2}", with_views(names, sql))
+        used = {t: self.spark.read.parquet(self.path(t)) for t in TABLES if "{" + t + "}" in text}
+        return self.spark.sql(text, **used)
+
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
             return self.spark.read.parquet(self.path(name))
         if name not in FIXTURES:
             raise AttributeError(name)
-        text = with_views(name, f"SELECT * FROM {name}")
-        text = _TABLE_REF.sub(r"\1 {\2}", text)
-        used = {t: self.spark.read.parquet(self.path(t)) for t in TABLES if "{" + t + "}" in text}
-        return self.spark.sql(text, **used)
+        return self.derived(name, f"SELECT * FROM {name}")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .a1 import parse_a1
+from . import cut_groups, let
+from .a1 import MAX_COL, MAX_ROW, column_letters, column_number, parse_a1
 
 _LITERAL = r'\G((?:[^"\']|\'(?:[^\']|\'\')*\')*)"(?:[^"]|"")*"'
 _QUOTED = r"'(?:[^']|'')*'"
@@ -125,3 +126,39 @@ def date_stamp(text: Column) -> Column:
     opened = F.length(text) - F.length(F.replace(text, F.lit("("), F.lit("")))
     closed = F.length(text) - F.length(F.replace(text, F.lit(")"), F.lit("")))
     return text.rlike(r"(?i)^\s*=?\s*[+@(\s]*(?:TODAY|NOW)\(\s*\)[\s)]*$") & (opened == closed)
+
+
+# one token of a formula: what must not move whole, then references, then the rest
+_PART = r"\$?[A-Za-z]{1,3}\$?[0-9]{1,7}"
+_SPAN = rf"{_PART}(?::{_PART})?|\$?[A-Za-z]{{1,3}}:\$?[A-Za-z]{{1,3}}|\$?[0-9]{{1,7}}:\$?[0-9]{{1,7}}"
+_ENDS_HERE = r"(?![\p{L}\p{N}_.(!\[])"
+_PIECE = (r'"(?:[^"]|"")*"' + rf"|{_QUOTED}!?" + r"|[\p{L}\p{N}_.]*\[(?:[^\[\]]|\[[^\[\]]*\])*\](?:[\p{L}\p{N}_.:]*!)?"
+          + r"|[\p{L}\p{N}_.:]+!|[\p{L}_\\][\p{L}\p{N}_.\\]*\(" + rf"|(?:{_SPAN}){_ENDS_HERE}" + r"|[\p{L}\p{N}_.$\\]+|(?s:.)")
+
+
+def _moved_part(part: Column, rows: Column, cols: Column) -> Column:
+    """One end of a reference moved; null off the grid. Parts behind a '$' stay as written."""
+    def read(p: Column) -> Column:
+        col_abs, col, row_abs, row = p[1], p[2], p[3], p[4]
+        row_abs, col_abs = F.when(col == "", F.concat(col_abs, row_abs)).otherwise(row_abs), F.when(col == "", "").otherwise(col_abs)
+        to_col = column_number(F.when(col == "", "A").otherwise(col)) + cols
+        to_row = F.when(row == "", "1").otherwise(row).cast("long") + rows
+        new_col = F.when((col == "") | (col_abs == "$") | (cols == 0), col).when(to_col.between(1, MAX_COL), column_letters(to_col))
+        new_row = F.when((row == "") | (row_abs == "$") | (rows == 0), row).when(to_row.between(1, MAX_ROW), to_row.cast("string"))
+        return F.concat(col_abs, new_col, row_abs, new_row)
+
+    return let(cut_groups(part, r"^(\$?)([A-Za-z]{0,3})(\$?)([0-9]{0,7})$", ["$1", "$2", "$3", "$4"]), read)
+
+
+def shifted(text: Column, rows: Column, cols: Column) -> Column:
+    """The formula as it reads ``rows`` down and ``cols`` to the right of where it is written, as filling does.
+
+    Relative parts of A1 references move; absolute parts, names, calls, strings, sheet names and columns of tables
+    stay. A reference that leaves the grid becomes #REF! behind its sheet.
+    """
+    def one(token: Column) -> Column:
+        moved = F.array_join(F.transform(F.split(token, ":"), lambda p: F.coalesce(_moved_part(p, rows, cols), F.lit("#REF!"))), ":")
+        return F.when(token.rlike(rf"^(?:{_SPAN})$"), F.when(F.contains(moved, F.lit("#REF!")), "#REF!").otherwise(moved)).otherwise(token)
+
+    pieces = F.transform(F.regexp_extract_all(text, F.lit(f"({_PIECE})"), 1), one)
+    return F.when((rows == 0) & (cols == 0), text).otherwise(F.array_join(pieces, ""))

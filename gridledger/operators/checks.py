@@ -19,7 +19,7 @@ from ..functions import numfmt as N
 from ..functions import text as T
 from ..session import checkpointed
 from . import graph
-from .grid import SHEET, dyadic_blocks, group_cells, range_members, stab_join
+from .grid import SHEET, dyadic_tiles, group_cells, range_members, stab_join
 from .skew import first_n, once
 
 CELL = ["wb_id", "sheet_idx", "row_no", "col_no"]
@@ -140,9 +140,13 @@ def used_names(names: DataFrame, uses: DataFrame | None = None) -> DataFrame:
     return names.select("wb_id", "name", key(F.col("name")).alias("node")).join(used, "node", "left_semi").select("wb_id", "name").distinct()
 
 
-def clean_names(names: DataFrame, uses: DataFrame | None = None) -> DataFrame:
-    """Visible names that are broken, or used neither by a formula in ``uses`` nor by a hidden or used name."""
-    used = used_names(names, uses)
+def clean_names(names: DataFrame, uses: DataFrame | None = None, used: DataFrame | None = None) -> DataFrame:
+    """Visible names that are broken, or used neither by a formula in ``uses`` nor by a hidden or used name.
+
+    ``used`` is the result of ``used_names`` where it is at hand.
+    """
+    if used is None:
+        used = used_names(names, uses)
     judged = (names.filter(~F.col("hidden"))
               .join(used.withColumn("is_used", F.lit(True)), ["wb_id", "name"], "left"))
     broken = (F.trim("definition") == "") | F.contains(X.mask_strings(F.col("definition")), F.lit("#REF!"))
@@ -215,6 +219,11 @@ def yellow_fills(cells: DataFrame, texts: DataFrame) -> DataFrame:
     """
     coloured = K.with_hsv(cells.filter(F.col("fill_rgb").isNotNull()), "fill_rgb")
     yellow = coloured.filter(K.bright_yellow(F.col("hue"), F.col("sat"), F.col("val"))).select(*CELL, "v_text")
+    return mistakes(charged_yellow(yellow, texts), cell_ref(), F.col("why"))
+
+
+def charged_yellow(yellow: DataFrame, texts: DataFrame) -> DataFrame:
+    """The cells of ``yellow`` (v_text) that are charged, with the reason ``why``."""
     said = once(texts, says=legend_class(F.col("v_text"))).filter("says is not null")
     legend = said.groupBy("wb_id").agg(F.count_if(F.col("says") == "DEFINES").alias("defines"), F.count_if(F.col("says") == "WIP").alias("wip"))
     along = Window.partitionBy(*SHEET, "row_no").orderBy("col_no")
@@ -228,7 +237,7 @@ def yellow_fills(cells: DataFrame, texts: DataFrame) -> DataFrame:
     excused = (F.coalesce("defines", F.lit(0)) > 0) & (F.coalesce("wip", F.lit(0)) == 0)
     placeholder = F.coalesce(_unfinished(F.col("v_text")), F.lit(False))
     why = F.when(placeholder, "placeholder under yellow").when(~excused, "bright yellow without a legend")
-    return mistakes(judged.withColumn("why", why).filter("why is not null"), cell_ref(), F.col("why"))
+    return judged.withColumn("why", why).filter("why is not null")
 
 
 # ---------------------------------------------------------------- font colours
@@ -245,17 +254,30 @@ def colour_mistakes(formulas: DataFrame, cf_colours: DataFrame | None = None) ->
     colours = once(colours, family=K.family(F.col("hue"), F.col("sat"), F.col("val"))).select(F.col("font_rgb").alias("_rgb"), "family")
     f = formulas.filter(~X.is_navigation(F.col("text"))).join(colours, F.col("font_rgb").eqNullSafe(F.col("_rgb"))).drop("_rgb")
     f = once(f, **{"class": X.formula_class(F.col("text"), sheet_name())})
-    wanted = F.when(F.col("class") == "OWN", "black").when(F.col("class") == "EXTERNAL", "red").otherwise("green")
-    wrong = (f.withColumn("wanted", wanted).filter("family <> wanted")
-             .withColumn("check_no", F.when(F.col("wanted") == "black", 49).when(F.col("wanted") == "green", 50).otherwise(51)))
+    wrong = (f.withColumn("wanted", wanted_colour(F.col("class"))).filter("family <> wanted")
+             .withColumn("check_no", colour_number(F.col("wanted"))))
     if cf_colours is not None:
-        rules = K.with_hsv(cf_colours, "cf_rgb")
-        rules = rules.select(*SHEET, "r1", "c1", "r2", "c2", K.family(F.col("hue"), F.col("sat"), F.col("val")).alias("cf_family")).distinct()
-        excused = (range_members(wrong.select(*CELL, "wanted"), rules).filter("cf_family = wanted").select(*CELL).distinct())
-        wrong = wrong.join(excused, CELL, "left_anti")
+        wrong = wrong.join(painted_well(wrong, cf_colours), CELL, "left_anti")
     return wrong.select(*CELL, "check_no", "class", "family", "wanted")
 
 
+def painted_well(wrong: DataFrame, cf_colours: DataFrame) -> DataFrame:
+    """The cells of ``wrong`` (wanted) under a rule that paints the wanted family."""
+    rules = K.with_hsv(cf_colours, "cf_rgb")
+    rules = rules.select(*SHEET, "r1", "c1", "r2", "c2", K.family(F.col("hue"), F.col("sat"), F.col("val")).alias("cf_family")).distinct()
+    return range_members(wrong.select(*CELL, "wanted"), rules).filter("cf_family = wanted").select(*CELL).distinct()
+
+
+def wanted_colour(kind: Column) -> Column:
+    """The font colour a formula class calls for."""
+    return F.when(kind == "OWN", "black").when(kind == "EXTERNAL", "red").otherwise("green")
+
+
+def colour_number(wanted: Column) -> Column:
+    """The check that charges a cell that should have this colour."""
+    return F.when(wanted == "black", 49).when(wanted == "green", 50).otherwise(51)
+
+
 def colour_check(wrong: DataFrame, check_no: int) -> DataFrame:
     """The mistakes of one colour check, cells of one description grouped to rectangles."""
     mine = wrong.filter(F.col("check_no") == check_no).withColumn(
@@ -503,8 +525,7 @@ def volatile_cells(formulas: DataFrame) -> DataFrame:
     # only workbooks with a stamp are parsed; written, as the join reads the rectangles for their sizes and for the pairs
     stamped = formulas.join(stamps.select("wb_id").distinct(), "wb_id", "left_semi")
     precedents = checkpointed(precedent_ranges(stamped))
-    read = stab_join(stamps.select(*CELL, "sheet_key"), precedents, ["wb_id", "sheet_key"], "row_no", "r1", "r2")
-    read = read.filter(F.col("col_no").between(F.col("c1"), F.col("c2"))).select(*CELL).distinct()
+    read = range_members(stamps.select(*CELL, "sheet_key"), precedents, ["wb_id", "sheet_key"]).select(*CELL).distinct()
     bad = d.filter(~F.col("stamp")).select(*CELL, "called").unionByName(stamps.join(read, CELL, "left_semi").select(*CELL, "called"))
     bad = bad.withColumn("why", F.concat(F.lit("calls "), F.array_join("called", ", ")))
     return mistakes(group_cells(bad, [*SHEET, "why"]), rect_ref(), F.col("why"))
@@ -546,25 +567,26 @@ def external_sites(sites: DataFrame, links: DataFrame | None = None, waived: Dat
 def dependency_edges(formulas: DataFrame) -> DataFrame:
     """Edges src -> dst of the calculation graph: formula cells and shared row blocks as nodes.
 
-    A range is not expanded to its cells. It is tiled by power-of-two row blocks of its column
-    span; equal blocks of different formulas are one node, so growing ranges SUM(B$1:Bn) stay
-    near linear. Only formula cells can be on a cycle, so blocks lead to formula cells alone.
+    A range is not expanded to its cells. It is cut into power-of-two tiles of rows and columns;
+    equal tiles of different formulas are one node, so growing ranges SUM(B$1:Bn) stay near
+    linear, and a cell finds its tiles by equal keys. Only formula cells can be on a cycle, so
+    tiles lead to formula cells alone.
     """
     cell = F.concat_ws("!", F.col("wb_id").cast("string"), F.col("sheet_key"), F.col("row_no").cast("string"), F.col("col_no").cast("string"))
     own = formulas.withColumn("sheet_key", F.lower(sheet_name())).withColumn("node", cell)
     plain = own.withColumn("text", X.without_address_calls(F.col("text")))
     refs = (X.references(plain.select("wb_id", "sheet_idx", "node", "text"), "text", sheet_name())
             .filter(~F.col("external")).withColumn("ref_key", F.lower("ref_sheet")))
-    tiles = dyadic_blocks(refs.select("wb_id", "node", "ref_key", "r1", "c1", "r2", "c2"))
-    block = F.concat_ws("#", F.col("wb_id").cast("string"), "ref_key", *[F.col(c).cast("string") for c in ("c1", "c2", "level", "k")])
-    tiles = tiles.withColumn("block", block)
+    tile = ["level", "k", "c_level", "c_k"]
+    tiles = dyadic_tiles(refs.select("wb_id", "node", "ref_key", "r1", "c1", "r2", "c2"))
+    tiles = tiles.withColumn("block", F.concat_ws("#", F.col("wb_id").cast("string"), "ref_key", *[F.col(c).cast("string") for c in tile]))
     into = tiles.select(F.col("node").alias("src"), F.col("block").alias("dst")).distinct()
-    blocks = tiles.select("wb_id", F.col("ref_key").alias("sheet_key"), "c1", "c2", "level", "k", "block").distinct()
-    used = blocks.agg(F.sort_array(F.collect_set("level"))).scalar()
-    places = own.select("wb_id", "sheet_key", "row_no", "col_no", "node").withColumn("level", F.explode(used)).withColumn(
-        "k", F.floor((F.col("row_no") - 1) / F.pow(F.lit(2.0), "level")))
-    out = (places.join(blocks, ["wb_id", "sheet_key", "level", "k"]).filter(F.col("col_no").between(F.col("c1"), F.col("c2")))
-           .select(F.col("block").alias("src"), F.col("node").alias("dst")).distinct())
+    blocks = tiles.select("wb_id", F.col("ref_key").alias("sheet_key"), *tile, "block").distinct()
+    used = blocks.agg(F.collect_set(F.struct("level", "c_level"))).scalar()
+    places = own.select("wb_id", "sheet_key", "row_no", "col_no", "node").withColumn("s", F.explode(used)).select("*", "s.*")
+    for level, place, at in (("level", "k", "row_no"), ("c_level", "c_k", "col_no")):
+        places = places.withColumn(place, F.floor((F.col(at) - 1) / F.pow(F.lit(2.0), level)))
+    out = places.join(blocks, ["wb_id", "sheet_key", *tile]).select(F.col("block").alias("src"), F.col("node").alias("dst")).distinct()
     return into.unionByName(out)
 
 

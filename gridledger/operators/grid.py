@@ -6,12 +6,14 @@ most 1,048,576 cells), limits of the file format; none is keyed by sheet or work
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import formula as X
+from ..session import checkpointed
+
 SHEET = ["wb_id", "sheet_idx"]
 
 
@@ -65,9 +67,36 @@ def stab_join(points: DataFrame, ranges: DataFrame, keys: list[str], point: str,
     return left.join(right, on).select(*[F.col(f"l.{c}") for c in points.columns], *[F.col(f"r.{c}") for c in right_columns])
 
 
+def _tiled(ranges: DataFrame) -> DataFrame:
+    """Rectangles with their size class on each axis and the tiles of that size they touch: two by two at most."""
+    d = ranges.withColumn("_lr", _level(F.col("r2") - F.col("r1") + 1)).withColumn("_lc", _level(F.col("c2") - F.col("c1") + 1))
+    for axis in "rc":
+        size = F.pow(F.lit(4.0), f"_l{axis}")
+        d = d.withColumn(f"_t{axis}", F.explode(F.array_distinct(F.array(*[F.floor(F.col(f"{axis}{i}") / size) for i in "12"]))))
+    return d
+
+
+def tile_candidates(cells: DataFrame, ranges: DataFrame, keys: list[str] = SHEET) -> DataFrame:
+    """(cell, rectangle) pairs that share a tile: what ``range_members`` compares."""
+    right = _tiled(ranges)
+    # the pairs of size classes in use: 12 x 12 at most, and few in a corpus
+    used = ranges.select(F.struct(_level(F.col("r2") - F.col("r1") + 1).alias("_lr"), _level(F.col("c2") - F.col("c1") + 1).alias("_lc")).alias("s")).agg(F.collect_set("s")).scalar()
+    left = cells.withColumn("_s", F.explode(used))
+    for axis, place in (("r", "row_no"), ("c", "col_no")):
+        left = left.withColumn(f"_l{axis}", F.col(f"_s._l{axis}")).withColumn(f"_t{axis}", F.floor(F.col(place) / F.pow(F.lit(4.0), F.col(f"_s._l{axis}"))))
+    on = [*keys, "_lr", "_lc", "_tr", "_tc"]
+    joined = left.alias("l").join(right.alias("r"), [F.col(f"l.{k}") == F.col(f"r.{k}") for k in on])
+    return joined.select(*[F.col(f"l.{c}") for c in cells.columns], *[F.col(f"r.{c}") for c in ranges.columns if c not in keys])
+
+
 def range_members(cells: DataFrame, ranges: DataFrame, keys: list[str] = SHEET) -> DataFrame:
-    """Cells inside rectangles (merges, spills, rule areas)."""
-    return stab_join(cells, ranges, keys, "row_no", "r1", "r2").filter(F.col("col_no").between(F.col("c1"), F.col("c2")))
+    """Cells inside rectangles (merges, spills, rule areas).
+
+    Both meet in tiles of the rectangle's own size on each axis: a whole column meets the cells of that column
+    alone, a row those of that row, and small rectangles only cells around them. A pair meets once.
+    """
+    return (tile_candidates(cells, ranges, keys)
+            .filter(F.col("row_no").between(F.col("r1"), F.col("r2")) & F.col("col_no").between(F.col("c1"), F.col("c2"))))
 
 
 def paint_cols(intervals: DataFrame, key: str = "sheet_key") -> DataFrame:
@@ -92,74 +121,107 @@ def used_range(cells: DataFrame, keys: list[str] = SHEET) -> DataFrame:
                                     F.max("row_no").alias("r2"), F.max("col_no").alias("c2"))
 
 
-def _grow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Greedy blocks from the sorted runs of each sheet; state is one row of open blocks per sheet."""
-    sheet, row, open_blocks, current = None, None, [], []
-    out: list[tuple] = []
-
-    def close(blocks):
-        out.extend((*sheet, top, left, row_end, right) for left, right, top, row_end in blocks)
-
-    def end_row():
-        nonlocal open_blocks, current
-        kept, fresh = [], []
-        for left, right, top, _ in open_blocks:
-            holds = any(a <= left and right <= b for a, b in current)
-            (kept if holds else fresh).append((left, right, top, _))
-        close(fresh)
-        open_blocks = [(left, right, top, row) for left, right, top, _ in kept]
-        for a, b in current:
-            at = a
-            for left, right, _, _ in sorted(x for x in open_blocks if a <= x[0] and x[1] <= b):
-                if left <= at:
-                    at = max(at, right + 1)
-            if at <= b:
-                open_blocks.append((at, b, row, row))
-        current = []
-
-    for pdf in batches:
-        for wb, sh, r, a, b in zip(pdf.wb_id, pdf.sheet_idx, pdf.row_no, pdf.c1, pdf.c2):
-            if (wb, sh) != sheet:
-                if sheet is not None:
-                    end_row()
-                    close(open_blocks)
-                sheet, row, open_blocks, current = (wb, sh), r, [], []
-            elif r != row:
-                end_row()
-                if r != row + 1:
-                    close(open_blocks)
-                    open_blocks = []
-                row = r
-            current.append((a, b))
-        if out:
-            yield pd.DataFrame(out, columns=["wb_id", "sheet_idx", "top", "left", "bottom", "right"])
-            out.clear()
-    if sheet is not None:
-        end_row()
-        close(open_blocks)
-    if out:
-        yield pd.DataFrame(out, columns=["wb_id", "sheet_idx", "top", "left", "bottom", "right"])
-
-
-def contiguous_blocks(cells: DataFrame) -> DataFrame:
+BAND_ROWS = 2048
+_BAND = [*SHEET, "band"]
+_SWEPT = "wb_id long, sheet_idx long, band long, kind string, top long, left long, bottom long, right long"
+
+
+def _sweep(key: tuple, runs: pd.DataFrame, entering: pd.DataFrame) -> pd.DataFrame:
+    """One band of rows from the blocks that enter it: closed blocks, and those open at its last row.
+
+    A block lives on while one run of the row holds it; what of a run is not covered from its left end on by
+    living blocks opens a new one. A block that entered has no top here (null): it began in an earlier band.
+    """
+    live = {(int(a), int(b)): None for a, b in zip(entering["left"], entering["right"])}
+    runs = runs.sort_values(["row_no", "c1"])
+    rows, c1, c2 = (runs[c].to_numpy() for c in ("row_no", "c1", "c2"))
+    starts = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+    out, last, before = [], None, None
+    for a, b in zip(starts.tolist(), np.append(starts[1:], len(rows)).tolist()):
+        row, begins, ends = int(rows[a]), c1[a:b], c2[a:b]
+        if last is not None and row != last + 1:
+            out += [("closed", top, x, last, y) for (x, y), top in live.items()]
+            live, before = {}, None
+        if before is None or not (np.array_equal(begins, before[0]) and np.array_equal(ends, before[1])):  # equal rows change nothing
+            inside: dict[int, list] = {}
+            for x, y in sorted(live):
+                at = int(np.searchsorted(begins, x, "right")) - 1
+                if at >= 0 and y <= ends[at]:
+                    inside.setdefault(at, []).append((x, y))
+                else:
+                    out.append(("closed", live.pop((x, y)), x, row - 1, y))
+            for i, (x, y) in enumerate(zip(begins.tolist(), ends.tolist())):
+                at = x
+                for left, right in inside.get(i, ()):
+                    if left <= at:
+                        at = max(at, right + 1)
+                if at <= y:
+                    live[at, y] = row
+        last, before = row, (begins, ends)
+    out += [("open", top, a, last, b) for (a, b), top in live.items()]
+    out.append(("rows", int(rows[0]), None, last, None))
+    d = pd.DataFrame(out, columns=["kind", "top", "left", "bottom", "right"]).astype({c: "Int64" for c in ("top", "left", "bottom", "right")})
+    d.insert(0, "band", key[2])
+    d.insert(0, "sheet_idx", key[1])
+    d.insert(0, "wb_id", key[0])
+    return d
+
+
+def _entering(swept: DataFrame, band_rows: int) -> DataFrame:
+    """Blocks that enter a band: those open at the end of the band before, where its rows go on in this one."""
+    rows = swept.filter("kind = 'rows'").select(*_BAND, F.col("top").alias("first_row"), F.col("bottom").alias("last_row"))
+    before = rows.select(*SHEET, (F.col("band") + 1).alias("band"), (F.col("last_row") + 1).alias("first_row"))
+    joined = rows.select(*_BAND, "first_row").join(before, [*_BAND, "first_row"], "left_semi").select(*_BAND)
+    return swept.filter("kind = 'open'").select(*SHEET, (F.col("band") + 1).alias("band"), "left", "right").join(joined, _BAND)
+
+
+def contiguous_blocks(cells: DataFrame, band_rows: int = BAND_ROWS) -> DataFrame:
     """Rectangles grown greedily, in reading order, right along the row and then down.
 
-    Order dependent, so runs of one sheet are read in order; they stream through with the
-    open blocks of one row as the only state. Spans of non-empty rows are independent and
-    are spread over tasks.
+    A sheet is swept in bands of ``band_rows`` rows, apart from each other. All bands start with nothing open;
+    then a band is swept again whenever the blocks that enter it are not those it was swept with. A band's
+    end depends on what entered only until its runs have changed, so a few rounds settle all seams. What passes
+    through whole bands finds its first row at the end, from the band that opened it.
     """
     along = Window.partitionBy(*SHEET, "row_no").orderBy("col_no")
     runs = (cells.select(*SHEET, "row_no", "col_no").distinct()
             .withColumn("island", F.col("col_no") - F.row_number().over(along))
             .groupBy(*SHEET, "row_no", "island").agg(F.min("col_no").alias("c1"), F.max("col_no").alias("c2")))
-    rows = runs.select(*SHEET, "row_no").distinct()
-    down = Window.partitionBy(*SHEET).orderBy("row_no")
-    spans = rows.withColumn("span", F.col("row_no") - F.row_number().over(down))
-    keyed = runs.join(spans, [*SHEET, "row_no"]).select(
-        F.col("wb_id").cast("long"), F.col("sheet_idx").cast("long"), F.col("span").cast("long"),
-        F.col("row_no").cast("long"), F.col("c1").cast("long"), F.col("c2").cast("long"))
-    placed = keyed.repartition(*SHEET, "span").sortWithinPartitions(*SHEET, "row_no", "c1")
-    return placed.mapInPandas(_grow, "wb_id long, sheet_idx long, top long, left long, bottom long, right long")
+    runs = checkpointed(runs.select(*[F.col(c).cast("long").alias(c) for c in SHEET], F.floor((F.col("row_no") - 1) / band_rows).alias("band"),
+                                    *[F.col(c).cast("long").alias(c) for c in ("row_no", "c1", "c2")]))
+    nothing = runs.select(*_BAND, F.col("c1").alias("left"), F.col("c2").alias("right")).limit(0)
+
+    def sweep(some: DataFrame, entering: DataFrame) -> DataFrame:
+        return some.groupBy(*_BAND).cogroup(entering.groupBy(*_BAND)).applyInPandas(_sweep, _SWEPT)
+
+    def state(entering: DataFrame, name: str) -> DataFrame:
+        return entering.groupBy(*_BAND).agg(F.sort_array(F.collect_list(F.struct("left", "right"))).alias(name))
+
+    used = nothing
+    swept = checkpointed(sweep(runs, nothing))
+    while True:
+        entering = checkpointed(_entering(swept, band_rows))
+        both = state(entering, "now").join(state(used, "then"), _BAND, "full")
+        changed = checkpointed(both.filter(~F.col("now").eqNullSafe(F.col("then"))).select(*_BAND))
+        if changed.isEmpty():
+            break
+        again = sweep(runs.join(changed, _BAND, "left_semi"), entering.join(changed, _BAND, "left_semi"))
+        swept = checkpointed(swept.join(changed, _BAND, "left_anti").select(*[f.split()[0] for f in _SWEPT.split(", ")]).unionByName(again))
+        used = entering
+    # a block without a top began in the last band before that opened it; it is open at the end of every band between
+    opened = swept.filter("kind = 'open' AND top IS NOT NULL").select(*_BAND, "left", "right", F.col("top").alias("began"))
+    ends = swept.filter("kind = 'closed'").select(*_BAND, "top", "left", "bottom", "right")
+    # open at the last row of a band into which nothing goes on
+    onward = _entering(swept, band_rows).select(*SHEET, (F.col("band") - 1).alias("band"), "left", "right")
+    ends = ends.unionByName(swept.filter("kind = 'open'").join(onward, [*_BAND, "left", "right"], "left_anti").select(*ends.columns))
+    whole, parted = ends.filter("top IS NOT NULL"), ends.filter("top IS NULL")
+    seen = parted.select(*SHEET, "left", "right", "band", "bottom", F.lit(None).cast("long").alias("began")).unionByName(
+        opened.select(*SHEET, "left", "right", "band", F.lit(None).cast("long").alias("bottom"), "began"))
+    # inside one band an entered block closes before the same span can open again
+    w = Window.partitionBy(*SHEET, "left", "right").orderBy("band", F.col("bottom").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    placed = seen.withColumn("top", F.last("began", ignorenulls=True).over(w)).filter("bottom IS NOT NULL")
+    columns = [*SHEET, "top", "left", "bottom", "right"]
+    return whole.select(*columns).unionByName(placed.select(*columns))
 
 
 def effective_style(cells: DataFrame, row_styles: DataFrame, col_styles: DataFrame) -> DataFrame:
@@ -205,6 +267,23 @@ def shared_children(masters: DataFrame, children: DataFrame) -> DataFrame:
                         (~on_grid).alias("off_grid"))
 
 
+def shared_texts(cells: DataFrame, keys: list[str] = SHEET) -> DataFrame:
+    """``cells`` with the text of every formula: a child of a shared formula reads its master's text moved to its place.
+
+    ``cells`` carries row_no, col_no, formula (null where none is written) and si, the number of the shared formula
+    in its sheet (null outside one). The master is the cell of the group that has a text, the first by row and
+    column if several have; a cell with a text of its own keeps it, a group without any gives null. A master
+    with children on a whole sheet is one row beside many: the join is split when its key is hot.
+    """
+    written = F.col("formula").isNotNull() & (F.col("formula") != "")
+    masters = (cells.filter(F.col("si").isNotNull() & written).groupBy(*keys, "si")
+               .agg(F.min_by(F.struct("formula", "row_no", "col_no"), F.struct("row_no", "col_no")).alias("_m")))
+    d = cells.join(masters, [*keys, "si"], "left")
+    moved = X.shifted(F.col("_m.formula"), F.col("row_no") - F.col("_m.row_no"), F.col("col_no") - F.col("_m.col_no"))
+    text = F.when(written, F.col("formula")).when(F.col("_m").isNotNull(), moved)
+    return d.select(*cells.columns, text.alias("text"))
+
+
 def dyadic_blocks(ranges: DataFrame) -> DataFrame:
     """The canonical power-of-two row blocks (level, k) that tile r1..r2, one row each."""
     levels = F.sequence(F.lit(0), F.floor(F.log2(F.col("r2") - F.col("r1") + 1)).cast("int"))
@@ -212,3 +291,10 @@ def dyadic_blocks(ranges: DataFrame) -> DataFrame:
     a, b = F.ceil((F.col("r1") - 1) / size), F.floor(F.col("r2") / size)
     sides = F.array_compact(F.array(F.when((a < b) & (a % 2 == 1), a), F.when((a < b) & (b % 2 == 1), b - 1)))
     return ranges.withColumn("level", F.explode(levels)).withColumn("k", F.explode(sides))
+
+
+def dyadic_tiles(ranges: DataFrame) -> DataFrame:
+    """The canonical power-of-two tiles (level, k, c_level, c_k) of rectangles, one row each: row blocks times column blocks."""
+    columns = ranges.select("*", F.col("r1").alias("_r1"), F.col("r2").alias("_r2")).withColumn("r1", F.col("c1")).withColumn("r2", F.col("c2"))
+    columns = dyadic_blocks(columns).withColumnsRenamed({"level": "c_level", "k": "c_k"}).withColumn("r1", F.col("_r1")).withColumn("r2", F.col("_r2")).drop("_r1", "_r2")
+    return dyadic_blocks(columns)
