@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 from ..session import checkpointed
 from .words import slices, text_bytes
 
-_CACHE_PIECES = 150_000
-_CACHE_BYTES = 16 << 20
+_CACHE_PIECES = 300_000
+_CACHE_BYTES = 24 << 20
 _LOADED: dict[str, Aligner] = {}
 DIGEST = "doc_id long, n_a long, n_b long, n_groups long, n_links long"
 
@@ -83,10 +84,11 @@ class Aligner:
     def reset(self) -> None:
         self.known: dict[str, int] = {}
         self.held = 0
-        self.n_a, self.n_b, self.n_groups = [], [], []  # per piece; -1 groups: the bytes do not come back
         self.shown: list[str] = []
-        self.alike: list[np.ndarray] = []  # A ids of the groups of two equal tokens
-        self.other: list[np.ndarray] = []  # pairs of the other groups, a * size_b + b
+        none = np.empty(0, np.int64)
+        self.numbers = np.empty((3, 0), np.int64)  # per piece tokens of A, of B, groups; -1 groups: the bytes do not come back
+        self.alike = (none, np.zeros(1, np.int64))  # A ids of the groups of two equal tokens, and where each piece's begin
+        self.other = (none, np.zeros(1, np.int64))  # pairs of the other groups, a * size_b + b, likewise
 
     @staticmethod
     def cut(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -111,16 +113,34 @@ class Aligner:
         pieces = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(raw)))
         return pieces, np.searchsorted(starts, at[1:]) - np.searchsorted(starts, at[:-1])
 
-    def learn(self, pieces: list[str]) -> None:
-        """Aligns new pieces, all at once: lengths of tokens give their ends, common ends give groups."""
-        a, b = self.encode(pieces)
-        sound = []
-        for text, x, y in zip(pieces, a, b, strict=True):
-            raw = text.encode()
-            sound.append(b"".join(map(self.a_bytes.__getitem__, x)) == raw and b"".join(map(self.b_bytes.__getitem__, y)) == raw)
-        good = [i for i, ok in enumerate(sound) if ok]
-        ids_a = np.array([t for i in good for t in a[i]], np.int64)
-        ids_b = np.array([t for i in good for t in b[i]], np.int64)
+    def _together(self, pieces: list[str]) -> tuple | None:
+        """Ids of both sides for pieces encoded as one text, and how many each piece has; None where the bytes or the cuts do not fit."""
+        text = "".join(pieces)
+        (a,), (b,) = self.encode([text])
+        raw = text.encode()
+        if b"".join(map(self.a_bytes.__getitem__, a)) != raw or b"".join(map(self.b_bytes.__getitem__, b)) != raw:
+            return None
+        cuts = np.cumsum(pc.binary_length(pa.array(pieces, pa.string())).to_numpy())
+        out = []
+        for ids, size in ((np.array(a, np.int64), self.a_len), (np.array(b, np.int64), self.b_len)):
+            ends = np.cumsum(size[ids])
+            at = np.searchsorted(ends, cuts)
+            if (ends[at] != cuts).any():
+                return None
+            out.append((ids, np.diff(at, prepend=-1)))
+        return out
+
+    def learn(self, pieces: list[str]) -> list[tuple]:
+        """Adds new pieces to the cache; returns their numbers to be added to the arrays."""
+        if (found := self._together(pieces)) is None:
+            if len(pieces) > 1:
+                half = len(pieces) // 2
+                return self.learn(pieces[:half]) + self.learn(pieces[half:])
+            found = [(np.empty(0, np.int64), np.zeros(1, np.int64))] * 2
+            unsound = True
+        else:
+            unsound = False
+        (ids_a, size_a), (ids_b, size_b) = found
         ends_a, ends_b = np.cumsum(self.a_len[ids_a]), np.cumsum(self.b_len[ids_b])
         common = np.intersect1d(ends_a, ends_b, assume_unique=True)
         group_a, group_b = np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)
@@ -134,36 +154,45 @@ class Aligner:
         of = np.searchsorted(common, ends)
         rest = ~alike[of] if len(of) else np.empty(0, bool)
         pair = ids_a[np.searchsorted(ends_a, ends[rest])] * self.size_b + ids_b[np.searchsorted(ends_b, ends[rest])]
-        pair_group = of[rest]
-        sizes = np.zeros(len(pieces), np.int64)
-        sizes[good] = [len(a[i]) for i in good]
-        last = np.cumsum(sizes)
-        group_end = np.zeros(len(pieces) + 1, np.int64)
-        group_end[1:] = np.where(last > 0, group_a[np.maximum(last - 1, 0)] + 1, 0) if len(group_a) else 0
+        groups = np.searchsorted(common, ends_a[np.cumsum(size_a) - 1]) + 1 if len(common) else np.zeros(len(pieces), np.int64)  # up to each piece's end
         text_a, text_b = list(map(str, ids_a.tolist())), list(map(str, ids_b.tolist()))
         shown = [f"{text_a[i]}|{text_b[j]}" if n == 1 and m == 1 else ",".join(text_a[i:i + n]) + "|" + ",".join(text_b[j:j + m])
                  for i, j, n, m in zip(first_a.tolist(), first_b.tolist(), count_a.tolist(), count_b.tolist(), strict=True)]
-        same_ids = ids_a[first_a[alike]]
-        same_at = np.searchsorted(np.flatnonzero(alike), group_end)
-        pair_at = np.searchsorted(pair_group, group_end)
-        for k, text in enumerate(pieces):
-            self.known[text] = len(self.shown)
-            g, h = (int(group_end[k]), int(group_end[k + 1])) if sound[k] else (0, 0)
-            self.n_a.append(len(a[k]) if sound[k] else 0)
-            self.n_b.append(len(b[k]) if sound[k] else 0)
-            self.n_groups.append(h - g if sound[k] else -1)
-            self.shown.append(";".join(shown[g:h]))
-            self.alike.append(same_ids[same_at[k]:same_at[k + 1]].copy() if sound[k] else same_ids[:0])
-            self.other.append(pair[pair_at[k]:pair_at[k + 1]].copy() if sound[k] else pair[:0])
-            self.held += len(text) + len(self.shown[-1])
+        self.known.update(zip(pieces, range(len(self.shown), len(self.shown) + len(pieces)), strict=True))
+        bounds = [0, *groups.tolist()]
+        joined = [";".join(shown[g:h]) for g, h in zip(bounds[:-1], bounds[1:], strict=True)]
+        self.shown += joined
+        self.held += sum(map(len, pieces)) + sum(map(len, joined))
+        n_groups = np.diff(groups, prepend=0) if not unsound else np.array([-1])
+        return [(np.stack((size_a, size_b, n_groups)), ids_a[first_a[alike]], np.searchsorted(np.flatnonzero(alike), groups), pair, np.searchsorted(of[rest], groups))]
 
     def places(self, pieces: pa.Array) -> np.ndarray:
         """Where each piece lies in the cache, after learning the new ones."""
         coded = pieces.dictionary_encode()
         unique = coded.dictionary.to_pylist()
         new = [t for t in unique if t not in self.known]
-        for i in range(0, len(new), 4096):
-            self.learn(new[i:i + 4096])
+        if new:
+            # behind these a piece may follow in one text; the others are encoded alone
+            last = np.array([ord(t[-1]) for t in new])
+            free = ((last > 0x20) & (last < 0x7F)) | ((last >= 0xC0) & (last < 0x1000))
+            added = []
+            joint, size, batch = [], 0, []
+            for t, ok in zip(new, free.tolist(), strict=True):
+                if ok and self.by_piece:
+                    batch.append(t)
+                    size += len(t)
+                    if size > 1 << 14:
+                        joint.append(batch)
+                        size, batch = 0, []
+                else:
+                    joint.append([t])
+            for group in [*joint, *([batch] if batch else [])]:
+                added += self.learn(group)
+            self.numbers = np.concatenate([self.numbers, *[x[0] for x in added]], axis=1)
+            for name, ids, ends in (("alike", 1, 2), ("other", 3, 4)):
+                values, begin = getattr(self, name)
+                shift = len(values) + np.cumsum([0, *[len(x[ids]) for x in added]])
+                setattr(self, name, (np.concatenate([values, *[x[ids] for x in added]]), np.concatenate([begin, *[x[ends] + k for x, k in zip(added, shift.tolist(), strict=False)]])))
         return np.array([self.known[t] for t in unique], np.int64)[coded.indices.to_numpy()]
 
     def align(self, texts: pa.Array) -> tuple[np.ndarray, list[str], tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
@@ -175,25 +204,25 @@ class Aligner:
         pieces, count = self.cut(spaced) if self.by_piece else (spaced.filter(pa.array([bool(t) for t in spaced.to_pylist()])), np.array([int(bool(t)) for t in spaced.to_pylist()], np.int64))
         at = self.places(pieces) if len(pieces) else np.empty(0, np.int64)
         row = np.repeat(np.arange(n), count)
-        groups = np.array(self.n_groups, np.int64)
-        doubtful = np.unique(row[groups[at] < 0]) if len(at) else np.empty(0, np.int64)
+        doubtful = np.unique(row[self.numbers[2, at] < 0]) if len(at) else np.empty(0, np.int64)
         if len(doubtful):  # a piece whose bytes do not come back: the whole text decides
             keep = ~np.isin(row, doubtful)
             whole = self.places(spaced.take(pa.array(doubtful)))
             at, row = np.concatenate((at[keep], whole)), np.concatenate((row[keep], doubtful))
-            groups = np.array(self.n_groups, np.int64)
-            keep = groups[at] >= 0
+            keep = self.numbers[2, at] >= 0
             at, row = at[keep], row[keep]
             order = np.argsort(row, kind="stable")
             at, row = at[order], row[order]
-        numbers = np.stack([np.bincount(row, np.array(x, np.int64)[at], n).astype(np.int64) for x in (self.n_a, self.n_b, self.n_groups)]) if len(at) else np.zeros((3, n), np.int64)
+        numbers = np.stack([np.bincount(row, x[at], n).astype(np.int64) for x in self.numbers]) if len(at) else np.zeros((3, n), np.int64)
         begin = np.searchsorted(row, np.arange(n + 1)).tolist()
         where = at.tolist()
         shown = [";".join(map(self.shown.__getitem__, where[x:y])) for x, y in zip(begin[:-1], begin[1:], strict=True)]
 
-        def spread(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-            found = [parts[i] for i in where]
-            return np.repeat(row, [len(x) for x in found]), np.concatenate(found) if found else np.empty(0, np.int64)
+        def spread(part: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+            values, start = part
+            count = start[at + 1] - start[at]
+            to = np.cumsum(count)
+            return np.repeat(row, count), values[np.arange(to[-1] if len(to) else 0) + np.repeat(start[at] - to + count, count)]
 
         return numbers, shown, spread(self.alike), spread(self.other)
 
