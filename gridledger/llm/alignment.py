@@ -288,8 +288,9 @@ def align_tokenizers(docs: DataFrame, a_path: str | None = None, b_path: str | N
 
     counts = checkpointed(rows.select("alike", "alike_n", "other", "other_n").mapInArrow(tally, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")))
     b_of = (F.col("pair") % size_b).alias("b")
+    # pairs and documents both grow with the input: always joined by shuffle, so that the plan is the same at every size
     highest = counts.select(b_of, "n").groupBy("b").agg(F.max("n").alias("most"))
-    judged = checkpointed(counts.select("pair", "n", b_of).join(highest, "b").select("pair", "n", (F.col("n") == F.col("most")).cast("long").alias("best")))
+    judged = checkpointed(counts.select("pair", "n", b_of).join(highest.hint("merge"), "b").select("pair", "n", (F.col("n") == F.col("most")).cast("long").alias("best")))
 
     # one row per A id at most: the vocabulary's length bounds what is collected and sent out
     vector, best = np.zeros(size_a, np.int64), np.zeros(size_a, np.int64)
@@ -311,6 +312,6 @@ def align_tokenizers(docs: DataFrame, a_path: str | None = None, b_path: str | N
 
     even = rows.select("row_id", "alike", "alike_n").mapInArrow(sums, "row_id long, n_best long, count_sum long")
     links = rows.select("row_id", F.explode(F.arrays_zip("other", "other_n")).alias("l")).select("row_id", F.col("l.other").alias("pair"), F.col("l.other_n").alias("links"))
-    uneven = links.join(judged, "pair").select("row_id", (F.col("links") * F.col("best")).alias("n_best"), (F.col("links") * F.col("n")).alias("count_sum"))
+    uneven = links.join(judged.hint("merge"), "pair").select("row_id", (F.col("links") * F.col("best")).alias("n_best"), (F.col("links") * F.col("n")).alias("count_sum"))
     added = even.union(uneven).groupBy("row_id").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
-    return rows.join(added, "row_id").select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+    return rows.join(added.hint("merge"), "row_id").select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
