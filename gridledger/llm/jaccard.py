@@ -34,12 +34,13 @@ from pyspark.sql import functions as F
 
 from ..session import checkpointed
 from .components import connected_components
-from .words import hash_words, mix, shingles, slices, text_bytes
+from .words import hash_words, mix, release, shingles, slices, text_bytes
 
 SIZE, PERCENT = 5, 80
 CHUNK_NGRAMS, CHUNK_SETS = 3 << 19, 1 << 16
 COMMON = 1 / 64  # of a chunk's sets: an n-gram that is in more of them is counted, not listed
 OVERLAP_FRAGMENTS = 8
+ANSWER_ENTRIES = 1 << 20
 _BITS = np.uint64(16)
 _BLOBS = "part long, chunk long, entries binary, ids binary, sizes binary, common binary, common_counts binary"
 _ANSWERS = "chunk long, entries binary, counts binary, common binary, common_counts binary, ids binary, sizes binary, own binary"
@@ -128,20 +129,18 @@ def _send(size: int, fragments: int):
     return send
 
 
-def _answer(table: pa.Table) -> pa.Table:
-    """Of one fragment, all chunks' entries that are shared, with the number of sets that share them."""
-    rows = table.to_pylist()
-    schema = pa.schema([("chunk", pa.int64())] + [(c, pa.binary()) for c in ("entries", "counts", "common", "common_counts", "ids", "sizes", "own")])
-    if rows[0]["part"] < 0:
-        return pa.Table.from_pylist([{"chunk": r["chunk"], "ids": r["ids"], "sizes": r["sizes"], "own": r["entries"]} for r in rows], schema=schema)
-    keys = [np.frombuffer(r["entries"], np.uint64) for r in rows]
-    where = np.repeat(np.arange(len(rows)), [len(k) for k in keys])
-    owner = np.concatenate([np.frombuffer(r["ids"], np.int64)[(k & np.uint64(0xFFFF)).astype(np.int64)] for r, k in zip(rows, keys, strict=True)])
+def _buffers(column: pa.ChunkedArray, kind) -> list[np.ndarray]:
+    """The binary values of a column as arrays that share its memory."""
+    return [np.frombuffer(v.as_buffer(), kind) if v.is_valid else np.empty(0, kind) for v in column]
+
+
+def _answer_range(keys: list[np.ndarray], ids: list[np.ndarray], commons: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list, list, list]:
+    """Of one range of n-grams, each chunk's entries that are shared, how many sets share them, and the counts of its common ones."""
+    where = np.repeat(np.arange(len(keys), dtype=np.int32), [len(k) for k in keys])
+    owner = np.concatenate([i[(k & np.uint64(0xFFFF)).astype(np.int64)] for i, k in zip(ids, keys, strict=True)])
     key = np.concatenate(keys)
-    common = np.concatenate([np.frombuffer(r["common"], np.uint64) for r in rows])
-    more = np.concatenate([np.frombuffer(r["common_counts"], np.uint32) for r in rows]).astype(np.int64)
-    often, inverse = np.unique(common, return_inverse=True)
-    total = np.bincount(inverse, weights=more, minlength=len(often)).astype(np.int64)
+    often, inverse = np.unique(np.concatenate(commons), return_inverse=True)
+    total = np.bincount(inverse, weights=np.concatenate(counts).astype(np.int64), minlength=len(often)).astype(np.int64)
 
     order = np.argsort(key >> _BITS, kind="stable")
     gram = key[order] >> _BITS
@@ -171,29 +170,55 @@ def _answer(table: pa.Table) -> pa.Table:
     order, n_sets = order[shared], count[group][shared].astype(np.uint32) if len(group) else np.empty(0, np.uint32)
     back = np.argsort(where[order], kind="stable")
     order, n_sets = order[back], n_sets[back]
-    cut = np.searchsorted(where[order], np.arange(1, len(rows)))
-    out = []
-    for r, k, n in zip(rows, np.split(key[order], cut), np.split(n_sets, cut), strict=True):
-        c = np.frombuffer(r["common"], np.uint64)
-        out.append({"chunk": r["chunk"], "entries": k.tobytes(), "counts": n.tobytes(), "common": r["common"],
-                    "common_counts": total[np.searchsorted(often, c)].astype(np.uint32).tobytes()})
-    return pa.Table.from_pylist(out, schema=schema)
+    cut = np.searchsorted(where[order], np.arange(1, len(keys)))
+    return np.split(key[order], cut), np.split(n_sets, cut), [total[np.searchsorted(often, c)].astype(np.uint32) for c in commons]
+
+
+def _answer(table: pa.Table) -> pa.Table:
+    """Of one fragment, all chunks' entries that are shared, with the number of sets that share them.
+
+    The fragment is worked off in ranges of about ``ANSWER_ENTRIES`` n-grams, so what it needs beside its own bytes is bounded.
+    """
+    schema = pa.schema([("chunk", pa.int64())] + [(c, pa.binary()) for c in ("entries", "counts", "common", "common_counts", "ids", "sizes", "own")])
+    n = table.num_rows
+    if table["part"][0].as_py() < 0:
+        kept = {"chunk": table["chunk"], "ids": table["ids"], "sizes": table["sizes"], "own": table["entries"]}
+        return pa.table([kept.get(f.name, pa.nulls(n, f.type)) for f in schema], schema=schema)
+    keys, ids = _buffers(table["entries"], np.uint64), _buffers(table["ids"], np.int64)
+    commons, counts = _buffers(table["common"], np.uint64), _buffers(table["common_counts"], np.uint32)
+    steps = max(1, -(-sum(map(len, keys)) // ANSWER_ENTRIES))
+    low, high = min((int(k[0]) for k in keys if len(k)), default=0) >> 16, (max((int(k[-1]) for k in keys if len(k)), default=0) >> 16) + 1
+    cuts = np.array([low + (high - low) * i // steps for i in range(1, steps)], np.uint64)
+    at = [np.concatenate(([0], np.searchsorted(k, cuts << _BITS), [len(k)])) for k in keys]
+    to = [np.concatenate(([0], np.searchsorted(c, cuts), [len(c)])) for c in commons]
+    found: list[list[bytes]] = [[[] for _ in range(n)] for _ in range(3)]
+    for i in range(steps):
+        part = _answer_range([k[a[i]:a[i + 1]] for k, a in zip(keys, at, strict=True)], ids,
+                             [c[a[i]:a[i + 1]] for c, a in zip(commons, to, strict=True)], [c[a[i]:a[i + 1]] for c, a in zip(counts, to, strict=True)])
+        for name, lists in zip(found, part, strict=True):
+            for row, values in zip(name, lists, strict=True):
+                row.append(values.tobytes())
+    entries, n_sets, totals = ([b"".join(row) for row in name] for name in found)
+    out = {"chunk": table["chunk"], "entries": pa.array(entries, pa.binary()), "counts": pa.array(n_sets, pa.binary()), "common": table["common"], "common_counts": pa.array(totals, pa.binary())}
+    done = pa.table([out.get(f.name, pa.nulls(n, f.type)) for f in schema], schema=schema)
+    del keys, ids, commons, counts, found, part
+    release()
+    return done
 
 
 def _join_chunk(percent: int):
     """One chunk's sets with their shared n-grams: the prefix, and a segment for each overlap fragment."""
 
-    def part(rows: list[dict], name: str, kind) -> np.ndarray:
-        return np.concatenate([np.frombuffer(r[name] or b"", kind) for r in rows])
+    def part(table: pa.Table, name: str, kind) -> np.ndarray:
+        return np.concatenate(_buffers(table[name], kind))
 
     def join(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        head = next(r for r in rows if r["ids"] is not None)
-        ids, sizes = np.frombuffer(head["ids"], np.int64), np.frombuffer(head["sizes"], np.uint32).astype(np.int64)
-        key, count = part(rows, "entries", np.uint64), part(rows, "counts", np.uint32)
-        own = np.frombuffer(head["own"], np.uint64)
+        # one row is the chunk's own: it alone has ids, sizes and what never left
+        ids, sizes = part(table, "ids", np.int64), part(table, "sizes", np.uint32).astype(np.int64)
+        key, count = part(table, "entries", np.uint64), part(table, "counts", np.uint32)
+        own = part(table, "own", np.uint64)
         if len(own):
-            common, total = part(rows, "common", np.uint64), part(rows, "common_counts", np.uint32)
+            common, total = part(table, "common", np.uint64), part(table, "common_counts", np.uint32)
             order = np.argsort(common)
             key = np.concatenate((key, own))
             count = np.concatenate((count, total[order][np.searchsorted(common[order], own >> _BITS)]))
@@ -211,6 +236,7 @@ def _join_chunk(percent: int):
         by_gram = np.lexsort((gram, who))
         who, gram = who[by_gram], gram[by_gram]
         piece = np.searchsorted(kept, who) * OVERLAP_FRAGMENTS + (gram * OVERLAP_FRAGMENTS >> 48)
+        release()
         inner = pa.ListArray.from_arrays(pa.array(np.searchsorted(piece, np.arange(len(kept) * OVERLAP_FRAGMENTS + 1)), pa.int32()), pa.array(gram))
         return pa.table({
             "set_id": ids[kept], "n": sizes[kept], "unshared": (sizes - shared)[kept],

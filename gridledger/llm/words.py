@@ -8,6 +8,7 @@ odds of about 2**-64 a pair; results that rest on equality say so.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -133,6 +134,15 @@ def runs(words: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, n
     return out, begin
 
 
+def release() -> None:
+    """Gives memory that a finished pass no longer uses back to the system: workers live on for the next stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not a glibc
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that each holds about ``size`` bytes of text, one row at least."""
     for batch in batches:
@@ -143,3 +153,4 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, size: int = 4 << 20) ->
             b = max(a + 1, int(np.searchsorted(total, total[a] + size, "right")) - 1)
             yield batch.slice(a, b - a)
             a = b
+    release()

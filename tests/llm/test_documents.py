@@ -41,6 +41,34 @@ def test_jaccard_join(awkward):
     assert order(map(tuple, got)) == order(brute.components(rows))
 
 
+def test_fragments_answer_alike_in_any_number_of_ranges(monkeypatch):
+    import pyarrow as pa
+    rng = np.random.default_rng(2)
+    rows = []
+    for chunk in range(6):
+        key = np.unique((rng.integers(0, 400, 500, dtype=np.uint64) << np.uint64(16)) | rng.integers(0, 20, 500, dtype=np.uint64))
+        common = np.unique(rng.integers(0, 400, 9, dtype=np.uint64))
+        key = key[~np.isin(key >> np.uint64(16), common)]
+        rows.append({"part": 3, "chunk": chunk, "entries": key.tobytes(), "ids": rng.integers(0, 60, 20).tobytes(), "sizes": None, "common": common.tobytes(),
+                     "common_counts": rng.integers(2, 9, len(common)).astype(np.uint32).tobytes()})
+    rows.append({"part": 3, "chunk": 9, "entries": b"", "ids": b"", "sizes": None, "common": b"", "common_counts": b""})
+    table = pa.Table.from_pylist(rows, schema=pa.schema([("part", pa.int64()), ("chunk", pa.int64())] + [(c, pa.binary()) for c in ("entries", "ids", "sizes", "common", "common_counts")]))
+    sets = {}
+    for r in rows:
+        ids = np.frombuffer(r["ids"], np.int64)
+        for k in np.frombuffer(r["entries"], np.uint64).tolist():
+            sets.setdefault(k >> 16, set()).add(int(ids[k & 0xFFFF]))
+    more = Counter()
+    for r in rows:
+        more.update(dict(zip(np.frombuffer(r["common"], np.uint64).tolist(), np.frombuffer(r["common_counts"], np.uint32).tolist(), strict=True)))
+    for entries in (1 << 20, 700, 11):
+        monkeypatch.setattr(jaccard, "ANSWER_ENTRIES", entries)
+        for r, a in zip(rows, jaccard._answer(table).to_pylist(), strict=True):
+            want = [(k, len(sets[k >> 16]) + more[k >> 16]) for k in np.frombuffer(r["entries"], np.uint64).tolist() if len(sets[k >> 16]) + more[k >> 16] > 1]
+            assert sorted(zip(np.frombuffer(a["entries"], np.uint64).tolist(), np.frombuffer(a["counts"], np.uint32).tolist(), strict=True)) == want
+            assert np.frombuffer(a["common_counts"], np.uint32).tolist() == [len(sets.get(g, ())) + more[g] for g in np.frombuffer(r["common"], np.uint64).tolist()]
+
+
 def test_jaccard_join_with_common_ngrams_and_other_thresholds(spark, monkeypatch):
     """Counted n-grams, several chunks and star rounds give the same components."""
     import random
