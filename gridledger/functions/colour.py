@@ -73,31 +73,51 @@ def colour_name(h: Column, s: Column, v: Column) -> Column:
             .otherwise(_banded(h, _PLAIN)))
 
 
+# The scale on which tints are applied, hue, lightness and saturation alike.
+HLS = 240
+
+
 def with_tint(df: DataFrame, rgb: str, tint: str, out: str = "tinted") -> DataFrame:
-    """Lightens or darkens a colour in HLS: L' = L(1+t) below zero, L + (1-L)t above."""
+    """Lightens or darkens a colour as a spreadsheet shows it: whole numbers on a scale of 0..240.
+
+    Below zero the lightness shrinks by the tint, above it moves towards 240; a tint beyond one is one, and no
+    tint leaves the colour. Every division drops its rest, after half the divisor was added where that rounds.
+    """
     c = F.col
-    d = df.withColumn("_r", channel(c(rgb), 0) / 255).withColumn("_g", channel(c(rgb), 1) / 255).withColumn("_b", channel(c(rgb), 2) / 255)
+
+    def rounded(top: Column, by: Column) -> Column:
+        return F.floor((top + F.floor(by / 2)) / by)
+
+    d = df
+    for i, ch in enumerate("rgb"):
+        d = d.withColumn(f"_{ch}", channel(c(rgb), i).cast("long"))
     d = d.withColumn("_mx", F.greatest("_r", "_g", "_b")).withColumn("_mn", F.least("_r", "_g", "_b"))
-    d = d.withColumn("_l", (c("_mx") + c("_mn")) / 2).withColumn("_d", c("_mx") - c("_mn"))
-    d = d.withColumn("_s", F.when(c("_d") == 0, 0.0).when(c("_l") <= 0.5, c("_d") / (c("_mx") + c("_mn")))
-                     .otherwise(c("_d") / (2.0 - c("_mx") - c("_mn"))))
-    turn = (F.when(c("_d") == 0, 0.0).when(c("_mx") == c("_r"), (c("_g") - c("_b")) / c("_d"))
-            .when(c("_mx") == c("_g"), (c("_b") - c("_r")) / c("_d") + 2.0).otherwise((c("_r") - c("_g")) / c("_d") + 4.0))
-    d = d.withColumn("_h", F.pmod(turn / 6.0, F.lit(1.0)))
+    d = d.withColumn("_sum", c("_mx") + c("_mn")).withColumn("_d", c("_mx") - c("_mn"))
+    d = d.withColumn("_l", F.floor((c("_sum") * HLS + 255) / 510))
+    d = d.withColumn("_s", F.when(c("_d") == 0, 0).otherwise(rounded(c("_d") * HLS, F.when(c("_l") <= HLS // 2, c("_sum")).otherwise(510 - c("_sum")))))
+    # the share of the way round that each channel lies below the largest
+    away = {ch: rounded((c("_mx") - c(f"_{ch}")) * (HLS // 6), F.nullif(c("_d"), F.lit(0))) for ch in "rgb"}
+    hue = (F.when(c("_r") == c("_mx"), away["b"] - away["g"]).when(c("_g") == c("_mx"), HLS // 3 + away["r"] - away["b"])
+           .otherwise(2 * HLS // 3 + away["g"] - away["r"]))
+    d = d.withColumn("_h", hue)
     t = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c(tint)))
-    d = d.withColumn("_l2", F.when(t < 0, c("_l") * (1 + t)).otherwise(c("_l") + (1 - c("_l")) * t))
-    d = d.withColumn("_m2", F.when(c("_l2") <= 0.5, c("_l2") * (1 + c("_s"))).otherwise(c("_l2") + c("_s") - c("_l2") * c("_s")))
-    d = d.withColumn("_m1", 2 * c("_l2") - c("_m2"))
-
-    def part(shift: float) -> Column:
-        h = F.pmod(c("_h") + shift, F.lit(1.0))
-        raw = (F.when(h < 1 / 6, c("_m1") + (c("_m2") - c("_m1")) * h * 6).when(h < 0.5, c("_m2"))
-               .when(h < 2 / 3, c("_m1") + (c("_m2") - c("_m1")) * (2 / 3 - h) * 6).otherwise(c("_m1")))
-        return F.lpad(F.hex(F.floor(raw * 255 + 0.5)), 2, "0")
+    lighter = F.floor(c("_l") * (1 - t) + HLS - F.floor(HLS * (1 - t)))
+    d = d.withColumn("_l2", F.greatest(F.lit(0), F.least(F.lit(HLS), F.when(t < 0, F.floor(c("_l") * (1 + t))).otherwise(lighter))))
+    d = d.withColumn("_m2", F.when(c("_l2") <= HLS // 2, rounded(c("_l2") * (HLS + c("_s")), F.lit(HLS))).otherwise(c("_l2") + c("_s") - rounded(c("_l2") * c("_s"), F.lit(HLS))))
+    d = d.withColumn("_m1", 2 * c("_l2") - c("_m2")).withColumn("_span", c("_m2") - c("_m1"))
+
+    def part(turn: int) -> Column:
+        h = c("_h") + turn
+        h = F.when(h < 0, h + HLS).when(h > HLS, h - HLS).otherwise(h)
+        step = F.lit(HLS // 6)
+        level = (F.when(c("_s") == 0, c("_l2")).when(h < HLS // 6, c("_m1") + rounded(c("_span") * h, step)).when(h < HLS // 2, c("_m2"))
+                 .when(h < 2 * HLS // 3, c("_m1") + rounded(c("_span") * (2 * HLS // 3 - h), step)).otherwise(c("_m1")))
+        value = F.greatest(F.lit(0), F.least(F.lit(255), rounded(level * 255, F.lit(HLS))))
+        return F.lpad(F.hex(value.cast("long")), 2, "0")
 
     same = F.coalesce(c(tint), F.lit(0.0)) == 0
-    return (d.withColumn(out, F.when(same, F.upper(c(rgb))).otherwise(F.concat(part(1 / 3), part(0.0), part(-1 / 3))))
-            .drop("_r", "_g", "_b", "_mx", "_mn", "_l", "_d", "_s", "_h", "_l2", "_m2", "_m1"))
+    return (d.withColumn(out, F.when(same, F.upper(c(rgb))).otherwise(F.concat(part(HLS // 3), part(0), part(-HLS // 3))))
+            .drop("_r", "_g", "_b", "_mx", "_mn", "_sum", "_l", "_d", "_s", "_h", "_l2", "_m2", "_m1", "_span"))
 
 
 def _linear(x: Column) -> Column:

@@ -170,8 +170,12 @@ def compare_answers(df: DataFrame) -> DataFrame:
     for f in UNIT_SCALES:
         scale_off = scale_off | (F.abs(ratio - f) <= f * 1e-6) | (F.abs(ratio - 1 / f) <= 1e-6 / f)
     miss = both("number") & c("rule").isNull()
-    coarse = (c("rule").isin("tolerance") & c("dec").isNotNull() & (a != 0) & (c("tol") / F.abs(a) > 0.01)
-              & (c("tol") > F.greatest(F.lit(1e-9), F.greatest(F.abs(a), F.abs(b)) * 1e-6)))
+    # the tolerance that made the match, and the value it was measured on
+    form = F.when(c("rule") == "tolerance", F.struct(c("tol").alias("tol"), b.alias("b"))).when(
+        c("rule") == "percent_form", F.when(near(a, b * 100, "tol_up"), F.struct(c("tol_up").alias("tol"), (b * 100).alias("b")))
+        .otherwise(F.struct(c("tol_down").alias("tol"), (b * 0.01).alias("b"))))
+    coarse = (c("dec").isNotNull() & (a != 0) & (form["tol"] / F.abs(a) > 0.01)
+              & (form["tol"] > F.greatest(F.lit(1e-9), F.greatest(F.abs(a), F.abs(form["b"])) * 1e-6)))
     mixed = (c("e.kind") != c("g.kind")) & ~some("empty") & ~some("date") & ~(some("bool") & e_yes.isNotNull() & g_yes.isNotNull())
     sentinel = mixed & (c("e.kind") == "number") & (c("g.kind") == "text") & c("gs")
     kinds = [("coarse_rounding", coarse), ("expected_also_blank", both("empty")),

@@ -140,16 +140,30 @@ def used_names(names: DataFrame, uses: DataFrame | None = None) -> DataFrame:
     return names.select("wb_id", "name", key(F.col("name")).alias("node")).join(used, "node", "left_semi").select("wb_id", "name").distinct()
 
 
-def clean_names(names: DataFrame, uses: DataFrame | None = None, used: DataFrame | None = None) -> DataFrame:
+def missing_sheets(names: DataFrame, sheets: DataFrame) -> DataFrame:
+    """(wb_id, name) of names whose definition reads a sheet that their workbook (sheets: wb_id, sheet) lacks.
+
+    A span of sheets Jan:Dec lacks one if it lacks an end. Other workbooks' sheets are not judged.
+    """
+    refs = X.references(names.select("wb_id", "name", "definition"), "definition", F.lit("")).filter(~F.col("external") & (F.col("ref_sheet") != ""))
+    asked = refs.select("wb_id", "name", F.explode(F.split(F.lower("ref_sheet"), ":")).alias("low")).distinct()
+    return asked.join(sheets.select("wb_id", F.lower("sheet").alias("low")).distinct(), ["wb_id", "low"], "left_anti").select("wb_id", "name").distinct()
+
+
+def clean_names(names: DataFrame, uses: DataFrame | None = None, used: DataFrame | None = None, sheets: DataFrame | None = None) -> DataFrame:
     """Visible names that are broken, or used neither by a formula in ``uses`` nor by a hidden or used name.
 
-    ``used`` is the result of ``used_names`` where it is at hand.
+    ``used`` is the result of ``used_names`` where it is at hand; with ``sheets`` (wb_id, sheet) a name that reads a
+    sheet its workbook does not have is broken.
     """
     if used is None:
         used = used_names(names, uses)
     judged = (names.filter(~F.col("hidden"))
               .join(used.withColumn("is_used", F.lit(True)), ["wb_id", "name"], "left"))
     broken = (F.trim("definition") == "") | F.contains(X.mask_strings(F.col("definition")), F.lit("#REF!"))
+    if sheets is not None:
+        judged = judged.join(missing_sheets(names, sheets).withColumn("lost", F.lit(True)), ["wb_id", "name"], "left")
+        broken = broken | F.coalesce("lost", F.lit(False))
     bad = judged.withColumn("why", F.when(broken, "broken").when(F.col("is_used").isNull(), "unused")).filter("why is not null")
     return bad.select("wb_id", F.lit("Name Manager").alias("sheet"), F.concat(F.lit("Name Manager: "), "name").alias("location"),
                       F.col("why").alias("description"), F.lit("major").alias("severity"))

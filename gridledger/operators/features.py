@@ -77,6 +77,63 @@ def apply_cf(cells: DataFrame, rules: DataFrame) -> DataFrame:
         F.count_if(F.col("fires").isNull()).alias("n_off"))
 
 
+def _general(v: Column) -> Column:
+    """A number as the General format writes it, short of exponents."""
+    text = F.regexp_replace(F.round(v, 9).cast("decimal(38,9)").cast("string"), r"\.?0+$", "")
+    return F.when(v == F.floor(v), v.cast("decimal(38,0)").cast("string")).otherwise(text)
+
+
+def _search_pattern(needle: Column) -> Column:
+    """The needle of a SEARCH as a pattern: '*' any run, '?' one character, '~' before either takes it as it is."""
+    mark = "\u0001"
+    held = F.replace(F.replace(F.replace(needle, F.lit("~~"), F.lit(mark + "t")), F.lit("~*"), F.lit(mark + "s")), F.lit("~?"), F.lit(mark + "q"))
+    plain = F.regexp_replace(held, r"([^\p{L}\p{N}\s*?\x01])", r"\\$1")
+    wild = F.replace(F.replace(plain, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit("."))
+    return F.concat(F.lit("(?is)"), F.replace(F.replace(F.replace(wild, F.lit(mark + "t"), F.lit("~")), F.lit(mark + "s"), F.lit(r"\*")), F.lit(mark + "q"), F.lit(r"\?")))
+
+
+def rule_fires(v_num: Column, v_text: Column, v_err: Column) -> Column:
+    """Whether the rule of the row fires on the cell of the row; null for a rule that needs evaluating.
+
+    ``text`` is the rule's needle. Comparisons and text rules never fire on an error; a comparison with numbers
+    does not fire on a text; a number is searched as General writes it.
+    """
+    kind, needle = F.col("rule_type"), F.col("text")
+    shown = F.coalesce(v_text, _general(v_num), F.lit(""))
+    blank = v_err.isNull() & v_num.isNull() & (F.trim(F.coalesce(v_text, F.lit(""))) == "")
+    found = F.regexp_like(shown, _search_pattern(needle))
+    text = (F.when(kind == "containsText", found).when(kind == "notContainsText", ~found)
+            .when(kind == "beginsWith", F.startswith(F.lower(shown), F.lower(needle))).when(kind == "endsWith", F.endswith(F.lower(shown), F.lower(needle))))
+    number = F.coalesce(v_num, F.when(v_text.isNull(), 0.0))  # an empty cell compares as zero
+    return (F.when(kind == "containsErrors", v_err.isNotNull()).when(kind == "notContainsErrors", v_err.isNull())
+            .when(kind == "containsBlanks", blank).when(kind == "notContainsBlanks", ~blank)
+            .when(kind.isin("containsText", "notContainsText", "beginsWith", "endsWith") & needle.isNotNull(), v_err.isNull() & text)
+            .when(kind.isin("dataBar", "iconSet", "colorScale"), v_num.isNotNull() & v_err.isNull())
+            .when(kind == "cellIs", v_err.isNull() & F.coalesce(cf_fires(number), F.lit(False)) & number.isNotNull()))
+
+
+def cf_overlay(cells: DataFrame, rules: DataFrame, properties: list[str]) -> DataFrame:
+    """(CELL, properties): what conditional formats paint over each cell that lies under a rule, null where nothing.
+
+    ``rules`` are rectangles with rule_type, operator, a, b, text, priority, stop and the properties they set (null
+    for those they leave). A property comes from the first firing rule that sets it; a firing rule with ``stop`` is the
+    last that counts. The first rule with a property decides: if it lies behind the stop, so do all others.
+    """
+    v_text = F.col("v_text") if "v_text" in cells.columns else F.lit(None).cast("string")
+    at = cells.select(*CELL, "v_num", v_text.alias("v_text"), "v_err")
+    hit = range_members(at, rules).filter(F.coalesce(rule_fires(F.col("v_num"), F.col("v_text"), F.col("v_err")), F.lit(False)))
+    first = [F.min(F.when(F.col(p).isNotNull(), F.struct("priority", F.col(p).alias("value")))).alias(p) for p in properties]
+    painted = hit.groupBy(*CELL).agg(F.min(F.when(F.col("stop"), F.col("priority"))).alias("_last"), *first)
+    return painted.select(*CELL, *[F.when(F.col("_last").isNull() | (F.col(f"{p}.priority") <= F.col("_last")), F.col(f"{p}.value")).alias(p) for p in properties])
+
+
+def painted_cells(cells: DataFrame, rules: DataFrame, properties: list[str]) -> DataFrame:
+    """``cells`` with the properties that conditional formats paint over them in place of their own."""
+    over = cf_overlay(cells, rules, properties).withColumnsRenamed({p: f"_over_{p}" for p in properties})
+    joined = cells.join(over, CELL, "left")
+    return joined.select(*[F.coalesce(f"_over_{c}", c).alias(c) if c in properties else F.col(c) for c in cells.columns])
+
+
 def column_profile(cells: DataFrame, examples: int = 3) -> DataFrame:
     """Per column the majority type, the number of values and the first examples."""
     keys = [*SHEET, "col_no"]

@@ -233,6 +233,6 @@ def pinned_checks(configured: DataFrame, pins: DataFrame) -> DataFrame:
 
 
 def retry_later(gradings: DataFrame, machine_reasons: list[str]) -> DataFrame:
-    """Attempts whose grading failed for a reason of the machine and has no good grading beside it."""
+    """Attempts with a grading that failed for a reason of the machine."""
     failed = gradings.filter(F.col("failed") & F.col("failed_reason").rlike("|".join(machine_reasons)))
     return failed.select("attempt_id", "grader_model").distinct()

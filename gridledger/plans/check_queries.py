@@ -13,7 +13,8 @@ from ..operators import fused, graph
 from ..operators.grid import paint_cols
 from ..session import checkpointed
 from . import query
-from .feature_queries import CLASS, FAMILY, MASK, MEANING, REFS, own_sheet
+from ..operators.features import painted_cells
+from .feature_queries import CLASS, FAMILY, MASK, MEANING, OVERLAY, REFS, layers, own_sheet
 from .grid_queries import PAINT
 
 CELL = ["wb_id", "sheet_idx", "row_no", "col_no"]
@@ -79,6 +80,17 @@ def _(v):
     return C.clean_names(v.names, name_users(v))
 
 
+PLACED = "pl AS (SELECT wb_id, name, hidden, 'S' || CAST(length(definition) * 3 % 14 AS VARCHAR(9)) || '!$A$1' AS definition FROM names)"
+
+
+@query("c29_missing_sheets", "names sheets", f"""WITH {PLACED}
+SELECT wb_id, 'Name Manager' AS sheet, 'Name Manager: ' || name AS location, CASE WHEN EXISTS (SELECT 1 FROM sheets s WHERE s.wb_id = pl.wb_id AND s.sheet || '!$A$1' = pl.definition) THEN 'unused' ELSE 'broken' END AS description,
+ 'major' AS severity FROM pl WHERE NOT hidden""")
+def _(v):
+    placed = v.names.withColumn("definition", F.concat(F.lit("S"), (F.length("definition") * 3 % 14).cast("string"), F.lit("!$A$1")))
+    return C.clean_names(placed, sheets=v.sheets)
+
+
 # ---- 47: legends differ by workbook: definition, work in progress, denial
 LEGEND = """said AS (SELECT wb_id, sheet_idx, row_no, col_no, CASE WHEN v_text = 'Yellow fill = key outputs' AND wb_id % 3 = 1 THEN 'Yellow = TBD items'
   WHEN v_text = 'Yellow fill = key outputs' AND wb_id % 3 = 2 THEN 'No yellow is used here' ELSE v_text END AS v_text FROM text_cells),
@@ -219,6 +231,20 @@ def _(v):
     return c66(v)
 
 
+# the format a conditional format paints over a cell decides
+for number, name, source in ((65, "c65_under_conditional_formats", C65), (66, "c66_under_conditional_formats", C66)):
+    sql = source.replace(f"WITH {MEANING}", f"WITH {OVERLAY}, {MEANING}, own AS (SELECT g.* EXCLUDE (style_id), COALESCE(o.fmt_code, f.fmt_code) AS fmt_code FROM grid g JOIN formats f USING (style_id) "
+                         "LEFT JOIN over o ON o.wb_id = g.wb_id AND o.sheet_idx = g.sheet_idx AND o.row_no = g.row_no AND o.col_no = g.col_no)").replace("FROM grid g JOIN formats USING (style_id) JOIN meaning", "FROM own g JOIN meaning")
+
+    @query(name, "grid formats ranges" + (" sheets" if number == 66 else ""), sql)
+    def _(v, number=number):
+        cells = painted_cells(formatted(v), layers(v), ["fmt_code"])
+        if number == 65:
+            return C.shown_negatives(cells)
+        show = v.sheets.select("wb_id", "sheet_idx", (F.col("state") != "hidden").alias("show_zeros"))
+        return C.shown_zeros(cells.join(show, ["wb_id", "sheet_idx"]))
+
+
 # colour pairs of known outcome: white on white, grey on black and yellow on white conceal
 C94 = f"""WITH {MEANING}, pal AS (SELECT * FROM (VALUES (0, 'FFFFFF', 'FFFFFF', TRUE), (1, '000000', 'FFFFFF', FALSE), (2, 'FFFF00', 'FFFFFF', TRUE), (3, 'FF0000', 'FFFFFF', FALSE)) AS t(k, text_rgb, bg_rgb, conceals)),
 x AS (SELECT g.*, CASE WHEN conceals THEN 'text the colour of its background' WHEN nothing THEN 'number format prints nothing' END AS why
@@ -423,10 +449,14 @@ def sites(v):
 SITE_AT = "CASE WHEN sheet = 'Name Manager' THEN '''Name Manager''!' ELSE '''' || sheet || '''!' END || ref"
 
 
-@query("c87_whole_columns", "formulas names ranges", f"""WITH {SITES}
-SELECT wb_id, sheet, {SITE_AT} AS location, site || ' reads a whole column or row' AS description, 'minor' AS severity FROM site WHERE text LIKE '%B:B%' OR text LIKE '%:C:C' OR text LIKE '%$D:$D%'""")
+REACH = C29.split("SELECT wb_id, 'Name Manager'")[0]
+
+
+@query("c87_whole_columns", "formulas names ranges", f"""{REACH}, {SITES}
+SELECT wb_id, sheet, {SITE_AT} AS location, site || ' reads a whole column or row' AS description, 'minor' AS severity FROM site WHERE (site <> 'name' AND (text LIKE '%B:B%' OR text LIKE '%$D:$D%'))
+ OR (site = 'name' AND text LIKE '%:C:C' AND EXISTS (SELECT 1 FROM reach r WHERE r.wb_id = site.wb_id AND r.name = site.ref))""")
 def _(v):
-    return C.whole_column_sites(sites(v))
+    return C.whole_column_sites(sites(v), C.used_names(v.names, name_users(v)))
 
 
 @query("c95_external_links", "formulas names ranges", f"""WITH {SITES}
@@ -557,7 +587,6 @@ def in_books(sql):
     return f"SELECT CAST(FLOOR(sheet_key / 10) AS INT) AS wb_id FROM ({sql}) k"
 
 
-REACH = C29.split("SELECT wb_id, 'Name Manager'")[0]
 SELF = "SELECT wb_id FROM formulas WHERE col_no = 1 AND text LIKE 'SUM(A1:A%'"
 WAIVED = "wb_id % 11 <> 5"
 FOUND = {

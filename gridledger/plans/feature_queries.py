@@ -172,22 +172,28 @@ def _(v):
     return d.select("text_rgb", "bg_rgb", K.colour_name(F.col("hue"), F.col("sat"), F.col("val")).alias("colour"))
 
 
-def tint_part(shift):
-    h = f"((h + {shift}) - FLOOR(h + {shift}))"
-    return f"""printf('%02X', CAST(FLOOR((CASE WHEN {h} < 1.0/6 THEN m1 + (m2 - m1) * {h} * 6 WHEN {h} < 0.5 THEN m2
-      WHEN {h} < 2.0/3 THEN m1 + (m2 - m1) * (2.0/3 - {h}) * 6 ELSE m1 END) * 255 + 0.5) AS BIGINT))"""
+def tint_part(turn):
+    h = f"(CASE WHEN h + {turn} < 0 THEN h + {turn} + 240 WHEN h + {turn} > 240 THEN h + {turn} - 240 ELSE h + {turn} END)"
+    level = (f"CASE WHEN sat = 0 THEN nl WHEN {h} < 40 THEN m1 + ((m2 - m1) * {h} + 20) // 40 WHEN {h} < 120 THEN m2 "
+             f"WHEN {h} < 160 THEN m1 + ((m2 - m1) * (160 - {h}) + 20) // 40 ELSE m1 END")
+    return f"LPAD(HEX(GREATEST(0, LEAST(255, (({level}) * 255 + 120) // 240))), 2, '0')"
 
 
-@query("x13_apply_tint", "colours grid", f"""
+X13 = f"""
 WITH theme AS (SELECT CAST('0x' || substr(text_rgb, 5, 2) AS INT) AS slot, MIN(text_rgb) AS rgb FROM colours GROUP BY 1),
 cells AS (SELECT wb_id, sheet_idx, row_no, col_no, CAST(ref_key % 256 AS INT) AS slot, (style_id - 4) / 8 AS tint FROM grid),
-x AS (SELECT c.*, rgb, CAST('0x' || substr(rgb, 1, 2) AS INT) / 255::DOUBLE AS r, CAST('0x' || substr(rgb, 3, 2) AS INT) / 255::DOUBLE AS g, CAST('0x' || substr(rgb, 5, 2) AS INT) / 255::DOUBLE AS b FROM cells c JOIN theme USING (slot)),
-y AS (SELECT *, GREATEST(r, g, b) AS mx, LEAST(r, g, b) AS mn FROM x),
-l AS (SELECT *, (mx + mn) / 2 AS lum, CASE WHEN mx = mn THEN 0 WHEN (mx + mn) / 2 <= 0.5 THEN (mx - mn) / (mx + mn) ELSE (mx - mn) / (2.0 - mx - mn) END AS s,
-  CASE WHEN mx = mn THEN 0 WHEN mx = r THEN (g - b) / (mx - mn) WHEN mx = g THEN (b - r) / (mx - mn) + 2.0 ELSE (r - g) / (mx - mn) + 4.0 END / 6.0 AS hh FROM y),
-l2 AS (SELECT *, hh - FLOOR(hh) AS h, CASE WHEN tint < 0 THEN lum * (1 + tint) ELSE lum + (1 - lum) * tint END AS nl FROM l),
-m AS (SELECT *, CASE WHEN nl <= 0.5 THEN nl * (1 + s) ELSE nl + s - nl * s END AS m2 FROM l2), mm AS (SELECT *, 2 * nl - m2 AS m1 FROM m)
-SELECT wb_id, sheet_idx, row_no, col_no, rgb, tint, CASE WHEN tint = 0 THEN rgb ELSE {tint_part('1.0/3')} || {tint_part('0.0')} || {tint_part('(-1.0/3)')} END AS tinted FROM mm""")
+x AS (SELECT c.*, rgb, CAST('0x' || substr(rgb, 1, 2) AS INT) AS r, CAST('0x' || substr(rgb, 3, 2) AS INT) AS g, CAST('0x' || substr(rgb, 5, 2) AS INT) AS b FROM cells c JOIN theme USING (slot)),
+y AS (SELECT *, GREATEST(r, g, b) AS mx, GREATEST(r, g, b) + LEAST(r, g, b) AS su, GREATEST(r, g, b) - LEAST(r, g, b) AS d FROM x),
+l AS (SELECT *, (su * 240 + 255) // 510 AS lum FROM y),
+s AS (SELECT *, CASE WHEN d = 0 THEN 0 WHEN lum <= 120 THEN (d * 240 + su // 2) // su ELSE (d * 240 + (510 - su) // 2) // (510 - su) END AS sat,
+  CASE WHEN d = 0 THEN 160 WHEN mx = r THEN ((mx - b) * 40 + d // 2) // d - ((mx - g) * 40 + d // 2) // d WHEN mx = g THEN 80 + ((mx - r) * 40 + d // 2) // d - ((mx - b) * 40 + d // 2) // d
+   ELSE 160 + ((mx - g) * 40 + d // 2) // d - ((mx - r) * 40 + d // 2) // d END AS h,
+  CAST(CASE WHEN tint < 0 THEN FLOOR(lum * (1 + tint)) ELSE FLOOR(lum * (1 - tint) + 240 - FLOOR(240 * (1 - tint))) END AS INT) AS nl FROM l),
+m AS (SELECT *, CASE WHEN nl <= 120 THEN (nl * (240 + sat) + 120) // 240 ELSE nl + sat - (nl * sat + 120) // 240 END AS m2 FROM s), mm AS (SELECT *, 2 * nl - m2 AS m1 FROM m)
+SELECT wb_id, sheet_idx, row_no, col_no, rgb, tint, CASE WHEN tint = 0 THEN rgb ELSE {tint_part(80)} || {tint_part(0)} || {tint_part(-80)} END AS tinted FROM mm"""
+
+
+@query("x13_apply_tint", "colours grid", X13)
 def _(v):
     """Theme colour of a cell by its slot, tinted: slots are looked up in the theme table, then lightened or darkened."""
     theme = v.colours.select(F.conv(F.substring("text_rgb", 5, 2), 16, 10).cast("int").alias("slot"), F.col("text_rgb").alias("rgb"))
@@ -290,3 +296,28 @@ def _(v):
     kind = T.infer_type(F.when(F.col("v_err").isNull(), F.col("v_num")), F.col("v_err"), F.lit(None).cast("boolean"))
     cells = v.grid.withColumn("type", kind).withColumn("shown", shown)
     return O.column_profile(cells)
+
+
+# ---- X17 as an overlay: each rule brings some properties, the first firing rule that has one gives it
+LAYERS = """layers AS (SELECT wb_id, sheet_idx, r1, c1, r2, c2, priority, CASE priority WHEN 3 THEN 'notContainsErrors' WHEN 4 THEN 'beginsWith' ELSE 'cellIs' END AS rule_type,
+ CASE priority WHEN 0 THEN 'greaterThan' WHEN 1 THEN 'lessThan' WHEN 2 THEN 'between' END AS operator, CAST(r1 * 500 AS DOUBLE) AS a, CAST(c1 * 1000 AS DOUBLE) AS b,
+ CASE priority WHEN 0 THEN '0.00' WHEN 1 THEN '#,##0;(#,##0);"-"' WHEN 4 THEN '#,##0;-#,##0' END AS fmt_code, CASE priority WHEN 2 THEN 'FF0000' WHEN 3 THEN '008000' END AS font_rgb, priority = 3 AS stop FROM ranges)"""
+OVERLAY = LAYERS + """, hit AS (SELECT g.wb_id, g.sheet_idx, g.row_no, g.col_no, priority, l.fmt_code, font_rgb, stop FROM grid g JOIN layers l ON l.wb_id = g.wb_id AND l.sheet_idx = g.sheet_idx AND row_no BETWEEN r1 AND r2 AND col_no BETWEEN c1 AND c2
+ WHERE CASE rule_type WHEN 'notContainsErrors' THEN v_err IS NULL WHEN 'beginsWith' THEN v_err IS NULL AND v_num < 0 ELSE v_err IS NULL AND CASE operator WHEN 'greaterThan' THEN v_num > a WHEN 'lessThan' THEN v_num < a ELSE v_num BETWEEN LEAST(a, b) AND GREATEST(a, b) END END),
+ends AS (SELECT *, MIN(CASE WHEN stop THEN priority END) OVER (PARTITION BY wb_id, sheet_idx, row_no, col_no) AS last FROM hit),
+over AS (SELECT wb_id, sheet_idx, row_no, col_no, arg_min(fmt_code, priority) FILTER (fmt_code IS NOT NULL) AS fmt_code, arg_min(font_rgb, priority) FILTER (font_rgb IS NOT NULL) AS font_rgb
+ FROM ends WHERE priority <= COALESCE(last, 99) GROUP BY 1, 2, 3, 4)"""
+
+
+def layers(v):
+    p = F.col("priority")
+    return (v.ranges.withColumn("rule_type", F.when(p == 3, "notContainsErrors").when(p == 4, "beginsWith").otherwise("cellIs"))
+            .withColumn("operator", F.when(p == 0, "greaterThan").when(p == 1, "lessThan").when(p == 2, "between"))
+            .withColumn("a", (F.col("r1") * 500).cast("double")).withColumn("b", (F.col("c1") * 1000).cast("double"))
+            .withColumn("fmt_code", F.when(p == 0, "0.00").when(p == 1, '#,##0;(#,##0);"-"').when(p == 4, "#,##0;-#,##0"))
+            .withColumn("font_rgb", F.when(p == 2, "FF0000").when(p == 3, "008000")).withColumn("stop", p == 3).withColumn("text", F.lit("-")))
+
+
+@query("x17_cf_overlay", "grid ranges", f"WITH {OVERLAY} SELECT wb_id, sheet_idx, row_no, col_no, fmt_code, font_rgb FROM over WHERE fmt_code IS NOT NULL OR font_rgb IS NOT NULL")
+def _(v):
+    return O.cf_overlay(v.grid, layers(v), ["fmt_code", "font_rgb"]).filter("fmt_code IS NOT NULL OR font_rgb IS NOT NULL")
