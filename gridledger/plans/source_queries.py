@@ -6,8 +6,10 @@ import zipfile
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..session import fresh_folder
+from ..operators.grid import shared_texts
+from ..session import checkpointed, fresh_folder
 from ..sources import logs as L
+from ..sources import packages
 from ..sources import sinks as K
 from ..sources import workbooks as W
 from . import query
@@ -244,3 +246,117 @@ def _(v):
     manifest = p.select("path", F.octet_length("content").alias("size"), F.when(wrong, F.sha2(F.lit("other"), 256)).otherwise(F.sha2("content", 256)).alias("sha256"))
     moved = p.withColumn("path", F.when(F.col("page_id") % 7 == 0, F.concat("path", F.lit(".moved"))).otherwise(F.col("path")))
     return W.verify_manifest(manifest, moved)
+
+
+# ---- from files to verdicts: whole packages with styles, theme, views and shared formulas
+def _cell(col, row, rows="d", cols="e"):
+    """SQL of a relative reference of the master, moved; #REF! left of the grid."""
+    return f"CASE WHEN {col} + {cols} < 1 THEN '#REF!' ELSE chr(CAST(64 + {col} + {cols} AS INT)) || CAST({row} + {rows} AS VARCHAR) END"
+
+
+# formulas of two neighbouring columns are one shared formula; its first cell by row and column is the master
+MOVED = f"""fc AS (SELECT f.wb_id, f.sheet_idx, f.row_no, f.col_no, f.text, f.font_rgb, (f.col_no - 1) // 2 AS si FROM formulas f),
+ms AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY wb_id, sheet_idx, si ORDER BY row_no, col_no) AS k FROM fc) q WHERE k = 1),
+mv AS (SELECT fc.wb_id, fc.sheet_idx, fc.row_no, fc.col_no, fc.font_rgb, ms.text AS mt, ms.row_no AS mr, ms.col_no AS mc, fc.row_no - ms.row_no AS d, fc.col_no - ms.col_no AS e
+ FROM fc JOIN ms ON ms.wb_id = fc.wb_id AND ms.sheet_idx = fc.sheet_idx AND ms.si = fc.si),
+moved AS (SELECT wb_id, sheet_idx, row_no, col_no, font_rgb, CASE WHEN mt LIKE 'SUM(A1:A%' THEN 'SUM(' || CASE WHEN e < 0 THEN '#REF!' ELSE {_cell('1', '1')} || ':' || {_cell('1', 'mr')} END || ')'
+ WHEN mt LIKE 'S1!B%' THEN 'S1!' || {_cell('2', 'mr')} WHEN mt LIKE 'S2!C3*B%' THEN 'S2!' || {_cell('3', '3')} || '*' || {_cell('2', 'mr')}
+ WHEN mt LIKE 'OFFSET(%' THEN 'OFFSET(' || {_cell('1', '1')} || ',1,' || CAST(mc AS VARCHAR) || ')' WHEN mt LIKE 'SUM(B:B)%' THEN 'SUM(' || chr(CAST(66 + e AS INT)) || ':' || chr(CAST(66 + e AS INT)) || ')/2'
+ WHEN mt LIKE '[1]%' THEN '[1]Rates!$B$2*' || {_cell('3', 'mr')} WHEN mt LIKE 'IF(%' THEN 'IF(' || {_cell('1', '1')} || '="OFFSET(",ROUND(' || {_cell('2', '2')} || ',2),WACC)' ELSE mt END AS text FROM mv)"""
+
+
+def shared_groups(v):
+    """The formulas with only the master's text written."""
+    f = v.formulas.withColumn("si", F.floor((F.col("col_no") - 1) / 2).cast("int"))
+    first = f.groupBy("wb_id", "sheet_idx", "si").agg(F.min(F.struct("row_no", "col_no")).alias("m"))
+    return f.join(first, ["wb_id", "sheet_idx", "si"]).withColumn("formula", F.when((F.col("row_no") == F.col("m.row_no")) & (F.col("col_no") == F.col("m.col_no")), F.col("text"))).drop("m", "text")
+
+
+@query("e11_shared_texts", "formulas", f"WITH {MOVED} SELECT wb_id, sheet_idx, row_no, col_no, text FROM moved")
+def _(v):
+    return shared_texts(shared_groups(v)).select("wb_id", "sheet_idx", "row_no", "col_no", "text")
+
+
+_REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+_STYLE_SHEET = (f'<styleSheet xmlns="{_MAIN}"><numFmts count="5"><numFmt numFmtId="164" formatCode="#,##0;(#,##0);&quot;-&quot;"/><numFmt numFmtId="165" formatCode="#,##0;-#,##0"/><numFmt numFmtId="166" formatCode=";;;"/>'
+                '<numFmt numFmtId="167" formatCode="#,##0.00_);(#,##0.00)"/><numFmt numFmtId="168" formatCode="yyyy-mm-dd"/></numFmts>'
+                '<fonts count="6"><font><sz val="11"/><color theme="1"/><name val="Calibri"/></font><font><sz val="11"/><color rgb="FF008000"/></font><font><color indexed="10"/></font><font><color rgb="FF0000FF"/></font>'
+                '<font><sz val="11"/></font><font><color theme="1" tint="0"/></font></fonts>'
+                '<fills count="4"><fill><patternFill patternType="none"/></fill><fill><patternFill patternType="solid"><fgColor rgb="FFFFFF00"/></patternFill></fill>'
+                '<fill><patternFill patternType="solid"><fgColor theme="4" tint="0.39997558519241921"/></patternFill></fill><fill><patternFill patternType="solid"><fgColor indexed="51"/></patternFill></fill></fills>'
+                '<cellXfs count="8">' + "".join(f'<xf numFmtId="{n}" fontId="{f}" fillId="{p}"/>' for n, f, p in
+                                                ((0, 0, 0), (2, 1, 1), (164, 2, 2), (165, 3, 0), (9, 4, 0), (166, 5, 3), (167, 0, 0), (168, 4, 0))) + "</cellXfs></styleSheet>")
+_THEME = ('<a:theme xmlns:a="urn:a"><a:themeElements><a:clrScheme name="x"><a:dk1><a:sysClr val="windowText" lastClr="000000"/></a:dk1><a:lt1><a:sysClr val="window" lastClr="FFFFFF"/></a:lt1>'
+          '<a:accent1><a:srgbClr val="4472C4"/></a:accent1></a:clrScheme></a:themeElements></a:theme>')
+
+
+def _zip_members(batches):
+    for batch in batches:
+        for wb, names, bodies in zip(batch.wb_id, batch.names, batch.bodies):
+            buffer = io.BytesIO()
+            with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
+                for name, body in zip(names, bodies):
+                    z.writestr(name, body)
+            yield pd.DataFrame({"path": [f"wb{wb}.xlsx"], "content": [buffer.getvalue()]})
+
+
+def model_files(v):
+    """The grid as whole packages (path, content). Only the tests' input is made here; its sheets are small by construction."""
+    x = F.lit
+    written = F.col("v_err").isNotNull() | (F.col("v_num") < 0)
+    where = ["wb_id", "sheet_idx", "row_no", "col_no"]
+    g = v.grid.join(shared_groups(v).select(*where, "si", "formula"), where)
+    # a group's master is its first formula cell of those that are written
+    first = g.filter(written).groupBy("wb_id", "sheet_idx", "si").agg(F.min(F.struct("row_no", "col_no")).alias("m"))
+    g = g.join(first, ["wb_id", "sheet_idx", "si"], "left").join(v.formulas.select(*where, "text"), where)
+    escaped = F.regexp_replace(F.regexp_replace("text", "&", "&amp;"), "<", "&lt;")
+    master = (F.col("row_no") == F.col("m.row_no")) & (F.col("col_no") == F.col("m.col_no"))
+    f = F.when(written, F.when(master, F.concat(x('<f t="shared" ref="A1" si="'), F.col("si").cast("string"), x('">'), escaped, x("</f>"))).otherwise(
+        F.concat(x('<f t="shared" si="'), F.col("si").cast("string"), x('"/>')))).otherwise("")
+    ref = F.concat(F.char(F.col("col_no") + 64), F.col("row_no").cast("string"))
+    kind = F.when(F.col("v_err").isNotNull(), x(' t="e"')).otherwise("")
+    cell = F.concat(x('<c r="'), ref, x('" s="'), F.col("style_id").cast("string"), x('"'), kind, x(">"), f, x("<v>"), F.coalesce("v_err", F.col("v_num").cast("string")), x("</v></c>"))
+    join = lambda key, item: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, item))), lambda s: s[item]), "")
+    rows = g.withColumn("cell", cell).groupBy("wb_id", "sheet_idx", "row_no").agg(join("col_no", "cell").alias("cs"))
+    rows = rows.withColumn("row", F.concat(x('<row r="'), F.col("row_no").cast("string"), x('">'), "cs", x("</row>")))
+    sheets = rows.groupBy("wb_id", "sheet_idx").agg(join("row_no", "row").alias("rows")).join(v.sheets.select("wb_id", "sheet_idx", "sheet", "state", "zoom"), ["wb_id", "sheet_idx"])
+    hidden = F.col("state") == "hidden"
+    view = F.concat(x('<sheetViews><sheetView workbookViewId="0"'), F.when(F.col("zoom") != 100, F.concat(x(' zoomScale="'), F.col("zoom").cast("string"), x('"'))).otherwise(""),
+                    F.when(hidden, x(' showZeros="0"')).otherwise(""), x('><selection activeCell="A1" sqref="A1"/></sheetView></sheetViews>'))
+    body = F.concat(x(f'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="{_MAIN}">'), view, x('<cols><col min="1" max="3" width="12.5" customWidth="1"/></cols><sheetData>'), "rows", x("</sheetData></worksheet>"))
+    at = F.col("sheet_idx").cast("string")
+    entry = F.concat(x('<sheet name="'), "sheet", x('" sheetId="'), (F.col("sheet_idx") + 1).cast("string"), x('" r:id="r'), at, x('"'), F.when(hidden, x(' state="hidden"')).otherwise(""), x("/>"))
+    link = F.concat(x('<Relationship Id="r'), at, x(f'" Type="{_REL}/worksheet" Target="'), F.when(F.col("sheet_idx") % 2 == 0, x("worksheets/sheet")).otherwise(x("/xl/worksheets/sheet")), at, x('.xml"/>'))
+    listed = sheets.select("wb_id", "sheet_idx", body.alias("body"), entry.alias("entry"), link.alias("link"))
+    books = listed.groupBy("wb_id").agg(join("sheet_idx", "entry").alias("entries"), join("sheet_idx", "link").alias("links"), F.array_sort(F.collect_list(F.struct("sheet_idx", "body"))).alias("b"))
+    members = [("xl/workbook.xml", F.concat(x(f'<workbook xmlns="{_MAIN}" xmlns:r="{_REL}"><sheets>'), "entries", x('</sheets><definedNames><definedName name="WACC">S0!$A$1</definedName></definedNames><calcPr calcMode="manual"/></workbook>'))),
+               ("xl/_rels/workbook.xml.rels", F.concat(x('<?xml version="1.0"?><Relationships xmlns="urn:r">'), "links", x("</Relationships>"))), ("xl/styles.xml", x(_STYLE_SHEET)), ("xl/theme/theme1.xml", x(_THEME)),
+               ("docProps/app.xml", x("<Properties><Application>Microsoft Excel</Application><AppVersion>16.0300</AppVersion></Properties>"))]
+    names = F.concat(F.array(*[x(n) for n, _ in members]), F.transform("b", lambda s: F.concat(x("xl/worksheets/sheet"), s["sheet_idx"].cast("string"), x(".xml"))))
+    bodies = F.concat(F.array(*[m for _, m in members]), F.transform("b", lambda s: s["body"]))
+    return books.select("wb_id", names.alias("names"), bodies.alias("bodies")).mapInPandas(_zip_members, "path STRING, content BINARY")
+
+
+def model_views(v):
+    """The relations of ``packages.book_views``, read from the files of ``model_files``."""
+    parts = checkpointed(model_files(v).mapInPandas(W._unzip(1 << 14), W.PARTS).withColumn("wb_id", F.substring_index("wb_id", "#", 1)))
+    return packages.book_views(parts)
+
+
+@query("s10_book_styles", "sheets", """
+WITH st AS (SELECT * FROM (VALUES (0, 'General', '000000', NULL), (1, '0.00', '008000', 'FFFF00'), (2, '#,##0;(#,##0);"-"', 'FF0000', '8EA9DB'), (3, '#,##0;-#,##0', '0000FF', NULL), (4, '0%', '000000', NULL),
+ (5, ';;;', '000000', 'FFCC00'), (6, '#,##0.00_);(#,##0.00)', '000000', NULL), (7, 'yyyy-mm-dd', '000000', NULL)) AS t(style_id, fmt_code, font_rgb, fill_rgb))
+SELECT 'wb' || CAST(wb_id AS VARCHAR) || '.xlsx' AS wb_id, st.* FROM (SELECT DISTINCT wb_id FROM sheets) b CROSS JOIN st""")
+def _(v):
+    return model_views(v)["styles"].select("wb_id", "style_id", "fmt_code", "font_rgb", "fill_rgb")
+
+
+@query("s10_book_sheets", "sheets", "SELECT 'wb' || CAST(wb_id AS VARCHAR) || '.xlsx' AS wb_id, sheet_idx, sheet, state, zoom, state <> 'hidden' AS show_zeros, 'topLeft' AS active_pane FROM sheets")
+def _(v):
+    return model_views(v)["sheets"]
+
+
+@query("s10_formula_texts", "grid formulas", f"WITH {MOVED} SELECT 'wb' || CAST(wb_id AS VARCHAR) || '.xlsx' AS wb_id, sheet_idx, row_no, col_no, text FROM moved".replace(
+    "FROM formulas f)", "FROM formulas f JOIN grid g ON g.wb_id = f.wb_id AND g.sheet_idx = f.sheet_idx AND g.row_no = f.row_no AND g.col_no = f.col_no WHERE v_err IS NOT NULL OR v_num < 0)"))
+def _(v):
+    return model_views(v)["cells"].filter("has_formula").select("wb_id", "sheet_idx", "row_no", "col_no", "text")
