@@ -16,6 +16,7 @@ from gridledger.llm.packing import pack_documents
 from gridledger.llm.substrings import remove_repeats
 from gridledger.session import checkpointed
 
+BATCH_ROWS = "2000"  # of a batch that goes to Python: whole texts are long, and both sides hold a batch
 LEAST_SCORE = 0.25  # of a language that is accepted; two languages that are equally likely have more
 
 
@@ -86,8 +87,14 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order over the documents of ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES, 1):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES):
-            docs = checkpointed(docs)
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, BATCH_ROWS)
+    try:
+        for k, (_, stage) in enumerate(STAGES, 1):
+            docs = stage(spark, docs, sf_dir)
+            if k < len(STAGES):
+                docs = checkpointed(docs)
+    finally:
+        spark.conf.set(setting, before)
     return docs

@@ -28,6 +28,6 @@ def query(key: str, views: str = "", oracle: str | None = None):
 
 def load_all() -> None:
     from . import (  # noqa: F401
-        answer_queries, check_queries, evidence_queries, feature_queries, grid_queries, scoring_queries,
+        answer_queries, check_queries, evidence_queries, feature_queries, file_queries, grid_queries, scoring_queries,
         selection_queries, source_queries, stream_queries, telemetry_queries,
     )
