@@ -89,9 +89,17 @@ def similar_labels(left: DataFrame, right: DataFrame, keys: list[str], ratio: fl
 
 
 def locate_fuzzy(golden: DataFrame, cells: DataFrame, exact: DataFrame, keys: list[str]) -> DataFrame:
-    """Questions the exact pass left over, each at its most similar label; the first question to claim a row keeps it."""
+    """Questions the exact pass left over, each at its most similar label; the first question to claim a row keeps it.
+
+    Labels are sought on the sheets where the exact pass found something, or, where it found nothing, on those
+    named for questions or answers.
+    """
     g = golden.select(*keys, "qid", norm_text(F.col("label")).alias("norm_label")).join(exact.select(*keys, "qid"), [*keys, "qid"], "left_anti")
-    c = cells.select(*keys, "sheet", "row_no", "col_no", norm_text(F.col("label")).alias("norm_label"))
+    c = cells.select(*keys, "sheet", "row_no", "col_no", norm_text(F.col("label")).alias("norm_label")).withColumn("_all", F.lit(1))
+    met = exact.select(*keys, "sheet", F.lit(1).alias("_all")).distinct()
+    own = c.join(met, [*keys, "_all", "sheet"], "left_semi")
+    named = c.join(met.select(*keys, "_all").distinct(), [*keys, "_all"], "left_anti").filter(sheet_priority(F.col("sheet")) < 9)
+    c = own.select(*c.columns).unionByName(named.select(*c.columns)).drop("_all")
     match = similar_labels(g.select(*keys, "norm_label").distinct(), c.select(*keys, "norm_label").distinct(), keys)
     first = c.groupBy(*keys, F.col("norm_label").alias("matched_label")).agg(
         F.min(F.struct(sheet_priority(F.col("sheet")).alias("p"), F.col("sheet"), F.col("row_no"), F.col("col_no"))).alias("at"))

@@ -275,20 +275,15 @@ def task_like_lines(texts: DataFrame, cap: int | None = None) -> DataFrame:
 def text_sheet_refs(texts: DataFrame, sheets: DataFrame) -> DataFrame:
     """Text cells that mention another sheet of their workbook, with the first such sheet.
 
-    Mentions are found by equal letter groups: a name offers its first three letters (or all of
-    a shorter name), a text every group of those lengths, and only then is containment tested.
+    A workbook's sheet names are one small row, a few hundred names at most; each text is searched for them in
+    place and stays one row.
     """
-    low = F.lower("sheet")
-    names = sheets.select("wb_id", F.col("sheet_idx").alias("to_idx"), F.col("sheet").alias("to_sheet"), low.alias("low"), F.substring(low, 1, 3).alias("gram"))
-    sizes = names.agg(F.collect_set(F.length("gram"))).scalar()
-    body = texts.withColumn("_low", F.lower("v_text")).withColumn("_size", F.explode(sizes)).filter(F.length("_low") >= F.col("_size"))
-    # a lookahead yields every window of that many letters in one pass over the text
-    window = F.concat(F.lit("(?s)(?=(.{"), F.col("_size").cast("string"), F.lit("}))"))
-    grams = F.array_distinct(F.regexp_extract_all("_low", window, 1))
-    hit = (body.withColumn("gram", F.explode(grams)).join(names, ["wb_id", "gram"])
-           .filter((F.col("to_idx") != F.col("sheet_idx")) & F.contains("_low", F.col("low"))))
-    return (hit.groupBy(*SHEET, "row_no", "col_no").agg(F.min(F.struct("to_idx", "to_sheet")).alias("m"))
-            .select(*SHEET, "row_no", "col_no", F.col("m.to_sheet").alias("to_sheet")))
+    named = (sheets.filter(F.length("sheet") > 0).groupBy("wb_id")
+             .agg(F.sort_array(F.collect_list(F.struct(F.col("sheet_idx").alias("to_idx"), F.col("sheet").alias("to_sheet"), F.lower("sheet").alias("low")))).alias("names")))
+    body = texts.select(*SHEET, "row_no", "col_no", F.lower("v_text").alias("_low")).join(named, "wb_id")
+    said = F.filter("names", lambda n: (n["to_idx"] != F.col("sheet_idx")) & F.contains(F.col("_low"), n["low"]))
+    found = once(body, first=F.get(said, F.lit(0))["to_sheet"])
+    return found.filter("first IS NOT NULL").groupBy(*SHEET, "row_no", "col_no").agg(F.min("first").alias("to_sheet"))
 
 
 def _tokens(text: Column) -> Column:

@@ -83,10 +83,11 @@ def _(v):
 
 
 @query("a5_locate_fuzzy", "qa_text", f"""WITH {SIDES}, lf AS (SELECT * FROM g WHERE qid NOT IN (SELECT qid FROM ex)),
+pool AS (SELECT * FROM c WHERE sheet IN (SELECT sheet FROM ex) OR (NOT EXISTS (SELECT 1 FROM ex) AND sheet IN ('Questions', 'Answers'))),
 p AS (SELECT a.nl, b.nl AS matched, 1 - CAST(levenshtein(a.nl, b.nl) AS DOUBLE) / GREATEST(length(a.nl), length(b.nl)) AS r
-  FROM (SELECT DISTINCT nl FROM lf) a, (SELECT DISTINCT nl FROM c) b WHERE length(a.nl) >= 15 AND length(b.nl) >= 15),
+  FROM (SELECT DISTINCT nl FROM lf) a, (SELECT DISTINCT nl FROM pool) b WHERE length(a.nl) >= 15 AND length(b.nl) >= 15),
 m AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY nl ORDER BY r DESC, matched DESC) AS k FROM p WHERE r >= 0.9 - 1e-12) q WHERE k = 1),
-f AS (SELECT * FROM (SELECT nl, sheet, row_no, ROW_NUMBER() OVER (PARTITION BY nl ORDER BY CASE sheet WHEN 'Questions' THEN 0 WHEN 'Answers' THEN 2 ELSE 9 END, sheet, row_no) AS k FROM c) q WHERE k = 1),
+f AS (SELECT * FROM (SELECT nl, sheet, row_no, ROW_NUMBER() OVER (PARTITION BY nl ORDER BY CASE sheet WHEN 'Questions' THEN 0 WHEN 'Answers' THEN 2 ELSE 9 END, sheet, row_no) AS k FROM pool) q WHERE k = 1),
 pl AS (SELECT lf.qid, lf.nl AS norm_label, m.matched AS matched_label, ROUND(r, 6) AS ratio, f.sheet, f.row_no AS at_row, 1 AS at_col FROM lf JOIN m ON m.nl = lf.nl JOIN f ON f.nl = m.matched)
 SELECT qid, norm_label, matched_label, ratio, sheet, at_row, at_col FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY sheet, at_row ORDER BY qid) AS k FROM pl
  WHERE NOT EXISTS (SELECT 1 FROM ex WHERE ex.sheet = pl.sheet AND ex.at_row = pl.at_row)) q WHERE k = 1""")

@@ -227,6 +227,19 @@ def _(v):
     return back.groupBy("attempt_id", "grader_model").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("id").alias("n_ids"))
 
 
+@query("s13_append_once", "attempts", "SELECT id, agent_model_name AS label, cost FROM attempts UNION ALL SELECT id, 'late', NULL FROM attempts WHERE agent_failed")
+def _(v):
+    """Each batch is written twice, and one more is torn: its rows lie there without a commit."""
+    folder = fresh_folder(v.spark, "once")
+    table = v.attempts.select("id", F.col("agent_model_name").alias("label"), "cost")
+    late = v.attempts.filter("agent_failed").select("id", F.lit("late").alias("label"))
+    for _ in range(2):
+        K.append_once(table, table, folder, "label", "first")
+        K.append_once(late, table, folder, "label", "late-1")
+    table.write.partitionBy("label").json(f"{folder}/rows/batch=torn/try=0")
+    return K.read_committed(v.spark, folder, "id BIGINT, cost DOUBLE, label STRING")
+
+
 @query("s15_export_sheet_grid", "grid", """
 WITH c AS (SELECT wb_id, sheet_idx, row_no, k.col, (SELECT MAX(col_no) FROM grid x WHERE x.wb_id = g.wb_id AND x.sheet_idx = g.sheet_idx AND x.row_no = g.row_no) AS n
   FROM (SELECT DISTINCT wb_id, sheet_idx, row_no FROM grid) g, (SELECT UNNEST(range(1, 8)) AS col) k)

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+import os
+import re
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_PLAIN = re.compile(r"[A-Za-z0-9._-]+")
+
 
 def append_rows(df: DataFrame, schema_of: DataFrame, folder: str, partition: str) -> None:
     """Appends rows as JSON lines under their cohort's folder; columns the rows lack are written as null.
@@ -18,6 +24,52 @@ def append_rows(df: DataFrame, schema_of: DataFrame, folder: str, partition: str
     full.write.mode("append").partitionBy(partition).option("ignoreNullFields", False).json(folder)
 
 
+def append_once(df: DataFrame, schema_of: DataFrame, folder: str, partition: str, batch_id: str) -> bool:
+    """As ``append_rows``, but a batch counts once, however often it is written; says whether this call made it count.
+
+    Rows go to a folder of this try alone; a commit file named after the batch then names the try. Creating that
+    file is the commit: it fails if it exists, so of a replay, or of two writers with one batch, one counts. A
+    writer that dies before it leaves rows that no reader takes. On a store without exclusive creation, give
+    each batch one writer.
+    """
+    unknown = set(df.columns) - set(schema_of.columns)
+    if unknown:
+        raise ValueError(f"columns the table does not have: {sorted(unknown)}")
+    if not _PLAIN.fullmatch(batch_id):
+        raise ValueError("a batch id is made of letters, digits, dots, dashes and underscores")
+    store, commit = jvm_path(df.sparkSession, f"{folder}/_commits/{batch_id}.json")
+    if store.exists(commit):
+        return False
+    token = os.urandom(8).hex()
+    full = schema_of.limit(0).unionByName(df, allowMissingColumns=True)
+    full.write.partitionBy(partition).option("ignoreNullFields", False).json(f"{folder}/rows/batch={batch_id}/try={token}")
+    try:
+        out = store.create(commit, False)
+    except Exception:  # noqa: BLE001  the other writer was first, if there is a commit now
+        if store.exists(commit):
+            return False
+        raise
+    out.write(bytearray(json.dumps({"batch": batch_id, "try": token}).encode()))
+    out.close()
+    return True
+
+
+def read_committed(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """The rows of committed batches; ``schema`` names all columns, the partition included. No commit, no rows."""
+    commits = jvm_path(spark, f"{folder}/_commits")
+    if not commits[0].exists(commits[1]):
+        return spark.createDataFrame([], schema)
+    made = spark.read.schema("batch STRING, `try` STRING").json(f"{folder}/_commits")
+    rows = spark.read.schema(f"{schema}, batch STRING, `try` STRING").option("basePath", f"{folder}/rows").json(f"{folder}/rows")
+    return rows.join(made, ["batch", "try"], "left_semi").drop("batch", "try")
+
+
+def jvm_path(spark: SparkSession, path: str) -> tuple:
+    """(file system, path) as the session's own Hadoop configuration sees them."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
 def with_grading_id(gradings: DataFrame, run_id: str) -> DataFrame:
     """Ids from what identifies a grading, so that a repeated task writes the same id."""
     return gradings.withColumn("id", F.xxhash64("attempt_id", "grader_model", F.lit(run_id)))
