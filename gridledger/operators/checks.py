@@ -578,8 +578,11 @@ def external_sites(sites: DataFrame, links: DataFrame | None = None, waived: Dat
 # ---------------------------------------------------------------- calculation mode, writer
 
 
-def dependency_edges(formulas: DataFrame) -> DataFrame:
-    """Edges src -> dst of the calculation graph: formula cells and shared row blocks as nodes.
+def dependency_edges(formulas: DataFrame, resolved: DataFrame | None = None) -> DataFrame:
+    """Edges src -> dst of the calculation graph: formula cells and shared tiles as nodes.
+
+    ``resolved`` (cells with ref_sheet and rectangle) takes the place of the references in the texts, so that names,
+    tables and spans of sheets count; see ``resolve.resolved_references``.
 
     A range is not expanded to its cells. It is cut into power-of-two tiles of rows and columns;
     equal tiles of different formulas are one node, so growing ranges SUM(B$1:Bn) stay near
@@ -588,9 +591,12 @@ def dependency_edges(formulas: DataFrame) -> DataFrame:
     """
     cell = F.concat_ws("!", F.col("wb_id").cast("string"), F.col("sheet_key"), F.col("row_no").cast("string"), F.col("col_no").cast("string"))
     own = formulas.withColumn("sheet_key", F.lower(sheet_name())).withColumn("node", cell)
-    plain = own.withColumn("text", X.without_address_calls(F.col("text")))
-    refs = (X.references(plain.select("wb_id", "sheet_idx", "node", "text"), "text", sheet_name())
-            .filter(~F.col("external")).withColumn("ref_key", F.lower("ref_sheet")))
+    if resolved is None:
+        plain = own.withColumn("text", X.without_address_calls(F.col("text")))
+        refs = X.references(plain.select("wb_id", "sheet_idx", "node", "text"), "text", sheet_name()).filter(~F.col("external"))
+    else:
+        refs = resolved.join(own.select(*CELL, "node"), CELL)
+    refs = refs.withColumn("ref_key", F.lower("ref_sheet"))
     tile = ["level", "k", "c_level", "c_k"]
     tiles = dyadic_tiles(refs.select("wb_id", "node", "ref_key", "r1", "c1", "r2", "c2"))
     tiles = tiles.withColumn("block", F.concat_ws("#", F.col("wb_id").cast("string"), "ref_key", *[F.col(c).cast("string") for c in tile]))
@@ -604,9 +610,9 @@ def dependency_edges(formulas: DataFrame) -> DataFrame:
     return into.unionByName(out)
 
 
-def circular_cells(formulas: DataFrame) -> DataFrame:
-    """Formula cells on a cycle, with wb_id and sheet key."""
-    nodes = graph.cyclic_nodes(dependency_edges(formulas)).filter(~F.contains(F.col("node"), F.lit("#")))
+def circular_cells(formulas: DataFrame, resolved: DataFrame | None = None) -> DataFrame:
+    """Formula cells on a cycle, with wb_id and sheet key; ``resolved`` as in ``dependency_edges``."""
+    nodes = graph.cyclic_nodes(dependency_edges(formulas, resolved)).filter(~F.contains(F.col("node"), F.lit("#")))
     part = F.split("node", "!")
     return nodes.select(part[0].cast("int").alias("wb_id"), part[1].alias("sheet_key"), part[2].cast("int").alias("row_no"), part[3].cast("int").alias("col_no"))
 

@@ -7,6 +7,7 @@ from ..functions import formula as X
 from ..functions import numfmt as N
 from ..functions import text as T
 from ..operators import features as O
+from ..operators import resolve as R
 from . import query
 
 CELL = ["wb_id", "sheet_idx", "row_no", "col_no"]
@@ -321,3 +322,37 @@ def layers(v):
 @query("x17_cf_overlay", "grid ranges", f"WITH {OVERLAY} SELECT wb_id, sheet_idx, row_no, col_no, fmt_code, font_rgb FROM over WHERE fmt_code IS NOT NULL OR font_rgb IS NOT NULL")
 def _(v):
     return O.cf_overlay(v.grid, layers(v), ["fmt_code", "font_rgb"]).filter("fmt_code IS NOT NULL OR font_rgb IS NOT NULL")
+
+
+# ---- names, tables and spans of sheets: six formulas, five names and one table a workbook
+REACHING = """wtext AS (SELECT wb_id, sheet_idx, row_no, col_no, ref_key % 7 AS k, CASE ref_key % 7 WHEN 0 THEN 'N_A*2' WHEN 1 THEN 'SUM(Sales[Amount])' WHEN 2 THEN 'SUM(S1:S3!B2:B4)' WHEN 3 THEN 'Chain' WHEN 4 THEN 'Sales[[#This Row],[Qty]]*$A$1'
+  WHEN 5 THEN 'Loop1+1' ELSE 'SUM(Sales[[Qty]:[Amount]],S3:S2!A1)' END AS text FROM grid),
+goals AS (SELECT * FROM (VALUES (0, 'S2', 1, 2, 5, 2, 'name'), (1, 'S4', 2, 3, 40, 3, 'table'), (2, 'S1', 2, 2, 4, 2, 'cell'), (2, 'S2', 2, 2, 4, 2, 'cell'), (2, 'S3', 2, 2, 4, 2, 'cell'), (3, 'S2', 1, 2, 5, 2, 'name'), (3, 'S3', 3, 3, 3, 3, 'name'),
+  (4, 'S4', NULL, 2, NULL, 2, 'table'), (4, NULL, 1, 1, 1, 1, 'cell'), (5, 'S0', 1, 1, 1, 1, 'name'), (6, 'S4', 2, 2, 40, 3, 'table'), (6, 'S2', 1, 1, 1, 1, 'cell'), (6, 'S3', 1, 1, 1, 1, 'cell')) AS t(k, s, a, b, c, d, via)),
+reach AS (SELECT w.wb_id, w.sheet_idx, w.row_no, w.col_no, text, w.k, COALESCE(s, 'S' || CAST(sheet_idx AS VARCHAR)) AS ref_sheet, COALESCE(a, row_no) AS r1, b AS c1, COALESCE(c, row_no) AS r2, d AS c2, via FROM wtext w JOIN goals USING (k)),
+there AS (SELECT r.* FROM reach r JOIN sheets s ON s.wb_id = r.wb_id AND s.sheet = r.ref_sheet)"""
+_NAMES = [("N_A", None, "S2!$B$1:$B$5"), ("Chain", None, "chain2"), ("Chain2", None, "N_A+S3!$C$3"), ("Loop1", None, "Loop2*2"), ("Loop2", None, "Loop1+S0!$A$1")]
+
+
+def reaching(v):
+    """Formulas through names, tables and spans, and the relations they resolve by."""
+    k = F.col("ref_key") % 7
+    texts = ["N_A*2", "SUM(Sales[Amount])", "SUM(S1:S3!B2:B4)", "Chain", "Sales[[#This Row],[Qty]]*$A$1", "Loop1+1", "SUM(Sales[[Qty]:[Amount]],S3:S2!A1)"]
+    f = v.grid.select(*CELL, F.element_at(F.array(*[F.lit(t) for t in texts]), (k + 1).cast("int")).alias("text"))
+    books = v.sheets.select("wb_id").distinct()
+    rows = lambda *r: F.explode(F.array(*r))
+    names = books.select("wb_id", rows(*[F.struct(F.lit(n).alias("name"), F.lit(s).cast("int").alias("scope"), F.lit(d).alias("definition")) for n, s, d in _NAMES]).alias("n")).select("wb_id", "n.*")
+    tables = books.select("wb_id", F.lit("Sales").alias("table"), F.lit("S4").alias("sheet"), *[F.lit(x).alias(c) for c, x in (("r1", 2), ("c1", 2), ("r2", 40), ("c2", 3))])
+    columns = books.select("wb_id", F.lit("Sales").alias("table"), rows(*[F.struct(F.lit(n).alias("column"), F.lit(c).alias("col_no")) for n, c in (("Qty", 2), ("Amount", 3))]).alias("c")).select("wb_id", "table", "c.*")
+    return f, R.resolved_references(f, names, tables, columns, v.sheets)
+
+
+@query("x3_resolved_references", "grid sheets", f"WITH {REACHING} SELECT wb_id, sheet_idx, row_no, col_no, ref_sheet, r1, c1, r2, c2, via FROM reach WHERE k NOT IN (2, 6) OR via <> 'cell' OR (k = 2 AND EXISTS (SELECT 1 FROM there a WHERE a.wb_id = reach.wb_id AND a.ref_sheet = reach.ref_sheet) AND (SELECT COUNT(*) FROM sheets s WHERE s.wb_id = reach.wb_id AND s.sheet IN ('S1', 'S3')) = 2) OR (k = 6 AND (SELECT COUNT(*) FROM sheets s WHERE s.wb_id = reach.wb_id AND s.sheet IN ('S2', 'S3')) = 2)")
+def _(v):
+    return reaching(v)[1]
+
+
+@query("x6_resolved_class", "grid sheets", f"WITH {REACHING} SELECT wb_id, sheet_idx, row_no, col_no, CASE WHEN NOT bool_or(ref_sheet <> 'S' || CAST(sheet_idx AS VARCHAR)) THEN 'OWN' WHEN any_value(k) = 3 THEN 'POINTER' ELSE 'CROSS' END AS class FROM reach GROUP BY 1, 2, 3, 4")
+def _(v):
+    f, resolved = reaching(v)
+    return R.resolved_class(f, resolved, v.sheets)
