@@ -19,6 +19,7 @@ from ..functions import numfmt as N
 from ..functions import text as T
 from ..session import checkpointed
 from . import graph
+from .features import with_glyph_width
 from .grid import SHEET, dyadic_tiles, group_cells, range_members, stab_join
 from .skew import first_n, once
 
@@ -402,8 +403,16 @@ def column_px(width: Column) -> Column:
 
 
 def narrow_number_cells(cells: DataFrame, cols: DataFrame, tolerance_px: float = 2.0) -> DataFrame:
-    """Numbers whose text needs more than the column gives: Excel shows ####. ``cells`` carries shown."""
-    need = T.number_width(F.col("shown")) * _MDW
+    """Numbers whose text needs more than the column gives: Excel shows ####. ``cells`` carries shown.
+
+    With face, size, bold and shrink beside it, each cell is measured in its own font, and a cell that shrinks its text
+    to fit is never too narrow.
+    """
+    if {"face", "size", "bold", "shrink"} <= set(cells.columns):
+        cells = with_glyph_width(cells.filter(~F.coalesce("shrink", F.lit(False))), "shown", "face", "size", "bold", "_need")
+    else:
+        cells = cells.withColumn("_need", T.number_width(F.col("shown")))
+    need = F.col("_need") * _MDW
     d = (cells.join(cols.select(*SHEET, "col_no", "width"), [*SHEET, "col_no"])
          .filter(need - (column_px(F.col("width")) - _MARGIN_PX) > tolerance_px))
     return mistakes(group_cells(d), rect_ref(), F.lit("column too narrow for its number"))

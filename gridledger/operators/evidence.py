@@ -32,9 +32,17 @@ def _marked_runs(cells: DataFrame, line: list[str]) -> DataFrame:
     near = (F.col("nth") - F.lag("nth").over(w) == 1) & (F.col("pos") - F.lag("pos").over(w) <= 2) & (F.lag("numeric").over(w) == F.col("numeric"))
     c = c.withColumn("step", step).withColumn("hard", (~F.coalesce(near, F.lit(False)) | (F.col("numeric") & (F.abs("step") > 1))).cast("int"))
     c = c.withColumn("part", F.sum("hard").over(w))
-    inner = Window.partitionBy(*line, "part").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    way = F.last(F.when((F.col("step") != 0) & (F.col("hard") == 0), F.col("step")), ignorenulls=True).over(inner)
-    turn = F.coalesce(F.col("numeric") & (F.col("hard") == 0) & (F.col("step") != 0) & (way != F.col("step")), F.lit(False))
+    # A run takes the direction of its first step and ends at a step the other way, which gives the next run no
+    # direction. Steps of one sign in a row are a block: its first step ends a run, unless the block before was a
+    # single step that ended one itself; so behind a longer or the first block, every other single step does.
+    upto = Window.partitionBy(*line, "part").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    inner = upto.rowsBetween(Window.unboundedPreceding, -1)
+    c = c.withColumn("sign", F.when(F.col("numeric") & (F.col("hard") == 0) & (F.col("step") != 0), F.col("step")))
+    c = c.withColumn("begins", F.coalesce(F.col("sign") != F.coalesce(F.last("sign", ignorenulls=True).over(inner), F.lit(0)), F.lit(False)))
+    c = c.withColumn("block", F.sum(F.col("begins").cast("int")).over(upto))
+    c = c.withColumn("size", F.count("sign").over(Window.partitionBy(*line, "part", "block")))
+    sure = F.when(F.col("begins") & ((F.col("size") > 1) | (F.col("block") == 1)), F.col("block"))
+    turn = F.col("begins") & F.coalesce((F.col("block") - F.last(sure, ignorenulls=True).over(inner)) % 2 == 1, F.lit(False))
     c = c.withColumn("turn", turn.cast("int")).withColumn("run", F.sum(F.col("hard") + F.col("turn")).over(w))
     return c.withColumn("at", F.coalesce("key", F.struct(F.col("year").alias("y"), F.lit(12).alias("m"), F.lit(31).alias("d"))))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import formula as X
+from ..functions import text as T
 from .grid import SHEET, range_members
 from .skew import first_n
 
@@ -134,6 +135,13 @@ def painted_cells(cells: DataFrame, rules: DataFrame, properties: list[str]) ->
     return joined.select(*[F.coalesce(f"_over_{c}", c).alias(c) if c in properties else F.col(c) for c in cells.columns])
 
 
+def with_glyph_width(df: DataFrame, text: str, face: str, size: str, bold: str, out: str, unit_px: float = 7.0) -> DataFrame:
+    """Adds the width of a number as shown, in each row's own font. Every distinct text is counted once, whatever its fonts."""
+    counted = df.select(F.col(text).alias("_text")).distinct().withColumn("_counts", T.glyph_counts(F.col("_text")))
+    d = df.join(counted, F.col(text).eqNullSafe(F.col("_text")), "left")
+    return d.withColumn(out, T.glyph_width(F.col("_counts"), F.col(face), F.col(size), F.col(bold), unit_px)).drop("_text", "_counts")
+
+
 def column_profile(cells: DataFrame, examples: int = 3) -> DataFrame:
     """Per column the majority type, the number of values and the first examples."""
     keys = [*SHEET, "col_no"]

@@ -281,6 +281,22 @@ def _(v):
     return C.narrow_number_cells(v.grid.withColumn("shown", F.format_string("%.2f", F.col("v_num"))), columns(v))
 
 
+FONTS = "VALUES (0, 'Arial', 10.0, FALSE, 0.556, 0.278, 0.333), (1, 'Courier New', 12.0, TRUE, 0.6, 0.6, 0.6), (2, 'Carlito', 11.0, FALSE, 0.507, 0.251, 0.306), (3, 'Verdana', 9.0, FALSE, 0.636, 0.364, 0.454)"
+C69F = f"""WITH {COLS}, fonts AS (SELECT * FROM ({FONTS}) AS t(k, face, size, bold, digit, point, dash)),
+n AS (SELECT g.wb_id, g.sheet_idx, row_no, col_no, printf('%.2f', v_num) AS s, width, 'x' AS why, size, digit, point, dash FROM grid g JOIN cols USING (wb_id, sheet_idx, col_no) JOIN fonts ON k = style_id % 4 WHERE style_id <> 7),
+b AS (SELECT * FROM n WHERE (digit * (length(s) - length(regexp_replace(s, '[0-9]', '', 'g'))) + point * (CASE WHEN s LIKE '%.%' THEN 1 ELSE 0 END) + dash * (CASE WHEN s LIKE '-%' THEN 1 ELSE 0 END)) * (size * 96.0 / 72) - ({PX} - 5) > 2)
+{rect_rows('b', "'column too narrow for its number'")}"""
+
+
+@query("c69_numbers_in_own_fonts", "grid", C69F)
+def _(v):
+    k = F.col("style_id") % 4
+    font = lambda *x: F.element_at(F.array(*[F.lit(i) for i in x]), (k + 1).cast("int"))
+    cells = v.grid.select(*CELL, F.format_string("%.2f", F.col("v_num")).alias("shown"), font("Arial", "Courier New", "Carlito", "Verdana").alias("face"), font(10.0, 12.0, 11.0, 9.0).alias("size"),
+                          font(False, True, False, False).alias("bold"), (F.col("style_id") == 7).alias("shrink"))
+    return C.narrow_number_cells(cells, columns(v))
+
+
 CHARW = """list_sum(list_transform(string_split(v_text, ''), lambda c: CASE WHEN contains(' .,:;''|!il`', c) THEN 0.5 WHEN contains('$%()-+/\\[]{}"*^tfrjI', c) THEN 0.7 WHEN contains('@#&mwMW', c) THEN 1.3
   WHEN regexp_matches(c, '\\p{Lu}') THEN 1.1 WHEN regexp_matches(c, '\\p{Nd}') THEN 1.0 ELSE 0.9 END))"""
 LABELS = """lab AS (SELECT wb_id, sheet_idx, row_no, col_no, 'Customer ' || CAST(ref_key AS VARCHAR(9)) || CASE WHEN v_num < 0 THEN ' owed' ELSE '' END AS v_text FROM grid WHERE v_num > 20000 OR v_num < 0)"""

@@ -243,7 +243,9 @@ ch AS (SELECT v_text, UNNEST(string_split(v_text, '')) AS c FROM d),
 per AS (SELECT v_text, c, COUNT(*) AS k FROM ch GROUP BY v_text, c)
 SELECT t.wb_id, t.sheet_idx, t.row_no, t.col_no, ROUND(w, 4) AS width FROM text_cells t JOIN (SELECT v_text, SUM(k * {CHAR}) AS w FROM per GROUP BY v_text) q USING (v_text)""")
 def _(v):
-    return v.text_cells.select(*CELL, F.round(T.text_width(F.col("v_text")), 4).alias("width"))
+    # copies of a text are measured once
+    texts = v.text_cells.select("v_text").distinct().withColumn("width", F.round(T.text_width(F.col("v_text")), 4))
+    return v.text_cells.join(texts, "v_text").select(*CELL, "width")
 
 
 @query("x15_number_width", "grid", """
