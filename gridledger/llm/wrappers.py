@@ -18,6 +18,7 @@ import hashlib
 import html
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -61,9 +62,31 @@ _BODY = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th caption pre blockquote fig
 _CONTENT = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl li dt dd pre blockquote figure address hr details summary hgroup".split())
 
 
+#: what an element of a part is called beside the part itself, and what only says that a page has one
+_PLACES = frozenset("area bar block body bottom box col column container content embed fixed footer form group header holder icons inline inner item items left link links list main new outer panel "
+                    "primary region right row secondary section slot sticky top unit widget wrap wrapper zone".split())
+_HAVING = frozenset("has with without no not is hide show show-no js supports enable enabled disable disabled".split())
+#: elements that hold a page or an article whole, whatever else their classes say
+_WHOLE = frozenset("html body article main".split())
+
+
+def _telling(token: str) -> set[str]:
+    """The word by which a class token or id names a part apart: itself, its last word, or its first before words of place."""
+    words = [w.lower() for w in _WORDS.findall(token)]
+    if len(words) == 1:
+        return set(words) & (APART_WORDS | MAIN_WORDS)
+    if not words or words[0] in _HAVING:
+        return set()
+    if words[-1] in APART_WORDS:
+        return {words[-1]}
+    if words[0] in APART_WORDS and all(w in _PLACES or w in APART_WORDS for w in words[1:]):
+        return {words[0]}
+    return set(words) & MAIN_WORDS
+
+
 def _label(tag: str, attributes: str) -> str:
     """The tag and the telling words of its class, id and role."""
-    if not attributes or attributes.isspace():
+    if tag in _WHOLE or not attributes or attributes.isspace():
         return tag
     words = set()
     for name, *values in _NAMED.findall(attributes):
@@ -72,7 +95,8 @@ def _label(tag: str, attributes: str) -> str:
             if value.lower() != "false":
                 words.add("hidden")
         else:
-            words.update(w for w in (x.lower() for x in _WORDS.findall(value)) if w in APART_WORDS or w in MAIN_WORDS)
+            for token in value.split():
+                words |= _telling(token)
     return ".".join((tag, *sorted(words)))
 
 
@@ -85,6 +109,7 @@ def segments(page: str | None) -> Iterator[tuple[tuple[str, ...], str, int, tupl
     """
     page = page or ""
     stack: list[tuple[str, str, int]] = []
+    names: Counter[str] = Counter()  # of the open elements, so that most searches of the stack are not made
     parts: list[str] = []
     linked = links = number = 0
 
@@ -95,6 +120,12 @@ def segments(page: str | None) -> Iterator[tuple[tuple[str, ...], str, int, tupl
         n, linked = linked, 0
         return [(tuple(x[1] for x in stack), text, min(n, len(text)), tuple(x[2] for x in stack))] if text else []
 
+    def shut(k: int) -> None:
+        """Closes the open elements from the k-th on."""
+        for x in stack[k:]:
+            names[x[0]] -= 1
+        del stack[k:]
+
     at, end = 0, len(page)
     while at < end:
         m = _TOKEN.search(page, at)
@@ -120,10 +151,8 @@ def segments(page: str | None) -> Iterator[tuple[tuple[str, ...], str, int, tupl
         yield from flush()
         links = 0
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            if names[tag]:
+                shut(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag))
             continue
         if tag in _VOID:
             continue
@@ -134,22 +163,25 @@ def segments(page: str | None) -> Iterator[tuple[tuple[str, ...], str, int, tupl
             continue
         if tag == "svg" and attributes.rstrip().endswith("/"):
             continue
-        if tag in _CLOSES_P:
-            k = next((i for i, x in enumerate(stack) if x[0] in _NO_BLOCKS), len(stack))
+        if tag in _CLOSES_P and any(names[x] for x in _NO_BLOCKS):
+            k = next(i for i, x in enumerate(stack) if x[0] in _NO_BLOCKS)
             if not any(x[0] == "foreignobject" for x in stack[k:]):
-                del stack[k:]
-        if tag in _CLOSES_P and any(x[0] == "p" for x in stack):
-            k = max(i for i, x in enumerate(stack) if x[0] == "p")
+                shut(k)
+        if tag in _CLOSES_P and names["p"]:
+            k = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p")
             if not any(x[0] in ("table", "td", "button") for x in stack[k:]):
-                del stack[k:]
+                shut(k)
         if tag in _SAME:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in _SAME[tag]:
-                    break
-                if stack[k][0] == tag or (tag in ("dt", "dd") and stack[k][0] in ("dt", "dd")) or (tag in ("td", "th") and stack[k][0] in ("td", "th")):
-                    del stack[k:]
-                    break
+            alike = ("dt", "dd") if tag in ("dt", "dd") else ("td", "th") if tag in ("td", "th") else (tag,)
+            if any(names[x] for x in alike):
+                for k in range(len(stack) - 1, -1, -1):
+                    if stack[k][0] in _SAME[tag]:
+                        break
+                    if stack[k][0] in alike:
+                        shut(k)
+                        break
         number += 1
+        names[tag] += 1
         stack.append((tag, _label(tag, attributes), number))
     yield from flush()
 
@@ -206,29 +238,42 @@ class Wrapper:
         return root
 
     def align(self, other: Wrapper) -> Wrapper:
-        """Both expressions in one. Order that differs makes a repeated group of what is between."""
+        """Both expressions in one, level by level. Order that differs makes a repeated group of what is between."""
+        pairs = [(self, other)]
+        while pairs:
+            left, right = pairs.pop()
+            pairs += left._align_level(right)
+        return self
+
+    def _align_level(self, other: Wrapper) -> list[tuple[Wrapper, Wrapper]]:
+        """Aligns one level; returns the pairs of levels below that both have."""
         mine, theirs = list(self.kids), list(other.kids)
         merged: list[str] = []
+        placed: set[str] = set()
         rest = iter(mine)
         known = set(mine)
         for label in theirs:
             if label not in known:
                 merged.append(label)
+                placed.add(label)
                 continue
-            if label in merged:  # it came earlier on this side
+            if label in placed:  # it came earlier on this side
                 self.repeated.update(merged[merged.index(label):])
                 continue
             for own in rest:
                 merged.append(own)
+                placed.add(own)
                 if own == label:
                     break
         merged.extend(rest)
-        kids = {}
+        kids, below = {}, []
         for label in merged:
             a, b = self.kids.get(label), other.kids.get(label)
             if a is None or b is None:
                 self.optional.add(label)
-            kids[label] = a.align(b) if a is not None and b is not None else a or b
+            else:
+                below.append((a, b))
+            kids[label] = a or b
         self.optional |= other.optional
         self.repeated |= other.repeated
         self.kids = kids
@@ -238,35 +283,52 @@ class Wrapper:
         elif other.slot is not None:
             both = {m: n for m, n in self.slot[3].items() if m in other.slot[3]}
             self.slot = [*(x + y for x, y in zip(self.slot[:3], other.slot[:3], strict=True)), both]
-        return self
+        return below
+
+    def levels(self) -> Iterator[tuple[int, str, int, Wrapper]]:
+        """(parent's number, label, depth, level) of every level in page order; the root is number 0 and its own parent."""
+        todo, number = [(0, "", 0, self)], 0
+        while todo:
+            parent, label, depth, node = todo.pop()
+            yield parent, label, depth, node
+            todo += [(number, k, depth + 1, v) for k, v in reversed(node.kids.items())]
+            number += 1
 
     def pack(self) -> list:
-        return [self.pages, self.slot, sorted(self.optional), sorted(self.repeated), [[k, v.pack()] for k, v in self.kids.items()]]
+        """Flat: pages, slot, optional and repeated labels of each level, behind its parent's number and its label."""
+        return [[parent, label, node.pages, node.slot, sorted(node.optional), sorted(node.repeated)] for parent, label, _, node in self.levels()]
 
     @staticmethod
     def unpack(data: list) -> Wrapper:
-        out = Wrapper()
-        out.pages, out.slot, optional, repeated, kids = data
-        out.optional, out.repeated, out.kids = set(optional), set(repeated), {k: Wrapper.unpack(v) for k, v in kids}
-        return out
+        nodes: list[Wrapper] = []
+        for parent, label, pages, slot, optional, repeated in data:
+            node = Wrapper()
+            node.pages, node.slot, node.optional, node.repeated = pages, slot, set(optional), set(repeated)
+            if nodes:
+                nodes[parent].kids[label] = node
+            nodes.append(node)
+        return nodes[0]
 
     def expression(self) -> str:
         """The wrapper as text: ``( )+`` repeats, ``( )?`` may lack, ``#`` is a slot."""
-        out, group = [], []
-        for label, kid in self.kids.items():
-            item = SLOT if label == SLOT else f"<{label}>{kid.expression()}</{label}>"
-            if label in self.optional:
-                item = f"({item})?"
-            if label in self.repeated:
-                group.append(item)
-                continue
+        written: dict[int, str] = {}
+        for _, _, _, node in reversed(list(self.levels())):
+            out, group = [], []
+            for label, kid in node.kids.items():
+                item = SLOT if label == SLOT else f"<{label}>{written.pop(id(kid))}</{label}>"
+                if label in node.optional:
+                    item = f"({item})?"
+                if label in node.repeated:
+                    group.append(item)
+                    continue
+                if group:
+                    out.append(f"({''.join(group)})+")
+                    group = []
+                out.append(item)
             if group:
                 out.append(f"({''.join(group)})+")
-                group = []
-            out.append(item)
-        if group:
-            out.append(f"({''.join(group)})+")
-        return "".join(out)
+            written[id(node)] = "".join(out)
+        return written[id(self)]
 
 
 def _apart(path: tuple[str, ...]) -> bool:
@@ -310,16 +372,16 @@ def article_paths(wrapper: Wrapper) -> dict[str, list[str]]:
     that stands outside headings and body blocks on every page of several is a notice, unless such texts are half of all.
     A text in a paragraph, list item or cell stays, the same on all pages or not.
     """
-    found: list[tuple[tuple[str, ...], list]] = []
-
-    def walk(node: Wrapper, path: tuple[str, ...]) -> None:
-        for label, kid in node.kids.items():
-            if label == SLOT:
-                found.append((path, kid.slot))
-            else:
-                walk(kid, (*path, label))
-
-    walk(wrapper, ())
+    found: list[tuple[tuple[str, ...], list, int]] = []
+    above, labels, path = [], [], []
+    for parent, label, depth, node in wrapper.levels():
+        del path[max(0, depth - 1):]
+        if depth:
+            path.append(label)
+        if label == SLOT and depth:
+            found.append((tuple(path[:-1]), node.slot, parent))
+        above.append(parent)
+        labels.append(label)
     rest = [x for x in found if not _apart(x[0])]
     for name in ("article", "main"):
         marked = [x for x in rest if _marks(x[0], name)]
@@ -327,21 +389,38 @@ def article_paths(wrapper: Wrapper) -> dict[str, list[str]]:
             rest = marked
             break
     else:
-        root: tuple[str, ...] = ()
-        weight = lambda top: sum(s[1] - 2 * s[2] for p, s in rest if p[:len(top)] == top)
+        # text that is not links, of every element on the way to a slot
+        weight: dict[int, int] = {}
+        below: dict[int, set[int]] = {}
+        for _, slot, at in rest:
+            while True:
+                weight[at] = weight.get(at, 0) + slot[1] - 2 * slot[2]
+                if not at:
+                    break
+                below.setdefault(above[at], set()).add(at)
+                at = above[at]
+        root = 0
         while True:  # down to the smallest element with nearly all of the text
-            below = {p[:len(root) + 1] for p, _ in rest if p[:len(root)] == root and len(p) > len(root)}
-            best = max(sorted(below), key=weight, default=None)
-            if best is None or weight(best) < 0.7 * weight(root) or best[-1].split(".")[0] in ("p", "li", "pre", "td", "h1"):
+            best = max(sorted(below.get(root, ()), key=lambda k: labels[k]), key=weight.__getitem__, default=None)
+            if best is None or weight[best] < 0.7 * weight[root] or labels[best].split(".")[0] in ("p", "li", "pre", "td", "h1"):
                 break
             root = best
-        rest = [(p, s) for p, s in rest if p[:len(root)] == root and 2 * s[2] <= s[1]]
+
+        def inside(at: int) -> bool:
+            while at > root:  # a level's number is larger than its parent's
+                at = above[at]
+            return at == root
+
+        rest = [x for x in rest if 2 * x[1][2] <= x[1][1] and inside(x[2])]
+    rest = [(p, s) for p, s, _ in rest]
     out: dict[str, list[str]] = {"\n".join(p): [] for p, _ in rest}
     # what differs in a slot; one that some pages lack is no constant
     fixed = {p: s[3] if s[0] == wrapper.pages else {} for p, s in rest}
     total = sum(s[1] for _, s in rest)
     notices = [(p, s) for p, s in rest if fixed[p] and not any(x.split(".")[0] in _BODY for x in p)]
-    if wrapper.pages > 1 and sum(s[0] * sum(fixed[p].values()) for p, s in notices) < 0.5 * total:
+    # copies of one page say nothing: something in the article must differ between pages
+    differs = any(s[1] > s[0] * sum(s[3].values()) for p, s in rest)
+    if differs and sum(s[0] * sum(fixed[p].values()) for p, s in notices) < 0.5 * total:
         out |= {"\n".join(p): sorted(fixed[p]) for p, _ in notices}
     return out
 
