@@ -172,14 +172,14 @@ def _(v):
 
 
 C62 = f"""WITH sel AS (SELECT wb_id, sheet_idx, row_no AS pos, CASE WHEN ref_key % 3 = 0 THEN 'topLeft' ELSE 'bottomRight' END AS pane,
-   CASE WHEN ref_key % 4 = 0 THEN 'A1' ELSE {a1('col_no', 'col_no')} END AS cell FROM grid WHERE v_err IS NOT NULL AND col_no <= 3),
+   CASE WHEN ref_key % 4 = 0 THEN 'A1' ELSE {a1('col_no', 'col_no')} END AS cell FROM grid),
 l AS (SELECT * FROM (SELECT sel.*, ROW_NUMBER() OVER (PARTITION BY sel.wb_id, sel.sheet_idx ORDER BY pos DESC, cell DESC) AS k FROM sel JOIN sheets s ON s.wb_id = sel.wb_id AND s.sheet_idx = sel.sheet_idx
    WHERE pane = CASE WHEN state = 'hidden' THEN 'topLeft' ELSE 'bottomRight' END) q WHERE k = 1)
 SELECT wb_id, {SHEET_SQL} AS sheet, {at('cell')} AS location, 'active cell is not A1' AS description, 'minor' AS severity FROM l WHERE cell <> 'A1'"""
 
 
 def c62(v):
-    sel = v.grid.filter("v_err is not null and col_no <= 3").select(
+    sel = v.grid.select(
         "wb_id", "sheet_idx", F.when(F.col("ref_key") % 3 == 0, "topLeft").otherwise("bottomRight").alias("pane"),
         F.when(F.col("ref_key") % 4 == 0, "A1").otherwise(C.a1.to_a1(F.col("col_no"), F.col("col_no"))).alias("active_cell"), F.col("row_no"))
     sel = sel.withColumn("pos", F.struct("row_no", "active_cell"))
@@ -299,12 +299,12 @@ def _(v):
 
 CHARW = """list_sum(list_transform(string_split(v_text, ''), lambda c: CASE WHEN contains(' .,:;''|!il`', c) THEN 0.5 WHEN contains('$%()-+/\\[]{}"*^tfrjI', c) THEN 0.7 WHEN contains('@#&mwMW', c) THEN 1.3
   WHEN regexp_matches(c, '\\p{Lu}') THEN 1.1 WHEN regexp_matches(c, '\\p{Nd}') THEN 1.0 ELSE 0.9 END))"""
-LABELS = """lab AS (SELECT wb_id, sheet_idx, row_no, col_no, 'Customer ' || CAST(ref_key AS VARCHAR(9)) || CASE WHEN v_num < 0 THEN ' owed' ELSE '' END AS v_text FROM grid WHERE v_num > 20000 OR v_num < 0)"""
+LABELS = """lab AS (SELECT wb_id, sheet_idx, row_no, col_no, CASE WHEN v_num > 20000 OR v_num < 0 THEN 'Customer ' || CAST(ref_key AS VARCHAR(9)) || CASE WHEN v_num < 0 THEN ' owed' ELSE '' END ELSE 'ok' END AS v_text FROM grid)"""
 
 
 def labels(v):
     text = F.concat(F.lit("Customer "), F.col("ref_key").cast("string"), F.when(F.col("v_num") < 0, " owed").otherwise(""))
-    return v.grid.filter("v_num > 20000 or v_num < 0").select(*CELL, text.alias("v_text"))
+    return v.grid.select(*CELL, F.when((F.col("v_num") > 20000) | (F.col("v_num") < 0), text).otherwise("ok").alias("v_text"))
 
 
 C69C = f"""WITH {COLS}, {LABELS}, nx AS (SELECT *, LEAD(col_no) OVER (PARTITION BY wb_id, sheet_idx, row_no ORDER BY col_no) AS stop FROM lab),
@@ -318,12 +318,12 @@ def _(v):
 
 
 # only one paragraph and no word over the width: the wrap itself is checked in x16
-ROWS = "hts AS (SELECT wb_id, sheet_idx, row_no, 15.0::DOUBLE * (1 + length(v_text) % 9) AS height, length(v_text) % 4 <> 0 AS custom FROM text_cells WHERE col_no = 1)"
+ROWS = "hts AS (SELECT wb_id, sheet_idx, row_no, 15.0::DOUBLE * (1 + MAX(length(v_text)) % 9) AS height, MAX(length(v_text)) % 4 <> 0 AS custom FROM text_cells GROUP BY 1, 2, 3)"
 
 
 def row_heights(v):
-    n = F.length("v_text")
-    return v.text_cells.filter("col_no = 1").select("wb_id", "sheet_idx", "row_no", (F.lit(15.0) * (1 + n % 9)).alias("height"), (n % 4 != 0).alias("custom"))
+    n = F.max(F.length("v_text"))
+    return v.text_cells.groupBy("wb_id", "sheet_idx", "row_no").agg((F.lit(15.0) * (1 + n % 9)).alias("height"), (n % 4 != 0).alias("custom"))
 
 
 def wrap_columns(v):
@@ -331,7 +331,7 @@ def wrap_columns(v):
     return v.text_cells.select("wb_id", "sheet_idx", "col_no").distinct().withColumn("width", F.lit(60.7))
 
 
-WRAP = """p AS (SELECT wb_id, sheet_idx, row_no, col_no, UNNEST(string_split(v_text, chr(10))) AS para FROM text_cells WHERE col_no = 1),
+WRAP = """p AS (SELECT wb_id, sheet_idx, row_no, col_no, UNNEST(string_split(v_text, chr(10))) AS para FROM text_cells),
 w AS (SELECT *, list_transform(string_split(para, ' '), lambda word: {'l': 0, 'c': CAST(list_sum(list_transform(string_split(word, ''), lambda c: CASE WHEN contains(' .,:;''|!il`', c) THEN 0.5 WHEN contains('$%()-+/\\[]{}"*^tfrjI', c) THEN 0.7 WHEN contains('@#&mwMW', c) THEN 1.3
   WHEN regexp_matches(c, '\\p{Lu}') THEN 1.1 WHEN regexp_matches(c, '\\p{Nd}') THEN 1.0 ELSE 0.9 END)) AS DOUBLE)}) AS ws FROM p),
 ln AS (SELECT wb_id, sheet_idx, row_no, col_no, SUM(list_reduce(ws, lambda a, x: CASE WHEN a.c > 0 AND a.c + 0.5 + COALESCE(x.c, 0) <= 60.000001 THEN {'l': a.l, 'c': a.c + 0.5 + COALESCE(x.c, 0)}
@@ -344,17 +344,17 @@ C69W = f"""WITH {ROWS}, {WRAP}, b AS (SELECT ln.* FROM ln JOIN hts USING (wb_id,
 
 @query("c69_short_wrapped_rows", "text_cells", C69W)
 def _(v):
-    return C.short_wrapped_rows(v.text_cells.filter("col_no = 1"), row_heights(v), wrap_columns(v))
+    return C.short_wrapped_rows(v.text_cells, row_heights(v), wrap_columns(v))
 
 
 C73 = f"""WITH {ROWS}, {WRAP}
 SELECT h.wb_id, 'S' || CAST(h.sheet_idx AS VARCHAR(9)) AS sheet, '''S' || CAST(h.sheet_idx AS VARCHAR(9)) || '''!' || CAST(h.row_no AS VARCHAR(9)) || ':' || CAST(h.row_no AS VARCHAR(9)) AS location,
- 'row taller than its content needs' AS description, 'minor' AS severity FROM hts h LEFT JOIN ln USING (wb_id, sheet_idx, row_no) WHERE custom AND height > 60 AND height > 2 * COALESCE(lines, 1) * 14.3"""
+ 'row taller than its content needs' AS description, 'minor' AS severity FROM hts h LEFT JOIN (SELECT wb_id, sheet_idx, row_no, MAX(lines) AS lines FROM ln GROUP BY 1, 2, 3) t USING (wb_id, sheet_idx, row_no) WHERE custom AND height > 60 AND height > 2 * COALESCE(lines, 1) * 14.3"""
 
 
 @query("c73_row_heights", "text_cells", C73)
 def _(v):
-    return C.tall_rows(row_heights(v), v.text_cells.filter("col_no = 1"), wrap_columns(v))
+    return C.tall_rows(row_heights(v), v.text_cells, wrap_columns(v))
 
 
 WIDE_PAINT = PAINT.replace("FROM intervals)", "FROM iv)").replace("FROM intervals ", "FROM iv ").replace("WITH cuts", "WITH iv AS (SELECT sheet_key, seq, lo, hi, width * 4 AS width, hidden, outline_level FROM intervals), cuts")
@@ -588,8 +588,8 @@ def run_all(v):
     zoom, zoom_open = c61(v)
     others = [
         (29, C.clean_names(v.names, name_users(v), used)), (61, zoom), (62, c62(v)), (69, C.cut_off_text(labels(v), widths)),
-        (69, C.short_wrapped_rows(v.text_cells.filter("col_no = 1"), row_heights(v), wrap_columns(v))), (70, sheet_of(wide(v), F.col("why"))),
-        (73, C.tall_rows(row_heights(v), v.text_cells.filter("col_no = 1"), wrap_columns(v))), (74, c74(v)), (77, C.file_extensions(files(v))),
+        (69, C.short_wrapped_rows(v.text_cells, row_heights(v), wrap_columns(v))), (70, sheet_of(wide(v), F.col("why"))),
+        (73, C.tall_rows(row_heights(v), v.text_cells, wrap_columns(v))), (74, c74(v)), (77, C.file_extensions(files(v))),
         (87, C.whole_column_sites(other_sites, used)), (92, C.hidden_sheets(v.sheets)), (93, sheet_of(hidden(v), F.lit("hidden columns"))),
         (95, C.external_sites(other_sites, links, waived)),
         (100, modes.filter("decision = 'fail'").select("wb_id", F.lit("").alias("sheet"), F.lit("").alias("location"), F.lit("calculation").alias("description"), F.lit("major").alias("severity")))]

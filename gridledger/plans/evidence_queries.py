@@ -70,16 +70,17 @@ def _(v):
 
 
 @query("p5_vertical_series", "grid sheets", """
-WITH c AS (SELECT wb_id, sheet_idx, col_no, row_no AS pos FROM grid WHERE col_no IN (1, 3) AND v_err IS NULL),
-r AS (SELECT *, SUM(new) OVER (PARTITION BY wb_id, sheet_idx, col_no ORDER BY pos) AS run FROM (SELECT *, CASE WHEN pos - LAG(pos) OVER (PARTITION BY wb_id, sheet_idx, col_no ORDER BY pos) <= 2 THEN 0 ELSE 1 END AS new FROM c) q),
+WITH a AS (SELECT wb_id, sheet_idx, col_no, row_no AS pos, v_err, ROW_NUMBER() OVER (PARTITION BY wb_id, sheet_idx, col_no ORDER BY row_no) AS nth FROM grid), c AS (SELECT * FROM a WHERE v_err IS NULL),
+r AS (SELECT *, SUM(new) OVER (PARTITION BY wb_id, sheet_idx, col_no ORDER BY pos) AS run FROM (SELECT *, CASE WHEN pos - LAG(pos) OVER w <= 2 AND nth - LAG(nth) OVER w = 1 THEN 0 ELSE 1 END AS new FROM c WINDOW w AS (PARTITION BY wb_id, sheet_idx, col_no ORDER BY pos)) q),
 s AS (SELECT wb_id, sheet_idx, col_no, MIN(pos) AS start, MAX(pos) AS e, COUNT(*) AS n FROM r GROUP BY wb_id, sheet_idx, col_no, run HAVING COUNT(*) >= 3),
 b AS (SELECT s.*, (SELECT COUNT(*) FROM grid g WHERE g.wb_id = s.wb_id AND g.sheet_idx = s.sheet_idx AND g.col_no = s.col_no + 1 AND g.row_no BETWEEN start AND e) AS beside,
   (SELECT COUNT(*) FROM grid g WHERE g.wb_id = s.wb_id AND g.sheet_idx = s.sheet_idx AND g.col_no = s.col_no + 1 AND g.row_no BETWEEN start AND e AND v_num > 45000) AS formulas
   FROM s JOIN sheets t ON t.wb_id = s.wb_id AND t.sheet_idx = s.sheet_idx WHERE state = 'visible')
 SELECT wb_id, sheet_idx, col_no, start, e AS "end", n, beside, formulas FROM b WHERE beside > 0 AND formulas * 2 >= beside""")
 def _(v):
-    label = F.concat(F.lit("FY"), (F.col("row_no") % 90 + 2000).cast("string"))
-    cells = v.grid.filter("col_no in (1, 3) and v_err is null").select(*SHEET, "col_no", F.col("row_no").alias("pos"), label.alias("label"), F.lit(None).cast("double").alias("v_num"))
+    # an error stands between the periods as other content
+    label = F.coalesce("v_err", F.concat(F.lit("FY"), (F.col("row_no") % 90 + 2000).cast("string")))
+    cells = v.grid.select(*SHEET, "col_no", F.col("row_no").alias("pos"), label.alias("label"), F.lit(None).cast("double").alias("v_num"))
     beside = v.grid.select(*CELL, (F.col("v_num") > 45000).alias("is_formula"))
     return P.vertical_series(cells, v.sheets.filter("state = 'visible'"), beside).drop("out_of_order")
 
@@ -231,11 +232,11 @@ def _(v):
 
 
 @query("p22_header_row", "grid", """
-WITH u AS (SELECT wb_id, sheet_idx, MIN(row_no) AS r1, MIN(col_no) AS c1, LEAST(MIN(row_no) + 2, MAX(row_no)) AS r2 FROM grid WHERE v_num <> 0 GROUP BY 1, 2),
-r AS (SELECT g.wb_id, g.sheet_idx, r1, c1, row_no, COUNT(*) AS n, COUNT(CASE WHEN style_id < 5 THEN 1 END) AS k FROM grid g JOIN u ON u.wb_id = g.wb_id AND u.sheet_idx = g.sheet_idx AND row_no BETWEEN r1 AND r2 WHERE v_num <> 0 GROUP BY 1, 2, 3, 4, 5)
+WITH u AS (SELECT wb_id, sheet_idx, MIN(row_no) AS r1, MIN(col_no) AS c1, LEAST(MIN(row_no) + 2, MAX(row_no)) AS r2 FROM grid GROUP BY 1, 2),
+r AS (SELECT g.wb_id, g.sheet_idx, r1, c1, row_no, COUNT(*) AS n, COUNT(CASE WHEN style_id < 5 THEN 1 END) AS k FROM grid g JOIN u ON u.wb_id = g.wb_id AND u.sheet_idx = g.sheet_idx AND row_no BETWEEN r1 AND r2 GROUP BY 1, 2, 3, 4, 5)
 SELECT wb_id, sheet_idx, r1, c1, MIN(row_no) AS header_row FROM r WHERE k >= GREATEST(1, FLOOR(0.6 * n)) GROUP BY 1, 2, 3, 4""")
 def _(v):
-    cells = v.grid.filter("v_num <> 0").withColumn("is_text", F.col("style_id") < 5)
+    cells = v.grid.withColumn("is_text", F.col("style_id") < 5)
     return P.header_row(cells, used_range(cells))
 
 

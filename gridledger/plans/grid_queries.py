@@ -91,9 +91,9 @@ def _(v):
 
 
 @query("e6_used_range", "grid", """
-SELECT wb_id, sheet_idx, MIN(row_no) AS r1, MIN(col_no) AS c1, MAX(row_no) AS r2, MAX(col_no) AS c2 FROM grid WHERE v_err IS NULL GROUP BY wb_id, sheet_idx""")
+SELECT wb_id, sheet_idx, MIN(row_no) AS r1, MIN(col_no) AS c1, MAX(row_no) AS r2, MAX(col_no) AS c2 FROM grid GROUP BY wb_id, sheet_idx""")
 def _(v):
-    return G.used_range(v.grid.filter("v_err is null"))
+    return G.used_range(v.grid)
 
 
 @query("e7_contiguous_blocks")

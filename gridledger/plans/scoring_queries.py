@@ -46,11 +46,11 @@ def engines(v):
 SELECT COALESCE(r.category, w.category) AS category, COALESCE(r.name, w.name) AS name,
   CASE WHEN r.name IS NULL THEN 'missing in rubric' ELSE 'missing in weights' END AS problem
 FROM (SELECT DISTINCT category, CASE WHEN n_mistakes = 6 THEN 'renamed ' || name ELSE name END AS name FROM judgements) r
-FULL OUTER JOIN (SELECT * FROM weights WHERE weight > 1) w ON r.category = w.category AND r.name = w.name
+FULL OUTER JOIN (SELECT category, CASE WHEN weight = 1 THEN 'old ' || name ELSE name END AS name FROM weights) w ON r.category = w.category AND r.name = w.name
 WHERE r.name IS NULL OR w.name IS NULL""")
 def _(v):
     rubric = v.judgements.withColumn("name", F.when(F.col("n_mistakes") == 6, F.concat(F.lit("renamed "), "name")).otherwise(F.col("name")))
-    return S.weights_consistency(rubric, v.weights.filter("weight > 1"))
+    return S.weights_consistency(rubric, v.weights.withColumn("name", F.when(F.col("weight") == 1, F.concat(F.lit("old "), "name")).otherwise(F.col("name"))))
 
 
 ANNOTATED = """ann AS (SELECT c_custkey AS task_id, w.check_no, w.category,
@@ -141,15 +141,13 @@ def _(v):
     return S.agreement(*engines(v))
 
 
-FAMILIES = """WITH a AS (SELECT DISTINCT attempt_id, category, name FROM judgements WHERE engine = 'code' AND category IN ('ASIA', 'EUROPE')),
-b AS (SELECT DISTINCT attempt_id, category, name FROM judgements WHERE engine = 'code' AND category <> 'ASIA' AND decision = 'fail')"""
+FAMILIES = """WITH a AS (SELECT DISTINCT attempt_id, category, name FROM judgements WHERE engine = 'code'),
+b AS (SELECT DISTINCT attempt_id, category, name FROM judgements WHERE engine = 'llm')"""
 
 
 def families(v):
-    code = v.judgements.filter(F.col("engine") == "code")
-    cols = ["attempt_id", "category", "name"]
-    return (code.filter(F.col("category").isin("ASIA", "EUROPE")).select(*cols).distinct(),
-            code.filter((F.col("category") != "ASIA") & (F.col("decision") == "fail")).select(*cols).distinct())
+    keys = v.judgements.select("engine", "attempt_id", "category", "name").distinct()
+    return keys.filter("engine = 'code'").drop("engine"), keys.filter("engine = 'llm'").drop("engine")
 
 
 @query("r9_family_overlap", "judgements", FAMILIES + " SELECT * FROM a INTERSECT SELECT * FROM b")
