@@ -125,6 +125,11 @@ def without_address_calls(text: Column) -> Column:
     return F.regexp_replace(mask_strings(text), _ADDRESS_ONLY, "0")
 
 
+def takes_address(text: Column) -> Column:
+    """Does a formula call ROW, ROWS, COLUMN or COLUMNS?"""
+    return text.rlike(_ADDRESS_ONLY)
+
+
 def date_stamp(text: Column) -> Column:
     """The whole formula is TODAY() or NOW(), at most inside unary plus, '@' or parentheses."""
     opened = F.length(text) - F.length(F.replace(text, F.lit("("), F.lit("")))
