@@ -54,7 +54,7 @@ def _(v):
 @query("s3_read_tasks", "tasks", "SELECT task_id, task_name, model_type FROM tasks ORDER BY task_id")
 def _(v):
     folder = fresh_folder(v.spark, "tasks")
-    v.tasks.withColumn("dir", F.col("task_id")).repartition("dir").withColumnRenamed("task_id", "id").withColumnRenamed("dir", "task_id").write.partitionBy("task_id").json(folder)
+    v.tasks.write.json(folder)
     return L.read_tasks(v.spark, folder).select("task_id", "task_name", "model_type")
 
 

@@ -37,9 +37,15 @@ def duplicate_ids(attempts: DataFrame) -> DataFrame:
 
 
 def read_tasks(spark: SparkSession, root: str) -> DataFrame:
-    """Task rows from ``task_id=N/`` folders, the folder's number being the id."""
-    body = ", ".join(c for c in TASKS.split(", ") if not c.startswith("task_id"))
-    return spark.read.schema(body + ", task_id INT").json(root).orderBy("task_id")
+    """Task rows by id: of ``task_id=N/`` folders, the folder's number being the id, and of files with a task in each line.
+
+    A line outside such a folder names its task in ``task_id`` or ``id``. A folder a task suits hundreds of tasks; a
+    million of them would be as many folders to make and to list, so many tasks are kept as lines of few files.
+    """
+    rows = spark.read.schema(TASKS + ", id INT").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json*").json(root)
+    folder = F.regexp_extract(F.col("_metadata.file_path"), r"/task_id=([0-9]+)/[^/]*$", 1).try_cast("int")
+    body = [c.split()[0] for c in TASKS.split(", ")[1:]]
+    return rows.select(*body, F.coalesce(folder, "task_id", "id").alias("task_id")).orderBy("task_id")
 
 
 def file_refs(column: Column) -> Column:

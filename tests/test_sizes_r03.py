@@ -5,7 +5,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from compare import DATA
+from gridledger import plans
+from gridledger.plans import source_queries
 from gridledger.functions import text as T
+from gridledger.sources import logs
 
 
 def wrapped_by_hand(text, usable):
@@ -36,3 +40,21 @@ def test_wrap_looks_characters_up(spark, usable):
     assert {r.i: r.n for r in df.collect()} == {-1: None} | {i: wrapped_by_hand(t, usable) for i, t in enumerate(texts)}
     # no fold over the words inside an expression
     assert "lambdafunction" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tasks_of_folders_and_of_lines(spark, tmp_path):
+    """The number of the folder is the id; a file of many tasks names them."""
+    for name, lines in (("task_id=12/task.json", ['{"id": 99, "task_name": "folder"}']), ("more.json", ['{"task_id": 3, "task_name": "line"}', '{"id": 20, "task_name": "by id"}'])):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("\n".join(lines))
+    (tmp_path / "task_id=12" / "starting_files").mkdir()
+    (tmp_path / "task_id=12" / "starting_files" / "a.xlsx").write_bytes(b"PK")
+    assert [(r.task_id, r.task_name) for r in logs.read_tasks(spark, str(tmp_path)).collect()] == [(3, "line"), (12, "folder"), (20, "by id")]
+
+
+def test_tasks_are_written_to_few_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(source_queries, "fresh_folder", lambda spark, label: f"{tmp_path}/{label}")
+    plans.load_all()
+    got = plans.QUERIES["s3_read_tasks"](spark, f"{DATA}/sf0.001").count()
+    assert got == spark.read.parquet(f"{DATA}/sf0.001/customer.parquet").count()
+    assert len(list(tmp_path.rglob("part-*"))) < got / 4
