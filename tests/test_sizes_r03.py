@@ -9,6 +9,7 @@ from compare import DATA
 from gridledger import plans
 from gridledger.plans import source_queries
 from gridledger.functions import text as T
+from gridledger.operators import fused
 from gridledger.sources import logs
 
 
@@ -58,3 +59,14 @@ def test_tasks_are_written_to_few_files(spark, tmp_path, monkeypatch):
     got = plans.QUERIES["s3_read_tasks"](spark, f"{DATA}/sf0.001").count()
     assert got == spark.read.parquet(f"{DATA}/sf0.001/customer.parquet").count()
     assert len(list(tmp_path.rglob("part-*"))) < got / 4
+
+
+def test_a_formula_text_is_read_once(spark):
+    """Equal texts of a corpus meet before they are parsed; sheets of one name share them, others do not."""
+    cells = spark.createDataFrame([(w, s, r, 1, t) for w in (1, 2) for s in (0, 1) for r, t in enumerate(["S1!A1", "OFFSET(A3,1,1)", None, "SUM(A1:A9)"], 1)],
+                                  "wb_id int, sheet_idx int, row_no int, col_no int, text string")
+    got = {(r.wb_id, r.sheet_idx, r.row_no): (r["class"], r.called, len(r.reads), r.at_home and len(r.at_home)) for r in fused._with_formula_features(cells).collect()}
+    assert len(got) == 16
+    for w in (1, 2):
+        assert [got[w, 0, r] for r in (1, 2, 3, 4)] == [("POINTER", [], 1, []), ("OWN", ["OFFSET"], 1, 1), (None, None, 0, None), ("OWN", ["SUM"], 1, 1)]
+        assert got[w, 1, 1] == ("OWN", [], 1, 1)
