@@ -129,8 +129,14 @@ def _zip_books(folder):
     return run
 
 
-def workbook_files(v):
-    """The grid as .xlsx files in a new folder: numbers, errors, shared strings, formulas, merges and rules.
+def _zipped_parts(zipped):
+    """Packages made and opened in one worker, one at a time: no batch of packages passes between workers."""
+    unzip = W._unzip(1 << 14)
+    return lambda batches: unzip(zipped(batches))
+
+
+def workbook_rows(v):
+    """The grid as .xlsx files, one row a file before it is zipped: numbers, errors, shared strings, formulas, merges and rules.
 
     Only the tests' input is made here; its sheets are small by construction.
     """
@@ -155,13 +161,13 @@ def workbook_files(v):
     books = (sheets.withColumn("body", body).groupBy("wb_id").agg(F.array_sort(F.collect_list(F.struct("sheet_idx", "body"))).alias("b"))
              .select("wb_id", F.transform("b", lambda b: b["sheet_idx"]).alias("names"), F.transform("b", lambda b: b["body"]).alias("sheets"),
                      F.lit("<si><t>alpha</t></si><si><r><t>be</t></r><r><t>ta</t></r></si><si><t>a &amp; b</t></si>").alias("strings")))
-    return books.mapInPandas(_zip_books(None), "path STRING, content BINARY")
+    return books
 
 
 def parts(v):
     """Members of the corpus's workbooks, through the same unzip step the file reader uses."""
     # the digest behind the path is not part of the comparison
-    return workbook_files(v).mapInPandas(W._unzip(1 << 14), W.PARTS).withColumn("wb_id", F.substring_index("wb_id", "#", 1))
+    return workbook_rows(v).mapInPandas(_zipped_parts(_zip_books(None)), W.PARTS).withColumn("wb_id", F.substring_index("wb_id", "#", 1))
 
 
 @query("s9_workbook_parts", "sheets", """
@@ -313,8 +319,8 @@ def _zip_members(batches):
             yield pd.DataFrame({"path": [f"wb{wb}.xlsx"], "content": [buffer.getvalue()]})
 
 
-def model_files(v):
-    """The grid as whole packages (path, content). Only the tests' input is made here; its sheets are small by construction."""
+def model_rows(v):
+    """The grid as whole packages, one row a package before it is zipped. Only the tests' input is made here; its sheets are small by construction."""
     x = F.lit
     written = F.col("v_err").isNotNull() | (F.col("v_num") < 0)
     where = ["wb_id", "sheet_idx", "row_no", "col_no"]
@@ -347,12 +353,12 @@ def model_files(v):
                ("docProps/app.xml", x("<Properties><Application>Microsoft Excel</Application><AppVersion>16.0300</AppVersion></Properties>"))]
     names = F.concat(F.array(*[x(n) for n, _ in members]), F.transform("b", lambda s: F.concat(x("xl/worksheets/sheet"), s["sheet_idx"].cast("string"), x(".xml"))))
     bodies = F.concat(F.array(*[m for _, m in members]), F.transform("b", lambda s: s["body"]))
-    return books.select("wb_id", names.alias("names"), bodies.alias("bodies")).mapInPandas(_zip_members, "path STRING, content BINARY")
+    return books.select("wb_id", names.alias("names"), bodies.alias("bodies"))
 
 
 def model_views(v):
-    """The relations of ``packages.book_views``, read from the files of ``model_files``."""
-    parts = checkpointed(model_files(v).mapInPandas(W._unzip(1 << 14), W.PARTS).withColumn("wb_id", F.substring_index("wb_id", "#", 1)))
+    """The relations of ``packages.book_views``, read from the files of ``model_rows``."""
+    parts = checkpointed(model_rows(v).mapInPandas(_zipped_parts(_zip_members), W.PARTS).withColumn("wb_id", F.substring_index("wb_id", "#", 1)))
     return packages.book_views(parts)
 
 

@@ -46,24 +46,41 @@ def _pieces(stream, tag: str, size: int) -> Iterator[tuple[str, int, int, str]]:
     yield ("tail" if in_body else "whole"), 0, before, text
 
 
-def _unzip(size: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                wb = f"{path}#{hashlib.sha256(content).hexdigest()[:16]}"
-                try:
-                    archive = zipfile.ZipFile(io.BytesIO(content))
-                except zipfile.BadZipFile:
-                    yield pd.DataFrame([(wb, "", "broken", 0, 0, None)], columns=["wb_id", "part", "piece", "piece_no", "first_item", "xml"])
+_COLUMNS = ["wb_id", "part", "piece", "piece_no", "first_item", "xml"]
+
+
+def _members(batches: Iterator[pd.DataFrame], size: int) -> Iterator[tuple]:
+    """The pieces of every XML member of the packages (path, content), one package open at a time."""
+    for batch in batches:
+        for path, content in zip(batch["path"], batch["content"]):
+            wb = f"{path}#{hashlib.sha256(content).hexdigest()[:16]}"
+            try:
+                archive = zipfile.ZipFile(io.BytesIO(content))
+            except zipfile.BadZipFile:
+                yield wb, "", "broken", 0, 0, None
+                continue
+            for name in archive.namelist():
+                if not name.lower().endswith((".xml", ".rels")):
                     continue
-                for name in archive.namelist():
-                    if not name.lower().endswith((".xml", ".rels")):
-                        continue
-                    tag = "row" if name.startswith("xl/worksheets/") else "si" if name == "xl/sharedStrings.xml" else None
-                    with archive.open(name) as stream:
-                        found = _pieces(stream, tag, size) if tag else [("whole", 0, 0, stream.read().decode("utf-8-sig", "replace"))]
-                        for piece, number, before, xml in found:
-                            yield pd.DataFrame([(wb, name, piece, number, before, xml)], columns=["wb_id", "part", "piece", "piece_no", "first_item", "xml"])
+                tag = "row" if name.startswith("xl/worksheets/") else "si" if name == "xl/sharedStrings.xml" else None
+                with archive.open(name) as stream:
+                    found = _pieces(stream, tag, size) if tag else [("whole", 0, 0, stream.read().decode("utf-8-sig", "replace"))]
+                    for piece, number, before, xml in found:
+                        yield wb, name, piece, number, before, xml
+
+
+def _unzip(size: int, together: int = 1 << 20):
+    """A function of batches of packages to batches of pieces; ``together`` characters of small pieces go in one batch."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, held = [], 0
+        for row in _members(batches, size):
+            rows.append(row)
+            held += len(row[-1] or "") + 100
+            if held >= together:
+                yield pd.DataFrame(rows, columns=_COLUMNS)
+                rows, held = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=_COLUMNS)
     return run
 
 

@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,3 +71,22 @@ def test_a_formula_text_is_read_once(spark):
     for w in (1, 2):
         assert [got[w, 0, r] for r in (1, 2, 3, 4)] == [("POINTER", [], 1, []), ("OWN", ["OFFSET"], 1, 1), (None, None, 0, None), ("OWN", ["SUM"], 1, 1)]
         assert got[w, 1, 1] == ("OWN", [], 1, 1)
+
+
+def test_packages_pass_one_at_a_time():
+    """Zipping and unzipping share a worker: a package is opened as soon as it is made, and small pieces share a batch."""
+    made = []
+
+    def zipped(batches):
+        for frame in source_queries._zip_members(batches):
+            made.append(frame.path[0])
+            yield frame
+
+    row = "<row r='1'><c r='A1'><v>1</v></c></row>"
+    sheet = f"<worksheet><sheetData>{row * 2000}</sheetData></worksheet>"
+    books = pd.DataFrame({"wb_id": range(40), "names": [["xl/worksheets/sheet0.xml"]] * 40, "bodies": [[sheet]] * 40})
+    seen = [(len(made), frame) for frame in source_queries._zipped_parts(zipped)(iter([books]))]
+    assert seen[0][0] < 20 and len(seen) < 8
+    pieces = pd.concat([f for _, f in seen])
+    assert pieces.wb_id.str.split("#").str[0].drop_duplicates().tolist() == [f"wb{i}.xlsx" for i in range(40)]
+    assert set(pieces.groupby("wb_id", sort=False).xml.agg("".join)) == {sheet}
