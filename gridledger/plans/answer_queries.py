@@ -149,11 +149,14 @@ cp AS (SELECT *, CASE WHEN gk = 'empty' THEN 'missing' WHEN rule IS NOT NULL THE
   CASE WHEN gk = 'number' AND dec IS NOT NULL THEN ABS(b * POW(10.0, dec) - ROUND(b * POW(10.0, dec))) <= GREATEST(1e-9, ABS(b * POW(10.0, dec)) * 1e-12) END AS attempt_rounded FROM ru)"""
 
 
-def compared(v):
+def asked(v):
     s = F.col("seq")
-    d = (v.answers.withColumn("unit", F.lit(None).cast("string")).withColumn("dp", F.when(s % 2 == 0, 1)).withColumn("golden_dp", F.when(s % 3 == 0, 2))
+    return (v.answers.withColumn("unit", F.lit(None).cast("string")).withColumn("dp", F.when(s % 2 == 0, 1)).withColumn("golden_dp", F.when(s % 3 == 0, 2))
          .withColumn("got_dp", F.lit(None).cast("int")).withColumn("pct_format", F.lit(False)).withColumn("percent_directive", F.lit(False)))
-    return O.compare_answers(d)
+
+
+def compared(v):
+    return O.compare_answers(asked(v))
 
 
 @query("a9_tolerance", "answers", f"WITH {PARSED}, {COMPARED} SELECT attempt_id, qid, seq, golden, got, ROUND(tolerance, 9) AS tolerance, dec AS requested_decimals, attempt_rounded FROM cp WHERE gk = 'number'")
@@ -184,8 +187,8 @@ t4 AS (SELECT *, CASE WHEN NOT retry OR gk <> 'number' THEN NULL WHEN a = b THEN
   WHEN outflow AND ABS(ABS(a) - ABS(b)) <= t0 THEN 'sign_outflow' END AS r2 FROM t3)
 SELECT attempt_id, qid, seq, golden, got, r2 IS NOT NULL AS matched_alternate, CASE WHEN r2 IS NOT NULL THEN 'match' ELSE verdict END AS verdict, COALESCE(r2, rule) AS rule FROM t4""")
 def _(v):
-    c = compared(v).withColumn("alternate_label", F.when(F.col("seq") % 4 != 0, F.upper("label")).otherwise(F.lit("another question")))
-    return O.with_alternates(c).select("attempt_id", "qid", "seq", "golden", "got", "matched_alternate", "verdict", "rule")
+    d = asked(v).withColumn("alternate_label", F.when(F.col("seq") % 4 != 0, F.upper("label")).otherwise(F.lit("another question")))
+    return O.compare_with_alternates(d).select("attempt_id", "qid", "seq", "golden", "got", "matched_alternate", "verdict", "rule")
 
 
 @query("a13_hardcoded", "answers", f"WITH {PARSED} SELECT attempt_id, qid, seq, got FROM ps WHERE gk = 'number' AND NOT got_formula AND qid <> 7")

@@ -10,7 +10,8 @@ from compare import DATA
 from gridledger import plans
 from gridledger.plans import source_queries
 from gridledger.functions import text as T
-from gridledger.operators import fused
+from gridledger.operators import answers, fused
+from gridledger.session import checkpointed
 from gridledger.sources import logs
 
 
@@ -90,3 +91,39 @@ def test_packages_pass_one_at_a_time():
     pieces = pd.concat([f for _, f in seen])
     assert pieces.wb_id.str.split("#").str[0].drop_duplicates().tolist() == [f"wb{i}.xlsx" for i in range(40)]
     assert set(pieces.groupby("wb_id", sort=False).xml.agg("".join)) == {sheet}
+
+
+ASKED = "i int, golden string, got string, label string, unit string, dp int, golden_dp int, got_dp int, pct_format boolean, percent_directive boolean, alternate string, alternate_label string"
+
+
+@pytest.fixture()
+def written(monkeypatch):
+    """How many rows the answer operators write for each comparison."""
+    sizes = []
+    monkeypatch.setattr(answers, "checkpointed", lambda df: sizes.append(df.count()) or checkpointed(df))
+    return sizes
+
+
+def test_equal_questions_are_compared_once(spark, written):
+    """Each combination of inputs is one comparison, nulls included; every row gets its result."""
+    asked = [("5", "5.004", "rate", None, 2, None, None, False, False, "x", "y"), ("5", "7", "cost", "%", None, None, None, False, False, "7.0", " COST. "),
+             (None, "7", None, None, None, None, None, False, False, None, None), ("5", None, "cost", None, None, 1, None, True, False, "7", "cost")]
+    rows = spark.createDataFrame([(i, *asked[i % 4]) for i in range(80)], ASKED)
+    got = {r.i: (r.verdict, r.rule, r.flags) for r in answers.compare_answers(rows).collect()}
+    want = [("match", "tolerance", ""), ("mismatch", None, ""), ("missing", None, "missing_expected"), ("missing", None, "")]
+    assert got == {i: want[i % 4] for i in range(80)} and written == [4]
+    both = {r.i: (r.verdict, r.rule, r.matched_alternate, r.golden) for r in answers.compare_with_alternates(rows).collect()}
+    want = [("match", "tolerance", False, "5"), ("match", "exact", True, "5"), ("missing", None, False, None), ("missing", None, False, "5")]
+    assert both == {i: want[i % 4] for i in range(80)} and written == [4, 4, 4]
+    step = {r.i: (r.verdict, r.rule, r.matched_alternate, r.golden) for r in answers.with_alternates(answers.compare_answers(rows)).collect()}
+    assert step == both
+
+
+def test_summary_counts_rules_beside_the_rest(spark):
+    rows = [(1, "match", "exact", True, 1.0), (1, "match", "exact", True, 1.0), (1, "mismatch", None, True, 1.0), (2, "missing", None, False, None), (None, "match", "tolerance", True, 1.0)]
+    df = spark.createDataFrame([(a, v, r, loc, False, True, "number", "number", True) for a, v, r, loc, _ in rows],
+                               "attempt_id int, verdict string, rule string, located boolean, got_formula boolean, golden_formula boolean, expected_kind string, got_kind string, attempt_rounded boolean")
+    summed = answers.answer_summary(df)
+    got = {r.attempt_id: (r.n_questions, r.n_match, r.n_mismatch, r.n_missing, r.n_unlocated, r.n_hardcoded, r.rules_fired) for r in summed.collect()}
+    assert got == {1: (3, 2, 1, 0, 0, 3, "exact=2"), 2: (1, 0, 0, 1, 1, 0, ""), None: (1, 1, 0, 0, 0, 1, "tolerance=1")}
+    assert "Join" not in summed._jdf.queryExecution().optimizedPlan().toString()  # the rows are read once
