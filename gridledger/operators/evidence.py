@@ -23,7 +23,9 @@ def _marked_runs(cells: DataFrame, line: list[str]) -> DataFrame:
     v_num. Labels belong together when no other content lies between them and at most one blank
     does. Numeric years must step by 0 or 1 in one direction.
     """
-    c = once(cells, key=T.period_key(F.col("label")))
+    # labels repeat over sheets: each wording is read once
+    said = once(cells.select(F.col("label").alias("_label")).distinct(), key=T.period_key(F.col("_label")))
+    c = cells.join(said, F.col("label").eqNullSafe(F.col("_label")), "left").drop("_label")
     w = Window.partitionBy(*line).orderBy("pos")
     year = F.when(F.col("key").isNull() & (F.col("v_num") == F.floor("v_num")) & F.col("v_num").between(1990, 2100), F.col("v_num").cast("int"))
     c = c.withColumn("nth", F.row_number().over(w)).withColumn("year", year).filter("key is not null or year is not null")
