@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import formula as X
 from ..session import checkpointed
 from .features import name_uses
+from .skew import once
 
 CELL = ["wb_id", "sheet_idx", "row_no", "col_no"]
 RECT = ["ref_sheet", "r1", "c1", "r2", "c2"]
@@ -42,12 +43,14 @@ def table_references(texts: DataFrame, text: str, tables: DataFrame, columns: Da
     has wb_id, table, column, col_no. [Column] and [[First]:[Last]] are columns, [#This Row] and @ the formula's own
     row (``row_no`` of ``texts``), [#All] takes the header in, [#Headers] is the header alone, anything else the body.
     """
-    item = F.explode(F.array_distinct(F.regexp_extract_all(X.mask_strings(F.col(text)), F.lit(f"({_TABLE_ITEM})"), 1)))
-    d = texts.filter(F.contains(text, F.lit("["))).select(*keep, item.alias("_item"))
+    item = F.explode(F.array_distinct(F.regexp_extract_all(X.mask_strings(F.col("_text")), F.lit(f"({_TABLE_ITEM})"), 1)))
+    # a text is read once, and its items are joined back to the rows that hold it
+    d = texts.select(F.col(text).alias("_text")).distinct().filter(F.contains("_text", F.lit("["))).select("_text", item.alias("_item"))
     inner = F.expr("substring(_item, instr(_item, '[') + 1, length(_item) - instr(_item, '[') - 1)")
     d = d.withColumn("_low", F.lower(F.substring_index("_item", "[", 1))).withColumn("_in", inner)
     named = F.filter(F.transform(F.split(F.regexp_replace("_in", "@", ""), r"[\[\],:]+"), lambda p: F.lower(F.trim(p))), lambda p: (p != "") & ~F.startswith(p, F.lit("#")))
-    d = d.withColumn("_names", named).withColumn("_first", F.get("_names", F.lit(0))).withColumn("_last", F.get("_names", F.size("_names") - 1))
+    d = once(d, _names=named).withColumn("_first", F.get("_names", F.lit(0))).withColumn("_last", F.get("_names", F.size("_names") - 1)).drop("_names")
+    d = texts.select(*{*keep, "wb_id", "row_no", text}).join(d, F.col(text) == F.col("_text"))
     low = F.lower("_in")
     t = tables.select("wb_id", F.lower("table").alias("_low"), F.col("sheet").alias("ref_sheet"), *[F.col(c).alias(f"_{c}") for c in RECT[1:]])
     cols = columns.select("wb_id", F.lower("table").alias("_low"), F.lower("column").alias("_name"), F.col("col_no").alias("_at"))
@@ -116,7 +119,9 @@ def resolved_class(formulas: DataFrame, resolved: DataFrame, sheets: DataFrame)
     """
     place = sheets.select("wb_id", "sheet_idx", F.lower("sheet").alias("_own"))
     away = (resolved.join(place, ["wb_id", "sheet_idx"]).filter(F.lower("ref_sheet") != F.col("_own")).select(*CELL).distinct().withColumn("away", F.lit(True)))
-    text = F.col("text")
+    text_of, text = F.col("text"), F.col("_text")
     lone = X.formula_class(text, F.lit("\u0001")).isin("POINTER") | text.rlike(r"^\s*=?\s*[+@(\s]*[\p{L}_\\][\p{L}\p{N}_.\\]*[)\s]*$")
-    d = formulas.select(*CELL, "text").join(away, CELL, "left")
-    return d.select(*CELL, F.when(X.is_external(text), "EXTERNAL").when(F.col("away") & lone, "POINTER").when(F.col("away"), "CROSS").otherwise("OWN").alias("class"))
+    # cells repeat texts: each is read once
+    said = once(formulas.select(text_of.alias("_text")).distinct(), lone=lone, outside=X.is_external(text))
+    d = formulas.select(*CELL, "text").join(away, CELL, "left").join(said, text_of.eqNullSafe(text), "left")
+    return d.select(*CELL, F.when(F.col("outside"), "EXTERNAL").when(F.col("away") & F.col("lone"), "POINTER").when(F.col("away"), "CROSS").otherwise("OWN").alias("class"))

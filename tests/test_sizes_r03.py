@@ -10,7 +10,8 @@ from compare import DATA
 from gridledger import plans
 from gridledger.plans import source_queries
 from gridledger.functions import text as T
-from gridledger.operators import answers, fused
+from gridledger.functions import formula
+from gridledger.operators import answers, checks, evidence, fused, resolve
 from gridledger.session import checkpointed
 from gridledger.sources import logs
 
@@ -127,3 +128,42 @@ def test_summary_counts_rules_beside_the_rest(spark):
     got = {r.attempt_id: (r.n_questions, r.n_match, r.n_mismatch, r.n_missing, r.n_unlocated, r.n_hardcoded, r.rules_fired) for r in summed.collect()}
     assert got == {1: (3, 2, 1, 0, 0, 3, "exact=2"), 2: (1, 0, 0, 1, 1, 0, ""), None: (1, 1, 0, 0, 0, 1, "tolerance=1")}
     assert "Join" not in summed._jdf.queryExecution().optimizedPlan().toString()  # the rows are read once
+
+
+def _rows_read(df):
+    """Every (operator, its input) of an optimized plan that reads texts by a pattern; the input tells whether texts were made distinct."""
+    lines = df._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    return [lines[i + 1:next((j for j in range(i + 1, len(lines)) if depth(lines[j]) <= depth(lines[i])), len(lines))]
+            for i, line in enumerate(lines) if "regexp_extract_all" in line]
+
+
+def _reads_distinct(df):
+    reading = _rows_read(df)
+    return bool(reading) and all(any("Aggregate [" in line for line in below) for below in reading)
+
+
+def test_references_of_a_text_are_read_once(spark):
+    rows = spark.createDataFrame([(w, s, t) for w in (1, 2) for s in (0, 1) for t in ("S1!A1+B2", "SUM(B:B)", None, "TODAY()", "'S 2'!$C$3", "S1!A1+B2")], "wb_id int, sheet_idx int, text string")
+    refs = formula.references(rows, "text", checks.sheet_name())
+    got = sorted((r.wb_id, r.sheet_idx, r.ref, r.ref_sheet, r.external, r.r1, r.c1, r.r2, r.c2) for r in refs.collect())
+    assert got == sorted((w, s, *x) for w in (1, 2) for s in (0, 1) for x in
+                         [("S1!A1", "S1", False, 1, 1, 1, 1), ("B2", f"S{s}", False, 2, 2, 2, 2)] * 2
+                         + [("B:B", f"S{s}", False, 1, 2, 1048576, 2), ("'S 2'!$C$3", "S 2", False, 3, 3, 3, 3)])
+    assert _reads_distinct(refs)
+
+
+def test_labels_and_classes_are_read_once(spark):
+    """Equal labels and equal formula texts are read one time each; null texts keep their rows."""
+    cells = spark.createDataFrame([(w, 0, 1, p, x, None) for w in (1, 2) for p, x in enumerate(["FY2020", "FY2021", "FY2022", None, "x"], 1)],
+                                  "wb_id int, sheet_idx int, col_no int, pos int, label string, v_num double")
+    runs = evidence.period_series(cells, ["wb_id", "sheet_idx", "col_no"])
+    assert sorted((r.wb_id, r.start, r.end, r.n) for r in runs.collect()) == [(1, 1, 3, 3), (2, 1, 3, 3)]
+    plan = runs._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [_label" in plan
+    f = spark.createDataFrame([(w, 0, r, 1, t) for w in (1, 2) for r, t in enumerate(["S1!A1", "S1!A1*2", None, "[1]R!A1"], 1)], "wb_id int, sheet_idx int, row_no int, col_no int, text string")
+    sheets = spark.createDataFrame([(w, s, f"S{s}") for w in (1, 2) for s in (0, 1)], "wb_id int, sheet_idx int, sheet string")
+    away = f.filter("row_no < 3").withColumn("ref_sheet", F.lit("S1"))
+    kinds = resolve.resolved_class(f, away, sheets)
+    assert sorted((r.wb_id, r.row_no, r["class"]) for r in kinds.collect()) == [(w, i, k) for w in (1, 2) for i, k in ((1, "POINTER"), (2, "CROSS"), (3, "OWN"), (4, "EXTERNAL"))]
+    assert _reads_distinct(kinds)
