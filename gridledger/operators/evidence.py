@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import a1
 from ..functions import formula as X
 from ..functions import text as T
+from ..session import checkpointed
 from .features import column_profile
-from .grid import SHEET, contiguous_blocks, range_members, stab_join, used_range
+from .grid import SHEET, contiguous_blocks, stab_join, used_range
 from .skew import first_n, once
 from .selection import cap_list
 
@@ -315,9 +316,13 @@ def sheet_keywords(titles: DataFrame, headers: DataFrame, texts: DataFrame, top:
 
 def header_row(cells: DataFrame, blocks: DataFrame) -> DataFrame:
     """The first of a block's three top rows in which at least 60 % of the filled cells are text."""
-    top = blocks.select(*SHEET, "r1", "c1", F.least(F.col("r1") + 2, F.col("r2")).alias("r2"), "c2")
-    inside = range_members(cells.select(*SHEET, "row_no", "col_no", "is_text"), top)
-    rows = inside.groupBy(*SHEET, "r1", "c1", "row_no").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_text").alias("k"))
+    top = blocks.select(*SHEET, "r1", "c1", "c2", F.explode(F.sequence(F.col("r1"), F.least(F.col("r1") + 2, F.col("r2")))).alias("row_no"))
+    # cells counted along the row: up to a block's last column, less those before its first
+    marks = top.select(*SHEET, "row_no", "r1", "c1", F.inline(F.array(F.struct((F.col("c1") - 1).alias("col_no"), F.lit(-1).alias("sign")), F.struct(F.col("c2").alias("col_no"), F.lit(1).alias("sign")))))
+    at = cells.select(*SHEET, "row_no", "col_no", F.lit(0).alias("sign"), F.lit(1).alias("filled"), F.coalesce(F.col("is_text"), F.lit(False)).cast("int").alias("text"))
+    upto = Window.partitionBy(*SHEET, "row_no").orderBy("col_no", F.col("sign") != 0).rowsBetween(Window.unboundedPreceding, 0)
+    along = at.unionByName(marks, allowMissingColumns=True).withColumn("n", F.sum("filled").over(upto)).withColumn("k", F.sum("text").over(upto))
+    rows = along.filter("sign <> 0").groupBy(*SHEET, "r1", "c1", "row_no").agg(F.sum(F.col("sign") * F.coalesce("n", F.lit(0))).alias("n"), F.sum(F.col("sign") * F.coalesce("k", F.lit(0))).alias("k"))
     ok = rows.filter(F.col("k") >= F.greatest(F.lit(1), F.floor(0.6 * F.col("n"))))
     return ok.groupBy(*SHEET, "r1", "c1").agg(F.min("row_no").alias("header_row"))
 
@@ -341,11 +346,12 @@ def properties_table(sheets: DataFrame, cells: DataFrame, formulas: DataFrame, m
 def scan_structure(cells: DataFrame) -> DataFrame:
     """Used range, blocks with their header row, and the profile of every column, in one result.
 
-    ``cells`` carries is_text, type and shown.
+    ``cells`` carries is_text, type and shown. Cells and blocks are read several times, so each is written once.
     """
+    cells = checkpointed(cells.select(*SHEET, "row_no", "col_no", "is_text", "type", "shown"))
     used = used_range(cells).select(*SHEET, F.lit("used_range").alias("what"), a1.to_a1(F.col("r1"), F.col("c1"), F.col("r2"), F.col("c2")).alias("where"), F.lit(None).cast("string").alias("detail"))
-    b = contiguous_blocks(cells).select(F.col("wb_id").cast("int"), F.col("sheet_idx").cast("int"), F.col("top").cast("int").alias("r1"), F.col("left").cast("int").alias("c1"),
-                                        F.col("bottom").cast("int").alias("r2"), F.col("right").cast("int").alias("c2"))
+    b = checkpointed(contiguous_blocks(cells).select(F.col("wb_id").cast("int"), F.col("sheet_idx").cast("int"), F.col("top").cast("int").alias("r1"), F.col("left").cast("int").alias("c1"),
+                                                     F.col("bottom").cast("int").alias("r2"), F.col("right").cast("int").alias("c2")))
     head = header_row(cells, b)
     blocks = b.join(head, [*SHEET, "r1", "c1"], "left").select(*SHEET, F.lit("block").alias("what"), a1.to_a1(F.col("r1"), F.col("c1"), F.col("r2"), F.col("c2")).alias("where"),
                                                                F.col("header_row").cast("string").alias("detail"))
