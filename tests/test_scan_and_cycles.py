@@ -6,8 +6,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from bruteforce import greedy_blocks
-from gridledger.operators import evidence, grid
+from bruteforce import cyclic, greedy_blocks
+from gridledger.operators import checks, evidence, graph, grid
+from gridledger.session import checkpointed
 
 CELLS = "wb_id int, sheet_idx int, row_no int, col_no int"
 
@@ -83,3 +84,59 @@ def test_a_scan_computes_its_cells_once(spark):
     assert sorted((r.what, r["where"], r.detail) for r in found.collect()) == [
         ("block", "A1:B2", "1"), ("block", "E9", None), ("column", "A", "number | 2 | computed 1; computed 2"),
         ("column", "B", "number | 2 | computed 1; computed 2"), ("column", "E", "string | 1 | computed x"), ("used_range", "A1:E9", None)]
+
+
+def _components(found):
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.component, set()).add(r.node)
+    assert all(label == min(nodes) for label, nodes in got.items())
+    return {frozenset(c) for c in got.values()}
+
+
+def _parts(rng, node):
+    """Edges of several parts of the graph: random ones, loops, a long chain and a long ring."""
+    edges = [(p, node(p, rng.randrange(15)), node(p, rng.randrange(15))) for p in range(30) for _ in range(20)] + [(30, node(30, 1), node(30, 1))]
+    chain = [(p, node(p, i), node(p, i + 1)) for p in (31, 32) for i in range(3000)]
+    return edges + edges[:50] + chain + [(32, node(32, 3000), node(32, 0))]
+
+
+@pytest.mark.parametrize("node, kind", [(lambda p, i: p * 10_000 + i, "long"), (lambda p, i: f"{p}!é{i}", "string")])
+def test_cycles_of_parts_against_tarjan(spark, monkeypatch, node, kind):
+    edges = _parts(random.Random(8), node)
+    rows = spark.createDataFrame([*edges, (40, None, node(40, 1)), (40, node(40, 1), None), (None, None, None)], f"p long, src {kind}, dst {kind}")
+    monkeypatch.setattr(graph, "BUCKET_EDGES", 500)
+    assert _components(graph.cyclic_nodes(rows, piece=F.col("p"))) == cyclic([(a, b) for _, a, b in edges])
+
+
+def test_large_parts_go_through_rounds(spark, monkeypatch):
+    """Buckets over the bound take the rounds, the rest is solved in place; no component is lost or named otherwise."""
+    rng = random.Random(9)
+    edges = [(p, p * 100 + rng.randrange(20), p * 100 + rng.randrange(20)) for p in range(6) for _ in range(25)]
+    edges += [(9, 900 + i, 900 + (i + 1) % 60) for i in range(60)]
+    rows = spark.createDataFrame(edges, "p long, src long, dst long")
+    called = []
+    rounds = graph._cyclic_by_rounds
+    monkeypatch.setattr(graph, "_cyclic_by_rounds", lambda e, n: called.append({r.src // 100 for r in e.select("src").collect()}) or rounds(e, n))
+    monkeypatch.setattr(graph, "BUCKET_EDGES", 10)
+    monkeypatch.setattr(graph, "CALL_EDGES", 40)
+    found = {}
+    for r in graph.cyclic_nodes(rows, piece=F.col("p")).collect():
+        found.setdefault(r.component, set()).add(r.node)
+    assert {frozenset(c) for c in found.values()} == cyclic([(a, b) for _, a, b in edges])
+    assert len(called) == 1 and 9 in called[0] and called[0] != {0, 1, 2, 3, 4, 5, 9}
+
+
+def test_cycles_of_no_edges(spark):
+    rows = spark.createDataFrame([], "p long, src long, dst long")
+    assert graph.cyclic_nodes(rows, piece=F.col("p")).collect() == []
+
+
+def test_circular_cells_write_few_tables(spark, monkeypatch):
+    """Books of bounded size cost no rounds, however deep their formulas are nested."""
+    written = []
+    monkeypatch.setattr(graph, "checkpointed", lambda df: written.append(1) or checkpointed(df))
+    rows = [(w, 0, r, 1, f"A{r + 1}+A{r + 2}") for w in range(20) for r in range(1, 20)] + [(3, 0, 20, 1, "A4"), (5, 0, 21, 1, "A21")]
+    cells = checks.circular_cells(spark.createDataFrame(rows, CELLS + ", text string"))
+    assert sorted((r.wb_id, r.row_no) for r in cells.collect()) == [(3, r) for r in range(4, 21)] + [(5, 21)]
+    assert len(written) <= 2
