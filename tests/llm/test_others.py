@@ -1,10 +1,12 @@
 """Pages, urls, vectors, conversations and the pipeline, on awkward rows and on empty tables."""
 
 import math
+import random
 from collections import Counter
 
 import brute
 import corpus_pipeline
+import numpy as np
 import pytest
 from gridledger.llm import chat, queries, topk, tokens, url_rules, wrappers
 from pyspark.sql import functions as F
@@ -62,6 +64,40 @@ def test_top_k(spark, monkeypatch):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_top_k_sends_no_matrices_through_the_driver(spark):
+    """A tile repeats for each group of shards, and the estimate of its size does not tell."""
+    df = spark.range(3000).select(F.col("id").alias("vec_id"), F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.col("id") * i % 13 / 5.0).alias("embedding"))
+    found = topk.top_k(df, F.col("vec_id") % 100 == 0, groups=40)
+    found.collect()
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lists_of_shards_merge_per_deal(spark, monkeypatch):
+    """One list of each query leaves a deal, whatever number of shards it holds; both sides are dealt in groups."""
+    monkeypatch.setattr(topk, "SHARD_ROWS", 5)
+    monkeypatch.setattr(topk, "TILE_ROWS", 3)
+    rng = random.Random(3)
+    rows = [(rng.randrange(-60, 60), [float(rng.randrange(-2, 3)) for _ in range(3)]) for _ in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(6)
+    best = {}
+    for q, a in rows:
+        for c, b in rows:
+            if q % 2 == 0 and c != q:
+                s = 1024 * 1024 * int(sum(x * y for x, y in zip(a, b, strict=True)))
+                best[q, c] = max(s, best.get((q, c), s))
+    want = {(q, n, c, s) for q in {q for q, _ in best} for n, (s, c) in enumerate(sorted(((s, c) for (p, c), s in best.items() if p == q), key=lambda x: (-x[0], x[1]))[:4], 1)}
+    for deals in ((1, 1), (2, 3), (7, 2)):
+        monkeypatch.setattr(topk, "_deals", lambda *_, d=deals: d)
+        assert {tuple(r) for r in topk.top_k(df, F.col("vec_id") % 2 == 0, k=4).collect()} == want
+    assert topk._merged([(np.array([0, 0, 1]), np.array([5, 6, 5]), np.array([1, 9, -2**63])), (np.array([0, 0]), np.array([5, 4]), np.array([9, 9]))], 2)[1].tolist() == [4, 5, 5]
+
+
+def test_deals_send_about_as_much_of_both_sides():
+    d = topk._deals
+    assert d(600, 600_000, 6000) == (245, 2) and d(200, 1000, 1000) == (14, 14) and d(8, 0, 0) == (3, 2)
+    assert d(8, 10**8, 10**6)[0] == -(-10**8 // (32 * topk.SHARD_ROWS))
+
+
 PAGE = ("<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style></head><body class='page'><nav><a href=1>Menu</a></nav><div class=\"cookie-notice\">We use cookies"
         "</div><aside>Side</aside><article><h1>Title {0}</h1><p>First <b>bo</b>ld&nbsp;{0} &amp;amp; x<br>line<p>Second\n  &lt;p&gt; {0}</p><script>var a='</p>'</script>"
         "<form><label>Mail</label></form><div class=\"ad-box\">Buy</div></article><section id=comments><p>Reader says</p></section><footer>&copy; F</footer></body></html>")
