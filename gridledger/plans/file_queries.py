@@ -36,18 +36,20 @@ def file_verdicts(v):
     b = model_views(v)
     styles = b["styles"].select(F.concat_ws("#", "wb_id", F.col("style_id").cast("string")).alias("style_key"), "fmt_code", "fill_rgb", "font_rgb",
                                 F.col("font_rgb").alias("text_rgb"), F.coalesce("fill_rgb", F.lit("FFFFFF")).alias("bg_rgb"))
-    cells = b["cells"].join(b["sheets"].select("wb_id", "sheet_idx", "show_zeros"), ["wb_id", "sheet_idx"])
+    # read three times, so the packages' cells are written once
+    written = checkpointed(b["cells"].select(*CELL, "v_num", "v_err", "v_text", "text", "style_id"))
+    cells = written.join(b["sheets"].select("wb_id", "sheet_idx", "show_zeros"), ["wb_id", "sheet_idx"])
     cells = cells.select(*CELL, "v_num", "v_err", "v_text", "text", F.concat_ws("#", "wb_id", F.col("style_id").cast("string")).alias("style_key"),
                          F.lit(None).cast("string").alias("shown"), F.lit(None).cast("double").alias("width"), "show_zeros")
     hits = checkpointed(fused.cell_hits(cells, styles, ["OFFSET", "TODAY"]))
     # the files hold no conditional formats of the font
     none = b["cf_rules"].select("wb_id", "sheet_idx", "r1", "c1", "r2", "c2", F.lit("000000").alias("cf_rgb")).limit(0)
-    texts = b["cells"].filter(F.col("v_text").isNotNull()).select(*CELL, "v_text")
+    texts = written.filter(F.col("v_text").isNotNull()).select(*CELL, "v_text")
     zoom, zoom_open = C.consistent_zoom(b["sheets"])
     cursors = C.active_cell_a1(b["sheets"], b["selections"].drop("sheet"))
-    found = fused.cell_mistakes(hits, texts, none).filter(F.col("check_no").isin(*NUMBERS))
+    found = [fused.cell_mistakes(hits, texts, none).filter(F.col("check_no").isin(*NUMBERS))]
     for number, one in ((61, zoom), (62, cursors), (74, C.merged_cells(b["merges"])), (92, C.hidden_sheets(b["sheets"]))):
-        found = found.unionByName(fused.numbered(one, number))
+        found.append(fused.numbered(one, number))
     open_ = fused.undecided_errors(hits).union(zoom_open.select("wb_id", F.lit(61)))
     return fused.verdicts(b["sheets"], found, open_, NUMBERS)
 

@@ -7,8 +7,11 @@ import time
 from pyspark.sql import functions as F
 
 from bruteforce import cyclic
+from compare import DATA
 from gridledger import session
-from gridledger.operators import checks, graph
+from gridledger.fixtures import Views
+from gridledger.operators import checks, fused, graph, grid
+from gridledger.plans import source_queries
 
 CELLS = "wb_id int, sheet_idx int, row_no int, col_no int"
 
@@ -69,3 +72,38 @@ def test_few_texts_are_sent_to_the_cells(spark, monkeypatch):
     monkeypatch.setattr(session, "FEW_CHARS", 10**6)
     monkeypatch.setattr(session, "FEW_TEXTS", 99)
     assert not sent(session.texts_table(df, "t"))
+
+
+def test_checks_are_counted_one_after_the_other(spark, monkeypatch):
+    """What a check shuffles is gone before the next one begins: only its counts are kept, and the verdicts join those."""
+    found = [spark.createDataFrame([(n, w, "x") for n, w in rows], "check_no int, wb_id int, location string") for rows in ([(22, 1), (22, 1), (47, 2)], [(22, 1), (61, 2)], [])]
+    written = []
+    monkeypatch.setattr(fused, "checkpointed", lambda df: written.append(sorted(df.columns)) or session.checkpointed(df))
+    books = spark.createDataFrame([(1,), (2,)], "wb_id int")
+    got = fused.verdicts(books, found, spark.createDataFrame([(2, 22), (1, 22)], "wb_id int, check_no int"), (22, 47, 61))
+    assert written == [["check_no", "n", "wb_id"]] * 3
+    assert {(r.wb_id, r.check_no): (r.decision, r.n_mistakes) for r in got.collect()} == {
+        (1, 22): ("fail", 3), (2, 22): ("undecided", 0), (1, 47): ("pass", 0), (2, 47): ("fail", 1), (1, 61): ("pass", 0), (2, 61): ("fail", 1)}
+
+
+def test_a_written_relation_is_read_by_those_derived_from_it(spark):
+    v = Views(spark, f"{DATA}/sf0.001")
+    kept = v.written("grid")
+    for name in ("grid", "sheets", "formulas", "ranges"):
+        df = getattr(kept, name)
+        assert "lineitem" not in df._jdf.queryExecution().optimizedPlan().toString() and not any("lineitem" in f for f in df.inputFiles())
+        assert df.exceptAll(getattr(v, name)).isEmpty() and df.count() == getattr(v, name).count()
+
+
+def test_packages_are_made_in_one_deal(spark):
+    """Cells are dealt out by workbook once; rows, sheets and packages are put together where they lie."""
+    v = Views(spark, f"{DATA}/sf0.001").written("grid")
+    plan = source_queries.model_rows(v)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 3  # the cells; the sheets' facts by sheet and by workbook
+
+
+def test_runs_of_repeated_cells(spark):
+    """Equal cells share a place in their run; cells without a row or a column keep their own."""
+    cells = [(1, 0, 1, c) for c in (1, 1, 2, 3, 5, 5)] + [(1, 0, 2, c) for c in (1, 2, 2, 3)] + [(1, 0, None, 4), (1, 0, None, 4), (1, 0, 7, None)]
+    got = {tuple(r) for r in grid.group_cells(spark.createDataFrame(cells, CELLS)).collect()}
+    assert got == {(1, 0, 1, 1, 2, 3), (1, 0, 1, 5, 1, 5), (1, 0, None, 4, None, 4), (1, 0, 7, None, 7, None)}
