@@ -4,8 +4,10 @@ import io
 import zipfile
 
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..fixtures import FIXTURES
 from ..operators.grid import shared_texts
 from ..session import checkpointed, fresh_folder
 from ..sources import logs as L
@@ -324,10 +326,11 @@ def model_rows(v):
     x = F.lit
     written = F.col("v_err").isNotNull() | (F.col("v_num") < 0)
     where = ["wb_id", "sheet_idx", "row_no", "col_no"]
-    g = v.grid.join(shared_groups(v).select(*where, "si", "formula"), where)
+    # a cell beside its formula; dealt out by workbook one time, and all that follows keeps to workbooks
+    g = v.derived("grid", FIXTURES["formulas"].replace("SELECT wb_id,", "SELECT v_num, v_err, style_id, wb_id,", 1)).drop("font_rgb")
+    g = g.dropna(subset=where).repartition("wb_id").withColumn("si", F.floor((F.col("col_no") - 1) / 2).cast("int"))
     # a group's master is its first formula cell of those that are written
-    first = g.filter(written).groupBy("wb_id", "sheet_idx", "si").agg(F.min(F.struct("row_no", "col_no")).alias("m"))
-    g = g.join(first, ["wb_id", "sheet_idx", "si"], "left").join(v.formulas.select(*where, "text"), where)
+    g = g.withColumn("m", F.min(F.when(written, F.struct("row_no", "col_no"))).over(Window.partitionBy("wb_id", "sheet_idx", "si")))
     escaped = F.regexp_replace(F.regexp_replace("text", "&", "&amp;"), "<", "&lt;")
     master = (F.col("row_no") == F.col("m.row_no")) & (F.col("col_no") == F.col("m.col_no"))
     f = F.when(written, F.when(master, F.concat(x('<f t="shared" ref="A1" si="'), F.col("si").cast("string"), x('">'), escaped, x("</f>"))).otherwise(
@@ -338,7 +341,9 @@ def model_rows(v):
     join = lambda key, item: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, item))), lambda s: s[item]), "")
     rows = g.withColumn("cell", cell).groupBy("wb_id", "sheet_idx", "row_no").agg(join("col_no", "cell").alias("cs"))
     rows = rows.withColumn("row", F.concat(x('<row r="'), F.col("row_no").cast("string"), x('">'), "cs", x("</row>")))
-    sheets = rows.groupBy("wb_id", "sheet_idx").agg(join("row_no", "row").alias("rows")).join(v.sheets.select("wb_id", "sheet_idx", "sheet", "state", "zoom"), ["wb_id", "sheet_idx"])
+    sheets = rows.groupBy("wb_id", "sheet_idx").agg(join("row_no", "row").alias("rows"))
+    known = v.sheets.groupBy("wb_id").agg(F.collect_list(F.struct("sheet_idx", "sheet", "state", "zoom")).alias("known"))
+    sheets = sheets.join(known, "wb_id").select("wb_id", "sheet_idx", "rows", F.inline(F.filter("known", lambda k: k["sheet_idx"] == F.col("sheet_idx"))).alias("_", "sheet", "state", "zoom"))
     hidden = F.col("state") == "hidden"
     view = F.concat(x('<sheetViews><sheetView workbookViewId="0"'), F.when(F.col("zoom") != 100, F.concat(x(' zoomScale="'), F.col("zoom").cast("string"), x('"'))).otherwise(""),
                     F.when(hidden, x(' showZeros="0"')).otherwise(""), x('><selection activeCell="A1" sqref="A1"/></sheetView></sheetViews>'))
@@ -358,7 +363,7 @@ def model_rows(v):
 
 def model_views(v):
     """The relations of ``packages.book_views``, read from the files of ``model_rows``."""
-    parts = checkpointed(model_rows(v).mapInPandas(_zipped_parts(_zip_members), W.PARTS).withColumn("wb_id", F.substring_index("wb_id", "#", 1)))
+    parts = checkpointed(model_rows(v.written("grid")).mapInPandas(_zipped_parts(_zip_members), W.PARTS).withColumn("wb_id", F.substring_index("wb_id", "#", 1)))
     return packages.book_views(parts)
 
 

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.colour import with_tint
 from ..operators.grid import shared_texts
-from .workbooks import _XML, _wrapped, cells_from_parts, sheet_tail
+from ..session import checkpointed, texts_table
+from .workbooks import _XML, _wrapped, cells_from_parts, shared_strings, sheet_tail
 
 # Number formats that a workbook names by number alone.
 BUILT_IN_FORMATS = {
@@ -152,12 +153,13 @@ def book_views(parts: DataFrame) -> dict[str, DataFrame]:
     ``cells`` has the text of every formula, children of shared formulas included, and the number of its style;
     sheets that are no worksheets have no cells. Give ``parts`` as a written table: each relation reads it.
     """
-    sheets = sheets_of(parts)
+    # written, so that the cells are joined to tables of known size
+    sheets = checkpointed(sheets_of(parts))
     views = views_of(parts)
     place = sheets.filter(F.col("part").isNotNull()).select("wb_id", "part", "sheet_idx", "sheet")
     seen = sheets.join(views, ["wb_id", "part"], "left")
-    seen = seen.select("wb_id", "sheet_idx", "sheet", "state", F.coalesce("zoom", F.lit(100)).alias("zoom"), F.coalesce("show_zeros", F.lit(True)).alias("show_zeros"),
-                       F.coalesce("active_pane", F.lit("topLeft")).alias("active_pane"))
-    cells = shared_texts(cells_from_parts(parts).join(place, ["wb_id", "part"]), ["wb_id", "sheet_idx"])
+    seen = checkpointed(seen.select("wb_id", "sheet_idx", "sheet", "state", F.coalesce("zoom", F.lit(100)).alias("zoom"), F.coalesce("show_zeros", F.lit(True)).alias("show_zeros"),
+                       F.coalesce("active_pane", F.lit("topLeft")).alias("active_pane")))
+    cells = shared_texts(cells_from_parts(parts, texts_table(shared_strings(parts), "text")).join(place, ["wb_id", "part"]), ["wb_id", "sheet_idx"])
     placed = {name: df.join(place, ["wb_id", "part"]).drop("part") for name, df in (("selections", selections_of(views)), ("columns", columns_of(parts)), *sheet_tail(parts).items())}
     return {"workbooks": workbooks_of(parts), "sheets": seen, "names": names_of(parts), "styles": styles_of(parts), "cells": cells.drop("part"), **placed}

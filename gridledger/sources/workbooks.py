@@ -126,15 +126,16 @@ def shared_strings(parts: DataFrame) -> DataFrame:
     return si.select("wb_id", (F.col("first_item") + F.col("pos")).alias("string_no"), F.coalesce("si.t", runs, F.lit("")).alias("text"))
 
 
-def cells_from_parts(parts: DataFrame) -> DataFrame:
-    """One row per written cell: kind, value columns, style and formula facts."""
+def cells_from_parts(parts: DataFrame, strings: DataFrame | None = None) -> DataFrame:
+    """One row per written cell: kind, value columns, style and formula facts. ``strings`` are the shared strings where they are at hand."""
     c = _sheet_rows(parts).select("wb_id", "part", F.explode("row.c").alias("c"))
     at = a1.parse_a1(F.col("c._r"))
     flat = c.select("wb_id", "part", F.inline(F.array(at)), F.col("c._t").alias("t"), F.coalesce("c._s", F.lit(0)).alias("style_id"), F.col("c.v").alias("raw"),
                     F.col("c.is.t").alias("inline_text"), F.col("c.f._VALUE").alias("formula"), F.col("c.f._t").alias("f_kind"), F.col("c.f._si").alias("si"),
                     F.col("c.f._ref").alias("f_ref"), F.col("c.f").isNotNull().alias("has_formula"))
     flat = flat.withColumn("string_no", F.when(F.col("t") == "s", F.col("raw").try_cast("int")))
-    strings = shared_strings(parts)
+    if strings is None:
+        strings = shared_strings(parts)
     d = flat.join(strings, ["wb_id", "string_no"], "left")
     t, raw = F.col("t"), F.col("raw")
     kind = (F.when(t == "e", "error").when(t == "b", "bool").when(t.isin("s", "str", "inlineStr"), "text").when(raw.isNotNull(), "number").otherwise("empty"))
